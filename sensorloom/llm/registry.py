@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, fingerprint, html_extract, language_id, ngram_jaccard, quality_rules, secret_scan, source_mix, url_filter
+from . import byte_bpe, fingerprint, html_extract, language_id, ngram_jaccard, quality_rules, secret_scan, source_mix, suffix_dedup, url_filter
 
 QUERIES = {f.__name__: f for f in (
-    fingerprint.op1_fingerprint, html_extract.op2_html_extract, secret_scan.op3_secret_scan, byte_bpe.op4_byte_bpe, source_mix.op6_source_mix, url_filter.op7_url_filter, language_id.op8_language_id, ngram_jaccard.op9_ngram_jaccard, quality_rules.op10_quality_rules,
+    fingerprint.op1_fingerprint, html_extract.op2_html_extract, secret_scan.op3_secret_scan, byte_bpe.op4_byte_bpe, suffix_dedup.op5_suffix_dedup, source_mix.op6_source_mix, url_filter.op7_url_filter, language_id.op8_language_id, ngram_jaccard.op9_ngram_jaccard, quality_rules.op10_quality_rules,
 )}
 ORACLE_SQL = {"op6_source_mix": source_mix.SQL, "op10_quality_rules": quality_rules.SQL}
