@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.core import rounded
+from ..sources import exports as X, sinks as K
+from . import provenance as P
 from ..operators import cardiac as C, events as E, joins as J, quality as Q, standardize as S, stats as T, windows as W
 
 QUERIES, SQL = {}, {}
@@ -690,3 +692,43 @@ def _(spark, d):
 def _(spark, d):
     s = samples(spark, d)
     return T.design_scores(s.groupBy("state").agg(F.avg("x").alias("utility")), s, "state", "utility", 5.0, 2.0)
+
+
+# --- schema audits and adapters -------------------------------------------------------
+
+
+@query("schema_audit_dictionary", """with c as (select 'c_custkey' as column, 'bigint' as type, c_custkey::varchar v from customer union all select 'c_name', 'string', c_name from customer union all select 'c_nationkey', 'int', c_nationkey::varchar from customer
+ union all select 'c_acctbal', 'double', c_acctbal::varchar from customer union all select 'c_mktsegment', 'string', c_mktsegment from customer)
+ select "column", type, count(*) filter (v is null) n_missing, count(*) filter (v is null) / count(*)::double prop_missing, count(distinct v) + (count(v) < count(*))::int n_unique, '' unit from c group by 1, 2""", "prop_missing")
+def _(spark, d):
+    return X.dictionary(table(spark, d, "customer"))
+
+
+@query("active_channels", """, u as (select 'x' channel, x v, true ok from s union all select 'xm', xm, h > 3 from s) select channel, count(*) filter (ok and v is not null) valid, count(*) filter (ok and v <> 0) nonzero, min(v) filter (ok and v <> 0) min, max(v) filter (ok and v <> 0) max, count(*) filter (ok and v <> 0) > 0 active from u group by channel""", "min max")
+def _(spark, d):
+    return X.active_channels(samples(spark, d).withColumn("v", F.when(F.col("h") > 3, 1).otherwise(0)), {"x": None, "xm": "v"})
+
+
+@query("rhrv_beat_table", """, b as (select *, lag(x) over (partition by unit order by t, id) was from s where x between 30 and 250) select unit, t, id, x ibi_ms, sum(x) over (partition by unit order by t, id rows unbounded preceding) / 1000 time_s from b where was is null or was <> x""", "t ibi_ms time_s")
+def _(spark, d):
+    return K.beat_table(samples(spark, d), ["unit"], "x", ORDER, 30.0, 250.0)
+
+
+@query("eda_bridge", "select unit, t - min(t) over (partition by unit) time_s, case when x > 0 then 1e6 / x end conductance_us from s", "time_s conductance_us")
+def _(spark, d):
+    return K.eda_bridge(samples(spark, d), ["unit"], "x", "t", "ohm")
+
+
+@query("event_matrix", "select round((t - 1.7e9) * 60)::bigint sample, 0 previous, dense_rank() over (order by state) code from s")
+def _(spark, d):
+    return K.event_matrix(samples(spark, d).withColumn("t0", F.col("t") - 1.7e9), "t0", "state", 60.0)
+
+
+@query("looks_table", "select unit, h, t * 1000 time_ms, state is null track_loss, state = 'view' as view, state = 'click' as click from s", "time_ms")
+def _(spark, d):
+    return K.looks_table(samples(spark, d), "unit", "h", "t", "state", ["view", "click"])
+
+
+@query("workflow_overview", """, w as (select unit, state, 100.0 * count(xm) / count(*) p, stddev_samp(xm) sd from s group by unit, state) select count(distinct unit) units, count(*)::bigint windows, count(*) filter (p < 40 or sd is null)::bigint excluded from w""")
+def _(spark, d):
+    return P.workflow(samples(spark, d), "unit", ["state"], "xm", ORDER, 40.0, 60.0)["overview"]
