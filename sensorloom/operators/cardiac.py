@@ -148,3 +148,18 @@ def frequency_domain(df: DataFrame, key: str, x: str, order, rate: float = 4.0)
         return pd.DataFrame({key: pdf[key].iloc[:1], "n": [len(v)], "vlf": p[0], "lf": p[1], "hf": p[2], "lf_hf": [p[1] / p[2] if p[2] else float("nan")]})
 
     return df.select(key, x, *order).groupBy(key).applyInPandas(run, f"{key} {kind}, n long, vlf double, lf double, hf double, lf_hf double")
+
+
+def sliding_segments(df: DataFrame, keys, x: str, order, width: float, step: float, least: int) -> DataFrame:
+    """Overlapping segments [k step, k step + width) of cumulative time; each beat joins the few that hold it."""
+    d = df.where(F.col(x) > 0).withColumn("_t", F.sum(x).over(ordered(keys, order, BEFORE, 0)) / 1000.0)
+    first = F.greatest(F.floor((F.col("_t") - width) / step) + 1, F.lit(0))
+    d = d.withColumn("segment", F.explode(F.sequence(first, F.floor(F.col("_t") / step))))
+    return d.groupBy(*keys, "segment").agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd")).where(F.col("n") >= least)
+
+
+def inverse_gaussian(df: DataFrame, keys, x: str) -> DataFrame:
+    """Maximum-likelihood mean and shape of an inverse Gaussian of the intervals."""
+    d = df.where(F.col(x) > 0)
+    s = d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(x).alias("mu"), F.sum(1 / F.col(x)).alias("_i"))
+    return s.withColumn("shape", F.try_divide(F.col("n").cast("double"), F.col("_i") - F.col("n") / F.col("mu"))).drop("_i")

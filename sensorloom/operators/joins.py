@@ -120,3 +120,16 @@ def assign_area(points: DataFrame, areas: DataFrame, x: str, y: str, order) -> D
     best = F.struct(-F.col("priority"), size, F.col("aoi"))
     hit = points.join(F.broadcast(areas), inside, "left")  # a stimulus' areas, few
     return hit.groupBy(*points.columns).agg(F.min_by("aoi", F.when(F.col("aoi").isNotNull(), best)).alias("area"), F.count("aoi").alias("n_areas"))
+
+
+def event_peaks(events: DataFrame, peaks: DataFrame, keys, event: str, et: str, t: str, x: str, after: float) -> DataFrame:
+    """Peaks within ``after`` of each event: their number, the largest, the first and the largest one's latency."""
+    a = align_to_events(events, peaks, keys, et, t, 0.0, after).groupBy(event).agg(
+        F.count("*").alias("n_peaks"), F.max_by(x, F.struct(F.col(x), -F.col(t))).alias("largest"), F.min_by(x, t).alias("first_peak"), F.max_by("rel", F.struct(F.col(x), -F.col(t))).alias("latency"))
+    return events.select(event).join(a, event, "left").fillna(0, ["n_peaks"])
+
+
+def recovery(events: DataFrame, samples: DataFrame, keys, event: str, et: str, level: str, t: str, x: str, after: float) -> DataFrame:
+    """Time until the signal first falls to half of the event's level."""
+    a = align_to_events(events, samples, keys, et, t, 0.0, after).where(F.col("rel") > 0)
+    return a.groupBy(event).agg(F.min(F.when(F.col(x) <= F.col(level) / 2, F.col("rel"))).alias("half_time"))

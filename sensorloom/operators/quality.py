@@ -193,3 +193,35 @@ def condition_balance(df: DataFrame, unit: str, condition: str) -> DataFrame:
 
 def group_correlation(df: DataFrame, keys, x: str, y: str, limit: float) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.when(F.col(x).isNotNull(), F.col(y))).alias("n"), F.corr(x, y).alias("r")).withColumn("flagged", F.coalesce(F.abs("r") > limit, F.lit(False)))
+
+
+def step_artifacts(df: DataFrame, keys, x: str, order, k: float) -> DataFrame:
+    """Steps beyond k scaled MADs of the group's steps, and repeated values."""
+    d = df.withColumn("step", F.col(x) - F.lag(x).over(ordered(keys, order)))
+    c = d.groupBy(*keys).agg(median("step").alias("_c"))
+    d = d.join(c, keys)
+    s = d.groupBy(*keys).agg((1.4826 * median(F.abs(F.col("step") - F.col("_c")))).alias("_s"))
+    d = d.join(s, keys).withColumn("needle", (F.col("_s") > 0) & (F.abs(F.col("step") - F.col("_c")) > k * F.col("_s")))
+    return d.withColumn("flat", F.coalesce(F.col("step") == 0, F.lit(False))).drop("_c", "_s")
+
+
+def rate_artifacts(df: DataFrame, keys, x: str, order, low: float, high: float, percent: float, pad: int) -> DataFrame:
+    """Out of range or changing by more than ``percent``, spread over ``pad`` rows on each side."""
+    was = F.lag(x).over(ordered(keys, order))
+    d = df.withColumn("bad", ~F.col(x).between(low, high) | F.coalesce(F.try_divide(100 * F.abs(F.col(x) - was), was) > percent, F.lit(False)))
+    return d.withColumn("padded", F.max("bad").over(ordered(keys, order, -pad, pad)))
+
+
+def beat_audit(df: DataFrame, keys, x: str, t: str, order, low: float, high: float, change: float) -> DataFrame:
+    w = ordered(keys, order)
+    was = F.lag(x).over(w)
+    d = df.withColumn("_d", F.try_divide(F.abs(F.col(x) - was), was)).withColumn("_t", F.lag(t).over(w))
+    return d.withColumn("reasons", reasons(("range", ~F.col(x).between(low, high)), ("duplicate", F.col(t) == F.col("_t")), ("abrupt", F.col("_d") > change))).drop("_d", "_t")
+
+
+def gaze_checks(df: DataFrame, keys, x: str, t: str, order, low: float, high: float) -> DataFrame:
+    """Missing, repeated, backward and out-of-bounds samples of each recording."""
+    d = df.withColumn("dt", F.col(t) - F.lag(t).over(ordered(keys, order)))
+    return d.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.count_if(F.col(x).isNull()).alias("missing"), F.count_if(F.col("dt") == 0).alias("duplicates"), F.count_if(F.col("dt") < 0).alias("backward"),
+        F.count_if(~F.col(x).between(low, high)).alias("outside"), ((F.count_if(F.col(x).isNull()) == 0) & (F.count_if(F.col("dt") <= 0) == 0)).alias("passed"))

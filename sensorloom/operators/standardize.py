@@ -171,4 +171,7 @@ def anonymize(df: DataFrame, column: str, prefix: str = "P", width: int = 4) ->
     return df.join(ids, column)
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("annotations", "AFTER", "BEFORE")]
+
+def tone_angle(lightness: Column, yellow: Column) -> Column:
+    """Individual typology angle in degrees, with its limits where the yellow axis is 0."""
+    return F.when(yellow != 0, F.degrees(F.atan((lightness - 50) / yellow))).when(lightness > 50, 90.0).when(lightness < 50, -90.0)

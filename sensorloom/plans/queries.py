@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.core import rounded
 from ..sources import exports as X, sinks as K
 from . import provenance as P
-from ..operators import cardiac as C, events as E, joins as J, quality as Q, standardize as S, stats as T, windows as W
+from ..operators import cardiac as C, events as E, joins as J, quality as Q, standardize as S, stats as T, waveforms as V, windows as W
 
 QUERIES, SQL = {}, {}
 ORDER = ["t", "id"]
@@ -732,3 +732,131 @@ def _(spark, d):
 @query("workflow_overview", """, w as (select unit, state, 100.0 * count(xm) / count(*) p, stddev_samp(xm) sd from s group by unit, state) select count(distinct unit) units, count(*)::bigint windows, count(*) filter (p < 40 or sd is null)::bigint excluded from w""")
 def _(spark, d):
     return P.workflow(samples(spark, d), "unit", ["state"], "xm", ORDER, 40.0, 60.0)["overview"]
+
+
+# --- waveforms of each recording (grouped functions; no SQL) --------------------------
+
+
+@query("scr_peaks_by_height")
+def _(spark, d):
+    return V.scr_peaks(samples(spark, d), "unit", "x", "t", ORDER, 50.0, 3, 10.0)
+
+
+@query("pulse_beats")
+def _(spark, d):
+    return V.beats(samples(spark, d), "unit", "x", "t", ORDER, 2)
+
+
+@query("pulse_template_similarity")
+def _(spark, d):
+    return V.template_similarity(samples(spark, d), "unit", "x", ORDER, 3, 2)
+
+
+@query("power_spectrum_bands")
+def _(spark, d):
+    return V.band_powers(V.power_spectrum(samples(spark, d), "unit", "x", ORDER, 4.0), "unit", {"low": (0.0, 0.5), "mid": (0.5, 1.0), "high": (1.0, 2.0)})
+
+
+@query("autoregressive_order")
+def _(spark, d):
+    return V.ar_spectrum_order(samples(spark, d), "unit", "x", ORDER, 6)
+
+
+@query("recurrence_quantification")
+def _(spark, d):
+    return V.recurrence(samples(spark, d), "unit", "x", ORDER)
+
+
+@query("multiscale_entropy")
+def _(spark, d):
+    return V.multiscale_entropy(samples(spark, d), "unit", "x", ORDER)
+
+
+@query("granger_causality")
+def _(spark, d):
+    return V.granger(samples(spark, d).withColumn("y", F.col("h").cast("double")), "unit", "x", "y", ORDER, 2)
+
+
+@query("phase_locking")
+def _(spark, d):
+    return V.phase_locking(samples(spark, d).withColumn("y", F.col("h").cast("double")), "unit", "x", "y", ORDER)
+
+
+@query("low_pass_filter")
+def _(spark, d):
+    return V.low_pass(samples(spark, d), "unit", "x", ORDER, 0.5, 4.0)
+
+
+@query("convolution_glm", """, c as (select unit, x, h::double h, id % 7 z from s), k as (select unit, count(*) n, avg(x) my, avg(h) m1, avg(z) m2, covar_pop(h, h) s11, covar_pop(z, z) s22, covar_pop(h, z) s12, covar_pop(x, h) s1y, covar_pop(x, z) s2y, covar_pop(x, x) syy from c group by unit),
+ b as (select *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) b2 from k), r as (select *, (b1 * s1y + b2 * s2y) / syy r2, (syy - b1 * s1y - b2 * s2y) * n / (n - 3) v from b)
+ select unit, 'h' term, b1 beta, sqrt(v * s22 / (s11 * s22 - s12 * s12) / n) se, b1 / sqrt(v * s22 / (s11 * s22 - s12 * s12) / n) t, r2 from r""", "beta se t r2")
+def _(spark, d):
+    s = samples(spark, d).withColumn("y", F.col("h").cast("double")).withColumn("z", (F.col("id") % 7).cast("double"))
+    return V.glm(s, "unit", "x", ["y", "z"], ORDER).where("term = 'y'").withColumn("term", F.lit("h"))
+
+
+# --- further flags, windows and features ------------------------------------------------
+
+
+@query("mad_artifacts", """, g as (select *, x - lag(x) over (partition by unit order by t, id) st from s), m as (select unit, median(st) c, 1.4826 * mad(st) k from g group by unit) select id, st as step, k > 0 and abs(st - c) > 3 * k needle, coalesce(st = 0, false) flat from g join m using (unit)""", "step")
+def _(spark, d):
+    return Q.step_artifacts(samples(spark, d), ["unit"], "x", ORDER, 3.0).select("id", "step", "needle", "flat")
+
+
+@query("rate_artifacts_padded", """, g as (select *, row_number() over (partition by unit order by t, id) rn, x not between 5 and 300 or coalesce(100 * abs(x - lag(x) over w) / nullif(lag(x) over w, 0) > 300, false) bad from s window w as (partition by unit order by t, id))
+ select id, bad, bool_or(bad) over (partition by unit order by rn rows between 1 preceding and 1 following) padded from g""")
+def _(spark, d):
+    return Q.rate_artifacts(samples(spark, d), ["unit"], "x", ORDER, 5.0, 300.0, 300.0, 1).select("id", "bad", "padded")
+
+
+@query("beat_audit", """, g as (select *, lag(x) over w xp, lag(t) over w tp from s window w as (partition by unit order by t, id)) select id, concat_ws(';', case when x not between 20 and 300 then 'range' end, case when t = tp then 'duplicate' end, case when abs(x - xp) / xp > 1.5 then 'abrupt' end) reasons from g""")
+def _(spark, d):
+    return Q.beat_audit(samples(spark, d), ["unit"], "x", "t", ORDER, 20.0, 300.0, 1.5).select("id", "reasons")
+
+
+@query("gaze_validation_checks", """, g as (select *, t - lag(t) over (partition by unit order by id) dt from s) select unit, count(*) n, count(*) filter (xm is null) missing, count(*) filter (dt = 0) duplicates, count(*) filter (dt < 0) backward, count(*) filter (xm not between 70 and 200) outside,
+ count(*) filter (xm is null) = 0 and count(*) filter (dt <= 0) = 0 as passed from g group by unit""")
+def _(spark, d):
+    return Q.gaze_checks(samples(spark, d), ["unit"], "xm", "t", ["id"], 70.0, 200.0)
+
+
+@query("sliding_segments", """, v as (select unit, x, sum(x) over (partition by unit order by t, id rows unbounded preceding) / 1000 c from s where x > 0), w as (select unit, k, x from v, (select unnest(range(0, 200)) k) where c >= k * 1.0 and c < k * 1.0 + 2.0)
+ select unit, k as segment, count(*) n, avg(x) mean, stddev_samp(x) sd from w group by unit, k having count(*) >= 3""", "mean sd")
+def _(spark, d):
+    return C.sliding_segments(samples(spark, d), ["unit"], "x", ORDER, 2.0, 1.0, 3)
+
+
+@query("scr_event_peak_choice", """, p as (select *, lag(x) over w a, lead(x) over w b from s window w as (partition by unit order by t, id)), k as (select * from p where x >= 50 and x > a and x >= b), e as (select id as event, unit, t et from s where state = 'error')
+ select e.event, count(k.id) n_peaks, arg_max(k.x, (k.x, -k.t)) largest, arg_min(k.x, k.t) as first_peak, arg_max(k.t - et, (k.x, -k.t)) latency from e left join k on e.unit = k.unit and k.t between et and et + 36000 group by e.event""", "largest first_peak latency")
+def _(spark, d):
+    s = samples(spark, d)
+    return J.event_peaks(_anchors(spark, d), E.local_peaks(s, ["unit"], "x", ORDER, 50.0), ["unit"], "event", "et", "t", "x", 36000.0)
+
+
+@query("scr_recovery_times", """, a as (select e.id as event, e.x x0, s.t - e.t rel, s.x from s e join s on e.unit = s.unit and s.t > e.t and s.t <= e.t + 72000 where e.state = 'error') select event, min(rel) filter (x <= x0 / 2) half_time from a group by event""", "half_time")
+def _(spark, d):
+    e = samples(spark, d).where("state = 'error'").select("unit", F.col("id").alias("event"), F.col("t").alias("et"), F.col("x").alias("x0"))
+    return J.recovery(e, samples(spark, d).select("unit", "t", "x"), ["unit"], "event", "et", "x0", "t", "x", 72000.0)
+
+
+@query("interval_point_process", """select unit, count(*) n, avg(x) mu, count(*) / sum(1 / x - 1 / m) shape from (select unit, x, avg(x) over (partition by unit) m from s where x > 0) group by unit""", "mu shape")
+def _(spark, d):
+    return C.inverse_gaussian(samples(spark, d), ["unit"], "x")
+
+
+@query("trial_regressors", """, e as (select id as event, unit, t et from s where state = 'error') select event, count(s.id) n, avg(s.x) mean_x, stddev_samp(s.x) sd_x from e left join s on e.unit = s.unit and s.t between et - 7200 and et + 7200 group by event""", "mean_x sd_x")
+def _(spark, d):
+    a = J.event_windows(_anchors(spark, d), samples(spark, d), ["unit"], "event", "et", "t", "x", 7200.0, 7200.0)
+    return a.select("event", "n", F.col("mean").alias("mean_x"), F.col("sd").alias("sd_x"))
+
+
+@query("skin_tone_angle", """with p as (select p_partkey, p_retailprice / 20 l, p_size - 25.0 b from part) select p_partkey, case when b <> 0 then degrees(atan((l - 50) / b)) when l > 50 then 90.0 when l < 50 then -90.0 end ita from p""", "ita")
+def _(spark, d):
+    p = table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") / 20).alias("l"), (F.col("p_size") - 25.0).alias("b"))
+    return p.select("p_partkey", S.tone_angle(F.col("l"), F.col("b")).alias("ita"))
+
+
+@query("admittance_phase", "with l as (select l_orderkey, l_linenumber, l_quantity g, l_tax * 100 b from lineitem) select l_orderkey, l_linenumber, sqrt(g * g + b * b) admittance, atan2(b, g) phase from l", "admittance phase")
+def _(spark, d):
+    x = table(spark, d, "lineitem")
+    return x.select("l_orderkey", "l_linenumber", F.hypot("l_quantity", F.col("l_tax") * 100).alias("admittance"), F.atan2(F.col("l_tax") * 100, F.col("l_quantity")).alias("phase"))
