@@ -175,3 +175,14 @@ def anonymize(df: DataFrame, column: str, prefix: str = "P", width: int = 4) ->
 def tone_angle(lightness: Column, yellow: Column) -> Column:
     """Individual typology angle in degrees, with its limits where the yellow axis is 0."""
     return F.when(yellow != 0, F.degrees(F.atan((lightness - 50) / yellow))).when(lightness > 50, 90.0).when(lightness < 50, -90.0)
+
+
+def robust_scale(df: DataFrame, keys, x: str) -> DataFrame:
+    """Centred by the median and scaled by the IQR; no spread gives NULL."""
+    w = whole(keys)
+    return df.withColumn("robust", F.try_divide(F.col(x) - median(x).over(w), F.nullif(quantile(x, 0.75).over(w) - quantile(x, 0.25).over(w), F.lit(0.0))))
+
+
+def trim(df: DataFrame, keys, t: str, start: float, stop: float) -> DataFrame:
+    """Rows whose time since their group's first is in [start, stop), with that time."""
+    return df.withColumn("rel_t", F.col(t) - F.min(t).over(whole(keys))).where((F.col("rel_t") >= start) & (F.col("rel_t") < stop))

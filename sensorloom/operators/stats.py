@@ -97,3 +97,34 @@ def design_scores(candidates: DataFrame, done: DataFrame, condition: str, utilit
     most = F.greatest(F.max("n_done").over(whole([])), F.lit(1))
     d = d.withColumn("score", F.col(utility) + weight / (F.col("n_done") + 1) - balance * F.col("n_done") / most)
     return d.withColumn("rank", F.row_number().over(ordered([], [F.desc("score"), condition])))
+
+
+def one_way_f(df: DataFrame, keys, group: str, x: str) -> DataFrame:
+    """One-way analysis of variance: F and its degrees of freedom from group aggregates."""
+    g = df.where(F.col(x).isNotNull()).groupBy(*keys, group).agg(F.count("*").alias("n"), F.avg(x).alias("m"), F.coalesce(F.var_samp(x), F.lit(0.0)).alias("v"))
+    s = g.groupBy(*keys).agg(F.count("*").alias("_k"), F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("_q"), F.sum((F.col("n") - 1) * F.col("v")).alias("within"))
+    between = F.col("_q") - F.col("total") * F.col("grand") * F.col("grand")
+    return s.select(*keys, (F.col("_k") - 1).alias("df_between"), (F.col("total") - F.col("_k")).alias("df_within"),
+                    F.try_divide(F.try_divide(between, F.col("_k") - 1), F.try_divide(F.col("within"), F.col("total") - F.col("_k"))).alias("f"))
+
+
+def kruskal(df: DataFrame, keys, group: str, x: str) -> DataFrame:
+    """Kruskal-Wallis H without tie correction, on mean ranks within each key."""
+    d = df.where(F.col(x).isNotNull())
+    d = d.withColumn("_r", F.rank().over(ordered(keys, [x])) + (F.count("*").over(whole([*keys, x])) - 1) / 2)
+    g = d.groupBy(*keys, group).agg(F.count("*").alias("n"), F.sum("_r").alias("r"))
+    s = g.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("_q"))
+    return s.select(*keys, "n", (12.0 * F.col("_q") / (F.col("n") * (F.col("n") + 1)) - 3 * (F.col("n") + 1)).alias("h"))
+
+
+def icc_agreement(df: DataFrame, keys, a: str, b: str) -> DataFrame:
+    """ICC(A,1) of two devices: absolute agreement of single measures."""
+    d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_m", (F.col(a) + F.col(b)) / 2).withColumn("_d", F.col(a) - F.col(b))
+    s = d.groupBy(*keys).agg(F.count("*").alias("n"), F.var_samp("_m").alias("_vm"), F.var_samp("_d").alias("_vd"), F.avg("_d").alias("_md"))
+    rows, error, columns = 2 * F.col("_vm"), F.col("_vd") / 2, F.col("n") * F.col("_md") * F.col("_md") / 2
+    return s.withColumn("icc", F.try_divide(rows - error, rows + error + 2 * (columns - error) / F.col("n"))).drop("_vm", "_vd", "_md")
+
+
+def wide_means(df: DataFrame, unit: str, column: str, x: str, levels) -> DataFrame:
+    """One row a unit with the mean of each level in its own column."""
+    return df.groupBy(unit).pivot(column, list(levels)).agg(F.avg(x))

@@ -860,3 +860,45 @@ def _(spark, d):
 def _(spark, d):
     x = table(spark, d, "lineitem")
     return x.select("l_orderkey", "l_linenumber", F.hypot("l_quantity", F.col("l_tax") * 100).alias("admittance"), F.atan2(F.col("l_tax") * 100, F.col("l_quantity")).alias("phase"))
+
+
+@query("robust_scaling", "select id, (x - median(x) over w) / nullif(quantile_cont(x, 0.75) over w - quantile_cont(x, 0.25) over w, 0) robust from s window w as (partition by unit)", "robust")
+def _(spark, d):
+    return S.robust_scale(samples(spark, d), ["unit"], "x").select("id", "robust")
+
+
+@query("trimmed_recordings", "select id, rel_t from (select id, t - min(t) over (partition by unit) rel_t from s) where rel_t >= 86400 and rel_t < 864000", "rel_t")
+def _(spark, d):
+    return S.trim(samples(spark, d), ["unit"], "t", 86400.0, 864000.0).select("id", "rel_t")
+
+
+@query("one_way_anova", """with g as (select o_orderstatus k, o_orderpriority c, count(*) n, avg(o_totalprice) m, var_samp(o_totalprice) v from orders group by 1, 2), t as (select k, sum(n * m) / sum(n) gm from g group by k)
+ select g.k, count(*) - 1 df_between, (sum(n) - count(*))::bigint df_within, sum(n * (m - gm) ** 2) / (count(*) - 1) / (sum((n - 1) * v) / (sum(n) - count(*))) f from g join t using (k) group by g.k""", "f")
+def _(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderstatus").alias("k"), F.col("o_orderpriority").alias("c"), F.col("o_totalprice").alias("x"))
+    return T.one_way_f(o, ["k"], "c", "x")
+
+
+@query("kruskal_wallis", """, r as (select unit, state, rank() over (partition by unit order by x) + (count(*) over (partition by unit, x) - 1) / 2.0 r from s), g as (select unit, state, count(*) n, sum(r) r from r group by unit, state)
+ select unit, sum(n)::bigint n, 12.0 * sum(r * r / n) / (sum(n) * (sum(n) + 1)) - 3 * (sum(n) + 1) h from g group by unit""", "h")
+def _(spark, d):
+    return T.kruskal(samples(spark, d), ["unit"], "state", "x")
+
+
+@query("icc_agreement", """with l as (select l_returnflag k, l_extendedprice / 1500 a, l_quantity b from lineitem), s as (select k, count(*) n, 2 * var_samp((a + b) / 2) r, var_samp(a - b) / 2 e, count(*) * avg(a - b) ** 2 / 2 c from l group by k)
+ select k, n, (r - e) / (r + e + 2 * (c - e) / n) icc from s""", "icc")
+def _(spark, d):
+    x = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("k"), (F.col("l_extendedprice") / 1500).alias("a"), F.col("l_quantity").alias("b"))
+    return T.icc_agreement(x, ["k"], "a", "b")
+
+
+@query("aoi_wide_means", "select unit, avg(x) filter (state = 'view') as view, avg(x) filter (state = 'click') as click from s where state in ('view', 'click') group by unit union all select unit, null, null from s group by unit having count(*) filter (state in ('view', 'click')) = 0", "view click")
+def _(spark, d):
+    return T.wide_means(samples(spark, d), "unit", "state", "x", ["view", "click"])
+
+
+@query("polygon_areas", """with e as (select * from (values ('tri', 1.0, 900.0, 50.0, 900.0), ('tri', 50.0, 900.0, 25.0, 1500.0), ('tri', 25.0, 1500.0, 1.0, 900.0)) v(aoi, x1, y1, x2, y2))
+ select p_partkey, aoi from part join e on (y1 > p_retailprice) <> (y2 > p_retailprice) where p_size < (x2 - x1) * (p_retailprice - y1) / (y2 - y1) + x1 group by p_partkey, aoi having count(*) % 2 = 1""")
+def _(spark, d):
+    poly = spark.createDataFrame([("tri", [(1.0, 900.0), (50.0, 900.0), (25.0, 1500.0)])], "aoi string, vertices array<struct<x double, y double>>")
+    return J.in_polygon(table(spark, d, "part"), poly, "p_partkey", "p_size", "p_retailprice")
