@@ -6,7 +6,8 @@ and arrays of classes decide the pattern's piece boundaries: every rule of the
 pattern is a run of one class with a fixed look at its neighbours, so prefix
 maxima and minima over the class array (scans of an associative function) give
 each position its run's start and end, and boundaries follow by comparing
-arrays. Pieces are slices of the text; their merges are cached per worker.
+arrays. Pieces are slices of the text; their merges are cached per worker, and
+the new pieces of a batch are merged together, one pair a piece and round.
 
 Defined results: null texts encode as empty ones (0 tokens). Offsets of the
 tokens in the UTF-8 bytes are the prefix sums of the token lengths and are kept
@@ -32,6 +33,8 @@ from .common import read
 LETTER, NUMBER, SPACE, OTHER, BREAK = range(5)
 #: Characters held in arrays at once, and pieces cached per worker.
 BATCH_CHARS, CACHE = 1 << 20, 400_000
+#: Bytes beyond which a piece is merged by the heap; no pair.
+LONG, NONE = 128, 1 << 40
 # Fixed values of the pattern: contractions are an apostrophe and one of these.
 SINGLE, DOUBLE = "stmd", ("re", "ve", "ll")
 
@@ -89,6 +92,70 @@ class Coder:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.cache: dict[str, bytes] = {}
+        self.byte_rank = np.array([self.ranks[bytes([k])] for k in range(256)], np.int64)
+        pairs = {}
+        for token, rank in self.ranks.items():
+            for k in range(1, len(token)):
+                if (a := self.ranks.get(token[:k])) is not None and (b := self.ranks.get(token[k:])) is not None:
+                    pairs[a << 32 | b] = rank
+        self.pair_keys = np.array(sorted(pairs), np.int64)
+        self.pair_ranks = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
+
+    def _pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE)
+
+    def merge_many(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece, packed. Long pieces go to the heap; the rest share array rounds."""
+        out: list[bytes] = [b""] * len(pieces)
+        rest = []
+        for k, p in enumerate(pieces):
+            if (r := self.ranks.get(p)) is not None:
+                out[k] = r.to_bytes(4, "little")
+            elif len(p) > LONG:
+                out[k] = array("I", self.merge(p)).tobytes()
+            else:
+                rest.append(k)
+        if not rest:
+            return out
+        sizes = np.fromiter((len(pieces[k]) for k in rest), np.int64, len(rest))
+        token = self.byte_rank[np.frombuffer(b"".join([pieces[k] for k in rest]), np.uint8)]
+        owner = np.repeat(np.arange(len(rest)), sizes)
+        rank = np.full(len(token), NONE, np.int64)
+        inner = np.flatnonzero(owner[1:] == owner[:-1])
+        rank[inner] = self._pair_rank(token[inner], token[inner + 1])
+        while len(token):
+            start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            size = np.diff(np.append(start, len(token)))
+            least = np.minimum.reduceat(rank, start)
+            done = least == NONE
+            if done.any():
+                over = np.repeat(done, size)
+                ids = token[over].astype("<u4").tobytes()
+                a = 0
+                for k, n in zip(owner[start[done]].tolist(), size[done].tolist()):
+                    out[rest[k]] = ids[a : a + 4 * n]
+                    a += 4 * n
+                token, owner, rank = token[~over], owner[~over], rank[~over]
+                least, size = least[~done], size[~done]
+                if not len(token):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(least, size))
+            hit = hit[np.concatenate([[True], owner[hit[1:]] != owner[hit[:-1]]])]  # the leftmost of each piece
+            token[hit] = rank[hit]
+            keep = np.ones(len(token), bool)
+            keep[hit + 1] = False
+            place = np.cumsum(keep) - 1
+            token, owner, rank = token[keep], owner[keep], rank[keep]
+            hit = place[hit]
+            again = np.concatenate([hit, hit[hit > 0] - 1])
+            last = len(token) - 1
+            same = (again < last) & (owner[again] == owner[np.minimum(again + 1, last)])
+            rank[again] = NONE
+            again = again[same]
+            rank[again] = self._pair_rank(token[again], token[again + 1])
+        return out
 
     def merge(self, piece: bytes) -> list[int]:
         """Lowest-ranked pair first, the leftmost of equals; a heap over a linked list, n log n."""
@@ -128,9 +195,8 @@ class Coder:
         if len(cache) > CACHE:
             cache.clear()
         # the breaks' own pieces stay in the list so that positions agree; they are skipped below
-        for p in set(pieces).difference(cache):
-            ids = array("I", self.merge(p.encode("utf-8", "surrogatepass")))
-            cache[p] = ids.tobytes()
+        new = list(set(pieces).difference(cache))
+        cache.update(zip(new, self.merge_many([p.encode("utf-8", "surrogatepass") for p in new])))
         got = list(map(cache.__getitem__, pieces))
         out, a = [], 0
         for b in ends_at.tolist():
