@@ -3,7 +3,9 @@
 1. Equal texts: all but the smallest doc_id are removed whole (by digest).
 2. Anchors: each 50-byte string selects its k-gram of least hash, so equal
    strings select equal anchors. Chunks of documents send their sorted anchors,
-   packed, and learn which of them other texts have too.
+   packed, and learn which of them other texts have too; then the same for the
+   35 bytes up to and from each shared anchor, one of which every string that
+   holds the anchor contains.
 3. Contexts: the bytes around shared anchors, as far as a 50-byte string that
    holds the anchor can reach. Equal contexts are one row with the smallest doc.
 4. Shards of contexts get suffix arrays by induced sorting: suffixes are
@@ -32,10 +34,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import materialize, read
-from .ngram_jaccard import _mix
+from .ngram_jaccard import BASE, _mix
 
 SPAN, GRAM = 50, 20
 WIDTH = SPAN - GRAM + 1
+#: A string of SPAN bytes around an anchor holds the LONG bytes that end or begin with it.
+LONG = GRAM + (SPAN - GRAM) // 2
 CHUNK, PIECE, SHARD, HOT = 4 << 20, 1 << 19, 3 << 20, 2000
 LAST = (1 << 63) - 1  # a null doc_id
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
@@ -82,6 +86,23 @@ def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys >> _U(16)
 
 
+_VALUE = _mix(np.arange(1, 257, dtype=_U) * _U(0xD1342543DE82EF95))
+_POWER = np.multiply.accumulate(np.full(LONG, BASE, _U))
+
+
+def _long_keys(b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each position, the hashes of the LONG bytes that end with its anchor and that begin with it; 0 where the text is too short."""
+    out = []
+    for q in (at - (LONG - GRAM), at):
+        key = np.zeros(len(at), _U)
+        for a in range(0, len(at), 4096):
+            some = q[a : a + 4096]
+            ok = (some >= 0) & (some + LONG <= len(b))
+            key[a : a + 4096][ok] = _mix((_VALUE[b[some[ok][:, None] + np.arange(LONG)]] * _POWER).sum(1, dtype=_U)) >> _U(16)
+        out.append(key)
+    return out[0], out[1]
+
+
 def pack(keys: np.ndarray) -> bytes:
     return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
 
@@ -253,17 +274,34 @@ def repeats(texts: list[bytes], owner: np.ndarray) -> list[int]:
 # --- the join ------------------------------------------------------------
 
 
-def _anchor_rows(parts: int):
-    def run(key, docs, firsts):
-        keep = set(zip(firsts["doc_id"], firsts["th"]))
-        some, seen = [], set()
+def _in(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
+def _told(told: pd.DataFrame) -> tuple[set, np.ndarray]:
+    """The chunk's first documents and the keys that it has been told of."""
+    firsts = told[told["blob"].isna()]
+    blobs = [unpack(b) for b in told["blob"].dropna()]
+    return set(zip(firsts["doc_id"], firsts["th"])), np.unique(np.concatenate(blobs)) if blobs else np.zeros(0, _U)
+
+
+def _key_rows(parts: int, long: bool):
+    """A chunk's anchors, or the long keys of its shared anchors, packed by part; apart those that two of its texts have."""
+
+    def run(key, docs, told):
+        keep, known = _told(told)
+        some = []
         for doc_id, th, text in zip(docs["doc_id"], docs["th"], docs["text"]):
-            if (doc_id, th) in keep and th not in seen:
-                seen.add(th)
-                some.append(np.unique(anchors(_bytes(text))[1]))
-        if not some:
-            return pd.DataFrame({"part": [], "chunk": [], "here": [], "twice": []})
-        keys, times = np.unique(np.concatenate(some), return_counts=True)
+            if (doc_id, th) not in keep or (long and not len(known)):
+                continue
+            keep.discard((doc_id, th))
+            b = _bytes(text)
+            at, keys = anchors(b)
+            if long:
+                keys = np.concatenate(_long_keys(b, at[_in(known, keys)]))
+                keys = keys[keys > 0]
+            some.append(np.unique(keys))
+        keys, times = np.unique(np.concatenate(some or [np.zeros(0, _U)]), return_counts=True)
         part = (keys % _U(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         keys, times, part = keys[order], times[order], part[order]
@@ -285,11 +323,8 @@ def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _context_rows(key, docs, told):
-    """Contexts of the shared anchors of a chunk, equal ones in one row, with all their places."""
-    firsts = told[told["blob"].isna()]
-    keep = set(zip(firsts["doc_id"], firsts["th"]))
-    blobs = [unpack(b) for b in told["blob"].dropna()]
-    known = np.sort(np.concatenate(blobs)) if blobs else np.zeros(0, np.uint64)
+    """Contexts of the anchors with a shared long key, equal ones in one row, with all their places."""
+    keep, known = _told(told)
     found: dict[tuple, list] = {}
     if len(known):
         for doc_id, th, text in zip(docs["doc_id"], docs["th"], docs["text"]):
@@ -297,8 +332,10 @@ def _context_rows(key, docs, told):
                 continue
             keep.discard((doc_id, th))
             raw = (text or "").encode("utf-8", "surrogatepass")
-            at, keys = anchors(np.frombuffer(raw, np.uint8))
-            hit = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+            b = np.frombuffer(raw, np.uint8)
+            at, keys = anchors(b)
+            left, right = _long_keys(b, at)
+            hit = _in(known, left) | _in(known, right)
             for p, k in zip(at[hit].tolist(), keys[hit].tolist()):
                 a = max(0, p - (SPAN - GRAM))
                 found.setdefault((k, p - a, raw[a : p + SPAN]), []).append((doc_id, th, a))
@@ -354,9 +391,12 @@ def removals(documents: DataFrame, keep_bytes: bool = False) -> DataFrame:
     firsts = first.select(chunk.alias("chunk"), "doc_id", "th", F.lit(None).cast("binary").alias("blob"))
     docs = base.select(chunk.alias("chunk"), "doc_id", "th", "text").groupBy("chunk")
 
-    sent = docs.cogroup(firsts.drop("blob").groupBy("chunk")).applyInPandas(_anchor_rows(parts), "part int, chunk int, here binary, twice binary")
-    known = sent.groupBy("part").applyInPandas(_shared, "chunk int, doc_id long, th long, blob binary")
-    contexts = docs.cogroup(known.union(firsts).groupBy("chunk")).applyInPandas(_context_rows, "chunk int, anchor long, lead int, ctx binary, doc long, places binary")
+    def shared(told: DataFrame, long: bool) -> DataFrame:
+        sent = docs.cogroup(told.groupBy("chunk")).applyInPandas(_key_rows(parts, long), "part int, chunk int, here binary, twice binary")
+        return sent.groupBy("part").applyInPandas(_shared, "chunk int, doc_id long, th long, blob binary").union(firsts)
+
+    known = shared(shared(firsts, False), True)
+    contexts = docs.cogroup(known.groupBy("chunk")).applyInPandas(_context_rows, "chunk int, anchor long, lead int, ctx binary, doc long, places binary")
     contexts = materialize(contexts.withColumn("id", F.xxhash64("anchor", "lead", "ctx")))
 
     owned = contexts.groupBy("id", "anchor", "ctx").agg(F.min("doc").alias("owner"))
@@ -376,7 +416,8 @@ def removals(documents: DataFrame, keep_bytes: bool = False) -> DataFrame:
     marks = materialize(marks.where("mask <> 0").union(hot_marks))
 
     masks = marks.select("id", "mask")
-    told = contexts.join(owned.select("id", "owner"), "id").join(masks, "id", "left").where("mask is not null or octet_length(places) > 24 or doc > owner")
+    state = materialize(owned.select("id", "owner").join(masks, "id", "left"))
+    told = contexts.select("id", "chunk", "ctx", "doc", "places").join(state, "id").where("mask is not null or octet_length(places) > 24 or doc > owner")
     told = told.select("chunk", "owner", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"), F.octet_length("ctx").alias("size"), "places")
     cut = docs.cogroup(told.groupBy("chunk")).applyInPandas(_cut_rows, "doc_id long, th long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     cut = cut if keep_bytes else cut.drop("kept")
