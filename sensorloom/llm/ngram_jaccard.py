@@ -1,8 +1,9 @@
 """Exact n-gram Jaccard join: metric regions around pivots, joined recursively.
 
-Documents with equal shingle sets are one node. The set is also kept as a
-64-bin count vector, whose L1 distance never exceeds the sets' symmetric
-difference: a cheap triangle-inequality window that rules pairs out exactly.
+Documents with equal shingle sets are one node. The set is also kept as a count
+vector of 64 bins or more (eight shingles a bin at most, on average), whose L1
+distance never exceeds the sets' symmetric difference: a cheap window by the
+triangle inequality that rules pairs out exactly.
 
 1. Word-shingle sets, hashed to 64 bits. Shingles frequent within a chunk of
    documents are noted; the total's most frequent ones (at most ``HOT_MAX``,
@@ -10,12 +11,15 @@ difference: a cheap triangle-inequality window that rules pairs out exactly.
 2. Prefix regions: two linked sets share a shingle among the first
    n - ceil(0.8 n) + 1 of either. Sets that share one meet; those that the
    vectors do not rule out are tied, and ties make regions.
-3. Regions of up to ``LOCAL`` sets are joined in one task each. Larger ones take
-   pivots: each set goes to its nearest pivot's Voronoi cell and, as boundary
-   document, to each cell whose pivot is at most twice the threshold distance
-   (2 * 0.2) farther. Sets within 0.2 of a pivot are linked to it, so a cell
-   only keeps pairs with a set beyond 0.2. Cells that stay large after
-   ``DEPTH`` rounds are joined block by block, every pair of blocks once.
+3. Regions of up to ``LOCAL`` sets (and ``LOCAL_SHINGLES``) are joined in one
+   task each. Larger ones take rounds of pivots, each compared with the whole
+   region: sets within 0.2 of a pivot are linked to it, and each set belongs to
+   its nearest pivot's Voronoi cell. A pair can only matter if its sets are not
+   connected yet, so one of them is outside the region's main component. An
+   outsider can only be linked to sets whose distance to its cell's pivot is
+   within 0.2 of its own; those boundary sets stay with it, all others leave.
+   The next pivots are outsiders. What ``DEPTH`` rounds leave is joined block
+   by block, every pair of blocks once.
 4. Links' connected components.
 
 Pivots alone do not separate sparse sets (nearly all distances are 1, so every
@@ -43,8 +47,8 @@ from .components import components
 
 WORDS, BINS = 5, 64
 CHUNK, CHUNK_TIMES, HOT_TIMES, HOT_MAX, SALTS = 4_000_000, 3, 32, 200_000, 64
-LOCAL, PIVOTS, DEPTH = 1000, 8, 3
-NEAR, WINDOW = 0.2, 0.4
+LOCAL, LOCAL_SHINGLES, PIVOTS, DEPTH = 1000, 4_000_000, 16, 3
+NEAR = 0.2
 
 _U = np.uint64
 
@@ -115,7 +119,10 @@ def node_of(s: np.ndarray) -> int:
 
 
 def bins_of(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s & _U(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+    size = BINS
+    while size * 8 < len(s):
+        size *= 2
+    return np.bincount((s & _U(size - 1)).astype(np.int64), minlength=size).astype(np.uint16).tobytes()
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -221,11 +228,28 @@ def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"kind": 2, "a": shingle[start][hot], "b": node[start][hot]})
 
 
-def _close(size: np.ndarray, bins: np.ndarray, k: int) -> np.ndarray:
-    """Places after k (sizes ascending) whose vectors allow a link: L1 <= (|A| + |B|) / 9."""
-    end = int(np.searchsorted(size, size[k] * 1.25 + 1e-9, "right"))
-    l1 = np.abs(bins[k + 1 : end] - bins[k]).sum(1)
-    return k + 1 + np.flatnonzero(9 * l1 <= size[k] + size[k + 1 : end])
+class Vectors:
+    """Count vectors of sets in ascending size; where a longer vector meets one half as long, it is folded."""
+
+    def __init__(self, size: np.ndarray, bins):
+        self.size, self.length = size, np.fromiter((len(b) // 2 for b in bins), np.int64, len(bins))
+        self.rows, self.folded = {}, {}
+        for n in np.unique(self.length).tolist():
+            a, b = np.searchsorted(self.length, [n, n + 1])
+            m = np.frombuffer(b"".join(bins[a:b]), np.uint16).reshape(-1, n).astype(np.int32)
+            self.rows[n], self.folded[n // 2] = (a, m), (a, m.reshape(len(m), 2, n // 2).sum(1, dtype=np.int32))
+
+    def close(self, k: int) -> np.ndarray:
+        """Places after k whose vectors allow a link: L1 <= (|A| + |B|) / 9 and a size ratio of 0.8 or more."""
+        n = int(self.length[k])
+        end, (first, m) = int(np.searchsorted(self.size, self.size[k] * 1.25 + 1e-9, "right")), self.rows[n]
+        mine, out = m[k - first], []
+        for a, other in ((first, m), self.folded.get(n, (end, m[:0]))):
+            lo, hi = max(a, k + 1), min(a + len(other), end)
+            if hi > lo:
+                l1 = np.abs(other[lo - a : hi - a] - mine).sum(1)
+                out.append(lo + np.flatnonzero(9 * l1 <= self.size[k] + self.size[lo:hi]))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 class Forest:
@@ -243,18 +267,34 @@ class Forest:
         return a != b
 
 
-def _vectors(bins) -> np.ndarray:
-    return np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS).astype(np.int16)
+def _ties(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Spanning ties among the members of each group that their vectors do not rule out.
 
-
-def _ties(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Spanning ties among the members of one group that their vectors do not rule out."""
-    pdf = pdf.sort_values("n", kind="stable")
-    size, node, bins = pdf["n"].to_numpy(), pdf["b"].to_numpy(), _vectors(pdf["bins"])
-    trees, out = Forest(len(node)), []
-    for k in range(len(node) - 1):
-        out += [(node[k], node[j]) for j in _close(size, bins, k).tolist() if trees.join(k, j)]
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    Whole groups are in one partition; groups of shingles that are not hot are small.
+    """
+    parts = list(batches)
+    if not parts:
+        return
+    pdf = pd.concat(parts, ignore_index=True)
+    group, size, node = pdf["a"].to_numpy(), pdf["n"].to_numpy(), pdf["b"].to_numpy()
+    order = np.lexsort((node, size, group))
+    group, size, node, bins = group[order], size[order], node[order], pdf["bins"].to_numpy()[order]
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    count = np.diff(np.append(start, len(group)))
+    length = np.fromiter((len(b) for b in bins), np.int64, len(bins))
+    two = start[(count == 2)]
+    two = two[(length[two] == 2 * BINS) & (length[two + 1] == 2 * BINS)]  # most groups: compared at once
+    flat = lambda at: np.frombuffer(b"".join(bins[at]), np.uint16).reshape(-1, BINS).astype(np.int32)
+    ok = two[9 * np.abs(flat(two) - flat(two + 1)).sum(1) <= size[two] + size[two + 1]]
+    out = [pd.DataFrame({"a": node[ok], "b": node[ok + 1]})]
+    found = []
+    rest = ~np.isin(start, two) & (count > 1)
+    for a, m in zip(start[rest].tolist(), count[rest].tolist()):
+        trees, vectors = Forest(m), Vectors(size[a : a + m], bins[a : a + m])
+        for k in range(m - 1):
+            found += [(node[a + k], node[a + j]) for j in vectors.close(k).tolist() if trees.join(k, j)]
+    out.append(pd.DataFrame(found, columns=["a", "b"], dtype="int64"))
+    yield pd.concat(out).drop_duplicates()
 
 
 def is_link(common: int, a: int, b: int) -> bool:
@@ -262,16 +302,13 @@ def is_link(common: int, a: int, b: int) -> bool:
 
 
 def local_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Spanning links of one region, exactly: every pair not ruled out and not yet connected is counted.
-
-    With a ``side`` column, only pairs of different sides count where sides differ.
-    """
+    """Spanning links of one region, exactly: every pair not ruled out and not yet connected is counted."""
     pdf = pdf.drop_duplicates("node").sort_values(["n", "node"])
-    size, node, bins = pdf["n"].to_numpy(), pdf["node"].to_numpy(), _vectors(pdf["bins"])
+    node, vectors = pdf["node"].to_numpy(), Vectors(pdf["n"].to_numpy(), pdf["bins"].to_numpy())
     sets = [np.frombuffer(b, _U) for b in pdf["shingles"]]
     trees, out = Forest(len(node)), []
     for k in range(len(node) - 1):
-        for j in _close(size, bins, k).tolist():
+        for j in vectors.close(k).tolist():
             if trees.root(k) != trees.root(j):
                 common = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
                 if is_link(common, len(sets[k]), len(sets[j])):
@@ -280,31 +317,20 @@ def local_links(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows with their region's pivots -> links (kind 0) and places in cells (kind 1) with the distance to the pivot."""
-    for pdf in batches:
-        links, places = [], []
-        pivots: dict[int, list] = {}
-        for k, row in enumerate(pdf.itertuples(index=False)):
-            if row.region not in pivots:
-                pivots[row.region] = [(p["node"], np.frombuffer(p["shingles"], _U)) for p in row.pivots]
-            s = np.frombuffer(row.shingles, _U)
-            far = []
-            for p, q in pivots[row.region]:
-                at = np.minimum(np.searchsorted(q, s), len(q) - 1)
-                common = int((q[at] == s).sum())
-                far.append(1 - common / (len(s) + len(q) - common))
-                if p != row.node and is_link(common, len(s), len(q)):
-                    links.append((row.node, p))
-            least = min(far)
-            for (p, _), d in zip(pivots[row.region], far):
-                if p != row.node and d <= least + WINDOW + 1e-9:
-                    cell = hashlib.blake2b(f"{row.region}|{p}".encode(), digest_size=8).digest()
-                    places.append((k, int.from_bytes(cell, "little", signed=True), d))
-        yield pd.DataFrame({"kind": 0, "a": [a for a, _ in links], "b": [b for _, b in links], "far": 0.0, "n": 0, "bins": None, "shingles": None})
-        at = [k for k, _, _ in places]
-        yield pd.DataFrame({"kind": 1, "a": [c for _, c, _ in places], "b": pdf["node"].to_numpy()[at], "far": [d for _, _, d in places],
-                            "n": pdf["n"].to_numpy()[at], "bins": pdf["bins"].to_numpy()[at], "shingles": pdf["shingles"].to_numpy()[at]})
+def _cells(key, rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    """Some rows of a region with the distance to each pivot, whether it is a link and whether the pivot is the nearest."""
+    out = []
+    known = [(p, np.frombuffer(b, _U)) for p, b in zip(pivots["pivot"], pivots["pivot_shingles"])]
+    for node, raw in zip(rows["node"], rows["shingles"]):
+        s, far, linked = np.frombuffer(raw, _U), [], []
+        for p, q in known:
+            at = np.minimum(np.searchsorted(q, s), len(q) - 1)
+            common = int((q[at] == s).sum())
+            far.append(1 - common / (len(s) + len(q) - common))
+            linked.append(p != node and is_link(common, len(s), len(q)))
+        home = int(np.argmin(far))
+        out += [(key[0], node, p, far[k], linked[k], k == home) for k, (p, _) in enumerate(known)]
+    return pd.DataFrame(out, columns=["region", "node", "pivot", "far", "linked", "home"])
 
 
 SETS = ["region", "node", "n", "bins", "shingles"]
@@ -312,27 +338,39 @@ SETS = ["region", "node", "n", "bins", "shingles"]
 
 def region_links(sets: DataFrame) -> DataFrame:
     """Links (a, b) that connect all linked sets of each region; sets has the columns ``SETS``."""
-    found, left = [], sets
-    for depth in range(DEPTH + 1):
-        count = materialize(left.groupBy("region").agg(F.count("*").alias("m")))
-        small = left.join(count.where(f"m between 2 and {LOCAL}").select("region"), "region")
-        found.append(materialize(small.groupBy("region").applyInPandas(local_links, "a long, b long")))
-        large = count.where(f"m > {LOCAL}")
-        if not large.take(1):
-            break
-        rows = left.join(large, "region")
-        if depth == DEPTH:
-            found.append(materialize(_by_blocks(rows)))
+    count = materialize(sets.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1"))
+    fits = f"m <= {LOCAL} and total <= {LOCAL_SHINGLES}"
+    small = sets.join(count.where(fits).select("region"), "region")
+    found = [materialize(small.groupBy("region").applyInPandas(local_links, "a long, b long"))]
+    large = count.where(f"not ({fits})").select("region", "m")
+    left = materialize(sets.join(large, "region").select(*SETS, "m", F.lit(True).alias("outside")))
+    salts = F.greatest(F.ceil(F.col("m") / 500), F.lit(1)).cast("int")
+    for _ in range(DEPTH):
+        if not left.take(1):
             break
-        rows = materialize(rows.select(*SETS))
-        chosen = rows.groupBy("region", F.pmod(F.xxhash64("node"), F.lit(PIVOTS))).agg(F.min("node").alias("node")).select("region", "node")
-        pivots = rows.join(chosen, ["region", "node"]).groupBy("region").agg(F.collect_list(F.struct("node", "shingles")).alias("pivots"))  # PIVOTS a region
-        split = materialize(rows.join(pivots, "region").mapInPandas(_cells, "kind int, a long, b long, far double, n long, bins binary, shingles binary"))
-        found.append(split.where("kind = 0").select("a", "b"))
-        cells = split.where("kind = 1").select(F.col("a").alias("region"), F.col("b").alias("node"), "n", "bins", "shingles", "far")
-        # within a cell, sets up to NEAR from the pivot are connected already; they matter only to sets beyond it
-        beyond = cells.where(f"far > {NEAR - 1e-9}").groupBy("region").agg(F.min("far").alias("beyond"))
-        left = materialize(cells.join(beyond, "region").where(f"far >= beyond - {NEAR + 1e-9}").select(*SETS))
+        rank = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
+        chosen = left.where("outside").groupBy("region", rank).agg(F.min("node").alias("node")).select("region", "node")
+        some = left.withColumn("salt", F.pmod(F.xxhash64("node"), salts)).select("region", "salt", "node", "shingles")
+        pivots = left.join(chosen, ["region", "node"]).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))  # PIVOTS a region and salt
+        pivots = pivots.select(F.col("region").alias("_region"), F.col("salt").alias("_salt"), F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles"))
+        seen = some.groupBy("region", "salt").cogroup(pivots.groupBy("_region", "_salt"))
+        seen = materialize(seen.applyInPandas(_cells, "region long, node long, pivot long, far double, linked boolean, home boolean"))
+        found.append(seen.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+        links = found[-1]
+        for more in found[1:-1]:
+            links = links.union(more)
+        roots = components(links)
+        placed = left.select("region", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        main = placed.groupBy("region", "root").agg(F.count("*").alias("k")).groupBy("region").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
+        done = chosen.withColumn("used", F.lit(True))  # a pivot's links are all known
+        placed = materialize(placed.join(main, "region").join(done, ["region", "node"], "left").where("used is null").select("region", "node", (F.col("root") != F.col("main")).alias("outside")))
+        at = seen.select("region", "node", "pivot", "far", "home").join(placed, ["region", "node"])
+        window = at.where("outside and home").groupBy("region", "pivot").agg(F.min("far").alias("lo"), F.max("far").alias("hi"))
+        keep = at.join(window, ["region", "pivot"]).where(f"far between lo - {NEAR + 1e-9} and hi + {NEAR + 1e-9}").select("region", "node", "outside").distinct()
+        left = materialize(left.drop("outside").join(keep, ["region", "node"]).select(*SETS, "m", "outside"))
+    else:
+        again = left.groupBy("region").agg(F.count("*").alias("left_m"))
+        found.append(materialize(_by_blocks(left.join(again, "region").withColumn("m", F.col("left_m")))))
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
@@ -340,12 +378,12 @@ def region_links(sets: DataFrame) -> DataFrame:
 
 
 def _by_blocks(rows: DataFrame) -> DataFrame:
-    """Every pair of blocks of a region once; blocks hold about LOCAL / 2 sets."""
+    """Every pair of blocks of a region once; blocks hold about LOCAL / 2 sets. Regions have their row count in m."""
     blocks = F.ceil(F.col("m") * 2 / LOCAL).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = rows.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = F.struct("region", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    return pairs.withColumn("key", F.xxhash64(key)).groupBy("key").applyInPandas(lambda p: local_links(p), "a long, b long")
+    key = F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other"))
+    return pairs.withColumn("key", key).select("key", "node", "n", "bins", "shingles").groupBy("key").applyInPandas(local_links, "a long, b long")
 
 
 def classes(documents: DataFrame) -> DataFrame:
@@ -358,7 +396,7 @@ def classes(documents: DataFrame) -> DataFrame:
     one = docs.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bins").alias("bins"), F.min("doc_id").alias("doc_id"))
     one = materialize(one)
     groups = met.where("kind = 0").select("a", "b").distinct().join(one.select(F.col("node").alias("b"), "n", "bins"), "b")
-    ties = groups.groupBy("a").applyInPandas(_ties, "a long, b long")
+    ties = groups.repartition("a").mapInPandas(_ties, "a long, b long")
     spots = met.where("kind = 2").distinct()
     heads = spots.join(spots.groupBy("a").agg(F.min("b").alias("m")), "a").select(F.col("m").alias("a"), "b")
     edges = ties.union(met.where("kind = 1").select("a", "b")).union(heads)
@@ -371,7 +409,7 @@ def classes(documents: DataFrame) -> DataFrame:
             ok = np.flatnonzero(ids == pdf["node"].to_numpy())
             yield pd.DataFrame({"region": pdf["region"].to_numpy()[ok], "node": ids[ok], "n": [len(sets[k]) for k in ok], "bins": [bins_of(sets[k]) for k in ok], "shingles": [sets[k].tobytes() for k in ok]})
 
-    texts = documents.select("doc_id", "text").join(need, F.col("doc_id").eqNullSafe(F.col("need_id"))).select("text", "node", "region")
+    texts = documents.select("doc_id", "text").join(need.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("need_id"))).select("text", "node", "region")
     sets = materialize(texts.mapInPandas(load, "region long, node long, n long, bins binary, shingles binary").dropDuplicates(["node"]))
     roots = components(region_links(sets))
     low = roots.join(one.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -384,7 +422,7 @@ def classes(documents: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame) -> DataFrame:
     """One document of each component: the one whose doc_id names it. Repeated rows count once."""
     label = classes(documents).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return documents.join(label, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
+    return documents.join(label.hint("shuffle_hash"), F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

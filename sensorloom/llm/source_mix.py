@@ -75,7 +75,7 @@ def copies(documents: DataFrame, seed: str = SEED) -> DataFrame:
 def mix(documents: DataFrame) -> DataFrame:
     """The mixed documents themselves, each repeated as often as it is taken."""
     plan = copies(documents).where("n_copies > 0").select("doc_id", F.col("n_copies").alias("_n")).dropDuplicates(["doc_id"])
-    out = documents.join(plan, "doc_id").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    out = documents.join(plan.hint("shuffle_hash"), "doc_id").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
     return out.drop("_n", "_k").select(documents.columns)
 
 
