@@ -350,7 +350,7 @@ def region_links(sets: DataFrame) -> DataFrame:
             break
         rank = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
         chosen = left.where("outside").groupBy("region", rank).agg(F.min("node").alias("node")).select("region", "node")
-        some = left.withColumn("salt", F.pmod(F.xxhash64("node"), salts)).select("region", "salt", "node", "shingles")
+        some = left.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")).select("region", "salt", "node", "shingles")
         pivots = left.join(chosen, ["region", "node"]).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))  # PIVOTS a region and salt
         pivots = pivots.select(F.col("region").alias("_region"), F.col("salt").alias("_salt"), F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles"))
         seen = some.groupBy("region", "salt").cogroup(pivots.groupBy("_region", "_salt"))
