@@ -1,8 +1,12 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text's paragraphs (lines, cut further at sentence marks before the first half
-of the alphabet, so that cuts move with the content and texts of few lines have
-several) are hashed to 64 bits.
+A text's paragraphs (lines, cut further at every sentence mark, so that cuts
+move with the content and texts of few lines have several) are hashed to 64
+bits. Where ``RUN`` characters pass without such a cut, the run is cut at
+places that its own characters choose: certain pairs of Latin characters,
+certain other characters, and, where no such pair occurs for ``RARE``
+characters, every space or, without spaces, every character. (Java's look-behind
+does not count characters beyond U+FFFF as one; runs of them may stay whole.)
 Each digest enters one cell of each of three subtables: a cell holds a count,
 the xor of its digests and the xor of their check hashes. Sketches of two
 versions subtract cell by cell; what both hold cancels, and peeling cells that
@@ -33,7 +37,17 @@ from .common import let, read
 
 TABLES, WIDTH, LOAD, ROUNDS = 3, 8, 13, 7
 CELLS = TABLES * WIDTH
-CUT = r"\n+|(?<=[.!?;:])\x20+(?=[^A-Za-z]|[A-La-l])"
+RUN, RARE = 256, 128
+#: Of scripts beyond Latin-1, about one character of 32 starts a piece of a long run.
+_OTHER = "".join(map(chr, range(0x10E, 0x3400, 32))) + "".join(f"{chr(k)}-{chr(k + 31)}" for k in [*range(0x3400, 0xD800, 1024), *range(0xF900, 0x20000, 1024)])
+_PAIR = rf"[aA-D01][\x20nrsN-Q45]|[^\x00-\xff][{_OTHER}]"
+_LONG = "|".join([
+    r"(?<=[aA-D01])(?=[\x20nrsN-Q45])",
+    rf"(?<=[^\x00-\xff])(?=[{_OTHER}])",
+    rf"(?=\x20)(?<=(?:(?!{_PAIR})[^\n]){{{RARE}}})\x20+",
+    rf"(?=[!-\ud7ff])(?<=(?:(?!{_PAIR})[^\x20\n]){{{RARE}}})",
+])
+CUT = rf"\n+|(?<=[.!?;:])\x20+|(?:{_LONG})(?<=(?:(?![.!?;:]\x20)[^\n]){{{RUN}}})"
 RANGE_ROWS, MAX_RANGES = 1000, 20_000
 
 

@@ -1,6 +1,7 @@
 """Fingerprints, source mix, URL filter, quality rules: against brute force and SQL, and edge cases."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -52,6 +53,19 @@ def test_large_differences_peel_exactly(docs):
     assert abs(r[0].near_next - jaccard(parts(a), parts(b))) < 1e-9
 
 
+def test_fingerprints_cut_at_every_mark_and_in_long_runs(spark, docs):
+    marks = " ".join(f"The {k} we saw. This {k} stood. Man {k} ran. Un {k} vint!" for k in range(20))
+    rnd = random.Random(3)
+    runs = ["".join(rnd.choice(a) for _ in range(4000)) for a in ("abcdefghijklmnopqrstuvwxyz     ", "ABCDEFghijkl0123456789+/", "漢字仮名交文章的是不了人我在有他这中大来上国個到說們為子和你地出道也時年", "приветмосква оне")]
+    texts = [marks, *runs, "Orre " * 300, "thatin " * 300, "x" * 3000, "漢é" * 900]
+    rows = sorted(fingerprint.fingerprints(docs([(k, t) for k, t in enumerate(texts)])).collect())
+    assert len(parts(marks)) == 80
+    for r, t, nxt in zip(rows, texts, texts[1:] + texts[:1]):
+        n = len(t)
+        edited = t[: n - n // 4] + nxt[: n // 4]
+        assert r.near_edited > 0 and abs(r.near_edited - jaccard(parts(t), parts(edited))) < 1e-9
+
+
 def test_quality_edges_and_ledger(edge):
     led = quality_rules.ledger(edge)
     rows = quality_rules.apply_policy(led, quality_rules.POLICIES["v1"]).collect()
