@@ -12,7 +12,8 @@ letter pairs that natural text would produce is tested the other way round
 the null "not a secret". Benjamini-Hochberg control over the tokens of a
 length class in the document (the length-aware part: short tokens carry weak
 evidence and are controlled among themselves) keeps the false discoveries
-under ``FDR``. Documents are judged alone, so the scan needs no shuffle.
+under ``FDR``. Tokens over ``WINDOW`` characters are tested window by window,
+and the windows that pass are reported, merged. Documents are judged alone, so the scan needs no shuffle.
 
 Defined results: null and empty texts have no spans. Offsets count code points,
 ends are exclusive. Overlapping battery spans are not added to base spans that
@@ -40,6 +41,7 @@ KINDS = ("assign", "access", "hex", "random")
 MIN_VALUE, MIN_ACCESS = 8, 16
 
 MIN_TOKEN, FDR, UNIFORM_P = 20, 1e-3, 1e-8
+WINDOW, STEP = 512, 128  # of longer tokens every window is tested
 TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_TOKEN},}}")
 #: Alphabets by encoding, the narrowest first.
 ALPHABETS = {
@@ -107,25 +109,40 @@ def prose_p(token: str) -> float:
     return min(1.0, sum(math.comb(n, j) * PROSE_ODD**j * (1 - PROSE_ODD) ** (n - j) for j in range(odd, min(n, odd + 60) + 1)))
 
 
+def token_tests(text: str) -> Iterator[tuple[int, float, int, int]]:
+    """(length class, p, start, end) of every token, and of every window of a token longer than ``WINDOW``."""
+    for m in TOKEN.finditer(text):
+        start, end = m.span()
+        at = [start] if end - start <= WINDOW else [*range(start, end - WINDOW, STEP), end - WINDOW]
+        for a in at:
+            b = min(a + WINDOW, end)
+            probe = text[a:b]
+            p = prose_p(probe)
+            if p <= FDR and ((encoding := encoding_of(probe)) is None or 3 * min(battery(probe, encoding)) < UNIFORM_P):
+                p = 1.0
+            yield (b - a).bit_length(), p, a, b
+
+
 def random_spans(text: str) -> list[tuple[int, int]]:
-    """Tokens that the battery takes for secrets, after false-discovery control by length class."""
+    """Tokens that the battery takes for secrets, after false-discovery control by length class; windows that meet are one span."""
     tests: dict[int, list[tuple[float, int, int]]] = {}
-    for m in TOKEN.finditer(text):
-        token = m[0]
-        if len(token) > 512:  # the evidence of a longer token is that of its parts; keep tests linear
-            p = max(prose_p(token[:512]), prose_p(token[-512:]))
-            encoding, probe = encoding_of(token), token[:512]
-        else:
-            p, encoding, probe = prose_p(token), encoding_of(token), token
-        if p < 1 and (encoding is None or 3 * min(battery(probe, encoding)) < UNIFORM_P):
-            p = 1.0
-        tests.setdefault(len(token).bit_length(), []).append((p, *m.span()))
+    for cls, *test in token_tests(text):
+        tests.setdefault(cls, []).append(tuple(test))
     found = []
     for group in tests.values():
         group.sort()
         passed = max((k for k, (p, _, _) in enumerate(group, 1) if p <= FDR * k / len(group)), default=0)
         found += [(a, b) for _, a, b in group[:passed]]
-    return found
+    return _merged(found)
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            a, b = out[-1][0], max(b, out.pop()[1])
+        out.append((a, b))
+    return out
 
 
 def scan(text: str | None) -> list[tuple[int, int, str]]:

@@ -76,6 +76,17 @@ def test_battery_tells_random_from_prose():
     assert not any(secret_scan.random_spans(f"a {p} b") for p in prose)
 
 
+def test_windows_of_long_tokens_are_tested():
+    rng = np.random.default_rng(2)
+    blob = lambda n: "".join(rng.choice(list(secret_scan.ALPHABETS["base64"]), n))
+    path = "some/path/of/words/" * 60
+    for head, key, tail in (("A" * 300, blob(2000), ""), (path, blob(1200), path), ("", blob(1500), path)):
+        spans = secret_scan.random_spans(f"key {head}{key}{tail} end")
+        at = 4 + len(head)
+        assert len(spans) == 1 and spans[0][0] <= at + 512 and spans[0][1] >= at + len(key) - 512
+    assert not secret_scan.random_spans(path) and not secret_scan.random_spans("x" * 5000)
+
+
 def test_secret_edges(edge):
     assert secret_scan.secrets(edge).count() == edge.count() and secret_scan.secrets(edge.limit(0)).count() == 0
     red = secret_scan.redacted(edge)
