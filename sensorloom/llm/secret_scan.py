@@ -9,11 +9,12 @@ smallest of the three p-values, tripled, measures how far the token is from
 random. A token is flagged if it looks random AND cannot be prose: the share of
 letter pairs that natural text would produce is tested the other way round
 (digits and case changes under "prose"), which gives each token a p-value for
-the null "not a secret". Benjamini-Hochberg control over the tokens of a
-length class in the document (the length-aware part: short tokens carry weak
-evidence and are controlled among themselves) keeps the false discoveries
-under ``FDR``. Tokens over ``WINDOW`` characters are tested window by window,
-and the windows that pass are reported, merged. Documents are judged alone, so the scan needs no shuffle.
+the null "not a secret". Benjamini-Hochberg control over all documents' tokens
+of a length class (the length-aware part: short tokens carry weak evidence and
+are controlled among themselves) keeps the false discoveries under ``FDR``. Tokens
+over ``WINDOW`` characters are tested window by window, and the windows that pass
+are reported, merged. One pass over the documents counts the p-values by class,
+only those counts are shuffled, and a second pass applies the cuts.
 
 Defined results: null and empty texts have no spans. Offsets count code points,
 ends are exclusive. Overlapping battery spans are not added to base spans that
@@ -26,10 +27,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import read
 
@@ -123,17 +125,39 @@ def token_tests(text: str) -> Iterator[tuple[int, float, int, int]]:
             yield (b - a).bit_length(), p, a, b
 
 
-def random_spans(text: str) -> list[tuple[int, int]]:
-    """Tokens that the battery takes for secrets, after false-discovery control by length class; windows that meet are one span."""
-    tests: dict[int, list[tuple[float, int, int]]] = {}
-    for cls, *test in token_tests(text):
-        tests.setdefault(cls, []).append(tuple(test))
-    found = []
-    for group in tests.values():
-        group.sort()
-        passed = max((k for k, (p, _, _) in enumerate(group, 1) if p <= FDR * k / len(group)), default=0)
-        found += [(a, b) for _, a, b in group[:passed]]
-    return _merged(found)
+def random_spans(text: str, cuts: dict[int, float] | None = None) -> list[tuple[int, int]]:
+    """Tokens that the battery takes for secrets: p up to their class's cut (by default, of this text alone); windows that meet are one span."""
+    tests = list(token_tests(text))
+    if cuts is None:
+        cuts = fdr_cuts(Counter((cls, p) for cls, p, _, _ in tests))
+    return _merged([(a, b) for cls, p, a, b in tests if p <= cuts.get(cls, -1.0)])
+
+
+def fdr_cuts(counts: dict[tuple[int, float], int]) -> dict[int, float]:
+    """Benjamini-Hochberg: by length class, the largest p that passes. ``counts`` has the tests by (class, p)."""
+    total, rank, cuts = Counter(), Counter(), {}
+    for (cls, _), n in counts.items():
+        total[cls] += n
+    for (cls, p), n in sorted(counts.items()):
+        rank[cls] += n
+        if p <= FDR * rank[cls] / total[cls]:
+            cuts[cls] = p
+    return cuts
+
+
+def corpus_cuts(documents: DataFrame) -> dict[int, float]:
+    """The cuts over the tokens of all documents. p is a function of length and a count, so the table of counts by (class, p) stays small."""
+
+    def count(batches):
+        for pdf in batches:
+            # a p over FDR never passes, so it is counted as 1
+            n = Counter((cls, p if p <= FDR else 1.0) for text in pdf["text"] if text for cls, p, _, _ in token_tests(text))
+            yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["cls", "p", "n"])
+
+    table = documents.select("text").mapInPandas(count, "cls long, p double, n long").groupBy("cls", "p").agg(F.sum("n").alias("n"))
+    upto = Window.partitionBy("cls").orderBy("p")
+    ranked = table.select("cls", "p", F.sum("n").over(upto).alias("k"), F.sum("n").over(Window.partitionBy("cls")).alias("m"))
+    return {r.cls: r.p for r in ranked.where(F.col("p") <= F.lit(FDR) * F.col("k") / F.col("m")).groupBy("cls").agg(F.max("p").alias("p")).collect()}
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -145,8 +169,8 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def scan(text: str | None) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of all spans, by start, then kind as listed in ``KINDS``."""
+def scan(text: str | None, cuts: dict[int, float] | None = None) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of all spans, by start, then kind as listed in ``KINDS``; ``cuts`` as in ``random_spans``."""
     if not text:
         return []
     spans = []
@@ -156,7 +180,7 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
         spans += [(m.start(), m.end(), 1) for m in ACCESS.finditer(text) if len(m[0]) >= MIN_ACCESS]
     spans += [(m.start(), m.end(), 2) for m in HEX.finditer(text)]
     base = list(spans)
-    spans += [(a, b, 3) for a, b in random_spans(text) if not any(s <= a and b <= e for s, e, _ in base)]
+    spans += [(a, b, 3) for a, b in random_spans(text, cuts) if not any(s <= a and b <= e for s, e, _ in base)]
     return [(a, b, KINDS[k]) for a, b, k in sorted(spans, key=lambda s: (s[0], s[2]))]
 
 
@@ -172,30 +196,31 @@ def redact(text: str | None, spans) -> str | None:
     return "".join(out) + text[at:]
 
 
-def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-            spans = scan(text)
-            says = [f"{k}:{a}:{b}" for a, b, k in spans]
-            base = [s for s, x in zip(says, spans) if x[2] != "random"]
-            n = [sum(x[2] == k for x in spans) for k in KINDS]
-            rows.append((doc_id, *n[:3], hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(says), n[3]))
-        yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"])
+def secrets(documents: DataFrame) -> DataFrame:
+    cuts = corpus_cuts(documents)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+                spans = scan(text, cuts)
+                says = [f"{k}:{a}:{b}" for a, b, k in spans]
+                base = [s for s, x in zip(says, spans) if x[2] != "random"]
+                n = [sum(x[2] == k for x in spans) for k in KINDS]
+                rows.append((doc_id, *n[:3], hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(says), n[3]))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"])
 
-def secrets(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInPandas(
-        _rows, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
+        run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
 
 
 def redacted(documents: DataFrame) -> DataFrame:
     """The documents with every span redacted; n_chars, where present, follows the text."""
-    names = documents.columns
+    names, cuts = documents.columns, corpus_cuts(documents)
 
     def run(batches):
         for pdf in batches:
-            pdf["text"] = [redact(t, scan(t)) for t in pdf["text"]]
+            pdf["text"] = [redact(t, scan(t, cuts)) for t in pdf["text"]]
             if "n_chars" in names:
                 pdf["n_chars"] = [len(t) if t is not None else n for t, n in zip(pdf["text"], pdf["n_chars"])]
             yield pdf

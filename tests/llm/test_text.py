@@ -87,6 +87,21 @@ def test_windows_of_long_tokens_are_tested():
     assert not secret_scan.random_spans(path) and not secret_scan.random_spans("x" * 5000)
 
 
+def test_false_discoveries_are_controlled_over_all_documents(docs):
+    slugs = ["2024-03-15-some-article-title", "backup_2024_01_31_final_version"]
+    key = "q7Gz1Kx0Rb4Tn9Wc3Yv8Lm2Pd6Hf5Js1Au0Ei7Oq"
+    rows = [(k, f"internationalization and internationalization-of-everything {k}") for k in range(300)] + [(1000 + k, f"see {s} here") for k, s in enumerate(slugs)]
+    df = docs(rows + [(2000, f"key {key} end"), (2001, None), (2002, "")])
+    got = {r.doc_id: r.spans for r in secret_scan.secrets(df).collect()}
+    assert len(got) == 305 and {d: x for d, x in got.items() if x} == {2000: f"random:4:{4 + len(key)}"}
+    red = {r.doc_id: r.text for r in secret_scan.redacted(df).collect()}
+    assert red == {**dict(rows), 2000: "key <secret> end", 2001: None, 2002: ""}
+    tests = [x for _, t in rows + [(0, key)] for x in secret_scan.token_tests(t)]
+    for cls, cut in secret_scan.corpus_cuts(df).items():  # Benjamini-Hochberg, rank by rank
+        p = sorted(x[1] for x in tests if x[0] == cls)
+        assert cut == max(q for k, q in enumerate(p, 1) if q <= secret_scan.FDR * k / len(p))
+
+
 def test_secret_edges(edge):
     assert secret_scan.secrets(edge).count() == edge.count() and secret_scan.secrets(edge.limit(0)).count() == 0
     red = secret_scan.redacted(edge)
