@@ -3,8 +3,9 @@
 ``induce`` aligns the DOM trees of a few pages of one host by simple tree
 matching. Aligned leaves with equal text on all pages are template; leaves that
 vary or do not align are slots. The wrapper of a host is the path of the
-deepest container that holds nearly all slot text outside navigation, notices,
-forms and the like, and the constant texts inside it. ``extract`` then reads
+deepest container that holds all slot text outside navigation, notices, forms
+and the like (or of the article or main element around that), and the constant
+texts inside it. ``extract`` then reads
 every whole page with its host's wrapper.
 
 At most ``PAGES`` pages a host, the smallest by hash, are aligned (a documented
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import json
+import os.path
 import re
 from collections.abc import Iterator
 
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import materialize, read
 
-PAGES, MASS, MAX_NODES = 5, 0.7, 400
+PAGES, MAX_NODES = 5, 400
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
@@ -231,22 +233,28 @@ def induce(pages: list[str]) -> dict:
             nodes.append(x)
             work += x.kids
     same = {id(n): True for n in nodes}
-    for other in trees[1:]:
-        aligned = {id(a): b for a, b in match(trees[0], other)}
+    matches = [match(trees[0], other) for other in trees[1:]]
+    for found in matches:
+        aligned = {id(a): b for a, b in found}
         for n in nodes:
             same[id(n)] &= id(n) in aligned and _own(aligned[id(n)]) == _own(n)
     alone = len(trees) == 1
-    mass: dict[str, int] = {}
-    for n in nodes:
-        if (text := _own(n)) and (alone or not same[id(n)]):
-            steps = n.path.split("/")
-            for k in range(2, len(steps) + 1):
-                path = "/".join(steps[:k])
-                mass[path] = mass.get(path, 0) + len(text)
-    total = max(mass.values(), default=0)
-    inline = lambda path: path.rsplit("/", 1)[-1].split(".")[0] not in ("article", "main", "div", "section", "body", "html", "td")
-    holds = [p for p, m in mass.items() if m >= MASS * total and not inline(p)]
-    container = max(holds, key=lambda p: (p.count("/"), p), default="")
+    slots = [n.path for n in nodes if (alone or not same[id(n)]) and _own(n)]
+    for other, found in zip(trees[1:], matches):  # and what only other pages have
+        constant = {id(b) for a, b in found if same.get(id(a))}
+        work = [other]
+        while work:
+            x = work.pop()
+            if isinstance(x, Node) and not x.drop:
+                if id(x) not in constant and _own(x):
+                    slots.append(x.path)
+                work += x.kids
+    # the deepest container of all slot text, and the article or main element around it
+    steps = os.path.commonprefix([p.split("/") for p in slots])
+    tags = [step.split(".")[0] for step in steps]
+    ends = [k for k, tag in enumerate(tags) if tag in ("article", "main", "div", "section", "body", "html", "td")]
+    around = [k for k in ends if tags[k] in ("article", "main")]
+    container = "/".join(steps[: (around or ends)[-1] + 1]) if ends else ""
     # a constant text is template only where other slots of the container vary
     constant = [] if alone else sorted({f"{n.path}|{_own(n)}" for n in nodes if same[id(n)] and n.path.startswith(container + "/") and n.tag not in ("p", "h1", "h2", "h3") and _own(n)})
     return {"container": container, "constant": constant}

@@ -40,6 +40,13 @@ def test_boilerplate_goes(spark):
     assert html_extract.main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["article", "div", "main"])
+def test_container_holds_title_lead_and_body(tag):
+    page = lambda k: f"<html><body><nav>menu</nav><{tag}><h1>Title {k}</h1><div class=lead><p>Lead {k} {'word ' * 20}</p></div><div class=body><p>Body {k} {'text ' * 80}</p></div></{tag}><footer>foot</footer></body></html>"
+    wrapper = html_extract.induce([page(k) for k in range(5)])
+    assert html_extract.extract(page(9), wrapper) == f"Title 9\nLead 9 {'word ' * 20}".strip() + f"\nBody 9 {'text ' * 80}".rstrip()
+
+
 def test_simple_tree_matching():
     a, b = html_extract.parse("<div><p>a</p><ul><li>1</li></ul></div>"), html_extract.parse("<div><h1>x</h1><p>b</p><ul><li>1</li><li>2</li></ul></div>")
     pairs = html_extract.match(a, b)
