@@ -9,7 +9,8 @@ texts inside it. ``extract`` then reads
 every whole page with its host's wrapper.
 
 At most ``PAGES`` pages a host, the smallest by hash, are aligned (a documented
-bound of the fit); every page is extracted. Wrappers are one small row a host.
+bound of the fit). A constant text found there is template only if ``TEMPLATE``
+of all the host's pages show it; every page is extracted. Wrappers are one small row a host.
 
 Defined results: null and empty html give an empty text. A null address has the
 empty host. A page without the wrapper's container falls back to its article,
@@ -23,6 +24,7 @@ import html as entities
 import json
 import os.path
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import materialize, read
 
-PAGES, MAX_NODES = 5, 400
+PAGES, TEMPLATE = 5, 0.9
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes".split())
@@ -118,17 +120,17 @@ def _clean(raw: str) -> str:
     return " ".join(entities.unescape(raw).split()) if "&" in raw else " ".join(raw.split())
 
 
-def blocks(node: Node, constant: set[str]) -> Iterator[str]:
-    """Texts of the blocks below ``node`` in page order, without boilerplate and template texts."""
-    out: list[str] = []
+def blocks(node: Node) -> list[tuple[str, str]]:
+    """(path|text, text) of the blocks below ``node`` in page order, without boilerplate."""
+    out: list[tuple[str, str]] = []
     part: list[str] = []
 
     def flush(path):
         if part:
             text = _clean("".join(part))
             part.clear()
-            if text and f"{path}|{text}" not in constant:
-                out.append(text)
+            if text:
+                out.append((f"{path}|{text}", text))
 
     work: list = [(node, 0)]
     while work:
@@ -158,65 +160,71 @@ def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Simple tree matching: the largest order-keeping alignment of two trees' nodes."""
     memo: dict[tuple[int, int], tuple[int, list]] = {}
 
-    def size(x: Node, y: Node) -> tuple[int, list]:
-        key = id(x), id(y)
-        if key not in memo:
-            xs, ys = [k for k in x.kids if isinstance(k, Node)], [k for k in y.kids if isinstance(k, Node)]
-            best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-            for i, p in enumerate(xs):
-                for j, q in enumerate(ys):
-                    w = size(p, q)[0] if p.sig == q.sig else 0
-                    best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w)
-            pairs, i, j = [], len(xs), len(ys)
-            while i and j:
-                if best[i][j] == best[i - 1][j]:
-                    i -= 1
-                elif best[i][j] == best[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    pairs.append((xs[i], ys[j]))
-            memo[key] = 1 + best[len(xs)][len(ys)], pairs[::-1]
-        return memo[key]
+    def kids(x: Node, y: Node) -> list[Node]:
+        there = {k.sig for k in y.kids if isinstance(k, Node)}
+        return [k for k in x.kids if isinstance(k, Node) and k.sig in there]
+
+    work = [(a, b)] if a.sig == b.sig else []
+    while work:
+        x, y = work[-1]
+        if (id(x), id(y)) in memo:
+            work.pop()
+            continue
+        xs, ys = kids(x, y), kids(y, x)
+        like: dict[str, list[Node]] = {}
+        for q in ys:
+            like.setdefault(q.sig, []).append(q)
+        if todo := [(p, q) for p in xs for q in like[p.sig] if (id(p), id(q)) not in memo]:
+            work += todo
+            continue
+        pairs = []
+        if len(xs) == len(ys) == len(like):  # each occurs once: equal ends belong together
+            head = next((k for k in range(len(xs)) if xs[k].sig != ys[k].sig), len(xs))
+            pairs, xs, ys = list(zip(xs[:head], ys[:head])), xs[head:], ys[head:]
+            while xs and xs[-1].sig == ys[-1].sig:
+                pairs.append((xs.pop(), ys.pop()))
+        best = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for i, p in enumerate(xs):
+            for j, q in enumerate(ys):
+                w = memo[id(p), id(q)][0] if p.sig == q.sig else 0
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w)
+        i, j = len(xs), len(ys)
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((xs[i], ys[j]))
+        memo[id(x), id(y)] = 1 + sum(memo[id(p), id(q)][0] for p, q in pairs), pairs
 
     found, work = [], [(a, b)] if a.sig == b.sig else []
     while work:
-        pair = work.pop()
-        found.append(pair)
-        work += size(*pair)[1]
+        x, y = work.pop()
+        found.append((x, y))
+        work += memo[id(x), id(y)][1]
     return found
 
 
 def _skeleton(node: Node) -> Node:
-    """A copy without runs of like siblings (one record stands for a list), so that matching stays small."""
+    """A copy with like siblings merged (one record stands for a list) that keeps all text, so that matching stays small."""
     top = Node(node.tag, node.sig, node.path, node.drop)
-    work, count = [(node, top)], 0
-    while work and count < MAX_NODES:
+    work, seen = [(node, top)], {}
+    while work:
         src, dst = work.pop()
+        known = seen.setdefault(id(dst), {})
         for kid in src.kids:
             if isinstance(kid, str):
                 dst.kids.append(kid)
-            elif not (dst.kids and isinstance(dst.kids[-1], Node) and dst.kids[-1].sig == kid.sig):
-                new = Node(kid.tag, kid.sig, kid.path, kid.drop)
-                dst.kids.append(new)
-                work.append((kid, new))
-                count += 1
-            else:  # text of the run is kept, so that its mass counts
-                dst.kids[-1].kids += [_text(kid)]
+                continue
+            if kid.sig not in known:
+                known[kid.sig] = Node(kid.tag, kid.sig, kid.path, kid.drop)
+                dst.kids.append(known[kid.sig])
+            work.append((kid, known[kid.sig]))
     return top
 
 
-def _text(node: Node) -> str:
-    out, work = [], [node]
-    while work:
-        x = work.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif not x.drop:
-            work += reversed(x.kids)
-    return " ".join(out)
-
-
 def _own(node: Node) -> str:
     return _clean(" ".join(k for k in node.kids if isinstance(k, str)))
 
@@ -260,9 +268,10 @@ def induce(pages: list[str]) -> dict:
     return {"container": container, "constant": constant}
 
 
-def extract(page: str | None, wrapper: dict | None) -> str:
+def page_blocks(page: str | None, wrapper: dict | None) -> list[tuple[str, str]]:
+    """The blocks of a page's container, template texts among them."""
     if not page:
-        return ""
+        return []
     root = parse(page)
     path = (wrapper or {}).get("container") or "/"
     found: dict[str, list[Node]] = {"path": [], "article": [], "main": [], "body": []}
@@ -279,8 +288,12 @@ def extract(page: str | None, wrapper: dict | None) -> str:
         if not any("/article" in n.path for n in found["path"]):
             found["path"] = found["article"]
     tops = found["path"] or found["article"] or found["main"] or found["body"] or [root]
+    return [b for top in tops for b in blocks(top)]
+
+
+def extract(page: str | None, wrapper: dict | None) -> str:
     constant = set((wrapper or {}).get("constant", ()))
-    return "\n".join(b for top in tops for b in blocks(top, constant))
+    return "\n".join(text for key, text in page_blocks(page, wrapper) if key not in constant)
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
@@ -294,21 +307,61 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return some.groupBy("host").applyInPandas(fit, "host string, wrapper string")
 
 
+def _reader():
+    """JSON wrappers, parsed once each."""
+    parsed: dict[str, dict] = {}
+
+    def get(w):
+        if w is not None and w not in parsed:
+            if len(parsed) > 10_000:
+                parsed.clear()
+            parsed[w] = json.loads(w)
+        return parsed.get(w)
+
+    return get
+
+
+def confirmed(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """host, wrapper with those constant texts only that ``TEMPLATE`` of all the host's pages show."""
+    some = known.where("wrapper not like '%\"constant\": []%'")
+
+    def count(batches):
+        get = _reader()
+        for pdf in batches:  # partial counts of a batch; k is -1 for the pages themselves
+            n: Counter = Counter()
+            for host, page, w in zip(pdf["host"], pdf["html"], pdf["wrapper"]):
+                wrapper = get(w)
+                shown = {key for key, _ in page_blocks(page, wrapper)}
+                n[host, -1] += 1
+                n.update((host, k) for k, c in enumerate(wrapper["constant"]) if c in shown)
+            yield pd.DataFrame([(*key, v) for key, v in n.items()], columns=["host", "k", "n"])
+
+    seen = rows.where("html <> ''").join(some, "host").select("host", "html", "wrapper").mapInPandas(count, "host string, k int, n long")
+    seen = seen.groupBy("host", "k").agg(F.sum("n").alias("n"))
+    pages = F.max(F.when(F.col("k") < 0, F.col("n")))
+    kept = seen.groupBy("host").agg(pages.alias("pages"), F.collect_list(F.struct("k", "n")).alias("seen"))
+    kept = kept.select("host", F.expr(f"transform(filter(seen, x -> x.k >= 0 and x.n >= {TEMPLATE} * pages), x -> x.k)").alias("kept"))
+
+    def narrow(batches):
+        for pdf in batches:
+            out = []
+            for w, k in zip(pdf["wrapper"], pdf["kept"]):
+                w = json.loads(w)
+                out.append(json.dumps(w | {"constant": [w["constant"][i] for i in (sorted(k) if k is not None else ())]}))
+            yield pd.DataFrame({"host": pdf["host"], "wrapper": out})
+
+    return known.join(kept, "host", "left").select("host", "wrapper", "kept").mapInPandas(narrow, "host string, wrapper string")
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     rows = pages.select("page_id", "url", "html", F.coalesce(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("")).alias("host"))
-    known = materialize(wrappers(rows))
+    known = materialize(confirmed(rows, materialize(wrappers(rows))))
 
     def run(batches):
-        parsed: dict[str, dict] = {}
+        get = _reader()
         for pdf in batches:
-            text = []
-            for page, w in zip(pdf["html"], pdf["wrapper"]):
-                if w is not None and w not in parsed:
-                    if len(parsed) > 10_000:
-                        parsed.clear()
-                    parsed[w] = json.loads(w)
-                text.append(extract(page, parsed.get(w)))
+            text = [extract(page, get(w)) for page, w in zip(pdf["html"], pdf["wrapper"])]
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
 
     return rows.join(known, "host", "left").select("page_id", "url", "html", "wrapper").mapInPandas(run, "page_id long, url string, text string, n_chars long")

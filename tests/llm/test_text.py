@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import html
+import json
 import re
 import zlib
 
@@ -47,6 +48,24 @@ def test_container_holds_title_lead_and_body(tag):
     assert html_extract.extract(page(9), wrapper) == f"Title 9\nLead 9 {'word ' * 20}".strip() + f"\nBody 9 {'text ' * 80}".rstrip()
 
 
+def test_large_pages_and_templates_of_whole_hosts(spark):
+    def page(k):
+        parts = "".join(f"<h2>Part {k} {j}</h2><p>Text {k} {j} {'word ' * 10}</p><figure>fig {k} {j}</figure>" for j in range(300))
+        return f"<html><body><div class=text>{parts}</div><div class=date>Day {k}</div></body></html>"
+
+    wrapper = html_extract.induce([page(k) for k in range(5)])
+    got = html_extract.extract(page(7), wrapper).split("\n")
+    assert len(got) == 901 and "Text 7 299 " + "word " * 9 + "word" in got
+    # the fitted pages are near copies; the host's other pages do not have their quotation
+    near = lambda k: f"<body><div><p>copy {k}</p><blockquote>A quotation</blockquote><pre>Shown everywhere</pre></div></body>"
+    other = lambda k: f"<body><div><p>text {k}</p><blockquote>Words {k}</blockquote><pre>Shown everywhere</pre></div></body>"
+    known = spark.createDataFrame([("h", json.dumps(html_extract.induce([near(k) for k in range(5)])))], "host string, wrapper string")
+    rows = spark.createDataFrame([("h", near(k) if k < 5 else other(k)) for k in range(20)], "host string, html string").repartition(3)
+    wrapper = json.loads(html_extract.confirmed(rows, known).first().wrapper)
+    assert html_extract.extract(near(1), wrapper) == "copy 1\nA quotation"
+    assert html_extract.match(*[html_extract.parse("<div>" * 3000)] * 2)
+
+
 def test_simple_tree_matching():
     a, b = html_extract.parse("<div><p>a</p><ul><li>1</li></ul></div>"), html_extract.parse("<div><h1>x</h1><p>b</p><ul><li>1</li><li>2</li></ul></div>")
     pairs = html_extract.match(a, b)
