@@ -420,9 +420,15 @@ def classes(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """One document of each component: the one whose doc_id names it. Repeated rows count once."""
-    label = classes(documents).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return documents.join(label.hint("shuffle_hash"), F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each component: its smallest doc_id, a null one last. Rows of equal id and text count once; others of that id are their own documents."""
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    keyed = documents.withColumn("_key", key)
+    groups = classes(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").dropDuplicates(["_key"])
+    ids = keyed.groupBy("_key").agg(F.first("doc_id").alias("doc_id")).join(groups, "_key")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "_key")
+    keep = ids.groupBy("component_id").agg(F.min_by("_key", first).alias("_keep")).select("_keep")
+    rows = keyed.join(keep.hint("shuffle_hash"), F.col("_key") == F.col("_keep"), "left_semi").dropDuplicates(["_key"])
+    return rows.select(documents.columns)
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,12 +44,12 @@ def targets(sources: DataFrame) -> DataFrame:
     return x.withColumn("the_level", level).select("skey", "source_size", F.least(F.coalesce(F.col("the_level") * F.col("weight"), F.col("cap")), F.col("cap")).alias("target"))
 
 
-def copies(documents: DataFrame, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target and n_copies of every document."""
+def copies(documents: DataFrame, seed: str = SEED, keys: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target and n_copies of every document; ``keys`` are columns that are kept and order equal documents."""
     text = F.coalesce("text", F.lit(""))
     size = F.regexp_count(text, F.lit(f"[^{SPACE}]+")).cast("long")
     docs = materialize(
-        documents.select("doc_id", "source", size.alias("size"))
+        documents.select("doc_id", "source", size.alias("size"), *keys)
         .withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")))  # null stands last
         .withColumn("bits", F.length(F.bin("size")).cast("int"))
         .withColumn("cls", F.expr("bits * 32L + shiftright(size * 32L, bits)"))
@@ -64,19 +64,21 @@ def copies(documents: DataFrame, seed: str = SEED) -> DataFrame:
     starts = blocks.join(goals, "skey").select(*block, "ahead", "source_size", "target")
     u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), "skey")), 1, 8), 16, 10).cast("double") / 4294967296.0
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    i = F.col("ahead") + F.row_number().over(Window.partitionBy(block).orderBy("size", "doc_id"))
+    i = F.col("ahead") + F.row_number().over(Window.partitionBy(block).orderBy("size", "doc_id", *keys))
     return (
         docs.join(starts, block).withColumn("u", u).withColumn("rate", rate).withColumn("i", i)
         .withColumn("n_copies", F.expr("cast(floor(u + i * rate) - floor(u + (i - 1) * rate) as bigint)"))
-        .select("doc_id", "source", "size", "source_size", "target", "n_copies")
+        .select("doc_id", "source", "size", "source_size", "target", "n_copies", *keys)
     )
 
 
 def mix(documents: DataFrame) -> DataFrame:
     """The mixed documents themselves, each repeated as often as it is taken."""
-    plan = copies(documents).where("n_copies > 0").select("doc_id", F.col("n_copies").alias("_n")).dropDuplicates(["doc_id"])
-    out = documents.join(plan.hint("shuffle_hash"), "doc_id").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    return out.drop("_n", "_k").select(documents.columns)
+    key = F.xxhash64(*[x for c in documents.columns for x in (F.col(c).isNull(), F.col(c))])
+    keyed = documents.withColumn("_key", key)  # rows of one key are equal, so one of them stands for all their copies
+    plan = copies(keyed, keys=("_key",)).where("n_copies > 0").groupBy("_key").agg(F.sum("n_copies").alias("_n"))
+    rows = keyed.join(plan.hint("shuffle_hash"), "_key").dropDuplicates(["_key"])
+    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(documents.columns)
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
@@ -143,6 +144,22 @@ def test_components_of_chains(spark):
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100}
 
 
+def test_null_ids_and_equal_ids_keep_their_documents(docs):
+    from sensorloom.llm import source_mix
+
+    prose = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(1, prose(1)), (2, prose(1)), (3, prose(3)), (3, prose(4)), (3, prose(4)), (None, prose(1)), (None, prose(5)), (None, prose(6)), (None, prose(6)), (9, None), (10, "")]
+    kept = sorted(((r.doc_id, r.text) for r in ngram_jaccard.keep_one(docs(rows)).collect()), key=str)
+    assert kept == sorted([(1, prose(1)), (3, prose(3)), (3, prose(4)), (None, prose(5)), (None, prose(6)), (9, None), (10, "")], key=str)
+    rows = [(d, t, "en", "s") for d, t in kept] + [(None, prose(6), "en", "s"), (3, "a b", "en", "s")]
+    plan = source_mix.copies(docs(rows)).collect()
+    got = Counter((r.doc_id, len((r.text or "").split())) for r in source_mix.mix(docs(rows)).collect())
+    want = Counter()
+    for r in plan:
+        want[r.doc_id, r.size] += r.n_copies
+    assert got == +want and sum(n for (d, _), n in got.items() if d is None) > 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
     from sensorloom.llm import language_id, secret_scan, source_mix
