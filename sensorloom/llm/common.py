@@ -23,9 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, rows: int | None = None, each: int = 100_000) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``rows``, where known, is about how many rows the table has or is made from:
+    tasks then take about ``each`` of them, but all cores are used.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // each)))
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
@@ -36,6 +42,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def words(text) -> F.Column:
     """Array of maximal runs of non-space characters of a non-null text column."""
     return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")

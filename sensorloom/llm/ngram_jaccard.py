@@ -11,15 +11,15 @@ triangle inequality that rules pairs out exactly.
 2. Prefix regions: two linked sets share a shingle among the first
    n - ceil(0.8 n) + 1 of either. Sets that share one meet; those that the
    vectors do not rule out are tied, and ties make regions.
-3. Regions of up to ``LOCAL`` sets (and ``LOCAL_SHINGLES``) are joined in one
-   task each. Larger ones take rounds of pivots, each compared with the whole
-   region: sets within 0.2 of a pivot are linked to it, and each set belongs to
-   its nearest pivot's Voronoi cell. A pair can only matter if its sets are not
+3. Every region, small or large, takes rounds of pivots, each compared with the
+   whole region: sets within 0.2 of a pivot are linked to it, and each set belongs
+   to its nearest pivot's Voronoi cell. A pair can only matter if its sets are not
    connected yet, so one of them is outside the region's main component. An
    outsider can only be linked to sets whose distance to its cell's pivot is
-   within 0.2 of its own; those boundary sets stay with it, all others leave.
-   The next pivots are outsiders. What ``DEPTH`` rounds leave is joined block
-   by block, every pair of blocks once.
+   within 0.2 of its own; those boundary sets stay with it, all others leave, and
+   cells are joined the same way, with outsiders as the next pivots, until none is
+   left. Regions that one task can hold and join take their rounds in it; for
+   larger ones each round is a few Spark joins, until what is left fits.
 4. Links' connected components.
 
 Pivots alone do not separate sparse sets (nearly all distances are 1, so every
@@ -42,12 +42,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .byte_bpe import slices_of
-from .common import materialize, read
+from .common import fresh, materialize, read
 from .components import components
 
 WORDS, BINS = 5, 64
 CHUNK, CHUNK_TIMES, HOT_TIMES, HOT_MAX, SALTS = 4_000_000, 3, 32, 200_000, 64
-LOCAL, LOCAL_SHINGLES, PIVOTS, DEPTH = 1000, 4_000_000, 16, 3
+MEETING_ROWS, TIE_ROWS = 400_000, 100_000
+LOCAL_SHINGLES, LOCAL_WORK, PIVOTS = 2_000_000, 1_000_000_000, 16
 NEAR = 0.2
 
 _U = np.uint64
@@ -176,7 +177,7 @@ def prefixes(documents: DataFrame, hot: np.ndarray) -> DataFrame:
             for s in sets:
                 if not len(s) or (k := node_of(s)) in seen:
                     continue
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(k)
                 n = len(s)
@@ -197,35 +198,49 @@ def prefixes(documents: DataFrame, hot: np.ndarray) -> DataFrame:
     return documents.select("text").mapInPandas(run, "shingle long, salt int, node long")
 
 
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int) -> Iterator[pd.DataFrame]:
+    """Sorted batches cut anew where ``keys`` change, at about ``rows`` rows: memory holds these and one group."""
+    held, size = [], 0
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        k = pdf[keys].to_numpy()
+        last = np.flatnonzero((k != k[-1]).any(1))
+        cut = int(last[-1]) + 1 if len(last) else 0  # where the last group begins
+        if held and size >= rows and (cut or (held[-1][keys].to_numpy()[-1] != k[-1]).any()):
+            yield pd.concat([*held, pdf.iloc[:cut]], ignore_index=True)
+            held, size, pdf = [], 0, pdf.iloc[cut:]
+        held.append(pdf)
+        size += len(pdf)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One partition's prefix rows -> kind 0: (group, member); kind 1: (node, node) ties; kind 2: (hot shingle, its least node here)."""
-    parts = [(p["shingle"].to_numpy(), p["salt"].to_numpy(), p["node"].to_numpy()) for p in batches]
-    if not parts:
-        return
-    shingle, salt, node = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((node, salt, shingle))
-    shingle, salt, node = shingle[order], salt[order], node[order]
-    same = np.empty(len(node), bool)
-    same[0] = False
-    same[1:] = (shingle[1:] == shingle[:-1]) & (salt[1:] == salt[:-1])
-    keep = ~same
-    keep[1:] |= node[1:] != node[:-1]
-    shingle, salt, node, same = shingle[keep], salt[keep], node[keep], same[keep]
-    start = np.flatnonzero(~same)
-    size = np.diff(np.append(start, len(node)))
-    hot = salt[start] >= 0
-    lead = np.repeat(node[start], size)
-    # groups of the same members count once: the sum of the members' mixed hashes names them
-    name = np.add.reduceat(_mix(node.view(_U)), start) ^ size.astype(_U)
-    cold = ~hot & (size > 1)
-    _, first = np.unique(name[cold], return_index=True)
-    rows = np.zeros(len(start), bool)
-    rows[np.flatnonzero(cold)[first]] = True
-    member = np.repeat(rows, size)
-    yield pd.DataFrame({"kind": 0, "a": _signed(np.repeat(name, size)[member]), "b": node[member]})
-    tied = np.repeat(hot, size) & same
-    yield pd.DataFrame({"kind": 1, "a": lead[tied], "b": node[tied]}).drop_duplicates()
-    yield pd.DataFrame({"kind": 2, "a": shingle[start][hot], "b": node[start][hot]})
+    """Sorted prefix rows -> kind 0: (group, member); kind 1: (node, node) ties; kind 2: (hot shingle, its least node here)."""
+    for pdf in whole_groups(batches, ["shingle", "salt"], MEETING_ROWS):
+        shingle, salt, node = pdf["shingle"].to_numpy(), pdf["salt"].to_numpy(), pdf["node"].to_numpy()
+        same = np.empty(len(node), bool)
+        same[0] = False
+        same[1:] = (shingle[1:] == shingle[:-1]) & (salt[1:] == salt[:-1])
+        keep = ~same
+        keep[1:] |= node[1:] != node[:-1]
+        shingle, salt, node, same = shingle[keep], salt[keep], node[keep], same[keep]
+        start = np.flatnonzero(~same)
+        size = np.diff(np.append(start, len(node)))
+        hot = salt[start] >= 0
+        lead = np.repeat(node[start], size)
+        # groups of the same members count once: the sum of the members' mixed hashes names them
+        name = np.add.reduceat(_mix(node.view(_U)), start) ^ size.astype(_U)
+        cold = ~hot & (size > 1)
+        _, first = np.unique(name[cold], return_index=True)
+        rows = np.zeros(len(start), bool)
+        rows[np.flatnonzero(cold)[first]] = True
+        member = np.repeat(rows, size)
+        yield pd.DataFrame({"kind": 0, "a": _signed(np.repeat(name, size)[member]), "b": node[member]})
+        tied = np.repeat(hot, size) & same
+        yield pd.DataFrame({"kind": 1, "a": lead[tied], "b": node[tied]}).drop_duplicates()
+        yield pd.DataFrame({"kind": 2, "a": shingle[start][hot], "b": node[start][hot]})
 
 
 class Vectors:
@@ -268,149 +283,193 @@ class Forest:
 
 
 def _ties(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Spanning ties among the members of each group that their vectors do not rule out.
-
-    Whole groups are in one partition; groups of shingles that are not hot are small.
+    """Spanning ties among the members of each group that their vectors do not rule out; rows come sorted by (a, n, b)."""
+    for pdf in whole_groups(batches, ["a"], TIE_ROWS):
+        group, size, node, bins = pdf["a"].to_numpy(), pdf["n"].to_numpy(), pdf["b"].to_numpy(), pdf["bins"].to_numpy()
+        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        count = np.diff(np.append(start, len(group)))
+        length = np.fromiter((len(b) for b in bins), np.int64, len(bins))
+        two = start[(count == 2)]
+        two = two[(length[two] == 2 * BINS) & (length[two + 1] == 2 * BINS)]  # most groups: compared at once
+        flat = lambda at: np.frombuffer(b"".join(bins[at]), np.uint16).reshape(-1, BINS).astype(np.int32)
+        ok = two[9 * np.abs(flat(two) - flat(two + 1)).sum(1) <= size[two] + size[two + 1]]
+        out = [pd.DataFrame({"a": node[ok], "b": node[ok + 1]})]
+        found = []
+        rest = ~np.isin(start, two) & (count > 1)
+        for a, m in zip(start[rest].tolist(), count[rest].tolist()):
+            trees, vectors = Forest(m), Vectors(size[a : a + m], bins[a : a + m])
+            for k in range(m - 1):
+                found += [(node[a + k], node[a + j]) for j in vectors.close(k).tolist() if trees.join(k, j)]
+        out.append(pd.DataFrame(found, columns=["a", "b"], dtype="int64"))
+        yield pd.concat(out).drop_duplicates()
+
+
+class Sets:
+    """Sorted shingle sets end to end, so that one set meets many at once."""
+
+    def __init__(self, raw: list[bytes]):
+        self.size = np.fromiter((len(b) // 8 for b in raw), np.int64, len(raw))
+        self.first = np.concatenate([[0], np.cumsum(self.size)])
+        self.flat = np.frombuffer(b"".join(raw), _U)
+
+    def common(self, q: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """How many shingles of ``q`` each of the sets ``some`` has."""
+        size = self.size[some]
+        start = np.concatenate([[0], np.cumsum(size)[:-1]])
+        s = self.flat[np.repeat(self.first[some] - start, size) + np.arange(size.sum())]
+        return np.add.reduceat((q[np.minimum(np.searchsorted(q, s), len(q) - 1)] == s).astype(np.int64), start)
+
+    def far(self, q: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Jaccard distances of ``some`` from ``q``, and which are links."""
+        common, both = self.common(q, some), self.size[some] + len(q)
+        return 1 - common / (both - common), 100 * common >= 80 * (both - common)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        return self.flat[self.first[k] : self.first[k + 1]]
+
+
+def windows(far: np.ndarray, outside: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(outsiders, cell) of each Voronoi cell with an outsider.
+
+    ``far`` is pivots by sets. A set belongs to its nearest pivot. By the triangle
+    inequality a set linked to an outsider of the cell is as far from its pivot,
+    give or take ``NEAR``; those sets make up the cell, whatever theirs is.
     """
-    parts = list(batches)
-    if not parts:
-        return
-    pdf = pd.concat(parts, ignore_index=True)
-    group, size, node = pdf["a"].to_numpy(), pdf["n"].to_numpy(), pdf["b"].to_numpy()
-    order = np.lexsort((node, size, group))
-    group, size, node, bins = group[order], size[order], node[order], pdf["bins"].to_numpy()[order]
-    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    count = np.diff(np.append(start, len(group)))
-    length = np.fromiter((len(b) for b in bins), np.int64, len(bins))
-    two = start[(count == 2)]
-    two = two[(length[two] == 2 * BINS) & (length[two + 1] == 2 * BINS)]  # most groups: compared at once
-    flat = lambda at: np.frombuffer(b"".join(bins[at]), np.uint16).reshape(-1, BINS).astype(np.int32)
-    ok = two[9 * np.abs(flat(two) - flat(two + 1)).sum(1) <= size[two] + size[two + 1]]
-    out = [pd.DataFrame({"a": node[ok], "b": node[ok + 1]})]
-    found = []
-    rest = ~np.isin(start, two) & (count > 1)
-    for a, m in zip(start[rest].tolist(), count[rest].tolist()):
-        trees, vectors = Forest(m), Vectors(size[a : a + m], bins[a : a + m])
-        for k in range(m - 1):
-            found += [(node[a + k], node[a + j]) for j in vectors.close(k).tolist() if trees.join(k, j)]
-    out.append(pd.DataFrame(found, columns=["a", "b"], dtype="int64"))
-    yield pd.concat(out).drop_duplicates()
-
-
-def is_link(common: int, a: int, b: int) -> bool:
-    return 100 * common >= 80 * (a + b - common)
+    home, out = far.argmin(0), []
+    for p in np.unique(home[outside]).tolist():
+        mine = outside & (home == p)
+        lo, hi = far[p, mine].min() - NEAR - 1e-9, far[p, mine].max() + NEAR + 1e-9
+        out.append((mine, (far[p] >= lo) & (far[p] <= hi)))
+    return out
 
 
 def local_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Spanning links of one region, exactly: every pair not ruled out and not yet connected is counted."""
+    """Spanning links of one region, exactly, by rounds of pivots, cells and windows.
+
+    A pair matters only while its sets are not connected, so one of them is outside
+    the largest component. Only those sets, or only those at home in the cell at
+    hand if they are fewer, are pivots in turn; after a pivot's round all of its
+    links are known and it leaves. So no more rounds are left than there are sets.
+    """
     pdf = pdf.drop_duplicates("node").sort_values(["n", "node"])
-    node, vectors = pdf["node"].to_numpy(), Vectors(pdf["n"].to_numpy(), pdf["bins"].to_numpy())
-    sets = [np.frombuffer(b, _U) for b in pdf["shingles"]]
-    trees, out = Forest(len(node)), []
-    for k in range(len(node) - 1):
-        for j in vectors.close(k).tolist():
-            if trees.root(k) != trees.root(j):
-                common = len(np.intersect1d(sets[k], sets[j], assume_unique=True))
-                if is_link(common, len(sets[k]), len(sets[j])):
-                    trees.join(k, j)
-                    out.append((node[k], node[j]))
+    node, sets, trees, out = pdf["node"].to_numpy(), Sets(pdf["shingles"].tolist()), Forest(len(pdf)), []
+    work = [(np.arange(len(pdf)), np.ones(len(pdf), bool))]  # sets in ascending size, and which are at home
+    while work:
+        some, mine = work.pop()
+        where = np.flatnonzero(mine)
+        chosen = where[np.unique(np.linspace(0, len(where) - 1, PIVOTS).astype(np.int64))]
+        far = np.empty((len(chosen), len(some)))
+        for k, p in enumerate(some[chosen].tolist()):
+            far[k], linked = sets.far(sets[p], some)
+            for j in some[linked].tolist():
+                if trees.join(p, j):
+                    out.append((node[p], node[j]))
+        rest = np.ones(len(some), bool)
+        rest[chosen] = False
+        if not rest.any():
+            continue
+        roots = np.fromiter(map(trees.root, some.tolist()), np.int64, len(some))
+        names, times = np.unique(roots[rest], return_counts=True)
+        outside = min(rest & mine, rest & (roots != names[times.argmax()]), key=np.count_nonzero)
+        sizes = sets.size[some]
+        for home, cell in windows(far, outside) if outside.any() else ():
+            cell &= rest & (sizes >= 0.8 * sizes[home].min()) & (0.8 * sizes <= sizes[home].max())
+            if len(np.unique(roots[cell])) > 1:
+                work.append((some[cell], home[cell]))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _cells(key, rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
-    """Some rows of a region with the distance to each pivot, whether it is a link and whether the pivot is the nearest."""
-    out = []
-    known = [(p, np.frombuffer(b, _U)) for p, b in zip(pivots["pivot"], pivots["pivot_shingles"])]
-    for node, raw in zip(rows["node"], rows["shingles"]):
-        s, far, linked = np.frombuffer(raw, _U), [], []
-        for p, q in known:
-            at = np.minimum(np.searchsorted(q, s), len(q) - 1)
-            common = int((q[at] == s).sum())
-            far.append(1 - common / (len(s) + len(q) - common))
-            linked.append(p != node and is_link(common, len(s), len(q)))
-        home = int(np.argmin(far))
-        out += [(key[0], node, p, far[k], linked[k], k == home) for k, (p, _) in enumerate(known)]
-    return pd.DataFrame(out, columns=["region", "node", "pivot", "far", "linked", "home"])
+def _distances(key, rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    """Some rows of a region with the distances from its pivots, in the pivots' order, and the pivots that they are linked to."""
+    pivots = pivots.sort_values("pivot")
+    sets, every = Sets(rows["shingles"].tolist()), np.arange(len(rows))
+    if not len(rows):
+        return pd.DataFrame([], columns=["region", "node", "far", "links"])
+    far, linked = zip(*(sets.far(np.frombuffer(b, _U), every) for b in pivots["pivot_shingles"]))
+    ids, far, linked = pivots["pivot"].to_numpy(), np.stack(far, 1), np.stack(linked, 1)
+    return pd.DataFrame({"region": key[0], "node": rows["node"], "far": list(far), "links": [ids[x] for x in linked]})
 
 
-SETS = ["region", "node", "n", "bins", "shingles"]
+SETS = ["region", "node", "n", "shingles"]
 
 
 def region_links(sets: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all linked sets of each region; sets has the columns ``SETS``."""
-    count = materialize(sets.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1"))
-    fits = f"m <= {LOCAL} and total <= {LOCAL_SHINGLES}"
-    small = sets.join(count.where(fits).select("region"), "region")
-    found = [materialize(small.groupBy("region").applyInPandas(local_links, "a long, b long"))]
-    large = count.where(f"not ({fits})").select("region", "m")
+    """Links (a, b) that connect all linked sets of each region; sets has the columns ``SETS``.
+
+    A region that one task can hold and join (``LOCAL_SHINGLES``, ``LOCAL_WORK``)
+    goes to one. A larger one takes the same rounds as joins, with twice as many
+    pivots each time, until what is left fits or no outsider is left.
+    """
+    measure = lambda df: df.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1")
+    fits = f"total <= {LOCAL_SHINGLES} and m * total <= {LOCAL_WORK}"
+    by_task = lambda df: materialize(df.groupBy("region").applyInPandas(local_links, "a long, b long"))
+    count = materialize(measure(sets), 0)
+    found = [by_task(sets.join(count.where(fits).select("region"), "region").select(SETS))]
+    large = count.where(f"not ({fits})")
+    if not large.take(1):
+        return found[0]
     left = materialize(sets.join(large, "region").select(*SETS, "m", F.lit(True).alias("outside")))
-    salts = F.greatest(F.ceil(F.col("m") / 500), F.lit(1)).cast("int")
-    for _ in range(DEPTH):
-        if not left.take(1):
-            break
-        rank = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
-        chosen = left.where("outside").groupBy("region", rank).agg(F.min("node").alias("node")).select("region", "node")
+    k = PIVOTS
+    while left.take(1):
+        salts = F.greatest(F.ceil(F.col("m") / 1000), F.lit(1)).cast("int")
+        chosen = left.where("outside").groupBy("region", F.pmod(F.xxhash64("node"), F.lit(k))).agg(F.min("node").alias("node")).select("region", "node")
         some = left.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")).select("region", "salt", "node", "shingles")
-        pivots = left.join(chosen, ["region", "node"]).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))  # PIVOTS a region and salt
+        pivots = left.join(chosen, ["region", "node"]).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))  # k a region and salt
         pivots = pivots.select(F.col("region").alias("_region"), F.col("salt").alias("_salt"), F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles"))
         seen = some.groupBy("region", "salt").cogroup(pivots.groupBy("_region", "_salt"))
-        seen = materialize(seen.applyInPandas(_cells, "region long, node long, pivot long, far double, linked boolean, home boolean"))
-        found.append(seen.where("linked").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-        links = found[-1]
-        for more in found[1:-1]:
+        seen = materialize(seen.applyInPandas(_distances, "region long, node long, far array<double>, links array<long>"))
+        found.append(seen.select("node", F.explode("links").alias("b")).where("node <> b").select(F.col("node").alias("a"), "b"))
+        links = found[1]
+        for more in found[2:]:
             links = links.union(more)
         roots = components(links)
         placed = left.select("region", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         main = placed.groupBy("region", "root").agg(F.count("*").alias("k")).groupBy("region").agg(F.max_by("root", F.struct("k", "root")).alias("main"))
-        done = chosen.withColumn("used", F.lit(True))  # a pivot's links are all known
-        placed = materialize(placed.join(main, "region").join(done, ["region", "node"], "left").where("used is null").select("region", "node", (F.col("root") != F.col("main")).alias("outside")))
-        at = seen.select("region", "node", "pivot", "far", "home").join(placed, ["region", "node"])
-        window = at.where("outside and home").groupBy("region", "pivot").agg(F.min("far").alias("lo"), F.max("far").alias("hi"))
-        keep = at.join(window, ["region", "pivot"]).where(f"far between lo - {NEAR + 1e-9} and hi + {NEAR + 1e-9}").select("region", "node", "outside").distinct()
-        left = materialize(left.drop("outside").join(keep, ["region", "node"]).select(*SETS, "m", "outside"))
-    else:
-        again = left.groupBy("region").agg(F.count("*").alias("left_m"))
-        found.append(materialize(_by_blocks(left.join(again, "region").withColumn("m", F.col("left_m")))))
+        placed = placed.join(main, "region").join(chosen, ["region", "node"], "left_anti")  # a pivot's links are all known
+        at = materialize(seen.select("region", "node", "far").join(placed.select("region", "node", (F.col("root") != F.col("main")).alias("outside")), ["region", "node"]))
+        near = F.array_min("far")
+        window = at.where("outside").groupBy("region", F.array_position("far", near).cast("int").alias("p")).agg(F.min(near).alias("lo"), F.max(near).alias("hi"))
+        window = window.groupBy("region").agg(F.collect_list(F.struct("p", "lo", "hi")).alias("cells"))  # k a region at most
+        inside = F.exists("cells", lambda c: F.element_at("far", c["p"]).between(c["lo"] - NEAR - 1e-9, c["hi"] + NEAR + 1e-9))
+        keep = at.join(window, "region").where(inside).select("region", "node", "outside")
+        left = materialize(left.drop("outside", "m").join(keep, ["region", "node"]))
+        count = materialize(measure(left), 0)
+        found.append(by_task(left.join(count.where(fits).select("region"), "region").select(SETS)))
+        left = left.join(count.where(f"not ({fits})").select("region", "m"), "region")
+        k *= 2
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
     return out
 
 
-def _by_blocks(rows: DataFrame) -> DataFrame:
-    """Every pair of blocks of a region once; blocks hold about LOCAL / 2 sets. Regions have their row count in m."""
-    blocks = F.ceil(F.col("m") * 2 / LOCAL).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pairs = rows.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = F.xxhash64("region", F.least("mine", "other"), F.greatest("mine", "other"))
-    return pairs.withColumn("key", key).select("key", "node", "n", "bins", "shingles").groupBy("key").applyInPandas(local_links, "a long, b long")
-
-
 def classes(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     first = materialize(nodes(documents))
     docs = first.where("kind = 0").select("doc_id", "node", "n", "bins")
+    rows, shingles = docs.agg(F.count("*"), F.sum("n")).first()
     hot = first.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(f"n >= {HOT_TIMES}").orderBy(F.desc("n"), "node").limit(HOT_MAX)
     hot = np.sort(np.array([r[0] for r in hot.select("node").collect()], np.int64).view(_U))
-    met = materialize(prefixes(documents, hot).repartition("shingle", "salt").mapInPandas(_meetings, "kind int, a long, b long"))
+    dealt = prefixes(documents, hot).repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "node")
+    met = materialize(dealt.mapInPandas(_meetings, "kind int, a long, b long"))
     one = docs.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bins").alias("bins"), F.min("doc_id").alias("doc_id"))
-    one = materialize(one)
+    one = materialize(one, rows)
     groups = met.where("kind = 0").select("a", "b").distinct().join(one.select(F.col("node").alias("b"), "n", "bins"), "b")
-    ties = groups.repartition("a").mapInPandas(_ties, "a long, b long")
+    ties = groups.repartition("a").sortWithinPartitions("a", "n", "b").mapInPandas(_ties, "a long, b long")
     spots = met.where("kind = 2").distinct()
     heads = spots.join(spots.groupBy("a").agg(F.min("b").alias("m")), "a").select(F.col("m").alias("a"), "b")
     edges = ties.union(met.where("kind = 1").select("a", "b")).union(heads)
     regions = components(edges).select("node", F.col("root").alias("region"))
-    need = materialize(regions.join(one, "node").select("node", "region", F.col("doc_id").alias("need_id")))
+    need = materialize(regions.join(one, "node").select("node", "region", F.col("doc_id").alias("need_id")), rows)
 
     def load(batches):
         for pdf, sets in _sets(batches):
             ids = np.array([node_of(s) for s in sets], np.int64)
             ok = np.flatnonzero(ids == pdf["node"].to_numpy())
-            yield pd.DataFrame({"region": pdf["region"].to_numpy()[ok], "node": ids[ok], "n": [len(sets[k]) for k in ok], "bins": [bins_of(sets[k]) for k in ok], "shingles": [sets[k].tobytes() for k in ok]})
+            yield pd.DataFrame({"region": pdf["region"].to_numpy()[ok], "node": ids[ok], "n": [len(sets[k]) for k in ok], "shingles": [sets[k].tobytes() for k in ok]})
 
     texts = documents.select("doc_id", "text").join(need.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("need_id"))).select("text", "node", "region")
-    sets = materialize(texts.mapInPandas(load, "region long, node long, n long, bins binary, shingles binary").dropDuplicates(["node"]))
+    sets = materialize(texts.mapInPandas(load, "region long, node long, n long, shingles binary").dropDuplicates(["node"]))
     roots = components(region_links(sets))
     low = roots.join(one.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     label = roots.join(low, "root").select("node", "component_id")
@@ -421,14 +480,14 @@ def classes(documents: DataFrame) -> DataFrame:
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """One document of each component: its smallest doc_id, a null one last. Rows of equal id and text count once; others of that id are their own documents."""
-    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
-    keyed = documents.withColumn("_key", key)
-    groups = classes(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").dropDuplicates(["_key"])
-    ids = keyed.groupBy("_key").agg(F.first("doc_id").alias("doc_id")).join(groups, "_key")
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "_key")
-    keep = ids.groupBy("component_id").agg(F.min_by("_key", first).alias("_keep")).select("_keep")
-    rows = keyed.join(keep.hint("shuffle_hash"), F.col("_key") == F.col("_keep"), "left_semi").dropDuplicates(["_key"])
-    return rows.select(documents.columns)
+    name = fresh(documents, "row_key")
+    keyed = documents.withColumn(name, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    groups = classes(keyed.select(F.col(name).alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id").dropDuplicates(["key"])
+    ids = keyed.select(F.col(name).alias("key"), "doc_id").groupBy("key").agg(F.first("doc_id").alias("doc_id")).join(groups, "key")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
+    keep = ids.groupBy("component_id").agg(F.min_by("key", first).alias(name)).select(name)
+    rows = keyed.join(keep.hint("shuffle_hash"), name, "left_semi").dropDuplicates([name])
+    return rows.select([F.col(f"`{c}`") for c in documents.columns])
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

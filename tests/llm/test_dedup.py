@@ -114,9 +114,12 @@ def test_components_equal_brute_force(spark, docs, monkeypatch):
     want = brute_components(rows)
     got = lambda: {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_jaccard.classes(docs(rows)).collect()}
     assert got() == want
-    # the same with everything frequent, regions split by pivots and then by blocks
+    # the same with everything frequent, small batches and rounds of pivots as joins
     monkeypatch.setattr(ngram_jaccard, "HOT_TIMES", 3)
-    monkeypatch.setattr(ngram_jaccard, "LOCAL", 6)
+    monkeypatch.setattr(ngram_jaccard, "LOCAL_WORK", 1500)
+    monkeypatch.setattr(ngram_jaccard, "PIVOTS", 2)
+    monkeypatch.setattr(ngram_jaccard, "MEETING_ROWS", 5)
+    monkeypatch.setattr(ngram_jaccard, "TIE_ROWS", 3)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # keys must meet in any partitioning
     try:
         assert got() == want
@@ -124,6 +127,56 @@ def test_components_equal_brute_force(spark, docs, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def drifting(seed, n, step):
+    """Sets of 40 that drift away from each other in several chains, so that links form chains and cells have neighbours."""
+    rng, sets = np.random.default_rng(seed), []
+    heads = [rng.integers(0, 1 << 60, 40) for _ in range(4)]
+    for k in range(n):
+        s = heads[k % 4].copy()
+        s[rng.integers(0, 40, rng.integers(0, step))] = rng.integers(0, 1 << 60)
+        heads[k % 4] = s
+        sets.append(np.unique(s.astype(np.uint64))[: rng.integers(34, 41)])
+    return sets
+
+
+def region_roots(links, n):
+    trees = ngram_jaccard.Forest(n)
+    for a, b in links:
+        trees.join(a, b)
+    return [trees.root(k) for k in range(n)]
+
+
+def test_regions_of_two_and_of_thousands(monkeypatch):
+    import pandas as pd
+
+    def brute(sets):
+        held, links = [set(s.tolist()) for s in sets], []
+        for i, a in enumerate(held):
+            links += [(j, i) for j in range(i) if 100 * len(a & held[j]) >= 80 * len(a | held[j])]
+        return region_roots(links, len(sets))
+
+    for seed, n, step in [(0, 2, 1), (1, 2, 9), (2, 3, 3), (3, 60, 5), (4, 200, 4), (5, 200, 8), (6, 1500, 6)]:
+        sets = drifting(seed, n, step)
+        pdf = pd.DataFrame({"region": 1, "node": range(n), "n": [len(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+        for pivots in (2, 16):
+            monkeypatch.setattr(ngram_jaccard, "PIVOTS", pivots)
+            got = ngram_jaccard.local_links(pdf.sample(frac=1, random_state=seed))
+            assert region_roots(got.itertuples(index=False, name=None), n) == brute(sets)
+
+
+def test_sorted_batches_keep_groups_whole():
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    for rows in (1, 4, 50):
+        key = np.sort(rng.integers(0, 12, 80))
+        pdf = pd.DataFrame({"k": key, "v": range(80)})
+        cuts = np.sort(rng.integers(0, 80, 9))
+        out = list(ngram_jaccard.whole_groups(iter([pdf.iloc[a:b] for a, b in zip([0, *cuts], [*cuts, 80])]), ["k"], rows))
+        assert pd.concat(out)["v"].tolist() == list(range(80))
+        assert sum(len(set(p["k"])) for p in out) == len(set(key))
+
+
 def test_shingle_hashes_follow_the_words():
     a, b = ngram_jaccard.shingle_sets(["One two  three\tfour five six", "one TWO three four five six"])
     assert a.tolist() == b.tolist() and len(a) == 2
