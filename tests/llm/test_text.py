@@ -6,6 +6,7 @@ import html
 import json
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -102,6 +103,42 @@ def test_battery_tells_random_from_prose():
     assert not any(secret_scan.random_spans(f"a {p} b") for p in prose)
 
 
+@pytest.mark.parametrize("token", ["12345678901234567890", "abc123" * 4, "aB1" * 8, "0123456789abcdef0123", "file_v1_v2_v3_v4_v5_v6", "abcdefghijklmnopqrstuvwxyz", "getUserAccountBalanceById", "qwertyuiopasdfghjklzxcvbnm", "ACGTACGGTCATTGACCAGTACGATCAG", "MAX_RETRY_COUNT_EXCEEDED_2", "correcthorsebatterystaple", "2024-03-15-some-article-title"])
+def test_regular_and_natural_tokens_are_no_secrets(token):
+    assert not secret_scan.random_spans(f"see {token} here") and not secret_scan.random_spans(token * 3)
+
+
+@pytest.mark.parametrize("name, n, least", [("hex", 31, 0.9), ("base32", 32, 0.9), ("lower", 40, 0.9), ("base36", 32, 0.9), ("BASE36", 40, 0.9), ("base62", 24, 0.9), ("base64", 24, 0.9), ("base64url", 43, 0.95)])
+def test_power_by_encoding(name, n, least):
+    rng = np.random.default_rng(n)
+    keys = ["".join(rng.choice(list(secret_scan.ALPHABETS[name]), n)) for _ in range(300)]
+    assert sum(bool(secret_scan.random_spans(f"a {k} b")) for k in keys) >= least * 300
+
+
+def test_false_discoveries_by_length_class():
+    """Glued prose against one random key in ten: under FDR false ones a class, most keys found; a key inside a path is found by its part."""
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(7)
+    texts = [t for t in pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist() if t and len(t) > 400]
+    words = [w for t in texts for w in re.findall("[A-Za-z]{2,}", t) if any(c in "aeiou" for c in w)]
+    for n in (24, 40):
+        tests, truth = [], []
+        for k in range(3000):
+            random = k % 10 == 0
+            a = int(rng.integers(0, len(words) - 30))
+            token = "".join(rng.choice(list(secret_scan.ALPHABETS["base62"]), n)) if random else "".join(words[a : a + 30])[:n]
+            (cls, p, _, _), *_ = secret_scan.token_tests(token)
+            tests.append((cls, p))
+            truth.append(random)
+        cuts = secret_scan.fdr_cuts(Counter(tests))
+        hit = [p <= cuts.get(cls, -1) for cls, p in tests]
+        true = sum(h and t for h, t in zip(hit, truth))
+        assert true >= 0.7 * sum(truth) and sum(hit) - true <= max(3, 2 * secret_scan.FDR * sum(hit))
+    key = "".join(rng.choice(list(secret_scan.ALPHABETS["base62"]), 40))
+    assert secret_scan.random_spans(f"some/path/of/words/{key}/and/more/words/of/the/path" + "/to/it" * 100)
+
+
 def test_windows_of_long_tokens_are_tested():
     rng = np.random.default_rng(2)
     blob = lambda n: "".join(rng.choice(list(secret_scan.ALPHABETS["base64"]), n))
