@@ -28,11 +28,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read
+from .common import bounded, read, trimmed
 
 LETTER, NUMBER, SPACE, OTHER, BREAK = range(5)
 #: Characters held in arrays at once, and pieces cached per worker.
-BATCH_CHARS, CACHE = 1 << 20, 400_000
+BATCH_CHARS, CACHE = 1 << 19, 150_000
 #: Bytes beyond which a piece is merged by the heap; no pair.
 LONG, NONE = 128, 1 << 40
 # Fixed values of the pattern: contractions are an apostrophe and one of these.
@@ -249,7 +249,7 @@ def encode(documents: DataFrame, ranks_path: str, keep_ids: bool = False) -> Dat
                 at += len(some)
                 yield pd.DataFrame(out)
 
-    return documents.select("doc_id", "text").mapInPandas(run, schema + ", ids binary, offsets binary" * keep_ids)
+    return bounded(documents).select("doc_id", "text").mapInPandas(trimmed(run), schema + ", ids binary, offsets binary" * keep_ids)
 
 
 def default_ranks() -> str:

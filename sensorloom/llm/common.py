@@ -2,14 +2,44 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: White space of the word contracts, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
 
 
+#: Rows and bytes of a batch that goes to Python; Spark's own default is 10,000 rows of any length.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, "16m")}
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, with batches for Python that whole texts do not overfill; a setting of the user's stays."""
+    conf = df.sparkSession.conf
+    for name, (default, ours) in BATCHES.items():
+        if conf.get(name, default) == default:
+            conf.set(name, ours)
+    return df
+
+
+def trimmed(run: Callable) -> Callable:
+    """A function for ``mapInPandas`` that at its end gives freed memory back to the system, since workers live on."""
+
+    def whole(batches):
+        yield from run(batches)
+        del batches
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -23,7 +53,7 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, rows: int | None = None, each: int = 100_000) -> DataFrame:
+def materialize(df: DataFrame, rows: int | None = None, each: int = 100_000, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
     ``rows``, where known, is about how many rows the table has or is made from:
@@ -36,10 +66,20 @@ def materialize(df: DataFrame, rows: int | None = None, each: int = 100_000) ->
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", codec).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing to come reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._table)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -28,5 +28,6 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         large = one(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m"))
-        now = materialize(one(small), size)
+        now, old = materialize(one(small), size), now
+        release(old)
     raise RuntimeError(f"components did not settle in {most} steps")

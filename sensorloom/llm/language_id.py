@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .byte_bpe import slices_of
-from .common import read
+from .common import bounded, read, trimmed
 
 ORDER, BITS, DISCOUNT = 4, 12, 0.75
 SAMPLE, SAMPLE_CHARS = 240, 20_000
@@ -207,7 +207,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
                 yield pd.DataFrame({"doc_id": ids.array, "lang_pred": langs, "score": np.where(none, 0.0, score),
                                     "rejected": none | over, "cross_entropy": np.where(none, 0.0, low)})
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, rejected boolean, cross_entropy double")
+    return bounded(documents).select("doc_id", "text").mapInPandas(trimmed(run), "doc_id long, lang_pred string, score double, rejected boolean, cross_entropy double")
 
 
 def keep_accepted(documents: DataFrame, model: Model) -> DataFrame:
@@ -227,7 +227,7 @@ def keep_accepted(documents: DataFrame, model: Model) -> DataFrame:
                 at += len(some)
             yield pdf[keep]
 
-    return documents.mapInPandas(run, schema)
+    return bounded(documents).mapInPandas(trimmed(run), schema)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

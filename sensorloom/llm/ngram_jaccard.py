@@ -42,10 +42,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .byte_bpe import slices_of
-from .common import fresh, materialize, read
+from .common import bounded, fresh, materialize, read, release, trimmed
 from .components import components
 
-WORDS, BINS = 5, 64
+WORDS, BINS, BATCH_CHARS = 5, 64, 1 << 18
 CHUNK, CHUNK_TIMES, HOT_TIMES, HOT_MAX, SALTS = 4_000_000, 3, 32, 200_000, 64
 MEETING_ROWS, TIE_ROWS = 400_000, 100_000
 LOCAL_SHINGLES, LOCAL_WORK, PIVOTS = 2_000_000, 1_000_000_000, 16
@@ -68,7 +68,7 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** k and its inverse modulo 2**64."""
     up, down = np.full(size, BASE, _U), np.full(size, pow(BASE, -1, 1 << 64), _U)
@@ -86,7 +86,7 @@ def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     blank = _BLANK[buf]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]  # the last byte is blank, so each word ends
-    up, down = _powers(1 << max(20, int(len(buf)).bit_length()))
+    up, down = _powers(1 << max(19, int(len(buf)).bit_length()))
     total = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTES[buf] * up[: len(buf)], dtype=_U)])
     word = _mix((total[end] - total[start]) * down[start] + (end - start).astype(_U))
     doc = np.searchsorted(text_end, start, "right")
@@ -133,7 +133,7 @@ def _signed(h: np.ndarray) -> np.ndarray:
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
     for pdf in batches:
         texts, at = pdf["text"].where(pdf["text"].notna(), "").tolist(), 0
-        for some in slices_of(texts):
+        for some in slices_of(texts, BATCH_CHARS):
             yield pdf.iloc[at : at + len(some)], shingle_sets(some)
             at += len(some)
 
@@ -163,7 +163,7 @@ def nodes(documents: DataFrame) -> DataFrame:
         if held:
             yield frequent()
 
-    return documents.select("doc_id", "text").mapInPandas(run, "kind int, doc_id long, node long, n long, bins binary")
+    return bounded(documents).select("doc_id", "text").mapInPandas(trimmed(run), "kind int, doc_id long, node long, n long, bins binary")
 
 
 def prefixes(documents: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -195,7 +195,7 @@ def prefixes(documents: DataFrame, hot: np.ndarray) -> DataFrame:
             if tokens:
                 yield pd.DataFrame({"shingle": _signed(np.concatenate(tokens)), "salt": np.concatenate(salts).astype(np.int32), "node": np.concatenate(owners)})
 
-    return documents.select("text").mapInPandas(run, "shingle long, salt int, node long")
+    return bounded(documents).select("text").mapInPandas(trimmed(run), "shingle long, salt int, node long")
 
 
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int) -> Iterator[pd.DataFrame]:
@@ -451,15 +451,16 @@ def classes(documents: DataFrame) -> DataFrame:
     hot = first.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(f"n >= {HOT_TIMES}").orderBy(F.desc("n"), "node").limit(HOT_MAX)
     hot = np.sort(np.array([r[0] for r in hot.select("node").collect()], np.int64).view(_U))
     dealt = prefixes(documents, hot).repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "node")
-    met = materialize(dealt.mapInPandas(_meetings, "kind int, a long, b long"))
+    met = materialize(dealt.mapInPandas(trimmed(_meetings), "kind int, a long, b long"))
     one = docs.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("bins").alias("bins"), F.min("doc_id").alias("doc_id"))
     one = materialize(one, rows)
     groups = met.where("kind = 0").select("a", "b").distinct().join(one.select(F.col("node").alias("b"), "n", "bins"), "b")
-    ties = groups.repartition("a").sortWithinPartitions("a", "n", "b").mapInPandas(_ties, "a long, b long")
+    ties = groups.repartition("a").sortWithinPartitions("a", "n", "b").mapInPandas(trimmed(_ties), "a long, b long")
     spots = met.where("kind = 2").distinct()
     heads = spots.join(spots.groupBy("a").agg(F.min("b").alias("m")), "a").select(F.col("m").alias("a"), "b")
     edges = ties.union(met.where("kind = 1").select("a", "b")).union(heads)
     regions = components(edges).select("node", F.col("root").alias("region"))
+    release(met)
     need = materialize(regions.join(one, "node").select("node", "region", F.col("doc_id").alias("need_id")), rows)
 
     def load(batches):
@@ -469,8 +470,10 @@ def classes(documents: DataFrame) -> DataFrame:
             yield pd.DataFrame({"region": pdf["region"].to_numpy()[ok], "node": ids[ok], "n": [len(sets[k]) for k in ok], "shingles": [sets[k].tobytes() for k in ok]})
 
     texts = documents.select("doc_id", "text").join(need.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("need_id"))).select("text", "node", "region")
-    sets = materialize(texts.mapInPandas(load, "region long, node long, n long, shingles binary").dropDuplicates(["node"]))
+    sets = materialize(texts.mapInPandas(trimmed(load), "region long, node long, n long, shingles binary").dropDuplicates(["node"]))
+    release(need)
     roots = components(region_links(sets))
+    release(sets)
     low = roots.join(one.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     label = roots.join(low, "root").select("node", "component_id")
     alone = one.select("node", F.col("doc_id").alias("own_id"))

@@ -46,7 +46,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import read
+from .common import bounded, read, trimmed
 
 # Fixed patterns of the base kinds.
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -243,7 +243,7 @@ def corpus_cuts(documents: DataFrame) -> dict[int, float]:
             n = Counter((cls, p if p <= FDR else 1.0) for text in pdf["text"] if text for cls, p, _, _ in token_tests(text))
             yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=["cls", "p", "n"])
 
-    table = documents.select("text").mapInPandas(count, "cls long, p double, n long").groupBy("cls", "p").agg(F.sum("n").alias("n"))
+    table = bounded(documents).select("text").mapInPandas(trimmed(count), "cls long, p double, n long").groupBy("cls", "p").agg(F.sum("n").alias("n"))
     upto = Window.partitionBy("cls").orderBy("p")
     ranked = table.select("cls", "p", F.sum("n").over(upto).alias("k"), F.sum("n").over(Window.partitionBy("cls")).alias("m"))
     return {r.cls: r.p for r in ranked.where(F.col("p") <= F.lit(FDR) * F.col("k") / F.col("m")).groupBy("cls").agg(F.max("p").alias("p")).collect()}
@@ -299,8 +299,8 @@ def secrets(documents: DataFrame) -> DataFrame:
                 rows.append((doc_id, *n[:3], hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(says), n[3]))
             yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"])
 
-    return documents.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
+    return bounded(documents).select("doc_id", "text").mapInPandas(
+        trimmed(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
 
 
 def redacted(documents: DataFrame) -> DataFrame:
@@ -314,7 +314,7 @@ def redacted(documents: DataFrame) -> DataFrame:
                 pdf["n_chars"] = [len(t) if t is not None else n for t, n in zip(pdf["text"], pdf["n_chars"])]
             yield pdf
 
-    return documents.mapInPandas(run, documents.schema)
+    return bounded(documents).mapInPandas(trimmed(run), documents.schema)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
