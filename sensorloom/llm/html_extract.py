@@ -5,8 +5,15 @@ matching. Aligned leaves with equal text on all pages are template; leaves that
 vary or do not align are slots. The wrapper of a host is the path of the
 deepest container that holds all slot text outside navigation, notices, forms
 and the like (or of the article or main element around that), and the constant
-texts inside it. ``extract`` then reads
-every whole page with its host's wrapper.
+texts inside it. ``extract`` then reads every whole page with its host's wrapper.
+
+Some elements are boilerplate by their tag, wherever they stand (``DROP``, and a
+header of the body). Outside content, so are elements with a marked class, id or
+role, and groups of links with hardly any other text. Inside content (the
+wrapper's container, an article or main element) only elements that group others
+are, and only where every part of a class word is a mark or a filler
+(``share-buttons``, not ``share-holders``); text elements (``PROSE``) stay. There
+too, a constant text is template only if it is no text element's.
 
 At most ``PAGES`` pages a host, the smallest by hash, are aligned (a documented
 bound of the fit). A constant text found there is template only if ``TEMPLATE``
@@ -30,7 +37,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import materialize, read
+from .common import bounded, materialize, read, trimmed
 
 PAGES, TEMPLATE = 5, 0.9
 
@@ -43,11 +50,15 @@ BLOCK = set(
 #: A start tag on the left closes an open element on the right, up to the named scope.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = set("ul ol dl table tbody thead tfoot select article section div body".split())
+#: Text elements: inside content they are kept whatever their class, and if they are constant.
+PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th caption figcaption summary span em strong b i u a code q cite small sub sup mark time abbr".split())
 #: Words of class, id and role values that mark boilerplate.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|consent|cookie|cookies|copyright|footer|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notification|pager|pagination|popup|promo|promoted|recommended|related|replies|respond|search|share|sharing|sidebar|skip|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])",
-    re.I,
+MARKS = set(
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright footer masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo promoted recommended related replies respond search share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that may stand beside a mark.
+FILLERS = set("area bar block bottom box btn btns button buttons col column container content entries form group icon icons inline inner item items left link links list main outer panel post posts articles right section signup site slot stories text thread title top unit wrap wrapper".split())
+WORD = re.compile(r"[^\s_-]+")
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|xmp|iframe|noembed|noframes)\b((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -55,28 +66,67 @@ TOKEN = re.compile(
 ATTR = re.compile(r"\b(class|id|role|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 
 
+HARD, SOFT, OUTSIDE = 1, 2, 4  # boilerplate anywhere, also inside content, only outside content
+
+
 class Node:
     __slots__ = ("tag", "sig", "kids", "path", "drop")
 
-    def __init__(self, tag: str, sig: str, path: str, drop: bool):
+    def __init__(self, tag: str, sig: str, path: str, drop: int):
         self.tag, self.sig, self.path, self.drop, self.kids = tag, sig, path, drop, []
 
 
+def _marks(value: str, tag: str) -> int:
+    drop = 0
+    for token in value.lower().split():
+        words = set(WORD.findall(token))
+        if words & MARKS:
+            drop |= OUTSIDE if tag in PROSE or not words <= MARKS | FILLERS else OUTSIDE | SOFT
+    return drop
+
+
 def _open(parent: Node, tag: str, attrs: str) -> Node:
-    mark, drop = "", parent.drop or tag in DROP or (tag == "header" and "/article" not in parent.path)
+    mark, drop = "", HARD if tag in DROP or (tag == "header" and parent.tag in ("", "html", "body")) else 0
     if attrs and "=" in attrs:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)}
         if "class" in found:
             mark = "." + ".".join(sorted(found["class"].lower().split()))
-        drop = drop or (tag not in ("body", "html", "article", "main") and any(MARKED.search(v) for v in found.values()))
+        if tag not in ("body", "html", "article", "main"):
+            for v in found.values():
+                drop |= _marks(v, tag)
     node = Node(tag, tag + mark, f"{parent.path}/{tag}{mark}", drop)
     parent.kids.append(node)
     return node
 
 
+def _weigh(root: Node) -> None:
+    """Groups of two links or more with hardly any other text are boilerplate outside content; what holds a main element, a titled article, or a title and half of the text is none."""
+    order, work = [], [(root, False)]
+    while work:
+        node, linked = work.pop()
+        linked |= node.tag == "a"
+        order.append((node, linked))
+        work += [(k, linked) for k in node.kids if isinstance(k, Node)]
+    size: dict[int, tuple] = {}
+    for node, linked in reversed(order):
+        own = sum(len(k.strip()) for k in node.kids if isinstance(k, str))
+        below = [size[id(k)] for k in node.kids if isinstance(k, Node)]
+        text, link, links = own + sum(x[0] for x in below), (own if linked else 0) + sum(x[1] for x in below), (node.tag == "a") + sum(x[2] for x in below)
+        title = node.tag == "h1" or any(x[3] for x in below)
+        content = node.tag == "main" or (node.tag == "article" and title) or any(x[4] for x in below)
+        size[id(node)] = text, link, links, title, content
+        if links > 1 and link >= 0.9 * text and node.tag in ("div", "ul", "ol", "section", "table", "dl"):
+            node.drop |= OUTSIDE
+    half = size[id(root)][0] / 2
+    for node, _ in order:
+        text, _, _, title, content = size[id(node)]
+        if content or (title and text >= half):
+            node.drop &= HARD
+
+
 def parse(page: str) -> Node:
     """A forgiving tree of elements and text strings; character references stay encoded."""
-    root = Node("", "", "", False)
+    root = Node("", "", "", 0)
     stack, at = [root], 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -113,6 +163,7 @@ def parse(page: str) -> Node:
             stack.append(node)
     if at < len(page):
         stack[-1].kids.append(page[at:])
+    _weigh(root)
     return root
 
 
@@ -122,6 +173,7 @@ def _clean(raw: str) -> str:
 
 def blocks(node: Node) -> list[tuple[str, str]]:
     """(path|text, text) of the blocks below ``node`` in page order, without boilerplate."""
+    gone = HARD | SOFT | (OUTSIDE if node.tag in ("", "html", "body") else 0)
     out: list[tuple[str, str]] = []
     part: list[str] = []
 
@@ -145,7 +197,7 @@ def blocks(node: Node) -> list[tuple[str, str]]:
                 part.append(kid)
             elif kid.tag == "br":
                 part.append(" ")
-            elif not kid.drop:
+            elif kid.tag in ("article", "main") or not kid.drop & gone:
                 work.append((item, k))
                 work.append((kid, 0))
                 break
@@ -264,7 +316,8 @@ def induce(pages: list[str]) -> dict:
     around = [k for k in ends if tags[k] in ("article", "main")]
     container = "/".join(steps[: (around or ends)[-1] + 1]) if ends else ""
     # a constant text is template only where other slots of the container vary
-    constant = [] if alone else sorted({f"{n.path}|{_own(n)}" for n in nodes if same[id(n)] and n.path.startswith(container + "/") and n.tag not in ("p", "h1", "h2", "h3") and _own(n)})
+    kept = PROSE if around else {"p", "h1", "h2", "h3"}
+    constant = [] if alone else sorted({f"{n.path}|{_own(n)}" for n in nodes if same[id(n)] and n.path.startswith(container + "/") and n.tag not in kept and _own(n)})
     return {"container": container, "constant": constant}
 
 
@@ -275,15 +328,16 @@ def page_blocks(page: str | None, wrapper: dict | None) -> list[tuple[str, str]]
     root = parse(page)
     path = (wrapper or {}).get("container") or "/"
     found: dict[str, list[Node]] = {"path": [], "article": [], "main": [], "body": []}
-    work = [root]
+    work: list[tuple[Node, str]] = [(root, "")]
     while work:
-        x = work.pop()
+        x, inside = work.pop()  # one element of a kind within another counts once
         if x.path == path:
             found["path"].append(x)
             continue
-        if x.tag in found:
+        if x.tag in found and x.tag not in inside:
             found[x.tag].append(x)
-        work += [k for k in reversed(x.kids) if isinstance(k, Node) and not k.drop]
+            inside += f" {x.tag}"
+        work += [(k, inside) for k in reversed(x.kids) if isinstance(k, Node) and not k.drop]
     if found["article"] and not path.endswith("article"):  # a wrapper that is wider or elsewhere yields to the page's own article
         if not any("/article" in n.path for n in found["path"]):
             found["path"] = found["article"]
@@ -336,7 +390,7 @@ def confirmed(rows: DataFrame, known: DataFrame) -> DataFrame:
                 n.update((host, k) for k, c in enumerate(wrapper["constant"]) if c in shown)
             yield pd.DataFrame([(*key, v) for key, v in n.items()], columns=["host", "k", "n"])
 
-    seen = rows.where("html <> ''").join(some, "host").select("host", "html", "wrapper").mapInPandas(count, "host string, k int, n long")
+    seen = rows.where("html <> ''").join(some, "host").select("host", "html", "wrapper").mapInPandas(trimmed(count), "host string, k int, n long")
     seen = seen.groupBy("host", "k").agg(F.sum("n").alias("n"))
     pages = F.max(F.when(F.col("k") < 0, F.col("n")))
     kept = seen.groupBy("host").agg(pages.alias("pages"), F.collect_list(F.struct("k", "n")).alias("seen"))
@@ -355,7 +409,7 @@ def confirmed(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    rows = pages.select("page_id", "url", "html", F.coalesce(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("")).alias("host"))
+    rows = bounded(pages).select("page_id", "url", "html", F.coalesce(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("")).alias("host"))
     known = materialize(confirmed(rows, materialize(wrappers(rows))))
 
     def run(batches):
@@ -364,7 +418,7 @@ def main_text(pages: DataFrame) -> DataFrame:
             text = [extract(page, get(w)) for page, w in zip(pdf["html"], pdf["wrapper"])]
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    return rows.join(known, "host", "left").select("page_id", "url", "html", "wrapper").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return rows.join(known, "host", "left").select("page_id", "url", "html", "wrapper").mapInPandas(trimmed(run), "page_id long, url string, text string, n_chars long")
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

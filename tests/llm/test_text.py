@@ -49,6 +49,37 @@ def test_container_holds_title_lead_and_body(tag):
     assert html_extract.extract(page(9), wrapper) == f"Title 9\nLead 9 {'word ' * 20}".strip() + f"\nBody 9 {'text ' * 80}".rstrip()
 
 
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+
+
+def varied(k, n=40):
+    return " ".join(WORDS[(k * 7 + j * j) % 10] for j in range(n)) + f" {k}"
+
+
+def test_article_text_stays_whatever_its_class_or_sameness(spark):
+    a = lambda k: f"<body><article><h1>T{k}</h1><p>Body {k}</p><ul><li>same item</li></ul><blockquote>Same quote</blockquote><table><tr><td>cell</td></tr></table></article></body>"
+    b = lambda k: f"<body><article><h1>T{k}</h1><p class='related'>One {k}</p><div class='share-holders'><p>Two {k}</p></div><div class='share-buttons'>Tweet</div><section id='comments'><p>Nice {k}</p></section></article></body>"
+    rows = [(k, f"http://a/{k}", a(k)) for k in range(9)] + [(100 + k, f"http://b/{k}", b(k)) for k in range(9)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "T0\nBody 0\nsame item\nSame quote\ncell"
+    assert got[103] == "T3\nOne 3\nTwo 3"
+
+
+def test_the_wrapper_decides_where_no_tag_does(spark):
+    """Hosts of plain div elements: what is constant is template, link groups are menus, the slots make the container."""
+    page = lambda k: f"""<html><body><div class="top"><div>Example site</div><ul><li><a href=/{k}>{WORDS[k % 10]}</a></li><li><a href=/x>{WORDS[k % 7]}</a></li></ul></div>
+<div class="wrap sidebar-left"><div class="c1"><div>Standing invitation to write to us</div><h1>Title {k}</h1><p>{varied(k)}</p><p>{varied(k + 1)}</p></div></div><div class="low">All rights reserved</div></body></html>"""
+    rows = [(k, f"http://h.example/{k}", page(k)) for k in range(12)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[4] == f"Title 4\n{varied(4)}\n{varied(5)}"
+    assert html_extract.extract(page(4), None) != got[4] and "Standing invitation" in html_extract.extract(page(4), None)
+
+
+def test_layout_classes_and_nested_articles():
+    page = "<body><div class='content sidebar-right'><article><h1>A</h1><p>one</p><article><p>two</p></article></article></div><div class='sidebar'><p>side</p></div></body>"
+    assert html_extract.extract(page, None) == "A\none\ntwo"
+
+
 def test_large_pages_and_templates_of_whole_hosts(spark):
     def page(k):
         parts = "".join(f"<h2>Part {k} {j}</h2><p>Text {k} {j} {'word ' * 10}</p><figure>fig {k} {j}</figure>" for j in range(300))
