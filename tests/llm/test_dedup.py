@@ -61,10 +61,31 @@ def test_removals_equal_brute_force(spark, docs, monkeypatch):
     want = brute_removal([(d, (t or "").encode()) for d, t in rows])
     df = docs(rows)
     assert sorted(tuple(r) for r in suffix_dedup.removals(df).collect()) == want
-    monkeypatch.setattr(suffix_dedup, "HOT", 3)  # the way of hot anchors gives the same
+    monkeypatch.setattr(suffix_dedup, "SHARD", 400)  # anchors that overfill a shard are parted; the result is the same
     assert sorted(tuple(r) for r in suffix_dedup.removals(df).collect()) == want
 
 
+def test_repeated_blocks_equal_brute_force(docs, monkeypatch):
+    """Long near copies, shifted and cut, so that whole blocks repeat; a passage that all documents share."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("etaoinshr") for _ in range(rnd.randint(2, 7)))
+    prose = lambda k: " ".join(word() for _ in range(k))
+    base, common, rows = prose(700), prose(25), []
+    for k in range(60):
+        t = base if k % 2 else prose(rnd.randint(100, 400))
+        for _ in range(rnd.randint(0, 4)):
+            at = rnd.randrange(len(t))
+            t = t[:at] + word() + t[at + rnd.randint(0, 300) :]
+        at = rnd.randrange(len(t))
+        rows.append((rnd.choice([k, 1000 - k]), t[:at] + common + t[at:]))
+    rows += [(2000, "ab" * 2000), (2001, "b" + "ab" * 1500), (2002, "a" * 3000), (2003, base[:1000] + "a" * 2500), (2004, base[40:90]), (2005, base[:49])]
+    want = brute_removal([(d, t.encode()) for d, t in rows])
+    assert sorted(tuple(r) for r in suffix_dedup.removals(docs(rows)).collect()) == want
+    monkeypatch.setattr(suffix_dedup, "CUT_EVERY", 2)
+    monkeypatch.setattr(suffix_dedup, "SHARD", 1500)
+    assert sorted(tuple(r) for r in suffix_dedup.removals(docs(rows)).collect()) == want
+
+
 def test_removal_edges(edge):
     assert suffix_dedup.removals(edge).count() == edge.count()
     assert suffix_dedup.removals(edge.limit(0)).count() == 0
