@@ -3,11 +3,13 @@
 Pre-tokenisation uses no regular expression. A table over all code points gives
 each character a class (letter, number, space, line break, apostrophe, other)
 and arrays of classes decide the pattern's piece boundaries: every rule of the
-pattern is a run of one class with a fixed look at its neighbours, so prefix
-maxima and minima over the class array (scans of an associative function) give
-each position its run's start and end, and boundaries follow by comparing
-arrays. Pieces are slices of the text; their merges are cached per worker, and
-the new pieces of a batch are merged together, one pair a piece and round.
+pattern is a run of one class with a fixed look at its neighbours. The transition
+function of a character thus depends on its class and forgets the state before
+the last two characters; composed over a prefix (the associative scan), it equals
+the composition of the last three, so the scan comes down to comparing the class
+array with itself, shifted. Pieces are slices of the text; their merges are
+cached per worker, and the new pieces of a batch are merged together, one pair a
+piece and round.
 
 Defined results: null texts encode as empty ones (0 tokens). Offsets of the
 tokens in the UTF-8 bytes are the prefix sums of the token lengths and are kept

@@ -3,7 +3,7 @@
 One model of ``ORDER`` characters per language is fitted on a bounded sample:
 at most ``SAMPLE`` documents a language, none over ``SAMPLE_CHARS`` characters
 (documented bounds; only training is sampled, every whole text is predicted).
-N-grams are exact 12-bit-a-character keys kept in sorted arrays, with the log
+N-grams are exact keys of 15 bits a letter (the 32,766 most frequent ones of the sample; further ones count as unknown) kept in sorted arrays, with the log
 probabilities of all languages side by side, so that one binary search a
 character scores every language. The language of the lowest length-normalised
 cross-entropy wins. A quarter of the sample calibrates the rejection bound of
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .byte_bpe import slices_of
 from .common import bounded, read, trimmed
 
-ORDER, BITS, DISCOUNT = 4, 12, 0.75
+ORDER, BITS, DISCOUNT = 4, 15, 0.75
 SAMPLE, SAMPLE_CHARS = 240, 20_000
 #: A text is rejected beyond the calibration rows' largest cross-entropy times this, plus half a nat.
 SLACK, SHARP = 1.25, 30

@@ -9,8 +9,8 @@ sums of the expected copies plus one random offset per source emit a copy at
 each integer crossed. Ordering by size keeps the taken words near the target.
 
 No source is put into one task: rows are ranked inside (source, size class,
-slice) blocks and the blocks' counts are summed up over the far smaller block
-table. Offsets and slices derive from MD5, so that reruns agree.
+slice) blocks, whose number follows the number of documents, and the blocks'
+counts are summed up over the far smaller block table. Offsets and slices derive from MD5, so that reruns agree.
 
 Defined results: null texts have size 0; null sources are one source that
 stands last; sizes of 0 take 0. An empty table gives an empty result; repeated
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import SPACE, materialize, read
+from .common import SPACE, fresh, materialize, read
 
 WEIGHTS, SHARE, CAP, SEED = (5, 2, 1), 1.5, 2, "mix-1"
 
@@ -53,9 +53,11 @@ def copies(documents: DataFrame, seed: str = SEED, keys: tuple[str, ...] = ()) -
         .withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")))  # null stands last
         .withColumn("bits", F.length(F.bin("size")).cast("int"))
         .withColumn("cls", F.expr("bits * 32L + shiftright(size * 32L, bits)"))
-        .withColumn("slice", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2))
+        .withColumn("slice", F.md5(F.coalesce(F.col("doc_id").cast("string"), text)))
         .drop("bits")
     )
+    digits = max(2, len(f"{docs.count():x}") - 2)  # 16 times the documents, 16 times the slices
+    docs = docs.withColumn("slice", F.substring("slice", 1, digits))
     block = ["skey", "cls", "slice"]
     blocks = docs.groupBy(block).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     upto = Window.partitionBy("skey").orderBy("cls", "slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,11 +76,13 @@ def copies(documents: DataFrame, seed: str = SEED, keys: tuple[str, ...] = ()) -
 
 def mix(documents: DataFrame) -> DataFrame:
     """The mixed documents themselves, each repeated as often as it is taken."""
-    key = F.xxhash64(*[x for c in documents.columns for x in (F.col(c).isNull(), F.col(c))])
-    keyed = documents.withColumn("_key", key)  # rows of one key are equal, so one of them stands for all their copies
-    plan = copies(keyed, keys=("_key",)).where("n_copies > 0").groupBy("_key").agg(F.sum("n_copies").alias("_n"))
-    rows = keyed.join(plan.hint("shuffle_hash"), "_key").dropDuplicates(["_key"])
-    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(documents.columns)
+    key, times, number = (fresh(documents, name) for name in ("row_key", "row_times", "row_number"))
+    own = [F.col(f"`{c}`") for c in documents.columns]
+    keyed = documents.withColumn(key, F.xxhash64(*[x for c in own for x in (c.isNull(), c)]))  # rows of one key are equal, so one of them stands for all their copies
+    plan = copies(keyed.select("doc_id", "source", "text", F.col(key).alias("row_key")), keys=("row_key",)).where("n_copies > 0")
+    plan = plan.groupBy(F.col("row_key").alias(key)).agg(F.sum("n_copies").alias(times))
+    rows = keyed.join(plan.hint("shuffle_hash"), key).dropDuplicates([key])
+    return rows.withColumn(number, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(own)
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,8 +90,8 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = rf"""
-with d as (select doc_id, coalesce('s' || source, 't') skey, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size from documents),
-k as (select *, length(bin(size)) bits, substr(md5(coalesce(doc_id::varchar, '')), 1, 2) slice from d),
+with d as (select doc_id, coalesce(text, '') body, coalesce('s' || source, 't') skey, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size from documents),
+k as (select *, length(bin(size)) bits, substr(md5(coalesce(doc_id::varchar, body)), 1, greatest(2, (select length(to_hex(count(*))) - 2 from d))) slice from d),
 c as (select *, bits * 32 + ((size * 32) >> bits) cls from k),
 s as (select skey, sum(size)::bigint source_size from d group by skey),
 w as (select *, case (row_number() over (order by skey) - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end weight, source_size * {CAP}.0::double cap from s),

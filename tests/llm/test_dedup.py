@@ -236,7 +236,7 @@ def test_null_ids_and_equal_ids_keep_their_documents(docs):
 
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
-    from sensorloom.llm import language_id, secret_scan, source_mix
+    from sensorloom.llm import secret_scan, source_mix
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     a = p.identify_language(spark, docs, SF)
@@ -246,11 +246,68 @@ def test_pipeline_stages(spark):
     comp = brute_components(rows)
     assert sorted(r.doc_id for r in b.select("doc_id").collect()) == sorted({c for _, c in comp.values()})
     c = {r.doc_id: r.text for r in p.redact_secrets(spark, docs, SF).collect()}
-    assert all(c[d] == secret_scan.redact(t, secret_scan.scan(t)) for d, t in rows)
+    cuts = secret_scan.corpus_cuts(docs)
+    assert all(c[d] == secret_scan.redact(t, secret_scan.scan(t, cuts)) for d, t in rows)
     m = p.mix_sources(spark, docs, SF)
     n = {r.doc_id: r.n_copies for r in source_mix.copies(docs).collect()}
     assert m.columns == docs.columns and m.count() == sum(n.values())
-    out = p.run(spark, SF)
-    code = byte_bpe.coder(byte_bpe.default_ranks())
-    assert out.count() > 0 and {"doc_id", "n_tokens"} <= set(out.columns) and code
-    assert language_id
+
+
+def test_pipeline_equals_five_brute_force_stages(spark, tmp_path):
+    """run() over null, repeated and clashing ids and columns, against plain versions of its stages."""
+    import duckdb
+    import public_tokenizers as P
+    import tiktoken
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline as p
+    from sensorloom.llm import language_id, secret_scan, source_mix
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(150).select("doc_id", "text", "lang", "source", "n_chars")
+    prose = docs.where("length(text) > 200").limit(6)
+    odd = prose.withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType)).union(prose).union(prose.withColumn("text", F.lit(None).cast("string"))).union(
+        prose.withColumn("doc_id", F.lit(7).cast(docs.schema["doc_id"].dataType)))
+    full = docs.union(odd)
+    for name in ("row_key", "row_times", "row_number", "_keep", "_n", "_k", "key", "node", "size", "u", "rate"):
+        full = full.withColumn(name, F.lit(name))
+    full.write.parquet(str(tmp_path / "documents.parquet"))
+    full = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert p.mix_sources(spark, p.drop_near_duplicates(spark, full, ""), "").columns == full.columns
+
+    rows = [(r.doc_id, r.text, r.source) for r in full.collect()]
+    model = language_id.train(language_id.labelled_sample(full))
+    h, n = model.entropies([t or "" for _, t, _ in rows], model.table())
+    rows = [r for r, e, k in zip(rows, h, n) if k and e.min() <= model.bound[e.argmin()]]
+    kept, seen = [], {}
+    for r in rows:  # rows of equal id and text are one document
+        seen.setdefault(r[:2], r)
+    rows = sorted(seen.values(), key=lambda r: (r[0] is None, r[0] or 0, str(r[1])))
+    comp = brute_components([(k, t) for k, (_, t, _) in enumerate(rows)])
+    groups = {}
+    for k, r in enumerate(rows):
+        groups.setdefault(comp[k][1], []).append(r)
+    # the smallest id stays; of several texts of one smallest id any may
+    kept = [min(g, key=lambda r: (r[0] is None, r[0] or 0)) for g in groups.values()]
+    got = p.drop_near_duplicates(spark, p.identify_language(spark, full, ""), "")
+    assert Counter(r.doc_id for r in got.collect()) == Counter(r[0] for r in kept)
+    assert all(any(x.doc_id == r[0] and x.text == r[1] for r in g) for x in got.collect() for g in [next(g for g in groups.values() if any(r[:2] == (x.doc_id, x.text) for r in g))])
+
+    rows = [(x.doc_id, x.text, x.source) for x in got.collect()]
+    cuts = secret_scan.fdr_cuts(Counter((cls, q if q <= secret_scan.FDR else 1.0) for _, t, _ in rows if t for cls, q, _, _ in secret_scan.token_tests(t)))
+    rows = [(d, secret_scan.redact(t, secret_scan.scan(t, cuts)), s) for d, t, s in rows]
+    table = duckdb.connect()
+    table.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    table.executemany("insert into documents values (?, ?, ?)", rows)
+    taken = {}
+    for d, size, _, _, words in table.execute(source_mix.SQL).fetchall():
+        if d is not None:
+            taken[d] = taken.get(d, 0) + (words // size if size else 0)
+    out = p.run(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in out if r.doc_id is not None and r.doc_id != 7) == Counter({d: n for d, n in taken.items() if n and d != 7})
+    ranks = byte_bpe.coder(byte_bpe.default_ranks()).ranks
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {}
+    for d, t, _ in rows:
+        ids = enc.encode_ordinary(t)
+        want.setdefault(d, set()).add((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    assert out and all((r.n_tokens, r.ids_sha256, r.decoded_sha256) in want[r.doc_id] for r in out)

@@ -262,3 +262,44 @@ def test_kneser_ney_sums_to_one():
     for c in ctx:
         keys = (int(c) << language_id.BITS) + np.arange(m.size)
         assert abs(m.prob(keys).sum() - 1) < 1e-9
+
+
+def test_kneser_ney_equals_brute_force():
+    """Cross-entropies from plain dictionaries of n-grams."""
+    fit = {"aa": ["the cat sat on the mat", "a cat, a hat & the rat!", "that is it"], "bb": ["die katze sitzt", "eine matte ist da", "das ist es"]}
+    held = ["the rat is on", "die ist das", "xyz ça", "a", "Äß", "the the the"]
+    model = language_id.train([(lang, t) for lang, texts in fit.items() for t in texts])
+    letters_of = lambda t: "".join(c.lower() if c.isalpha() else " " for c in t)
+    known = {c for texts in fit.values() for t in texts for c in letters_of(t)} - {" "}
+    size = len(known) + 2
+
+    def symbols(t):
+        out = []
+        for c in letters_of(t):
+            if c != " " or not out or out[-1] != " ":
+                out.append(c if c == " " or c in known else "?")
+        return out
+
+    def grams(t):
+        padded = [" "] * 3 + symbols(t)
+        return [tuple(padded[k : k + 4]) for k in range(len(padded) - 3)]
+
+    for k, lang in enumerate(model.langs):
+        counts = {4: Counter(g for t in fit[lang] for g in grams(t))}
+        for m in (3, 2, 1):
+            counts[m] = Counter(g[1:] for g in counts[m + 1])  # continuation counts
+
+        def prob(g):
+            if not g:
+                return 1 / size
+            m, lower = len(g), prob(g[1:])
+            after = {h: n for h, n in counts[m].items() if h[:-1] == g[:-1]}
+            if not after:
+                return lower
+            total = sum(after.values())
+            return max(after.get(g, 0) - language_id.DISCOUNT, 0) / total + language_id.DISCOUNT * len(after) / total * lower
+
+        got, _ = model.entropies(held, model.table())
+        for j, t in enumerate(held):
+            g = grams(t)
+            assert abs(got[j, k] + sum(np.log(prob(x)) for x in g) / len(g)) < 1e-4
