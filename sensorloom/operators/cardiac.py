@@ -46,13 +46,13 @@ def poincare(df: DataFrame, keys, x: str, order) -> DataFrame:
 
 
 def fragmentation(df: DataFrame, keys, x: str, order) -> DataFrame:
-    """Share of inflection points, inverse mean run length, shares of short runs and of alternation, from signs of differences."""
-    d = nn_diff(df, keys, x, order).where(F.col("d").isNotNull()).withColumn("s", F.signum("d").cast("int"))
-    r = islands(d, F.col("s"), keys, order).withColumn("turn", F.col("s") * F.lag("s").over(ordered(keys, order)) < 0)
-    runs = r.groupBy(*keys, "run").agg(F.count("*").alias("len"), F.count_if("turn").alias("turns"))
-    return runs.groupBy(*keys).agg(
-        (100.0 * F.sum("turns") / F.sum("len")).alias("pip"), (F.count("*") / F.sum("len")).alias("ials"),
-        (100.0 * F.coalesce(F.sum(F.when(F.col("len") < 3, F.col("len"))), F.lit(0)) / F.sum("len")).alias("pss"))
+    """Share of inflection points, inverse mean segment length, shares of differences in segments of three or fewer and of one, from signs of non-zero differences."""
+    d = nn_diff(df, keys, x, order).where("d <> 0").withColumn("s", F.signum("d").cast("int"))
+    r = islands(d, F.col("s"), keys, order).groupBy(*keys, "run").agg(F.count("*").alias("len"))
+    n, total = F.count("*"), F.sum("len")
+    return r.groupBy(*keys).agg(
+        F.try_divide(100.0 * (n - 1), total - 1).alias("pip"), (n / total).alias("ials"), (100.0 * F.sum(F.when(F.col("len") <= 3, F.col("len")).otherwise(0)) / total).alias("pss"),
+        (100.0 * F.count_if(F.col("len") == 1) / total).alias("pas"))
 
 
 def asymmetry(df: DataFrame, keys, x: str, order) -> DataFrame:
@@ -74,19 +74,6 @@ def lomb(df: DataFrame, keys, x: str, t: str, frequencies) -> DataFrame:
     return s.select(*keys, "f", (0.5 * (F.coalesce(F.try_divide(F.col("yc") * F.col("yc"), F.col("cc")), F.lit(0.0)) + F.coalesce(F.try_divide(F.col("ys") * F.col("ys"), F.col("ss")), F.lit(0.0)))).alias("power"))
 
 
-def kalman(df: DataFrame, keys, x: str, order, process: float, noise: float) -> DataFrame:
-    """Scalar Kalman filter folded over each ordered group; the last state and its variance."""
-    one = df.where(F.col(x).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(x).alias("_v")))).alias("s"))
-
-    def step(acc, e):
-        p = acc["p"] + process
-        k = p / (p + noise)
-        return F.struct((acc["m"] + k * (e["_v"] - acc["m"])).alias("m"), ((1 - k) * p).alias("p"))
-
-    start = F.struct(F.get("s", F.lit(0))["_v"].alias("m"), F.lit(1.0).alias("p"))
-    return one.withColumn("r", F.aggregate("s", start, step)).select(*keys, F.size("s").cast("long").alias("n"), F.col("r.m").alias("state"), F.col("r.p").alias("variance"))
-
-
 def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float:
     """-ln(A / B) with Chebyshev templates of m and m + 1 points."""
     n, tol = len(x) - m, r * x.std(ddof=1) if len(x) > 1 else 0.0

@@ -14,14 +14,6 @@ def local_peaks(df: DataFrame, keys, x: str, order, least: float) -> DataFrame:
         (F.col(x) >= least) & (F.col(x) > F.col("_p")) & (F.col(x) >= F.col("_n"))).drop("_p", "_n")
 
 
-def refractory(df: DataFrame, keys, t: str, distance: float) -> DataFrame:
-    """Times kept in order when each must be ``distance`` after the last kept one."""
-    one = df.groupBy(*keys).agg(F.sort_array(F.collect_list(t)).alias("s"))
-    none = F.lit(None).cast("array<double>")
-    step = lambda acc, v: F.when(acc.isNull(), F.array(v)).when(v - F.element_at(acc, -1) >= distance, F.concat(acc, F.array(v))).otherwise(acc)
-    return one.select(*keys, F.explode(F.aggregate("s", none, step)).alias(t))
-
-
 def habituation(df: DataFrame, keys, x: str, order) -> DataFrame:
     """Slope of log amplitude on trial number and the ratio of the last to the first third's mean."""
     w = ordered(keys, order)

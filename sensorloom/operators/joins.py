@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.core import last_known, median, next_known, ordered, whole
 
+MOST_AREAS = 10_000
+
 
 def sync(left: DataFrame, right: DataFrame, by, keep, how: str = "left") -> DataFrame:
     """Exact join on ``by`` where NULL keys match; only ``keep`` comes from the right."""
@@ -113,13 +115,18 @@ def sync_drift(pairs: DataFrame, keys, reference: str, target: str, tolerance: f
     return d.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope("lag", reference).alias("drift"), F.stddev_samp("lag").alias("sd"), (F.max("lag") - F.min("lag")).alias("range")).withColumn("ok", F.col("range") <= tolerance)
 
 
-def assign_area(points: DataFrame, areas: DataFrame, x: str, y: str, order) -> DataFrame:
-    """The rectangle of highest priority (then smallest, then by name) that holds each point, bounds included."""
-    inside = F.col(x).between(F.col("xmin"), F.col("xmax")) & F.col(y).between(F.col("ymin"), F.col("ymax"))
+def assign_area(points: DataFrame, areas: DataFrame, x: str, y: str) -> DataFrame:
+    """Each point with the rectangle of highest priority (then smallest, then by name) that holds it, bounds included; equal points stay apart.
+
+    A stimulus' areas become one array in the order of choice, so points are neither joined nor shuffled; ``MOST_AREAS`` bounds it.
+    """
+    if areas.limit(MOST_AREAS + 1).count() > MOST_AREAS:
+        raise ValueError(f"more than {MOST_AREAS} areas: part the points by stimulus")
     size = (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))
-    best = F.struct(-F.col("priority"), size, F.col("aoi"))
-    hit = points.join(F.broadcast(areas), inside, "left")  # a stimulus' areas, few
-    return hit.groupBy(*points.columns).agg(F.min_by("aoi", F.when(F.col("aoi").isNotNull(), best)).alias("area"), F.count("aoi").alias("n_areas"))
+    listed = areas.agg(F.sort_array(F.collect_list(F.struct((-F.col("priority")).alias("p"), size.alias("s"), "aoi", "xmin", "xmax", "ymin", "ymax"))).alias("_areas"))
+    inside = lambda a: F.col(x).between(a["xmin"], a["xmax"]) & F.col(y).between(a["ymin"], a["ymax"])
+    hit = points.join(F.broadcast(listed)).withColumn("_hit", F.filter("_areas", inside))
+    return hit.withColumn("area", F.get("_hit", F.lit(0))["aoi"]).withColumn("n_areas", F.size("_hit").cast("long")).drop("_areas", "_hit")
 
 
 def event_peaks(events: DataFrame, peaks: DataFrame, keys, event: str, et: str, t: str, x: str, after: float) -> DataFrame:

@@ -92,17 +92,6 @@ def impute(df: DataFrame, keys, x: str, t: str, order, method: str = "linear", m
     return d.withColumn("imputed", F.when(ok, fill).otherwise(F.col(x))).withColumn("was_imputed", F.col(x).isNull() & F.col("imputed").isNotNull()).drop("_p", "_n", "run")
 
 
-def adaptive_ema(df: DataFrame, keys, x: str, order, alpha: float = 0.1) -> DataFrame:
-    """Exponentially weighted centre of the samples inside the IQR fences, as one fold over each ordered group."""
-    w = whole(keys)
-    q1, q3 = quantile(x, 0.25).over(w), quantile(x, 0.75).over(w)
-    inside = F.col(x).between(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
-    d = df.withColumn("_v", F.when(inside, F.col(x))).where("_v is not null")
-    one = d.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, F.col("_v").alias("_v")))).alias("s"))
-    step = lambda acc, e: F.when(acc.isNull(), e["_v"]).otherwise((1 - alpha) * acc + alpha * e["_v"])
-    return one.select(*keys, F.size("s").cast("long").alias("n"), F.aggregate("s", F.lit(None).cast("double"), step).alias("ema"))
-
-
 def time_resets(df: DataFrame, keys, t: str, order) -> DataFrame:
     """Backward and repeated steps, and the segment each row belongs to."""
     d = df.withColumn("dt", F.col(t) - F.lag(t).over(ordered(keys, order)))

@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.core import islands, ordered, whole
 
+# The cumulative probabilities of a Poisson distribution of mean 1, from 0 on.
+POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975, 0.99999887)
+
+
+def _hashed(seed: int, *columns: Column) -> Column:
+    """An unsigned 32-bit number from an MD5, as any engine gives it."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in columns])), 1, 8), 16, 10).cast("long")
+
 
 def agreement(df: DataFrame, keys, a: str, b: str) -> DataFrame:
     """Lin's concordance, Bland-Altman bias and limits, mean absolute and root mean square difference."""
@@ -40,26 +50,37 @@ def time_clusters(tmap: DataFrame, time: str, limit: float) -> DataFrame:
     return d.where("sign <> 0").groupBy("run", "sign").agg(F.min(time).alias("start"), F.max(time).alias("stop"), F.count("*").alias("size"), F.sum("t").alias("mass")).drop("run")
 
 
+def threshold_sensitivity(tmap: DataFrame, time: str, limits) -> DataFrame:
+    """Number of clusters and the largest mass at each threshold."""
+    d = tmap.withColumn("limit_t", F.explode(F.array(*[F.lit(float(v)) for v in limits])))
+    sign = F.when(F.col("t") > F.col("limit_t"), 1).when(F.col("t") < -F.col("limit_t"), -1).otherwise(0)
+    r = islands(d.withColumn("sign", sign), F.col("sign"), ["limit_t"], [time]).groupBy("limit_t", "run", "sign").agg(F.abs(F.sum("t")).alias("mass"))
+    mass = F.when(F.col("sign") != 0, F.col("mass"))
+    return r.groupBy("limit_t").agg(F.count(mass).alias("clusters"), F.coalesce(F.max(mass), F.lit(0.0)).alias("largest"))
+
+
 def cluster_null(df: DataFrame, subject: str, condition: str, time: str, x: str, levels: tuple[str, str], limit: float, rounds: int, seed: int = 1) -> DataFrame:
-    """Largest cluster mass of each sign-flip round: subjects' differences change sign by a hash of (seed, round, subject)."""
+    """Largest cluster mass of each sign-flip round: subjects' differences change sign by an MD5 of (seed, round, subject)."""
     a, b = levels
     cell = df.where(F.col(condition).isin(a, b)).groupBy(subject, time).agg((F.avg(F.when(F.col(condition) == b, F.col(x))) - F.avg(F.when(F.col(condition) == a, F.col(x)))).alias("d")).where("d is not null")
     flips = cell.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    d = flips.withColumn("d", F.col("d") * (1 - 2 * F.pmod(F.xxhash64(F.lit(seed), "round", subject), F.lit(2))))
+    d = flips.withColumn("d", F.col("d") * (1 - 2 * (_hashed(seed, F.col("round"), F.col(subject)) % 2)))
     t = d.groupBy("round", time).agg(F.avg("d").alias("m"), F.stddev_samp("d").alias("s"), F.count("*").alias("n")).withColumn("t", F.when(F.col("s") > 0, F.col("m") / (F.col("s") / F.sqrt("n"))).otherwise(0.0))
     sign = F.when(F.col("t") > limit, 1).when(F.col("t") < -limit, -1).otherwise(0)
     r = islands(t.withColumn("sign", sign), F.col("sign"), ["round"], [time]).where("sign <> 0").groupBy("round", "run").agg(F.abs(F.sum("t")).alias("mass"))
     return d.select("round").distinct().join(r.groupBy("round").agg(F.max("mass").alias("mass")), "round", "left").fillna(0.0, ["mass"])
 
 
-def bootstrap_difference(df: DataFrame, keys, condition: str, x: str, levels: tuple[str, str], rounds: int, seed: int = 1) -> DataFrame:
-    """Mean difference of two conditions with Poisson-bootstrap percentile bounds; weights come from a hash, so reruns agree."""
+def bootstrap_difference(df: DataFrame, keys, condition: str, x: str, levels: tuple[str, str], rounds: int, row: str, seed: int = 1) -> DataFrame:
+    """Mean difference of two conditions with Poisson-bootstrap percentile bounds; weights come from an MD5 of (seed, round, row), so reruns agree.
+
+    ``row`` names each row. Rows meet their rounds in a map-side aggregation; only a sum for each key and round is shuffled.
+    """
     a, b = levels
     d = df.where(F.col(condition).isin(a, b) & F.col(x).isNotNull()).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
-    u = F.pmod(F.xxhash64(F.lit(seed), "round", *keys, condition, x, "_id"), F.lit(1_000_000)) / 1e6
-    # Poisson(1) by its cumulative probabilities
-    weight = F.when(F.col("round") == 0, 1).when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.91969860, 2).when(u < 0.98101184, 3).when(u < 0.99634015, 4).otherwise(5)
-    d = d.withColumn("w", weight)
+    u = _hashed(seed, F.col("round"), F.col(row)) / 4294967296.0
+    weight = reduce(lambda w, p: w + (u >= p).cast("int"), POISSON, F.lit(0))
+    d = d.withColumn("w", F.when(F.col("round") == 0, 1).otherwise(weight))
     mean = lambda c: F.try_divide(F.sum(F.when(F.col(condition) == c, F.col("w") * F.col(x))), F.sum(F.when(F.col(condition) == c, F.col("w"))))
     r = d.groupBy(*keys, "round").agg((mean(b) - mean(a)).alias("diff"))
     boot = F.when(F.col("round") > 0, F.col("diff"))
@@ -109,12 +130,15 @@ def one_way_f(df: DataFrame, keys, group: str, x: str) -> DataFrame:
 
 
 def kruskal(df: DataFrame, keys, group: str, x: str) -> DataFrame:
-    """Kruskal-Wallis H without tie correction, on mean ranks within each key."""
+    """Kruskal-Wallis H on mean ranks within each key, corrected for ties; NULL where all values are equal."""
     d = df.where(F.col(x).isNotNull())
-    d = d.withColumn("_r", F.rank().over(ordered(keys, [x])) + (F.count("*").over(whole([*keys, x])) - 1) / 2)
-    g = d.groupBy(*keys, group).agg(F.count("*").alias("n"), F.sum("_r").alias("r"))
-    s = g.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("_q"))
-    return s.select(*keys, "n", (12.0 * F.col("_q") / (F.col("n") * (F.col("n") + 1)) - 3 * (F.col("n") + 1)).alias("h"))
+    same = F.count("*").over(whole([*keys, x]))
+    d = d.withColumn("_r", F.rank().over(ordered(keys, [x])) + (same - 1) / 2).withColumn("_t", (same * same - 1).cast("double"))
+    g = d.groupBy(*keys, group).agg(F.count("*").alias("n"), F.sum("_r").alias("r"), F.sum("_t").alias("t"))
+    s = g.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("_q"), F.sum("t").alias("_t"))
+    n = F.col("n").cast("double")
+    ties = 1 - F.try_divide(F.col("_t"), n * n * n - n)
+    return s.select(*keys, "n", F.try_divide(12.0 * F.col("_q") / (n * (n + 1)) - 3 * (n + 1), F.nullif(ties, F.lit(0.0))).alias("h"))
 
 
 def icc_agreement(df: DataFrame, keys, a: str, b: str) -> DataFrame:

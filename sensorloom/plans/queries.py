@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.core import rounded
 from ..sources import exports as X, sinks as K
 from . import provenance as P
-from ..operators import cardiac as C, events as E, joins as J, quality as Q, standardize as S, stats as T, waveforms as V, windows as W
+from ..operators import cardiac as C, events as E, joins as J, quality as Q, scans as R, standardize as S, stats as T, summaries as M, waveforms as V, windows as W
 
 QUERIES, SQL = {}, {}
 ORDER = ["t", "id"]
@@ -219,10 +219,12 @@ for _m, _e in {"linear": "x1 + coalesce((t - t1) / nullif(t2 - t1, 0), 0) * (x2
     query(f"impute_{_m}", _impute_sql(_e), "imputed")(lambda spark, d, m=_m: S.impute(samples(spark, d), ["unit"], "xm", "t", ORDER, m, 3).select("id", "imputed", "was_imputed"))
 
 
-@query("adaptive_ema", """, q as (select unit, quantile_cont(x, 0.25) a, quantile_cont(x, 0.75) b from s group by unit), v as (select unit, list(x order by t, id) l from s join q using (unit) where x between a - 1.5 * (b - a) and b + 1.5 * (b - a) group by unit)
- select unit, len(l)::bigint n, list_reduce(l, lambda m, e: 0.9 * m + 0.1 * e) ema from v""", "ema")
+@query("adaptive_ema", """with recursive s as (select event_id id, user_id unit, case when value >= 60 then value end x, row_number() over (partition by user_id order by ts, event_id) rn from events), q as (select unit, quantile_cont(x, 0.25) a, quantile_cont(x, 0.75) b from s group by unit),
+ v as (select s.*, x not between a - 1.5 * (b - a) and b + 1.5 * (b - a) outlier from s join q using (unit)),
+ k(unit, rn, id, m) as (select distinct unit, 0::bigint, null::bigint, null::double from v union all select v.unit, v.rn, v.id, case when v.x is null or v.outlier then k.m else coalesce(0.9 * k.m + 0.1 * v.x, v.x) end from k join v on v.unit = k.unit and v.rn = k.rn + 1)
+ select k.id, m ema, outlier from k join v on v.id = k.id""", "ema")
 def _(spark, d):
-    return S.adaptive_ema(samples(spark, d), ["unit"], "x", ORDER)
+    return R.adaptive_ema(samples(spark, d), ["unit"], "xm", ORDER, 604800.0).select("id", "ema", "outlier")
 
 
 @query("time_resets", """, g as (select id, unit, t, t - lag(t) over (partition by unit order by id) dt from s) select id, dt, coalesce(dt < 0, false) is_reset, coalesce(dt = 0, false) is_tie, (count(*) filter (dt < 0) over (partition by unit order by id))::bigint segment from g""", "dt")
@@ -499,11 +501,11 @@ def _(spark, d):
 
 @query("area_assignment", """with a as (select * from (values ('small', 1.0, 20.0, 900.0, 1200.0, 2), ('large', 0.0, 50.0, 900.0, 1900.0, 1), ('right', 30.0, 50.0, 1000.0, 1500.0, 2)) v(aoi, xmin, xmax, ymin, ymax, priority)),
  h as (select p_partkey, aoi, row_number() over (partition by p_partkey order by priority desc, (xmax - xmin) * (ymax - ymin), aoi) k, count(aoi) over (partition by p_partkey) n from part left join a on p_size between xmin and xmax and p_retailprice between ymin and ymax)
- select p_partkey, aoi area, n n_areas from h where k = 1""")
+ select p_size, p_retailprice, aoi area, n n_areas from h join part using (p_partkey) where k = 1""")
 def _(spark, d):
     areas = spark.createDataFrame([("small", 1.0, 20.0, 900.0, 1200.0, 2), ("large", 0.0, 50.0, 900.0, 1900.0, 1), ("right", 30.0, 50.0, 1000.0, 1500.0, 2)], "aoi string, xmin double, xmax double, ymin double, ymax double, priority int")
-    p = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("px"), F.col("p_retailprice").alias("py"))
-    return J.assign_area(p, areas, "px", "py", ["p_partkey"]).select("p_partkey", "area", "n_areas")
+    p = table(spark, d, "part").select("p_size", "p_retailprice")  # without a key: equal points are points of their own
+    return J.assign_area(p, areas, "p_size", "p_retailprice").select("p_size", "p_retailprice", "area", "n_areas")
 
 
 # --- events ---------------------------------------------------------------------
@@ -517,7 +519,7 @@ def _(spark, d):
 @query("refractory_events", """with recursive s as (select user_id unit, epoch_us(ts) / 1e6 t from events), k(unit, t) as (select unit, min(t) from s group by unit union all select k.unit, (select min(s.t) from s where s.unit = k.unit and s.t - k.t >= 86400) from k where exists (select 1 from s where s.unit = k.unit and s.t - k.t >= 86400))
  select unit, t from k""", "t")
 def _(spark, d):
-    return E.refractory(samples(spark, d), ["unit"], "t", 86400.0)
+    return R.refractory(samples(spark, d), ["unit"], "t", 86400.0)
 
 
 @query("habituation", """, g as (select *, row_number() over w trial, ntile(3) over w third from s window w as (partition by unit order by t, id)) select unit, count(*) n, regr_slope(ln(1 + x), trial) slope, avg(x) filter (third = 3) / nullif(avg(x) filter (third = 1), 0) ratio from g group by unit""", "slope ratio")
@@ -588,8 +590,9 @@ def _(spark, d):
     return C.poincare(samples(spark, d), ["unit"], "x", ORDER)
 
 
-@query("hrv_fragmentation", NN + """, g as (select unit, sign(d)::int s, rn, sign(d) * lag(sign(d)) over (partition by unit order by rn) < 0 turn from v where d is not null), r as (select *, rn - row_number() over (partition by unit, s order by rn) k from g), q as (select unit, count(*) len, count(*) filter (turn) turns from r group by unit, s, k)
- select unit, 100.0 * sum(turns) / sum(len) pip, count(*) / sum(len) ials, 100.0 * coalesce(sum(len) filter (len < 3), 0) / sum(len) pss from q group by unit""", "pip ials pss")
+@query("hrv_fragmentation", NN + """, g as (select unit, sign(d)::int s, row_number() over (partition by unit order by rn) k from v where d <> 0), h as (select *, s * lag(s) over (partition by unit order by k) < 0 turn, k - row_number() over (partition by unit, s order by k) q from g),
+ r as (select unit, s, q, count(*) len from h group by unit, s, q), i as (select unit, count(*) filter (turn) turns, count(*) n from h group by unit)
+ select unit, 100.0 * any_value(turns) / nullif(any_value(n) - 1, 0) pip, 1 / avg(len) ials, 100.0 * coalesce(sum(len) filter (len <= 3), 0) / sum(len) pss, 100.0 * count(*) filter (len = 1) / sum(len) pas from r join i using (unit) group by unit""", "pip ials pss pas")
 def _(spark, d):
     return C.fragmentation(samples(spark, d), ["unit"], "x", ORDER)
 
@@ -605,11 +608,15 @@ def _(spark, d):
     return C.lomb(samples(spark, d), ["unit"], "x", "h", [0.05, 0.1, 0.2, 0.3])
 
 
-@query("kalman_fusion", """with recursive s as (select user_id unit, value x, row_number() over (partition by user_id order by ts, event_id) rn, count(*) over (partition by user_id) n from events),
- k(unit, rn, n, m, p) as (select unit, 1::bigint, n, x::double, (1 - (1.0 + 0.1) / (1.0 + 0.1 + 2.0)) * (1.0 + 0.1)::double from s where rn = 1 union all select k.unit, s.rn, k.n, m + (p + 0.1) / (p + 2.1) * (x - m), (1 - (p + 0.1) / (p + 2.1)) * (p + 0.1) from k join s on s.unit = k.unit and s.rn = k.rn + 1)
- select unit, n, m as state, p variance from k where rn = n""", "state variance")
+@query("kalman_fusion", """with recursive s as (select event_id id, user_id unit, case when value >= 60 then value end a, case when event_id % 3 = 0 then value end b, row_number() over (partition by user_id order by ts, event_id) rn from events),
+ k(unit, rn, id, m, p) as (select distinct unit, 0::bigint, null::bigint, null::double, 1.0::double from s union all
+ select unit, rn, id, case when b is null then m1 else coalesce(m1, b) + p1 / (p1 + 3.0) * (b - coalesce(m1, b)) end, case when b is null then p1 else (1 - p1 / (p1 + 3.0)) * p1 end from
+ (select s.unit, s.rn, s.id, s.b, case when s.a is null then k.m else coalesce(k.m, s.a) + (k.p + 0.1) / (k.p + 0.1 + 2.0) * (s.a - coalesce(k.m, s.a)) end m1, case when s.a is null then k.p + 0.1 else (1 - (k.p + 0.1) / (k.p + 0.1 + 2.0)) * (k.p + 0.1) end p1
+ from k join s on s.unit = k.unit and s.rn = k.rn + 1))
+ select k.id, m as fused, p variance, case when a is null and b is null then 'missing' when b is null then 'primary_only' when a is null then 'secondary_only' else 'fused' end status from k join s on s.id = k.id""", "fused variance")
 def _(spark, d):
-    return C.kalman(samples(spark, d), ["unit"], "x", ORDER, 0.1, 2.0)
+    s = samples(spark, d).withColumn("b", F.when(F.col("id") % 3 == 0, F.col("x")))
+    return R.fuse_two(s, ["unit"], "xm", "b", ORDER, 604800.0, 0.1, 2.0, 3.0).select("id", "fused", "variance", "status")
 
 
 @query("hrv_nonlinear")
@@ -659,15 +666,44 @@ def _(spark, d):
     return T.time_clusters(T.paired_t_by_time(_cells(spark, d), "subject", "condition", "time", "x", LEVELS), "time", 0.3)
 
 
-@query("cluster_permutation_null")
+CELLS = """with c as (select o_custkey % 100 s, month(o_orderdate) m, avg(o_totalprice) filter (o_orderpriority = '5-LOW') - avg(o_totalprice) filter (o_orderpriority = '1-URGENT') d from orders group by 1, 2),
+ f as (select round, m, d * (1 - 2 * (('0x' || substr(md5('1|' || round || '|' || s), 1, 8))::bigint % 2)) d from c, range(1, 101) r(round) where d is not null),
+ t as (select round, m, case when stddev_samp(d) > 0 then avg(d) / (stddev_samp(d) / sqrt(count(*))) else 0 end t from f group by round, m),
+ g as (select *, case when t > 0.3 then 1 when t < -0.3 then -1 else 0 end sg, row_number() over (partition by round order by m) rn from t), h as (select *, rn - row_number() over (partition by round, sg order by rn) k from g),
+ u as (select round, abs(sum(t)) mass from h where sg <> 0 group by round, sg, k), null_mass as (select round::int as round, coalesce(max(u.mass), 0) mass from (select distinct round from f) left join u using (round) group by round)"""
+
+
+@query("cluster_permutation_null", CELLS + " select * from null_mass", "mass")
 def _(spark, d):
     return T.cluster_null(_cells(spark, d), "subject", "condition", "time", "x", LEVELS, 0.3, 100)
 
 
-@query("condition_bootstrap")
+OBSERVED = """, o as (select m, avg(d) / (stddev_samp(d) / sqrt(count(*))) t from c where d is not null group by m)"""
+
+
+@query("cluster_threshold_sensitivity", CELLS + OBSERVED + """, l as (select unnest([0.2, 0.3, 0.5])::double as limit_t), z as (select limit_t, m, t, case when t > limit_t then 1 when t < -limit_t then -1 else 0 end sg from o, l),
+ y as (select *, row_number() over (partition by limit_t order by m) - row_number() over (partition by limit_t, sg order by m) k from z), x as (select limit_t, abs(sum(t)) mass from y where sg <> 0 group by limit_t, sg, k)
+ select l.limit_t, count(mass) clusters, coalesce(max(mass), 0) largest from l left join x using (limit_t) group by l.limit_t""", "limit_t largest")
+def _(spark, d):
+    return T.threshold_sensitivity(T.paired_t_by_time(_cells(spark, d), "subject", "condition", "time", "x", LEVELS), "time", [0.2, 0.3, 0.5])
+
+
+@query("cluster_p_values", CELLS + OBSERVED + """, z as (select m, t, case when t > 0.3 then 1 when t < -0.3 then -1 else 0 end sg from o), y as (select *, row_number() over (order by m) - row_number() over (partition by sg order by m) k from z),
+ x as (select sg as sign, min(m) as start, sum(t) mass from y where sg <> 0 group by sg, k) select x.sign, x.start, x.mass, (1 + (select count(*) from null_mass n where n.mass >= abs(x.mass))) / 101.0 p from x""", "mass p")
 def _(spark, d):
-    o = _cells(spark, d).withColumn("_id", F.xxhash64("subject", "time", "x"))
-    return T.bootstrap_difference(o, ["time"], "condition", "x", LEVELS, 100)
+    cells = _cells(spark, d)
+    masses = T.time_clusters(T.paired_t_by_time(cells, "subject", "condition", "time", "x", LEVELS), "time", 0.3)
+    return M.cluster_p(masses, T.cluster_null(cells, "subject", "condition", "time", "x", LEVELS, 0.3, 100)).select("sign", "start", "mass", "p")
+
+
+@query("condition_bootstrap", f"""with d as (select o_orderkey, month(o_orderdate) as time, o_orderpriority c, o_totalprice x from orders where o_orderpriority in ('1-URGENT', '5-LOW')),
+ u as (select *, ('0x' || substr(md5('1|' || round || '|' || o_orderkey), 1, 8))::bigint / 4294967296.0::double u from d, range(0, 101) r(round)), w as (select *, case when round = 0 then 1 else {' + '.join(f'(u >= {p})::int' for p in T.POISSON)} end w from u),
+ g as (select time, round, sum(w * x) filter (c = '5-LOW') / nullif(sum(w) filter (c = '5-LOW'), 0) - sum(w * x) filter (c = '1-URGENT') / nullif(sum(w) filter (c = '1-URGENT'), 0) diff from w group by time, round)
+ select time, max(diff) filter (round = 0) as diff, quantile_cont(diff, 0.025) filter (round > 0) low, quantile_cont(diff, 0.975) filter (round > 0) high,
+ least(1.0, 2 * least(count(*) filter (round > 0 and diff <= 0), count(*) filter (round > 0 and diff >= 0)) / count(diff) filter (round > 0)::double) p from g group by time""", "diff low high p")
+def _(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.month("o_orderdate").alias("time"), F.col("o_orderpriority").alias("condition"), F.col("o_totalprice").alias("x"))
+    return T.bootstrap_difference(o, ["time"], "condition", "x", LEVELS, 100, "o_orderkey")
 
 
 @query("scr_multiverse", """, e as (select id as event, unit, t et from s where state = 'error'), a as (select event, s.x, s.t - et rel from e join s on e.unit = s.unit and s.t between et - 36000 and et + 36000),
@@ -787,12 +823,23 @@ def _(spark, d):
     return V.low_pass(samples(spark, d), "unit", "x", ORDER, 0.5, 4.0)
 
 
-@query("convolution_glm", """, c as (select unit, x, h::double h, id % 7 z from s), k as (select unit, count(*) n, avg(x) my, avg(h) m1, avg(z) m2, covar_pop(h, h) s11, covar_pop(z, z) s22, covar_pop(h, z) s12, covar_pop(x, h) s1y, covar_pop(x, z) s2y, covar_pop(x, x) syy from c group by unit),
- b as (select *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) b1, (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) b2 from k), r as (select *, (b1 * s1y + b2 * s2y) / syy r2, (syy - b1 * s1y - b2 * s2y) * n / (n - 3) v from b)
- select unit, 'h' term, b1 beta, sqrt(v * s22 / (s11 * s22 - s12 * s12) / n) se, b1 / sqrt(v * s22 / (s11 * s22 - s12 * s12) / n) t, r2 from r""", "beta se t r2")
+REGRESSOR = """, r as (select a.id, sum(((a.t - e.t) / 172800.0) ** 2 * exp(2 * (1 - (a.t - e.t) / 172800.0))) r from s a join s e on e.unit = a.unit and e.state = 'error' and e.t between a.t - 1209600 and a.t group by a.id), d as (select s.*, coalesce(r, 0) r from s left join r using (id))"""
+
+
+@query("event_response_regressor", REGRESSOR + " select id, r regressor from d", "regressor")
 def _(spark, d):
-    s = samples(spark, d).withColumn("y", F.col("h").cast("double")).withColumn("z", (F.col("id") % 7).cast("double"))
-    return V.glm(s, "unit", "x", ["y", "z"], ORDER).where("term = 'y'").withColumn("term", F.lit("h"))
+    return _design(spark, d).select("id", "regressor")
+
+
+@query("convolution_glm", REGRESSOR + """, f as (select unit, count(*) n, regr_slope(x, r) beta, regr_intercept(x, r) as intercept, regr_r2(x, r) r2, regr_sxx(x, r) sxx, regr_syy(x, r) syy, regr_sxy(x, r) sxy from d group by unit),
+ e as (select *, case when n > 2 and sxx > 0 then sqrt(greatest(syy - beta * sxy, 0) / (n - 2) / sxx) end se from f) select unit, n, beta, intercept, r2, se, beta / nullif(se, 0) t from e where sxx > 0""", "beta intercept r2 se t")
+def _(spark, d):
+    return M.convolution_fit(_design(spark, d), ["unit"], "x", "regressor").where("se is not null")
+
+
+def _design(spark, d):
+    s = samples(spark, d)
+    return M.response_regressor(s, s.where("state = 'error'").select("unit", F.col("t").alias("on_t")), ["unit"], "id", "t", "on_t", 1209600.0, 3.0, 86400.0)
 
 
 # --- further flags, windows and features ------------------------------------------------
@@ -879,10 +926,11 @@ def _(spark, d):
     return T.one_way_f(o, ["k"], "c", "x")
 
 
-@query("kruskal_wallis", """, r as (select unit, state, rank() over (partition by unit order by x) + (count(*) over (partition by unit, x) - 1) / 2.0 r from s), g as (select unit, state, count(*) n, sum(r) r from r group by unit, state)
- select unit, sum(n)::bigint n, 12.0 * sum(r * r / n) / (sum(n) * (sum(n) + 1)) - 3 * (sum(n) + 1) h from g group by unit""", "h")
+@query("kruskal_wallis", """, w as (select unit, state, round(x / 20) v from s), r as (select unit, state, rank() over (partition by unit order by v) + (count(*) over (partition by unit, v) - 1) / 2.0 r from w), g as (select unit, state, count(*) n, sum(r) r from r group by unit, state),
+ t as (select unit, sum(c ** 3 - c) t from (select unit, v, count(*)::double c from w group by unit, v) group by unit)
+ select unit, sum(n)::bigint n, (12.0 * sum(r * r / n) / (sum(n) * (sum(n) + 1)) - 3 * (sum(n) + 1)) / nullif(1 - any_value(t) / nullif(sum(n) ** 3 - sum(n), 0), 0) h from g join t using (unit) group by unit""", "h")
 def _(spark, d):
-    return T.kruskal(samples(spark, d), ["unit"], "state", "x")
+    return T.kruskal(samples(spark, d).withColumn("v", F.round(F.col("x") / 20)), ["unit"], "state", "v")
 
 
 @query("icc_agreement", """with l as (select l_returnflag k, l_extendedprice / 1500 a, l_quantity b from lineitem), s as (select k, count(*) n, 2 * var_samp((a + b) / 2) r, var_samp(a - b) / 2 e, count(*) * avg(a - b) ** 2 / 2 c from l group by k)
@@ -902,3 +950,78 @@ def _(spark, d):
 def _(spark, d):
     poly = spark.createDataFrame([("tri", [(1.0, 900.0), (50.0, 900.0), (25.0, 1500.0)])], "aoi string, vertices array<struct<x double, y double>>")
     return J.in_polygon(table(spark, d, "part"), poly, "p_partkey", "p_size", "p_retailprice")
+
+
+# --- summaries, corrections and model tables of recordings -------------------------------
+
+
+@query("fixations_by_area", """, f as (select unit, case when state = 'view' then null else state end area, t as start, xm duration, h * 3600.0::double onset from s), g as (select unit, area, count(*) fixations, sum(duration) total, avg(duration) mean, median(duration) median, stddev_samp(duration) sd,
+ min(duration) shortest, max(duration) longest, min(start) first_start, max(start + duration) last_end, min(start - onset) latency from f where area is not null and duration > 0 group by unit, area) select *, total / sum(total) over (partition by unit) dwell_share from g""", "total mean median sd shortest longest first_start last_end latency dwell_share")
+def _(spark, d):
+    f = samples(spark, d).select("unit", F.when(F.col("state") != "view", F.col("state")).alias("area"), F.col("t").alias("start"), F.col("xm").alias("duration"), (F.col("h") * 3600.0).alias("onset"))
+    return M.fixations_by_area(f, ["unit"], "area", "start", "duration", "onset")
+
+
+@query("tracking_summary", """select unit, count(*) n, avg((coalesce(xm > 0, false))::int) pupil_ratio, avg((x between 0 and 100 and h between 6 and 18)::int) gaze_ratio, avg((coalesce(xm > 0, false) and x between 0 and 100 and h between 6 and 18)::int) tracking_ratio,
+ count(*) filter (not (coalesce(xm > 0, false) and x between 0 and 100 and h between 6 and 18)) n_invalid from s group by unit""", "pupil_ratio gaze_ratio tracking_ratio")
+def _(spark, d):
+    return M.tracking(samples(spark, d), ["unit"], ["xm"], "x", "h", (0.0, 100.0, 6.0, 18.0))
+
+
+@query("clock_mapped_times", """with p as (select o_custkey % 50 k, date_diff('day', date '1990-01-01', o_orderdate)::double r, date_diff('day', date '1990-01-01', l_shipdate)::double g from orders join lineitem on o_orderkey = l_orderkey), f as (select k, regr_slope(r, g) a, regr_intercept(r, g) b from p where k < 40 group by k)
+ select l_orderkey, l_linenumber, f.b + f.a * date_diff('day', date '1990-01-01', l_shipdate) reference_t from lineitem join orders on o_orderkey = l_orderkey left join f on f.k = o_custkey % 50""", "reference_t")
+def _(spark, d):
+    day = lambda c: F.datediff(c, F.lit("1990-01-01").cast("date")).cast("double")
+    p = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("l_orderkey", "l_linenumber", (F.col("o_custkey") % 50).alias("k"), day("o_orderdate").alias("r"), day("l_shipdate").alias("g"))
+    return M.map_clock(p, J.clock_fit(p.where("k < 40"), ["k"], "r", "g"), ["k"], "g").select("l_orderkey", "l_linenumber", "reference_t")
+
+
+@query("multimodal_model_table", """, w as (select unit, state, count(xm) n, avg(xm) mean from s where state <> 'click' group by unit, state), e as (select unit, state, avg(h) mean, count(*) looks from s where state <> 'view' group by unit, state)
+ select coalesce(w.unit, e.unit) unit, coalesce(w.state, e.state) state, w.n, w.mean, e.mean mean_eye, e.looks, case when w.unit is null then 'eye_tracking_only' when e.unit is null then 'biometrics_only' else 'both' end source from w full join e on w.unit = e.unit and w.state = e.state""", "mean mean_eye")
+def _(spark, d):
+    s = samples(spark, d)
+    w = s.where("state <> 'click'").groupBy("unit", "state").agg(F.count("xm").alias("n"), F.avg("xm").alias("mean"))
+    e = s.where("state <> 'view'").groupBy("unit", "state").agg(F.avg("h").alias("mean"), F.count("*").alias("looks"))
+    return M.multimodal_table(w, e, ["unit", "state"], outer=True)
+
+
+@query("mixed_effects_table", """, d as (select id, xm - x / 2 y, nullif(trim(state), '') state, h, t / 1e6 tm from s where xm is not null), m as (select avg(h) a, stddev_samp(h) b, avg(tm) c, stddev_samp(tm) e from d) select id, y, state, (h - a) / b h_z, (tm - c) / e tm_z from d, m""", "y h_z tm_z")
+def _(spark, d):
+    s = samples(spark, d).withColumn("half", F.col("x") / 2).withColumn("tm", F.col("t") / 1e6)
+    return M.mixed_effects_table(s, "xm", "half", ["state"], ["h", "tm"], ["id"])
+
+
+@query("beat_corrections", """, g as (select *, coalesce(x not between 20 and 150, false) f from s), c as (select *, quantile_cont(case when not f then x end, 0.5) over (partition by unit order by t, id rows between 2 preceding and 2 following) l, quantile_cont(case when not f then x end, 0.5) over (partition by unit) m from g)
+ select id, case when f then coalesce(l, m) else x end corrected, case when not f then 'kept' when l is not null then 'local_median' when m is not null then 'group_median' else 'no_reference' end note from c""", "corrected")
+def _(spark, d):
+    return M.correct_beats(samples(spark, d), ["unit"], "x", ~F.col("x").between(20, 150), ORDER, 2).select("id", "corrected", "note")
+
+
+@query("ibi_windows", """, g as (select *, coalesce(xm between 65 and 220, false) and coalesce(abs(xm - lag(xm) over (partition by unit order by t, id)) <= 60, true) ok from s)
+ select unit, count(*) n_rows, count(xm) n_ibi, count(*) filter (ok) n_valid, count(*) filter (not ok) n_excluded, sum(xm) filter (ok) / 1000 duration_s, avg(xm) filter (ok) mean_ibi, stddev_samp(xm) filter (ok) sdnn, count(*) filter (ok) / count(*)::double valid_rate,
+ case when count(*) filter (ok) >= 5 then 'sufficient' else 'insufficient' end status from g group by unit""", "duration_s mean_ibi sdnn valid_rate")
+def _(spark, d):
+    return M.ibi_windows(samples(spark, d), ["unit"], "xm", ORDER, 65.0, 220.0, 60.0, 5)
+
+
+@query("conductance_units", """, q as (select state, count(*) n, count(xm) n_finite, quantile_cont(xm, 0.01) q01, median(xm) median, quantile_cont(xm, 0.75) q75, quantile_cont(xm, 0.99) q99 from s group by state)
+ select *, case when median > 1000 or q75 > 1000 then 'resistance' when median > 0 and median <= 100 and q99 <= 500 then 'conductance' when median > 100 and median <= 1000 then 'scaled' else 'ambiguous' end likely_unit from q""", "q01 median q75 q99")
+def _(spark, d):
+    return M.conductance_units(samples(spark, d), ["state"], "xm", "GSR")
+
+
+@query("timebase_audit", """, g as (select unit, t - lag(t) over (partition by unit order by id) d from s), m as (select unit, median(d) m from g where d > 0 group by unit)
+ select g.unit, count(*) n, any_value(m) median_step, count(*) filter (d = 0) repeats, count(*) filter (d < 0) backward, count(*) filter (d > 3 * m) gaps, max(d) longest_step,
+ case when any_value(m) is null or count(*) filter (d < 0) > 0 then 'fail' when count(*) filter (d = 0) > 0 or count(*) filter (d > 3 * m) > 0 then 'warn' else 'pass' end status from g left join m using (unit) group by g.unit""", "median_step longest_step")
+def _(spark, d):
+    return M.timebase(samples(spark, d), ["unit"], "t", ["id"])
+
+
+def _lag_sql(a: str, b: str) -> str:
+    return f"""select unit, '{a}' signal_1, '{b}' signal_2, arg_max(lag, (round(abs(r), 9), -abs(lag), lag)) best_lag, max(abs(r)) best_r from
+ (select a.unit, l.lag, corr(a.{a}, b.{b}) r from g a cross join l join g b on b.unit = a.unit and b.rn = a.rn + l.lag group by a.unit, l.lag having count(case when a.{a} is not null then b.{b} end) >= 5) group by unit"""
+
+
+@query("signal_lag_matrix", ", g as (select unit, x, xm, h::double hd, row_number() over (partition by unit order by t, id) rn from s), l as (select unnest(range(-2, 3))::int lag) " + " union all ".join(_lag_sql(*p) for p in (("x", "xm"), ("x", "hd"), ("xm", "hd"))), "best_r")
+def _(spark, d):
+    return M.lag_matrix(samples(spark, d).withColumn("hd", F.col("h").cast("double")), ["unit"], ["x", "xm", "hd"], ORDER, 2)

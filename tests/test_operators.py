@@ -97,4 +97,78 @@ def test_cluster_null_is_repeatable(spark):
 def test_area_priority(spark):
     p = frame(spark, [(1, 5.0, 5.0), (2, 50.0, 50.0), (3, None, 1.0)], "i int, x double, y double")
     a = frame(spark, [("big", 0.0, 20.0, 0.0, 20.0, 1), ("top", 4.0, 6.0, 4.0, 6.0, 2)], "aoi string, xmin double, xmax double, ymin double, ymax double, priority int")
-    assert {r.i: r.area for r in J.assign_area(p, a, "x", "y", ["i"]).collect()} == {1: "top", 2: None, 3: None}
+    assert {r.i: r.area for r in J.assign_area(p, a, "x", "y").collect()} == {1: "top", 2: None, 3: None}
+
+
+def test_fusion_and_ema_equal_a_plain_loop(spark):
+    import random
+
+    from sensorloom.operators import scans
+
+    rnd = random.Random(5)
+    rows = [(u, float(k), k % 7, rnd.gauss(5, 2) if rnd.random() < 0.6 else None, rnd.gauss(5, 1) if rnd.random() < 0.4 else None) for u in "abc" for k in range(90)]
+    rows += [("d", float(k), k, None, None) for k in range(5)] + [(None, 1.0, 1, 2.0, None), (None, 2.0, 1, None, 3.0)]
+    df = spark.createDataFrame(rows, "u string, t double, _a long, p double, s double").repartition(5)
+
+    def plain(mine):
+        state, var, out = None, 1.0, []
+        for _, t, _, p, s in sorted(mine, key=lambda r: r[1]):
+            var += 0.01
+            for z, r in ((p, 0.05), (s, 0.2)):
+                if z is not None:
+                    state = z if state is None else state
+                    gain = var / (var + r)
+                    state, var = state + gain * (z - state), (1 - gain) * var
+            out.append((t, state, var))
+        return out
+
+    d = df.drop("_a")
+    for width in (7.0, 1000.0):
+        got = scans.fuse_two(d, ["u"], "p", "s", ["t"], width, 0.01, 0.05, 0.2).collect()
+        for u in ("a", "b", "c", "d", None):
+            mine = sorted((r.t, r.fused, r.variance) for r in got if r.u == u) if u else sorted((r.t, r.fused, r.variance) for r in got if r.u is None)
+            if u is None:
+                assert len(mine) == 2
+                continue
+            for a, b in zip(mine, plain([r for r in rows if r[0] == u])):
+                assert a[0] == b[0] and abs(a[2] - b[2]) < 1e-9 and (a[1] is None) == (b[1] is None) and (a[1] is None or abs(a[1] - b[1]) < 1e-9)
+    got = {(r.u, r.t): r.ema for r in scans.adaptive_ema(d, ["u"], "p", ["t"], 10.0, 0.2, 100.0).collect()}
+    for u in "abcd":
+        m = None
+        for _, t, _, p, _ in sorted((r for r in rows if r[0] == u), key=lambda r: r[1]):
+            m = m if p is None else p if m is None else 0.8 * m + 0.2 * p
+            assert (got[u, t] is None) == (m is None) and (m is None or abs(got[u, t] - m) < 1e-9)
+
+
+def test_refractory_equals_a_plain_loop(spark):
+    import random
+
+    from sensorloom.operators import scans
+
+    rnd = random.Random(6)
+    rows = [(u, round(rnd.uniform(0, 60), 2)) for u in "ab" for _ in range(80)] + [("a", 5.0), ("a", 5.0), ("c", None)]
+    got = sorted((r.u, r.t) for r in scans.refractory(spark.createDataFrame(rows, "u string, t double"), ["u"], "t", 1.5).collect())
+    want = []
+    for u in "ab":
+        last = None
+        for t in sorted(t for v, t in rows if v == u):
+            if last is None or t - last >= 1.5:
+                want.append((u, t))
+                last = t
+    assert got == want
+
+
+def test_equal_points_stay_apart(spark):
+    areas = spark.createDataFrame([("one", 0.0, 2.0, 0.0, 2.0, 1)], "aoi string, xmin double, xmax double, ymin double, ymax double, priority int")
+    p = spark.createDataFrame([(1.0, 1.0), (1.0, 1.0), (5.0, 1.0), (None, 1.0)], "x double, y double")
+    assert sorted((r.area or "", r.n_areas) for r in J.assign_area(p, areas, "x", "y").collect()) == [("", 0), ("", 0), ("one", 1), ("one", 1)]
+    assert J.assign_area(p, areas.limit(0), "x", "y").count() == 4
+
+
+def test_rank_test_corrects_for_ties(spark):
+    rows = [("g", "a", v) for v in (1.0, 2.0, 2.0, 3.0)] + [("g", "b", v) for v in (2.0, 4.0, 4.0, 5.0)] + [("same", c, 1.0) for c in "aabb"]
+    got = {r.k: r.h for r in T.kruskal(spark.createDataFrame(rows, "k string, c string, x double"), ["k"], "c", "x").collect()}
+    ranks = {1.0: 1, 2.0: 3, 3.0: 5, 4.0: 6.5, 5.0: 8}
+    a, b = sum(ranks[v] for v in (1.0, 2.0, 2.0, 3.0)), sum(ranks[v] for v in (2.0, 4.0, 4.0, 5.0))
+    h = 12 / (8 * 9) * (a * a / 4 + b * b / 4) - 3 * 9
+    assert abs(got["g"] - h / (1 - (27 - 3 + 8 - 2) / (512 - 8))) < 1e-9 and got["same"] is None
