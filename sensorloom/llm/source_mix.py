@@ -49,11 +49,10 @@ def copies(documents: DataFrame, seed: str = SEED, keys: tuple[str, ...] = ()) -
     text = F.coalesce("text", F.lit(""))
     size = F.regexp_count(text, F.lit(f"[^{SPACE}]+")).cast("long")
     docs = materialize(
-        documents.select("doc_id", "source", size.alias("size"), *keys)
+        documents.select("doc_id", "source", size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), text)).alias("slice"), *keys)
         .withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("t")))  # null stands last
         .withColumn("bits", F.length(F.bin("size")).cast("int"))
         .withColumn("cls", F.expr("bits * 32L + shiftright(size * 32L, bits)"))
-        .withColumn("slice", F.md5(F.coalesce(F.col("doc_id").cast("string"), text)))
         .drop("bits")
     )
     digits = max(2, len(f"{docs.count():x}") - 2)  # 16 times the documents, 16 times the slices
