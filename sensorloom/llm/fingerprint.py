@@ -2,17 +2,17 @@
 
 A text's paragraphs (lines, cut further at every sentence mark, so that cuts
 move with the content and texts of few lines have several) are hashed to 64
-bits. Where ``RUN`` characters pass without such a cut, the run is cut at
-places that its own characters choose: certain pairs of Latin characters,
-certain other characters, and, where no such pair occurs for ``RARE``
-characters, every space or, without spaces, every character. (Java's look-behind
-does not count characters beyond U+FFFF as one; runs of them may stay whole.)
+bits. A paragraph of over ``RUN`` characters is cut at places that its own
+characters choose: certain pairs of Latin characters and certain other
+characters; a piece of it that is still over four times ``RUN`` at every space,
+and what is then still over it at every character. (Java's look-behind does not count
+characters beyond U+FFFF as one; runs of them may stay whole.)
 Each digest enters one cell of each of three subtables: a cell holds a count,
 the xor of its digests and the xor of their check hashes. Sketches of two
 versions subtract cell by cell; what both hold cancels, and peeling cells that
 hold a single digest recovers the differing digests. A sketch has ``CELLS``
 cells; a subtraction that does not peel to nothing is retried larger: the
-digests are dealt over as many such sketches as hold thirteen digests each, and a
+digests are dealt over as many small sketches as hold ``LOAD`` digests each, and a
 part that still fails over one four times as large. Parts that fail again are
 compared digest by digest, so the likeness (the Jaccard similarity of the
 digest sets, 1 for two empty texts) is always exact.
@@ -30,30 +30,40 @@ one. An empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import let, read
 
-TABLES, WIDTH, LOAD, ROUNDS = 3, 8, 13, 7
+TABLES, WIDTH, ROUNDS = 3, 8, 7
+#: Retried parts: cells a table, digests and peeling rounds.
+SMALL, LOAD, SMALL_ROUNDS = 4, 4, 3
 CELLS = TABLES * WIDTH
-RUN, RARE = 256, 128
-#: Of scripts beyond Latin-1, about one character of 32 starts a piece of a long run.
+RUN = 256
+CUT = r"\n+|(?<=[.!?;:])\x20+"
+#: Of scripts beyond Latin-1, about one character of 32 starts a piece of a long paragraph.
 _OTHER = "".join(map(chr, range(0x10E, 0x3400, 32))) + "".join(f"{chr(k)}-{chr(k + 31)}" for k in [*range(0x3400, 0xD800, 1024), *range(0xF900, 0x20000, 1024)])
-_PAIR = rf"[aA-D01][\x20nrsN-Q45]|[^\x00-\xff][{_OTHER}]"
-_LONG = "|".join([
-    r"(?<=[aA-D01])(?=[\x20nrsN-Q45])",
-    rf"(?<=[^\x00-\xff])(?=[{_OTHER}])",
-    rf"(?=\x20)(?<=(?:(?!{_PAIR})[^\n]){{{RARE}}})\x20+",
-    rf"(?=[!-\ud7ff])(?<=(?:(?!{_PAIR})[^\x20\n]){{{RARE}}})",
-])
-CUT = rf"\n+|(?<=[.!?;:])\x20+|(?:{_LONG})(?<=(?:(?![.!?;:]\x20)[^\n]){{{RUN}}})"
+LONG = ((RUN, rf"(?<=[aA-D01])(?=[\x20rN-Q45])|(?<=[^\x00-\xff])(?=[{_OTHER}])"), (4 * RUN, r"\x20+"), (4 * RUN, r"(?<=.)(?=.)"))
 RANGE_ROWS, MAX_RANGES = 1000, 20_000
 
 
+def _cut_long(pieces, how: tuple[int, str]) -> Column:
+    """The pieces, those over a number of characters cut by a pattern."""
+    most, pattern = how
+    long = lambda p: F.length(p) > most
+    cut = lambda p: F.when(long(p), F.split(p, pattern)).otherwise(F.array(p))
+    return let(pieces, lambda x: F.when(F.exists(x, long), F.flatten(F.transform(x, cut))).otherwise(x))
+
+
+def paragraphs(text) -> Column:
+    """The pieces of a text that are hashed; empty ones are among them."""
+    return reduce(_cut_long, LONG, F.split(text, CUT))
+
+
 def digests(text) -> Column:
     """Distinct 64-bit digests of the paragraphs of a text."""
-    return F.array_distinct(F.transform(F.filter(F.split(text, CUT), lambda p: p != ""), lambda p: F.xxhash64(p)))
+    return F.array_distinct(F.transform(F.filter(paragraphs(text), lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
 def _check(key: Column) -> Column:
@@ -82,7 +92,7 @@ def subtract(a: Column, b: Column) -> Column:
         (x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c")))
 
 
-def peel(cells: Column, width: int = WIDTH) -> Column:
+def peel(cells: Column, width: int = WIDTH, rounds: int = ROUNDS) -> Column:
     """Number of digests recovered from a difference; null if cells are left."""
 
     def one_round(state, _):
@@ -103,46 +113,42 @@ def peel(cells: Column, width: int = WIDTH) -> Column:
 
     start = F.struct(cells.alias("cells"), F.lit(0).alias("d"))
     clean = lambda s: F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["c"] == 0))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, one_round, lambda s: F.when(clean(s), s["d"]))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, one_round, lambda s: F.when(clean(s), s["d"]))
 
 
 def _difference(signed: Column, width: int) -> Column:
-    """The subtracted sketch of signed digests (n, k): by linearity, one pass over both sides."""
+    """The subtracted sketch of signed digests (k, n): by linearity, one pass over both sides."""
+    slot = lambda x, j: F.shiftright(x["k"], 10 * j).bitwiseAND(F.lit(width - 1)).alias(f"s{j}")
+    placed = F.transform(signed, lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"), _check(x["k"]).alias("c"), *[slot(x, j) for j in range(TABLES)]))
 
-    def table(j):
-        slot = lambda x: F.shiftright(x["k"], 10 * j).bitwiseAND(F.lit(width - 1))
-        put = lambda s, x: F.struct((s["n"] + x["n"]).alias("n"), s["k"].bitwiseXOR(x["k"]).alias("k"), s["c"].bitwiseXOR(_check(x["k"])).alias("c"))
+    def table(j, y):
+        put = lambda s, x: F.struct((s["n"] + x["n"]).alias("n"), s["k"].bitwiseXOR(x["k"]).alias("k"), s["c"].bitwiseXOR(x["c"]).alias("c"))
         at = F.sequence(F.lit(0), F.lit(width - 1)).cast("array<bigint>")
-        return F.transform(at, lambda i: F.aggregate(signed, _empty(), lambda s, x: F.when(slot(x) == i, put(s, x)).otherwise(s)))
+        return F.transform(at, lambda i: F.aggregate(F.filter(y, lambda x: x[f"s{j}"] == i), _empty(), put))
 
-    return F.concat(*[table(j) for j in range(TABLES)])
+    return let(placed, lambda y: F.concat(*[table(j, y) for j in range(TABLES)]))
 
 
 def _part(signed: Column) -> Column:
     """Differing digests of a small part, by sketches of rising size and then directly."""
     side = lambda n: F.transform(F.filter(signed, lambda x: x["n"] == n), lambda x: x["k"])
     direct = F.size(signed) - 2 * F.size(F.array_intersect(side(1), side(-1)))
-    go = lambda w: peel(_difference(signed, w), w)
-    return F.when(F.size(signed) == 0, 0).otherwise(F.coalesce(go(WIDTH), go(4 * WIDTH), direct))
+    go = lambda w: peel(_difference(signed, w), w, SMALL_ROUNDS)
+    return F.coalesce(go(SMALL), go(4 * SMALL), direct)
 
 
 def _retry(a: Column, b: Column) -> Column:
-    """The larger sketch: parts by high digest bits, dealt in two steps so that work stays near linear."""
-    give = lambda keys, n: F.transform(keys, lambda h: F.struct(F.lit(n).cast("long").alias("n"), h.alias("k")))
-    upto = lambda b: F.sequence(F.lit(0).cast("long"), (F.pow(F.lit(2.0), b) - 1).cast("long"))
-
-    def split(signed, shift, at, then):
-        """The total of ``then`` over the parts whose digest bits from ``shift`` on are each of ``at``."""
-        part = lambda p, m: F.filter(signed, lambda x: F.shiftright(x["k"], shift).bitwiseAND(m) == p)
-        return let(F.size(at).cast("long") - 1, lambda m: F.aggregate(
-            F.transform(at, lambda p: let(part(p, m), then)), F.lit(0), lambda s, v: s + v))
-
-    def dealt(bits):
-        return let(F.concat(give(a, 1), give(b, -1)), lambda signed: let(upto(F.floor(bits / 2)), lambda high: let(
-            upto(F.ceil(bits / 2)), lambda low: split(signed, 36, high, lambda x: split(x, 48, low, _part)))))
-
-    # 2^bits parts of about LOAD digests each
-    return let(F.ceil(F.log2(F.greatest((F.size(a) + F.size(b)) / LOAD, F.lit(1.0)))), dealt)
+    """The larger sketch: both sides' digests in one order, dealt over sketches of about ``LOAD`` neighbours each; equal ones stay together."""
+    give = lambda keys, n: F.transform(keys, lambda h: F.struct(h.alias("k"), F.lit(n).cast("long").alias("n")))
+
+    def dealt(x):
+        key = lambda i: F.get(x, i)["k"]
+        start = lambda i: F.when((i > 0) & (key(i * LOAD) == key(i * LOAD - 1)), i * LOAD + 1).otherwise(i * LOAD)
+        part = lambda i: let(start(i), lambda s: F.slice(x, s + 1, F.least(start(i + 1), F.size(x)) - s))
+        parts = F.sequence(F.lit(0), F.floor((F.size(x) - 1) / LOAD).cast("int"))
+        return F.aggregate(F.transform(parts, lambda i: let(part(i), _part)), F.lit(0), lambda s, v: s + v)
+
+    return let(F.sort_array(F.concat(give(a, 1), give(b, -1))), lambda x: F.when(F.size(x) == 0, 0).otherwise(dealt(x)))
 
 
 def likeness(a: Column, b: Column, cells_a: Column, cells_b: Column) -> Column:

@@ -19,7 +19,11 @@ def test_query_matches_sql(spark, name):
 
 
 def parts(text):
-    return {p for p in re.split(fingerprint.CUT, text) if p}
+    """Lines and sentences; over 256 characters cut by the content, over 1024 by words, then by characters."""
+    pieces = re.split(r"\n+|(?<=[.!?;:]) +", text)
+    pieces = [q for p in pieces for q in (re.split(fingerprint.LONG[0][1], p) if len(p) > 256 else [p])]
+    pieces = [q for p in pieces for q in (re.split(" +", p) if len(p) > 1024 else [p])]
+    return {q for p in pieces for q in (p if len(p) > 1024 else [p]) if q}
 
 
 def jaccard(a, b):
