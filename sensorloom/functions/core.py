@@ -22,6 +22,12 @@ def quantile(x, p: float) -> Column:
     return F.percentile(x, F.lit(p))
 
 
+def robust(df: DataFrame, keys, x: str, centre: str, spread: str, scale: float = 1.4826) -> DataFrame:
+    """Adds the group's median of ``x`` and its scaled median absolute deviation, by windows over one partitioning."""
+    w = whole(keys)
+    return df.withColumn(centre, median(x).over(w)).withColumn(spread, scale * median(F.abs(F.col(x) - F.col(centre))).over(w))
+
+
 def ordered(keys, order, *frame) -> Window:
     w = Window.partitionBy(*keys).orderBy(*order)
     return w.rowsBetween(*frame) if frame else w

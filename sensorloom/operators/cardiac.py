@@ -74,32 +74,6 @@ def lomb(df: DataFrame, keys, x: str, t: str, frequencies) -> DataFrame:
     return s.select(*keys, "f", (0.5 * (F.coalesce(F.try_divide(F.col("yc") * F.col("yc"), F.col("cc")), F.lit(0.0)) + F.coalesce(F.try_divide(F.col("ys") * F.col("ys"), F.col("ss")), F.lit(0.0)))).alias("power"))
 
 
-def sample_entropy(x: np.ndarray, m: int = 2, r: float = 0.2) -> float:
-    """-ln(A / B) with Chebyshev templates of m and m + 1 points."""
-    n, tol = len(x) - m, r * x.std(ddof=1) if len(x) > 1 else 0.0
-    if n < 2 or tol == 0:
-        return float("nan")
-    count = []
-    for k in (m, m + 1):
-        t = np.lib.stride_tricks.sliding_window_view(x, k)[:n]
-        count.append(sum(int((np.abs(t[i + 1 :] - t[i]).max(1) <= tol).sum()) for i in range(n - 1)))
-    return -math.log(count[1] / count[0]) if count[0] and count[1] else float("nan")
-
-
-def dfa(x: np.ndarray, sizes=(4, 6, 8, 12, 16, 24, 32)) -> float:
-    """Slope of log fluctuation on log box size."""
-    y, pts = np.cumsum(x - x.mean()), []
-    for s in sizes:
-        if len(y) >= 2 * s:
-            box = y[: len(y) // s * s].reshape(-1, s)
-            t = np.arange(s) - (s - 1) / 2
-            fit = (box @ t / (t @ t))[:, None] * t + box.mean(1, keepdims=True)
-            f = math.sqrt(((box - fit) ** 2).mean())
-            if f > 0:
-                pts.append((math.log(s), math.log(f)))
-    return float(np.polyfit(*zip(*pts), 1)[0]) if len(pts) > 1 else float("nan")
-
-
 def band_power(t: np.ndarray, x: np.ndarray, bands, rate: float) -> list[float]:
     """Hann-windowed periodogram of the evenly resampled series, summed over half-open bands."""
     if len(x) < 4 or t[-1] <= t[0]:
@@ -112,17 +86,6 @@ def band_power(t: np.ndarray, x: np.ndarray, bands, rate: float) -> list[float]:
     return [float(power[(f >= lo) & (f < hi)].sum() * (f[1] if len(f) > 1 else 0)) for lo, hi in bands]
 
 
-def nonlinear(df: DataFrame, key: str, x: str, order) -> DataFrame:
-    """Sample entropy and DFA slope per group; one participant's series is one task's work."""
-    kind = df.schema[key].dataType.simpleString()
-
-    def run(pdf):
-        v = pdf.sort_values(order)[x].dropna().to_numpy(float)
-        return pd.DataFrame({key: pdf[key].iloc[:1], "n": [len(v)], "sampen": [sample_entropy(v)], "dfa": [dfa(v)]})
-
-    return df.select(key, x, *order).groupBy(key).applyInPandas(run, f"{key} {kind}, n long, sampen double, dfa double")
-
-
 def frequency_domain(df: DataFrame, key: str, x: str, order, rate: float = 4.0) -> DataFrame:
     """VLF, LF and HF power and their ratio from NN intervals in ms."""
     kind = df.schema[key].dataType.simpleString()

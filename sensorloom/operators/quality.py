@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.core import islands, median, ordered, quantile, reasons, whole
+from ..functions.core import islands, median, ordered, quantile, reasons, robust, whole
 
 
 def dropouts(df: DataFrame, keys, x: str, order, missing_run: int, flat_run: int, tolerance: float = 0.0) -> DataFrame:
@@ -60,22 +60,19 @@ def eda_artifacts(df: DataFrame, keys, x: str, t: str, order, low: float, high:
     """Missing, negative, out of bounds, steep and robust-jump samples with their reasons."""
     w = ordered(keys, order)
     d = df.withColumn("step", F.col(x) - F.lag(x).over(w)).withColumn("slope", F.try_divide(F.col("step"), F.col(t) - F.lag(t).over(w)))
-    c = d.groupBy(*keys).agg(median("step").alias("_c"))
-    d = d.join(c, keys)
-    s = d.groupBy(*keys).agg((1.4826 * median(F.abs(F.col("step") - F.col("_c")))).alias("_s"))
+    d = robust(d, keys, "step", "_c", "_s")
     why = reasons(
         ("missing", F.col(x).isNull()), ("negative", F.col(x) < 0), ("bounds", ~F.col(x).between(low, high)), ("slope", F.abs("slope") > slope),
         ("jump", (F.col("_s") > 0) & (F.abs(F.col("step") - F.col("_c")) > k * F.col("_s"))))
-    return d.join(s, keys).withColumn("reasons", why).withColumn("artifact", F.col("reasons") != "").drop("_c", "_s")
+    return d.withColumn("reasons", why).withColumn("artifact", F.col("reasons") != "").drop("_c", "_s")
 
 
 def rr_outliers(df: DataFrame, keys, x: str, low: float, high: float, k: float) -> DataFrame:
     """Range and MAD outliers; the IQR stands in where the MAD is 0."""
-    c = df.groupBy(*keys).agg(median(x).alias("_c"), ((quantile(x, 0.75) - quantile(x, 0.25)) / 1.349).alias("_i"))
-    d = df.join(c, keys)
-    s = d.groupBy(*keys).agg((1.4826 * median(F.abs(F.col(x) - F.col("_c")))).alias("_m"))
+    w = whole(keys)
+    d = robust(df.withColumn("_i", (quantile(x, 0.75).over(w) - quantile(x, 0.25).over(w)) / 1.349), keys, x, "_c", "_m")
     scale = F.when(F.col("_m") > 0, F.col("_m")).otherwise(F.col("_i"))
-    d = d.join(s, keys).withColumn("out_of_range", ~F.col(x).between(low, high))
+    d = d.withColumn("out_of_range", ~F.col(x).between(low, high))
     return d.withColumn("outlier", F.coalesce((scale > 0) & (F.abs(F.col(x) - F.col("_c")) > k * scale), F.lit(False))).drop("_c", "_i", "_m")
 
 
@@ -182,7 +179,7 @@ def experiment_design(df: DataFrame, factors) -> DataFrame:
 
 def event_coverage(df: DataFrame, unit: str, event: str, expected: DataFrame) -> DataFrame:
     """Expected events that a unit lacks."""
-    want = df.select(unit).distinct().crossJoin(F.broadcast(expected))  # the design's expected events, few
+    want = df.select(unit).distinct().crossJoin(expected)  # units by the design's expected events
     return want.join(df.select(unit, event).distinct(), [unit, event], "left_anti")
 
 
@@ -198,10 +195,7 @@ def group_correlation(df: DataFrame, keys, x: str, y: str, limit: float) -> Data
 def step_artifacts(df: DataFrame, keys, x: str, order, k: float) -> DataFrame:
     """Steps beyond k scaled MADs of the group's steps, and repeated values."""
     d = df.withColumn("step", F.col(x) - F.lag(x).over(ordered(keys, order)))
-    c = d.groupBy(*keys).agg(median("step").alias("_c"))
-    d = d.join(c, keys)
-    s = d.groupBy(*keys).agg((1.4826 * median(F.abs(F.col("step") - F.col("_c")))).alias("_s"))
-    d = d.join(s, keys).withColumn("needle", (F.col("_s") > 0) & (F.abs(F.col("step") - F.col("_c")) > k * F.col("_s")))
+    d = robust(d, keys, "step", "_c", "_s").withColumn("needle", (F.col("_s") > 0) & (F.abs(F.col("step") - F.col("_c")) > k * F.col("_s")))
     return d.withColumn("flat", F.coalesce(F.col("step") == 0, F.lit(False))).drop("_c", "_s")
 
 

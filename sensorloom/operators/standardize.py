@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.core import AFTER, BEFORE, islands, last_known, median, next_known, ordered, quantile, whole
+from ..functions.core import AFTER, BEFORE, islands, last_known, median, next_known, ordered, quantile, robust, whole
 
 
 def zscore(df: DataFrame, keys, x: str, min_valid: int = 3) -> DataFrame:
@@ -66,12 +66,10 @@ def detrend(df: DataFrame, keys, x: str, t: str) -> DataFrame:
 def tonic_phasic(df: DataFrame, keys, x: str, order, width: int, k: float = 3.0) -> DataFrame:
     """Rolling-median tonic part, phasic rest, and peaks over k scaled MADs."""
     d = smooth(df, keys, x, order, width, "median").withColumnRenamed("smooth", "tonic").withColumn("phasic", F.col(x) - F.col("tonic"))
-    m = d.groupBy(*keys).agg(median("phasic").alias("_m"))
-    d = d.join(m, keys)
-    mad = d.groupBy(*keys).agg((1.4826 * median(F.abs(F.col("phasic") - F.col("_m")))).alias("threshold"))
+    d = robust(d, keys, "phasic", "_m", "threshold")
     w = ordered(keys, order)
     up = F.coalesce(F.col("phasic") > F.lag("phasic").over(w), F.lit(True)) & F.coalesce(F.col("phasic") >= F.lead("phasic").over(w), F.lit(True))
-    return d.join(mad, keys).withColumn("peak", F.coalesce(up & (F.col("phasic") - F.col("_m") > k * F.col("threshold")), F.lit(False))).drop("_m")
+    return d.withColumn("peak", F.coalesce(up & (F.col("phasic") - F.col("_m") > k * F.col("threshold")), F.lit(False))).drop("_m")
 
 
 def impute(df: DataFrame, keys, x: str, t: str, order, method: str = "linear", max_gap: int | None = None) -> DataFrame:
@@ -147,10 +145,7 @@ def interior_fill(df: DataFrame, keys, x: str, t: str, order) -> DataFrame:
 def hampel(df: DataFrame, keys, x: str, order, width: int, k: float) -> DataFrame:
     """Running median; samples whose residual exceeds k scaled MADs of the residuals take the median."""
     d = smooth(df, keys, x, order, width, "median").withColumn("_r", F.col(x) - F.col("smooth"))
-    c = d.groupBy(*keys).agg(median("_r").alias("_c"))
-    d = d.join(c, keys)
-    s = d.groupBy(*keys).agg((1.4826 * median(F.abs(F.col("_r") - F.col("_c")))).alias("_s"))
-    d = d.join(s, keys).withColumn("replaced", F.abs(F.col("_r") - F.col("_c")) > k * F.col("_s"))
+    d = robust(d, keys, "_r", "_c", "_s").withColumn("replaced", F.abs(F.col("_r") - F.col("_c")) > k * F.col("_s"))
     return d.withColumn("clean", F.when(F.col("replaced"), F.col("smooth")).otherwise(F.col(x))).drop("_r", "_c", "_s")
 
 

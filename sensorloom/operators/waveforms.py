@@ -11,6 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.core import ordered, whole
+
 
 def grouped(df: DataFrame, key: str, columns, order, fit, schema: str) -> DataFrame:
     """``fit`` of each group's ordered columns as float arrays gives a dict of columns (scalars or equal-length arrays)."""
@@ -124,95 +126,78 @@ def band_powers(spectrum: DataFrame, key: str, bands: dict[str, tuple[float, flo
     return spectrum.groupBy(key).agg(*[F.coalesce(F.sum(F.when((F.col("f") >= lo) & (F.col("f") < hi), F.col("power"))), F.lit(0.0)).alias(n) for n, (lo, hi) in bands.items()])
 
 
-def ar_spectrum_order(df: DataFrame, key: str, x: str, order, most: int) -> DataFrame:
-    """Autoregression by least squares; the order of least AIC and its residual variance."""
-
-    def fit(v):
-        v = v[np.isfinite(v)]
-        v = v - v.mean() if len(v) else v
-        best = (np.inf, 0, float(v.var()) if len(v) else np.nan)
-        for p in range(1, most + 1):
-            n = len(v) - p
-            if n <= 2 * p:
-                break
-            a = np.stack([v[p - k - 1 : len(v) - k - 1] for k in range(p)], 1)
-            e = v[p:] - a @ np.linalg.lstsq(a, v[p:], rcond=None)[0]
-            s = float((e**2).mean())
-            if s > 0 and (aic := n * math.log(s) + 2 * p) < best[0]:
-                best = (aic, p, s)
-        return {"ar_order": best[1], "residual_var": best[2]}
-
-    return grouped(df, key, [x], order, fit, "ar_order long, residual_var double")
-
-
-def recurrence(df: DataFrame, key: str, x: str, order, radius: float = 0.2, line: int = 2) -> DataFrame:
-    """Recurrence rate and determinism of the scalar series within ``radius`` standard deviations."""
+def _solved(moments: np.ndarray, target: int, others: list[int]) -> float:
+    """Residual sum of squares of one variable on others, from their matrix of products."""
+    if not others:
+        return float(moments[target, target])
+    m, v = moments[np.ix_(others, others)], moments[others, target]
+    return float(moments[target, target] - v @ np.linalg.pinv(m, hermitian=True) @ v)
 
-    def fit(v):
-        v = v[np.isfinite(v)]
-        n = len(v)
-        if n < 4 or v.std() == 0:
-            return {"n": n, "rate": np.nan, "determinism": np.nan}
-        near = np.abs(v[:, None] - v[None, :]) <= radius * v.std(ddof=1)
-        total = inside = 0
-        for k in range(1, n):
-            d = np.diff(np.concatenate([[0], np.diagonal(near, k).astype(int), [0]]))
-            runs = np.flatnonzero(d == -1) - np.flatnonzero(d == 1)
-            total += int(runs.sum())
-            inside += int(runs[runs >= line].sum())
-        return {"n": n, "rate": 2 * total / (n * (n - 1)), "determinism": inside / total if total else np.nan}
 
-    return grouped(df, key, [x], order, fit, "n long, rate double, determinism double")
+def _matrix(row: pd.Series, size: int, prefix: str) -> np.ndarray:
+    out = np.empty((size, size))
+    for i in range(size):
+        for j in range(i, size):
+            out[i, j] = out[j, i] = row[f"{prefix}_{i}_{j}"]
+    return out
 
 
-def multiscale_entropy(df: DataFrame, key: str, x: str, order, scales=(1, 2, 3)) -> DataFrame:
-    from .cardiac import sample_entropy
+def ar_spectrum_order(df: DataFrame, key: str, x: str, order, most: int) -> DataFrame:
+    """Autoregression by least squares; the order of least AIC and its residual variance.
+
+    One aggregation sums the products of lagged samples; only these few numbers of a recording are solved.
+    """
+    w = ordered([key], order)
+    d = df.where(F.col(x).isNotNull()).select(key, *order, (F.col(x) - F.avg(x).over(whole([key]))).alias("v"))
+    d = d.select(key, F.row_number().over(w).alias("rn"), *[F.lag("v", k).over(w).alias(f"v{k}") for k in range(most + 1)])
+    sums = [F.sum(F.when(F.col("rn") > p, F.col(f"v{i}") * F.col(f"v{j}"))).alias(f"p{p}_{i}_{j}") for p in range(most + 1) for i in range(p + 1) for j in range(i, p + 1)]
+    kind = df.schema[key].dataType.simpleString()
 
-    def fit(v):
-        v = v[np.isfinite(v)]
-        return {"scale": list(scales), "entropy": [sample_entropy(v[: len(v) // s * s].reshape(-1, s).mean(1)) if len(v) >= 10 * s else np.nan for s in scales]}
+    def solve(batches):
+        for pdf in batches:
+            rows = []
+            for _, r in pdf.iterrows():
+                n = int(r["n"])
+                best = (np.inf, 0, r["p0_0_0"] / n)
+                for p in range(1, most + 1):
+                    if n - p <= 2 * p:
+                        break
+                    s = _solved(_matrix(r, p + 1, f"p{p}"), 0, list(range(1, p + 1))) / (n - p)
+                    if s > 0 and (aic := (n - p) * math.log(s) + 2 * p) < best[0]:
+                        best = (aic, p, s)
+                rows.append((r[key], best[1], best[2]))
+            yield pd.DataFrame(rows, columns=[key, "ar_order", "residual_var"])
 
-    return grouped(df, key, [x], order, fit, "scale long, entropy double")
+    return d.groupBy(key).agg(F.count("*").alias("n"), *sums).mapInPandas(solve, f"{key} {kind}, ar_order long, residual_var double")
 
 
 def granger(df: DataFrame, key: str, x: str, y: str, order, lags: int) -> DataFrame:
-    """F statistics for x leading y and y leading x on a number of lags."""
-
-    def stat(a, b):
-        n = len(b) - lags
-        own = np.stack([np.ones(n), *[b[lags - k - 1 : len(b) - k - 1] for k in range(lags)]], 1)
-        full = np.concatenate([own, np.stack([a[lags - k - 1 : len(a) - k - 1] for k in range(lags)], 1)], 1)
-        rss = [float(((b[lags:] - m @ np.linalg.lstsq(m, b[lags:], rcond=None)[0]) ** 2).sum()) for m in (own, full)]
-        df2 = n - full.shape[1]
-        return (rss[0] - rss[1]) / lags / (rss[1] / df2) if df2 > 0 and rss[1] > 0 else np.nan
+    """F statistics for x leading y and y leading x on a number of lags, from the covariances of the lagged samples; NULL for short recordings."""
+    w = ordered([key], order)
+    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    d = d.select(key, F.row_number().over(w).alias("rn"), *[F.lag(F.col(c).cast("double"), k).over(w).alias(f"c{i * (lags + 1) + k}") for i, c in enumerate((x, y)) for k in range(lags + 1)])
+    size = 2 * (lags + 1)
+    full = lambda e: F.when(F.col("rn") > lags, e)
+    sums = [F.covar_pop(full(F.col(f"c{i}")), full(F.col(f"c{j}"))).alias(f"c_{i}_{j}") for i in range(size) for j in range(i, size)]
+    kind = df.schema[key].dataType.simpleString()
 
-    def fit(a, b):
-        ok = np.isfinite(a) & np.isfinite(b)
-        a, b = a[ok], b[ok]
-        enough = len(a) > 4 * lags + 4
-        return {"n": len(a), "x_to_y": stat(a, b) if enough else np.nan, "y_to_x": stat(b, a) if enough else np.nan}
-
-    return grouped(df, key, [x, y], order, fit, "n long, x_to_y double, y_to_x double")
-
-
-def glm(df: DataFrame, key: str, y: str, predictors, order) -> DataFrame:
-    """Least squares per group: coefficient, standard error, t and R squared."""
-
-    def fit(*cols):
-        m = np.stack(cols, 1)
-        m = m[np.isfinite(m).all(1)]
-        names, n = ["(intercept)", *predictors], len(m)
-        nan = [np.nan] * len(names)
-        if n <= len(names):
-            return {"term": names, "beta": nan, "se": nan, "t": nan, "r2": np.nan}
-        a, b = np.column_stack([np.ones(n), m[:, 1:]]), m[:, 0]
-        beta, *_ = np.linalg.lstsq(a, b, rcond=None)
-        rss = float(((b - a @ beta) ** 2).sum())
-        se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(a.T @ a)) * rss / (n - len(names)), 0))
-        tss = float(((b - b.mean()) ** 2).sum())
-        return {"term": names, "beta": list(beta), "se": list(se), "t": [v / s if s > 0 else np.nan for v, s in zip(beta, se)], "r2": 1 - rss / tss if tss > 0 else np.nan}
-
-    return grouped(df, key, [y, *predictors], order, fit, "term string, beta double, se double, t double, r2 double")
+    def solve(batches):
+        for pdf in batches:
+            rows = []
+            for _, r in pdf.iterrows():
+                n, m = int(r["n"]), lags + 1
+                stats = [None, None]
+                if n > 4 * lags + 4:
+                    c, df2 = _matrix(r, size, "c"), n - lags - 2 * lags - 1
+                    for k, (target, other) in enumerate(((m, 0), (0, m))):
+                        own = [target + j for j in range(1, m)]
+                        small, large = _solved(c, target, own), _solved(c, target, own + [other + j for j in range(1, m)])
+                        if df2 > 0 and large > 0:
+                            stats[k] = (small - large) / lags / (large / df2)
+                rows.append((r[key], n, *stats))
+            yield pd.DataFrame({n: pd.array([v[k] for v in rows], t) for k, (n, t) in enumerate([(key, pdf[key].dtype), ("n", "Int64"), ("x_to_y", "Float64"), ("y_to_x", "Float64")])})
+
+    return d.groupBy(key).agg(F.count("*").alias("n"), *sums).mapInPandas(solve, f"{key} {kind}, n long, x_to_y double, y_to_x double")
 
 
 def phase_locking(df: DataFrame, key: str, x: str, y: str, order) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.core import islands, median, ordered, quantile, whole
+from ..functions.core import islands, median, ordered, quantile, robust, whole
 
 
 def usable(x: str, keep_zero: bool = False, validity: str | None = None) -> Column:
@@ -90,14 +90,13 @@ def missing_runs(df: DataFrame, keys, x: str, t: str, order, long_gap: float) ->
 
 
 def signal_quality(df: DataFrame, keys, x: str, order, spike: float = 3.5) -> DataFrame:
-    """Missing share, median, MAD, IQR, flat share, extreme count; MAD by a second aggregation."""
-    centre = df.groupBy(*keys).agg(median(x).alias("median"), (quantile(x, 0.75) - quantile(x, 0.25)).alias("iqr"))
+    """Missing share, median, MAD, IQR, flat share, extreme count; windows and the aggregation share one shuffle."""
+    w = whole(keys)
     flat = F.col(x) == F.lag(x).over(ordered(keys, order))
-    d = df.withColumn("flat", flat).join(centre, keys)
-    off = F.abs(F.col(x) - F.col("median"))
-    mad = d.groupBy(*keys).agg(median(off).alias("mad"))
-    z = 0.6744897501960817 * off / F.col("mad")
-    return d.join(mad, keys).groupBy(*keys).agg(
+    d = df.withColumn("flat", flat).withColumn("iqr", quantile(x, 0.75).over(w) - quantile(x, 0.25).over(w))
+    d = robust(d, keys, x, "median", "mad", 1.0)
+    z = 0.6744897501960817 * F.abs(F.col(x) - F.col("median")) / F.col("mad")
+    return d.groupBy(*keys).agg(
         F.count("*").alias("n_rows"), (F.count_if(F.col(x).isNull()) / F.count("*")).alias("missing"), F.first("median").alias("median"), F.first("mad").alias("mad"),
         F.first("iqr").alias("iqr"), (F.count_if("flat") / F.count("*")).alias("flat"), F.count_if((F.col("mad") > 0) & (z > spike)).alias("extremes"))
 
@@ -135,7 +134,7 @@ def timecourse_grid(df: DataFrame, subject: str, condition: str, bins: Column) -
     d = df.select(subject, condition, bins.alias("bin"))
     have = d.groupBy(subject, condition, "bin").agg(F.count("*").alias("n"))
     times, conditions = d.select("bin").distinct(), d.select(condition).distinct()
-    want = d.select(subject).distinct().join(F.broadcast(conditions.crossJoin(times)))  # the design's cells, few
+    want = d.select(subject).distinct().crossJoin(conditions.crossJoin(times))  # the design's cells
     cell = want.join(have, [subject, condition, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return cell.groupBy(subject).agg(F.count("*").alias("cells"), F.count_if(F.col("n") == 0).alias("missing"), F.count_if(F.col("n") > 1).alias("repeated"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.core import rounded
 from ..sources import exports as X, sinks as K
 from . import provenance as P
-from ..operators import cardiac as C, events as E, joins as J, quality as Q, scans as R, standardize as S, stats as T, summaries as M, waveforms as V, windows as W
+from ..operators import cardiac as C, complexity as Y, events as E, joins as J, quality as Q, scans as R, standardize as S, stats as T, summaries as M, waveforms as V, windows as W
 
 QUERIES, SQL = {}, {}
 ORDER = ["t", "id"]
@@ -282,10 +282,8 @@ def _(spark, d):
 @query("dropout_flags", """, g as (select *, row_number() over (partition by unit order by t, id) rn, round(x) v from s), a as (select *, rn - row_number() over (partition by unit, xm is null order by rn) k, coalesce(v = lag(v) over (partition by unit order by rn), false) f from g),
  b as (select *, rn - row_number() over (partition by unit, f order by rn) q from a) select id, xm is null and count(*) over (partition by unit, xm is null, k) >= 3 missing_dropout, f and count(*) over (partition by unit, f, q) >= 1 flat_dropout from b""")
 def _(spark, d):
-    s = samples(spark, d)
-    a = Q.dropouts(s, ["unit"], "xm", ORDER, 3, 99).select("id", "missing_dropout")
-    b = Q.dropouts(s.withColumn("v", F.round("x")), ["unit"], "v", ORDER, 3, 1).select("id", "flat_dropout")
-    return a.join(b, "id")
+    a = Q.dropouts(samples(spark, d).withColumn("v", F.round("x")), ["unit"], "xm", ORDER, 3, 99).drop("flat_dropout").withColumnRenamed("missing_dropout", "missing")
+    return Q.dropouts(a, ["unit"], "v", ORDER, 3, 1).select("id", F.col("missing").alias("missing_dropout"), "flat_dropout")
 
 
 @query("nonwear_intervals", """, g as (select *, case when xm is null then 'missing' when xm = 0 then 'zero' when xm = lag(xm) over (partition by unit order by t, id) then 'constant' else 'worn' end kind, row_number() over (partition by unit order by t, id) rn from s),
@@ -619,9 +617,21 @@ def _(spark, d):
     return R.fuse_two(s, ["unit"], "xm", "b", ORDER, 604800.0, 0.1, 2.0, 3.0).select("id", "fused", "variance", "status")
 
 
-@query("hrv_nonlinear")
+RUNS = """p as (select {k}, v, rn, count(*) over (partition by {k}) n, 0.2 * stddev_samp(v) over (partition by {k}) tol from {src}), c as (select {b}, b.rn - a.rn lag, b.rn as at from p a join p b on {on} and a.rn < b.rn and abs(a.v - b.v) <= a.tol and a.tol > 0),
+ d as (select *, at - row_number() over (partition by {k}, lag order by at) run from c), runs as (select {k}, lag, run, count(*) len, max(at) as last from d group by {k}, lag, run), size as (select {k}, count(*) n, any_value(tol) tol from p group by {k}),
+ ab as (select {r}, sum(greatest(len - 1, 0) - case when last = n and len >= 2 then 1 else 0 end) b, sum(greatest(len - 2, 0)) a from runs r join size using ({k}) group by {r})"""
+PLACES = ", v0 as (select unit, x v, row_number() over (partition by unit order by t, id) rn from s where x is not null), "
+BY_UNIT = RUNS.format(k="unit", b="b.unit", r="unit", on="a.unit = b.unit", src="v0")
+
+
+@query("hrv_nonlinear", PLACES + BY_UNIT + """, e as (select size.unit, n, case when a > 0 and b > 0 then -ln(a / b) end sampen from size left join ab using (unit)),
+ y as (select unit, rn - 1 as at, count(*) over (partition by unit) n, sum(v - m) over (partition by unit order by rn) y from (select *, avg(v) over (partition by unit) m from v0)), z as (select *, at // size box from y, (select unnest([4, 6, 8, 12, 16, 24, 32]) size) where n >= 2 * size and at < n - n % size),
+ q as (select unit, size, box, regr_syy(y, at) - regr_sxy(y, at) ** 2 / regr_sxx(y, at) rest from z group by all), f as (select unit, size, greatest(avg(rest), 0) / size f2 from q group by unit, size), g as (select unit, regr_slope(ln(f2) / 2, ln(size)) dfa from f where f2 > 1e-18 group by unit having count(*) > 1)
+ select unit, n, sampen, dfa from e left join g using (unit)""", "sampen dfa")
 def _(spark, d):
-    return C.nonlinear(samples(spark, d), "unit", "x", ORDER)
+    s = samples(spark, d)
+    e = Y.sample_entropy(s, ["unit"], "x", ORDER).withColumnRenamed("entropy", "sampen")
+    return e.join(Y.detrended_fluctuation(s, ["unit"], "x", ORDER), "unit", "left")
 
 
 @query("hrv_frequency_domain")
@@ -798,14 +808,18 @@ def _(spark, d):
     return V.ar_spectrum_order(samples(spark, d), "unit", "x", ORDER, 6)
 
 
-@query("recurrence_quantification")
+@query("recurrence_quantification", PLACES + BY_UNIT + """, t as (select unit, sum(len) pairs, sum(len) filter (len >= 2) ins from runs group by unit)
+ select size.unit, n, case when n >= 4 and tol > 0 then 2 * coalesce(pairs, 0) / (n * (n - 1.0)) end rate, case when n >= 4 and tol > 0 then coalesce(ins, 0) / pairs end determinism from size left join t using (unit)""", "rate determinism")
 def _(spark, d):
-    return V.recurrence(samples(spark, d), "unit", "x", ORDER)
+    return Y.recurrence(samples(spark, d), ["unit"], "x", ORDER)
 
 
-@query("multiscale_entropy")
+@query("multiscale_entropy", PLACES + """w as (select v0.*, count(*) over (partition by unit) cnt, scale from v0, (select unnest([1, 2, 3]) scale)),
+ x2 as (select unit, scale, v, row_number() over (partition by unit, scale order by box) rn from (select unit, scale, (rn - 1) // scale box, avg(v) v, any_value(cnt) cnt from w group by unit, scale, (rn - 1) // scale having count(*) = any_value(scale)) where cnt >= 10 * scale), """
+       + RUNS.format(k="unit, scale", b="b.unit, b.scale", r="unit, scale", on="a.unit = b.unit and a.scale = b.scale", src="x2")
+       + """ select distinct w.unit, w.scale, case when a > 0 and b > 0 then -ln(a / b) end entropy from w left join ab using (unit, scale) where cnt >= scale""", "entropy")
 def _(spark, d):
-    return V.multiscale_entropy(samples(spark, d), "unit", "x", ORDER)
+    return Y.multiscale_entropy(samples(spark, d), ["unit"], "x", ORDER)
 
 
 @query("granger_causality")

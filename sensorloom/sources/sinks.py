@@ -36,7 +36,7 @@ def beat_table(df: DataFrame, keys, ibi_ms: str, order, low: float = 300.0, high
 def event_matrix(df: DataFrame, t: str, label: str, rate_hz: float) -> DataFrame:
     """Sample number, previous code and code of each event; codes rank the labels."""
     codes = df.select(label).distinct().withColumn("code", F.row_number().over(Window.orderBy(label)))  # a design's labels
-    return df.join(F.broadcast(codes), label).select(F.round(F.col(t) * rate_hz).cast("long").alias("sample"), F.lit(0).alias("previous"), "code")
+    return df.join(codes, label).select(F.round(F.col(t) * rate_hz).cast("long").alias("sample"), F.lit(0).alias("previous"), "code")
 
 
 def looks_table(df: DataFrame, subject: str, trial: str, t: str, aoi: str, levels) -> DataFrame:

@@ -1,8 +1,11 @@
 """Grouped waveform functions against plain formulas."""
 
+import math
+
 import numpy as np
+from pyspark.sql import functions as F
 
-from sensorloom.operators import waveforms as V
+from sensorloom.operators import complexity as Y, waveforms as V
 
 
 def test_taller_peaks_suppress_near_ones():
@@ -36,6 +39,56 @@ def test_granger_direction(spark):
 
 def test_short_groups_do_not_crash(spark):
     df = spark.createDataFrame([("a", 0, 1.0), ("b", 0, None)], "g string, k long, x double")
-    for out in (V.template_similarity(df, "g", "x", ["k"], 2, 1), V.recurrence(df, "g", "x", ["k"]), V.ar_spectrum_order(df, "g", "x", ["k"], 3), V.multiscale_entropy(df, "g", "x", ["k"])):
-        assert out.count() >= 2
+    assert V.template_similarity(df, "g", "x", ["k"], 2, 1).count() == 2
+    for out in (Y.recurrence(df, ["g"], "x", ["k"]), V.ar_spectrum_order(df, "g", "x", ["k"], 3), Y.multiscale_entropy(df, ["g"], "x", ["k"]), Y.sample_entropy(df, ["g"], "x", ["k"]), V.granger(df.withColumn("y", F.col("x")), "g", "x", "y", ["k"], 1)):
+        assert [r.g for r in out.select("g").distinct().collect()] == ["a"]  # a recording without samples has no row
+    assert Y.detrended_fluctuation(df, ["g"], "x", ["k"]).count() == 0
     assert V.power_spectrum(df, "g", "x", ["k"], 4.0).count() == 0
+
+
+def test_complexity_equals_plain_formulas(spark):
+    rng = np.random.default_rng(9)
+    series = {"a": rng.normal(size=70), "b": np.round(np.sin(np.arange(90) / 3), 1), "c": np.ones(12)}
+    rows = [(g, k, float(v)) for g, x in series.items() for k, v in enumerate(x)] + [("a", -1, None)]
+    df = spark.createDataFrame(rows, "g string, k long, x double").repartition(3)
+    rec = {r.g: r for r in Y.recurrence(df, ["g"], "x", ["k"]).collect()}
+    ent = {r.g: r.entropy for r in Y.sample_entropy(df, ["g"], "x", ["k"]).collect()}
+    dfa = {r.g: r.dfa for r in Y.detrended_fluctuation(df, ["g"], "x", ["k"]).collect()}
+    for g in "ab":
+        x = series[g]
+        n, tol = len(x), 0.2 * x.std(ddof=1)
+        near = np.abs(x[:, None] - x[None, :]) <= tol
+        lines = [len(run) for k in range(1, n) for run in "".join("1" if v else "0" for v in np.diagonal(near, k)).split("0") if run]
+        assert abs(rec[g].rate - 2 * sum(lines) / (n * (n - 1))) < 1e-12 and abs(rec[g].determinism - sum(v for v in lines if v >= 2) / sum(lines)) < 1e-12
+        count = [sum(np.abs(x[i : i + m] - x[j : j + m]).max() <= tol for i in range(n - 2) for j in range(i)) for m in (2, 3)]
+        assert abs(ent[g] + math.log(count[1] / count[0])) < 1e-12
+        y, pts = np.cumsum(x - x.mean()), []
+        for size in (4, 6, 8, 12, 16, 24, 32):
+            if n >= 2 * size:
+                boxes = [y[a : a + size] for a in range(0, n - n % size, size)]
+                rest = [((b - np.polyval(np.polyfit(np.arange(size), b, 1), np.arange(size))) ** 2).mean() for b in boxes]
+                pts.append((math.log(size), math.log(np.mean(rest)) / 2))
+        assert abs(dfa[g] - np.polyfit(*zip(*pts), 1)[0]) < 1e-8
+    assert rec["c"].rate is None and ent["c"] is None and dfa.get("c") is None
+
+
+def test_lagged_regressions_equal_least_squares(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=60).cumsum(), rng.normal(size=60)
+    df = spark.createDataFrame([("a", k, float(a), float(b)) for k, (a, b) in enumerate(zip(x, y))], "g string, k long, x double, y double")
+    rss = lambda m, v: float(((v - m @ np.linalg.lstsq(m, v, rcond=None)[0]) ** 2).sum())
+
+    def f(a, b, lags):
+        own = np.stack([np.ones(60 - lags), *[b[lags - k - 1 : 59 - k] for k in range(lags)]], 1)
+        full = np.concatenate([own, np.stack([a[lags - k - 1 : 59 - k] for k in range(lags)], 1)], 1)
+        small, large = rss(own, b[lags:]), rss(full, b[lags:])
+        return (small - large) / lags / (large / (60 - lags - full.shape[1]))
+
+    r = V.granger(df, "g", "x", "y", ["k"], 2).first()
+    assert r.n == 60 and abs(r.x_to_y - f(x, y, 2)) < 1e-6 and abs(r.y_to_x - f(y, x, 2)) < 1e-6
+    v, best = x - x.mean(), (np.inf, 0, float(x.var()))
+    for p in range(1, 5):
+        s = rss(np.stack([v[p - k - 1 : 59 - k] for k in range(p)], 1), v[p:]) / (60 - p)
+        best = min(best, ((60 - p) * math.log(s) + 2 * p, p, s))
+    r = V.ar_spectrum_order(df, "g", "x", ["k"], 4).first()
+    assert r.ar_order == best[1] and abs(r.residual_var - best[2]) < 1e-8
