@@ -53,7 +53,7 @@ def aoi_timecourse(df: DataFrame, t: str, aoi: str, width: float) -> DataFrame:
     n = b.groupBy("bin", aoi).agg(F.count("*").alias("n"))
     total = b.groupBy("bin").agg(F.count("*").alias("total"))
     areas = df.select(aoi).distinct()
-    cells = total.join(F.broadcast(areas))  # an area list is a stimulus' few areas
+    cells = total.crossJoin(areas)  # bins by a stimulus' areas
     return cells.join(n, ["bin", aoi], "left").select("bin", aoi, F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / F.col("total")).alias("share"))
 
 

@@ -617,16 +617,16 @@ def _(spark, d):
     return R.fuse_two(s, ["unit"], "xm", "b", ORDER, 604800.0, 0.1, 2.0, 3.0).select("id", "fused", "variance", "status")
 
 
-RUNS = """p as (select {k}, v, rn, count(*) over (partition by {k}) n, 0.2 * stddev_samp(v) over (partition by {k}) tol from {src}), c as (select {b}, b.rn - a.rn lag, b.rn as at from p a join p b on {on} and a.rn < b.rn and abs(a.v - b.v) <= a.tol and a.tol > 0),
- d as (select *, at - row_number() over (partition by {k}, lag order by at) run from c), runs as (select {k}, lag, run, count(*) len, max(at) as last from d group by {k}, lag, run), size as (select {k}, count(*) n, any_value(tol) tol from p group by {k}),
+RUNS = """p as (select {k}, v, rn, count(*) over (partition by {k}) n, 0.2 * stddev_samp(v) over (partition by {k}) tol from {src}), c as (select {b}, b.rn - a.rn lag, b.rn as pos from p a join p b on {on} and a.rn < b.rn and abs(a.v - b.v) <= a.tol and a.tol > 0),
+ d as (select *, pos - row_number() over (partition by {k}, lag order by pos) run from c), runs as (select {k}, lag, run, count(*) len, max(pos) as last from d group by {k}, lag, run), size as (select {k}, count(*) n, any_value(tol) tol from p group by {k}),
  ab as (select {r}, sum(greatest(len - 1, 0) - case when last = n and len >= 2 then 1 else 0 end) b, sum(greatest(len - 2, 0)) a from runs r join size using ({k}) group by {r})"""
 PLACES = ", v0 as (select unit, x v, row_number() over (partition by unit order by t, id) rn from s where x is not null), "
 BY_UNIT = RUNS.format(k="unit", b="b.unit", r="unit", on="a.unit = b.unit", src="v0")
 
 
 @query("hrv_nonlinear", PLACES + BY_UNIT + """, e as (select size.unit, n, case when a > 0 and b > 0 then -ln(a / b) end sampen from size left join ab using (unit)),
- y as (select unit, rn - 1 as at, count(*) over (partition by unit) n, sum(v - m) over (partition by unit order by rn) y from (select *, avg(v) over (partition by unit) m from v0)), z as (select *, at // size box from y, (select unnest([4, 6, 8, 12, 16, 24, 32]) size) where n >= 2 * size and at < n - n % size),
- q as (select unit, size, box, regr_syy(y, at) - regr_sxy(y, at) ** 2 / regr_sxx(y, at) rest from z group by all), f as (select unit, size, greatest(avg(rest), 0) / size f2 from q group by unit, size), g as (select unit, regr_slope(ln(f2) / 2, ln(size)) dfa from f where f2 > 1e-18 group by unit having count(*) > 1)
+ y as (select unit, rn - 1 as pos, count(*) over (partition by unit) n, sum(v - m) over (partition by unit order by rn) y from (select *, avg(v) over (partition by unit) m from v0)), z as (select *, pos // size box from y, (select unnest([4, 6, 8, 12, 16, 24, 32]) size) where n >= 2 * size and pos < n - n % size),
+ q as (select unit, size, box, regr_syy(y, pos) - regr_sxy(y, pos) ** 2 / regr_sxx(y, pos) rest from z group by all), f as (select unit, size, greatest(avg(rest), 0) / size f2 from q group by unit, size), g as (select unit, regr_slope(ln(f2) / 2, ln(size)) dfa from f where f2 > 1e-18 group by unit having count(*) > 1)
  select unit, n, sampen, dfa from e left join g using (unit)""", "sampen dfa")
 def _(spark, d):
     s = samples(spark, d)

@@ -4,30 +4,45 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.core import union_all
 
 MISSING = ("", "NA", "NaN")
 # Column aliases by role, lower-case, without separators.
 ROLES = {
-    "time": ("time", "times", "timestamp", "recordingtime"),
-    "counter": ("cnt", "samplecounter", "count"),
-    "participant": ("user", "userid", "participant", "participantid", "subject"),
-    "stimulus": ("mediaid", "medianame", "stimulus", "trial"),
-    "gsr": ("gsr", "gsrus", "eda", "skinconductance", "conductanceus"),
+    "time": ("time", "times", "timesec", "timestamp", "timestamps", "timestampsec", "recordingtime", "recordingtimes"),
+    "time_ms": ("timems", "timestampms", "recordingtimems"),
+    "time_tick": ("timetick", "timeticks", "tick", "ticks"),
+    "trial_time": ("trialtime", "trialtimes", "timeintrial"),
+    "media_time": ("mediatime", "stimulustime", "stimulustimes"),
+    "counter": ("cnt", "counter", "count", "sample", "sampleindex", "samplenumber", "sampleno", "sampleid", "samplecounter"),
+    "participant": ("user", "userid", "participant", "participantid", "subject", "subjectid", "id"),
+    "file": ("userfile", "file", "filename", "sourcefile"),
+    "stimulus": ("mediaid", "stimulusid", "medianame", "stimulus", "stimulusname", "image", "video"),
+    "trial": ("trial", "trialid", "trialnumber"),
+    "condition": ("condition", "group", "experimentalcondition"),
+    "gsr": ("gsr", "gsrus", "gsrmicrosiemens", "eda", "edaus", "edamicrosiemens", "electrodermalactivity", "skinconductance", "skinconductanceus", "skinresponse", "conductance", "conductanceus"),
+    "gsr_ohms": ("gsrohm", "gsrohms", "edaohm", "edaohms", "resistance", "resistanceohm", "resistanceohms", "skinresistance", "skinresistanceohms"),
     "gsr_validity": ("gsrv",),
-    "hr": ("hr", "heartrate"),
-    "hr_validity": ("hrv",),
+    "hr": ("hr", "heartrate", "bpm", "pulse", "pulserate"),
+    "hr_validity": ("hrv", "hrvalid", "hrvalidity", "heartratevalid", "heartratevalidity"),
     "pulse": ("hrp", "ppg", "bvp"),
-    "ibi": ("ibi", "rr", "interbeatinterval"),
-    "dial": ("dial", "engagement"),
+    "ibi": ("ibi", "rr", "rrinterval", "rrintervals", "interbeatinterval", "interbeatintervalms", "rrms"),
+    "dial": ("engagement", "engagementdial", "dial", "dialvalue", "engagementvalue", "rotary", "selfreportedengagement"),
+    "marker": ("ttl", "ttlvalue", "ttlsignal", "ttlmarker", "eventmarker", "marker", "trigger", "digitalmarker"),
+    "event": ("event", "eventname", "eventlabel"),
     "pupil_left": ("lpmm", "lpd", "pupilleft"),
     "pupil_right": ("rpmm", "rpd", "pupilright"),
     "gaze_x": ("fpogx", "bpogx", "gazex"),
     "gaze_y": ("fpogy", "bpogy", "gazey"),
     "aoi": ("aoi",),
 }
+# Names of the columns of event logs, the preferred ones first.
+EVENT_TIMES = ("event_time", "time_s", "time", "timestamp", "onset", "onset_time", "trial_onset", "stimulus_onset")
+EVENT_LABELS = ("event_label", "label", "event", "condition", "type", "stimulus")
+EVENT_IDS = ("event_id", "id", "trial_id", "trial")
+CLOCKS = ("time", "time_ms", "time_tick", "counter")
 
 
 def clean_name(name: str) -> str:
@@ -131,3 +146,45 @@ def missing_columns(df: DataFrame, required) -> list[str]:
     """Required roles or names that the table lacks."""
     have = {c.lower() for c in df.columns} | {role_of(c) for c in df.columns}
     return [r for r in required if r.lower() not in have and r not in have]
+
+
+def _named(df: DataFrame, names) -> str | None:
+    lower = {c.lower(): c for c in df.columns}
+    return next((lower[n] for n in names if n in lower), None)
+
+
+def read_event_log(spark: SparkSession, path: str, time: str | None = None, label: str | None = None, event_id: str | None = None) -> DataFrame:
+    """An event log with event_id, event_time (seconds) and event_label beside its own columns; rows without a time go.
+
+    Without an id column, rows are named in the order of time and label.
+    """
+    df = read_export(spark, path)
+    time, label, event_id = time or _named(df, EVENT_TIMES), label or _named(df, EVENT_LABELS), event_id or _named(df, EVENT_IDS)
+    if time is None:
+        raise ValueError("the log has no time column")
+    at = F.expr(f"try_cast(`{time}` as double)")
+    text = F.col(f"`{label}`") if label else F.lit(None).cast("string")
+    d = df.withColumn("_time", at).where("_time is not null").withColumn("_label", text)
+    name = F.col(f"`{event_id}`") if event_id else F.row_number().over(Window.orderBy("_time", "_label")).cast("string")  # a log is one session's events
+    own = [c for c in df.columns if c not in ("event_id", "event_time", "event_label")]
+    return d.select(name.alias("event_id"), F.col("_time").alias("event_time"), F.coalesce("_label", F.concat(F.lit("event_"), name)).alias("event_label"), *[F.col(f"`{c}`") for c in own])
+
+
+def read_session(spark: SparkSession, path: str, session: str | None = None) -> dict[str, DataFrame]:
+    """The exports of a session folder by file name; ``session`` keeps the files that begin with it."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", f"{session or ''}*.csv").load(path).select("path", "length")  # names only: contents are not read
+    out = {r.path.rsplit("/", 1)[-1]: read_export(spark, r.path) for r in sorted(listed.collect())}
+    if not out:
+        raise ValueError(f"no export of the session in {path}")
+    return out
+
+
+def choose_clock(df: DataFrame, keys=(), order=()) -> str | None:
+    """The first column of a clock role whose values are all there and never step back within ``keys`` in the given order; one pass."""
+    clocks = sorted((c for c in df.columns if role_of(c) in CLOCKS), key=lambda c: CLOCKS.index(role_of(c)))
+    if not clocks:
+        return None
+    w = Window.partitionBy(*keys).orderBy(*order)
+    d = df.select(*[F.expr(f"try_cast(`{c}` as double)").alias(f"v{k}") for k, c in enumerate(clocks)], *[(F.expr(f"try_cast(`{c}` as double)") < F.lag(F.expr(f"try_cast(`{c}` as double)")).over(w)).alias(f"b{k}") for k, c in enumerate(clocks)])
+    r = d.agg(F.count("*").alias("n"), *[F.count(f"v{k}").alias(f"n{k}") for k in range(len(clocks))], *[F.count_if(f"b{k}").alias(f"s{k}") for k in range(len(clocks))]).first()
+    return next((c for k, c in enumerate(clocks) if r["n"] and r[f"n{k}"] == r["n"] and not r[f"s{k}"]), None)

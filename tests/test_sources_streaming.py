@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from sensorloom.plans import provenance as P
@@ -61,3 +62,17 @@ def test_live_operators(spark):
     got = _run(spark, L.ema(s, "user_id", "event_id", "value", 0.1), "ema", "update")
     assert sum(r.n for r in got) == batch.where("value is not null").count()
     assert len(_run(spark, L.marker_edges(s, "user_id", "event_id", "event_type"), "edges", "append")) > 0
+
+
+def test_event_logs_sessions_and_clocks(spark, tmp_path):
+    (tmp_path / "p1_events.csv").write_text("Onset;Label;extra\n2.5;b;x\n1.0;;y\nbad;c;z\n")
+    (tmp_path / "p1_all.csv").write_text("CNT,TIME,GSR\n1,0.0,5\n2,0.5,\n3,0.4,6\n")
+    (tmp_path / "p2_all.csv").write_text("CNT\n1\n")
+    log = X.read_event_log(spark, str(tmp_path / "p1_events.csv")).orderBy("event_time").collect()
+    assert [(r.event_id, r.event_time, r.event_label, r.extra) for r in log] == [("1", 1.0, "event_1", "y"), ("2", 2.5, "b", "x")]
+    files = X.read_session(spark, str(tmp_path), "p1")
+    assert sorted(files) == ["p1_all.csv", "p1_events.csv"] and files["p1_all.csv"].count() == 3
+    assert X.choose_clock(files["p1_all.csv"], order=["CNT"]) == "CNT"  # TIME steps back
+    assert X.choose_clock(files["p1_events.csv"], order=["Onset"]) is None
+    with pytest.raises(ValueError):
+        X.read_session(spark, str(tmp_path), "p9")
