@@ -45,8 +45,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is set (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/sensorloom"
+    """The folder that all executors share, as the cluster names it; a local one only where Spark itself is local (tests)."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return "/tmp/checkpoints/sensorloom"
 
 
 #: Spark then removes a query's shuffle files when the query ends, not when the driver collects garbage.

@@ -303,3 +303,26 @@ def test_kneser_ney_equals_brute_force():
         for j, t in enumerate(held):
             g = grams(t)
             assert abs(got[j, k] + sum(np.log(prob(x)) for x in g) / len(g)) < 1e-4
+
+
+def test_very_long_texts_and_pages_pass_every_operator(spark, docs):
+    """Two texts of a megabyte each beside short ones, a page of two megabytes, an address of 100,000 characters, repeated rows."""
+    from sensorloom.llm import ngram_jaccard, quality_rules, source_mix, suffix_dedup, url_filter
+
+    rng = np.random.default_rng(1)
+    words = np.array(["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(5000)])
+    long = " ".join(rng.choice(words, 170_000))
+    df = docs([(1, long), (2, long[:500_000] + "x" + long[500_000:]), (3, "short text"), (3, "short text"), (4, None)])
+    got = {r.doc_id: r for r in ngram_jaccard.classes(df).collect()}
+    assert got[1].component_id == got[2].component_id == 1 and got[1].n_shingles > 160_000
+    cut = {r.doc_id: r for r in suffix_dedup.removals(df).collect()}
+    assert cut[1].n_removed == 0 and cut[2].n_bytes - cut[2].n_removed <= 1 and cut[3].n_removed == 0
+    assert sorted(r.size for r in source_mix.copies(df).collect()) == [0, 2, 2, 170_000, 170_000]
+    assert quality_rules.ledger(df).count() == secret_scan.secrets(df).count() == 5
+    assert language_id.predict(df, language_id.train([("en", long[:20_000]), ("de", "eins zwei drei")])).count() == 5
+    page = "<html><body><article>" + "".join(f"<p>{w}</p>" for w in rng.choice(words, 180_000)) + "</article></body></html>"
+    url = "http://a.example/" + "p/" * 50_000
+    pages = spark.createDataFrame([(1, url, page), (1, url, page), (2, url + "?q", "<p>a"), (3, None, None)], "page_id long, url string, html string")
+    assert sorted(r.n_chars for r in html_extract.main_text(pages).collect()) == [0, 1, 6 * 180_000 - 1, 6 * 180_000 - 1]
+    judged = url_filter.judge(pages).collect()
+    assert len(judged) == 4 and {r.path for r in judged if r.page_id in (1, 2)} == {"/" + "p/" * 50_000}
