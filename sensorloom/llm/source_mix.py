@@ -9,8 +9,9 @@ sums of the expected copies plus one random offset per source emit a copy at
 each integer crossed. Ordering by size keeps the taken words near the target.
 
 No source is put into one task: rows are ranked inside (source, size class,
-slice) blocks, whose number follows the number of documents, and the blocks'
-counts are summed up over the far smaller block table. Offsets and slices derive from MD5, so that reruns agree.
+slice) blocks, whose number follows the number of documents; the blocks' counts
+are summed up within each size class, and those of the few hundred classes
+within the source. Offsets and slices derive from MD5, so that reruns agree.
 
 Defined results: null texts have size 0; null sources are one source that
 stands last; sizes of 0 take 0. An empty table gives an empty result; repeated
@@ -55,12 +56,14 @@ def copies(documents: DataFrame, seed: str = SEED, keys: tuple[str, ...] = ()) -
         .withColumn("cls", F.expr("bits * 32L + shiftright(size * 32L, bits)"))
         .drop("bits")
     )
-    digits = max(2, len(f"{docs.count():x}") - 2)  # 16 times the documents, 16 times the slices
+    digits = max(1, len(f"{docs.count():x}") - 5)  # 16 times the documents, 16 times the slices of a size class
     docs = docs.withColumn("slice", F.substring("slice", 1, digits))
     block = ["skey", "cls", "slice"]
     blocks = docs.groupBy(block).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    upto = Window.partitionBy("skey").orderBy("cls", "slice").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = materialize(blocks.withColumn("ahead", F.coalesce(F.sum("n").over(upto), F.lit(0))))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    classes = blocks.groupBy("skey", "cls").agg(F.sum("n").alias("n")).withColumn("below", before(Window.partitionBy("skey").orderBy("cls"))).drop("n")
+    blocks = blocks.withColumn("within", before(Window.partitionBy("skey", "cls").orderBy("slice"))).join(classes, ["skey", "cls"])
+    blocks = materialize(blocks.withColumn("ahead", F.col("below") + F.col("within")).drop("below", "within"))
     goals = targets(blocks.groupBy("skey").agg(F.sum("words").alias("source_size")))
     starts = blocks.join(goals, "skey").select(*block, "ahead", "source_size", "target")
     u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), "skey")), 1, 8), 16, 10).cast("double") / 4294967296.0
@@ -90,7 +93,7 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = rf"""
 with d as (select doc_id, coalesce(text, '') body, coalesce('s' || source, 't') skey, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size from documents),
-k as (select *, length(bin(size)) bits, substr(md5(coalesce(doc_id::varchar, body)), 1, greatest(2, (select length(to_hex(count(*))) - 2 from d))) slice from d),
+k as (select *, length(bin(size)) bits, substr(md5(coalesce(doc_id::varchar, body)), 1, greatest(1, (select length(to_hex(count(*))) - 5 from d))) slice from d),
 c as (select *, bits * 32 + ((size * 32) >> bits) cls from k),
 s as (select skey, sum(size)::bigint source_size from d group by skey),
 w as (select *, case (row_number() over (order by skey) - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end weight, source_size * {CAP}.0::double cap from s),
