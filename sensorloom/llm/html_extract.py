@@ -32,7 +32,6 @@ import json
 import os.path
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F

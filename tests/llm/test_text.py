@@ -1,6 +1,5 @@
 """HTML extraction, secret scan, BPE, language ID: brute force, round trips, held-out accuracy, edge cases."""
 
-import base64
 import hashlib
 import html
 import json
