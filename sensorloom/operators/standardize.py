@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.core import AFTER, BEFORE, islands, last_known, median, next_known, ordered, quantile, robust, whole
+from ..functions.core import BEFORE, islands, last_known, median, next_known, ordered, quantile, robust, whole
 
 
 def zscore(df: DataFrame, keys, x: str, min_valid: int = 3) -> DataFrame:
