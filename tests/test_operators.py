@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 
-from sensorloom.operators import cardiac as C, events as E, joins as J, quality as Q, standardize as S, stats as T, windows as W
+from sensorloom.operators import cardiac as C, complexity as Y, events as E, joins as J, quality as Q, standardize as S, stats as T, windows as W
 
 
 def frame(spark, rows, schema):
@@ -78,13 +78,18 @@ def test_hrv_time_domain(spark):
     assert math.isclose(r.rmssd, math.sqrt((d**2).mean())) and math.isclose(r.sdnn, np.std(x, ddof=1)) and r.nn50 == 1
 
 
-def test_sample_entropy_of_a_constant_is_undefined():
-    assert math.isnan(C.sample_entropy(np.ones(30)))
-    assert C.sample_entropy(np.sin(np.arange(300) / 5)) < C.sample_entropy(np.random.default_rng(1).normal(size=300))
+def series(spark, x):
+    return spark.createDataFrame([("g", k, float(v)) for k, v in enumerate(x)], "g string, k long, x double")
 
 
-def test_dfa_of_noise_is_near_one_half():
-    assert abs(C.dfa(np.random.default_rng(2).normal(size=4000)) - 0.5) < 0.12
+def test_sample_entropy_of_a_constant_is_undefined(spark):
+    entropy = lambda x: Y.sample_entropy(series(spark, x), ["g"], "x", ["k"]).first().entropy
+    assert entropy(np.ones(30)) is None
+    assert entropy(np.sin(np.arange(300) / 5)) < entropy(np.random.default_rng(1).normal(size=300))
+
+
+def test_dfa_of_noise_is_near_one_half(spark):
+    assert abs(Y.detrended_fluctuation(series(spark, np.random.default_rng(2).normal(size=4000)), ["g"], "x", ["k"]).first().dfa - 0.5) < 0.12
 
 
 def test_cluster_null_is_repeatable(spark):
