@@ -39,6 +39,10 @@ BATCH_CHARS, CACHE = 1 << 19, 150_000
 LONG, NONE = 128, 1 << 40
 # Fixed values of the pattern: contractions are an apostrophe and one of these.
 SINGLE, DOUBLE = "stmd", ("re", "ve", "ll")
+# Letters and numbers that Unicode 16.0 added, which the libraries know and older Python tables do not.
+NEW_LETTERS = """1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B-1138B 1138E-1138E 11390-113B5
+ 113B7-113B7 113D1-113D1 113D3-113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF-18CFF 1E5D0-1E5ED 1E5F0-1E5F0"""
+NEW_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
 
 
 @lru_cache(1)
@@ -49,6 +53,9 @@ def class_table() -> np.ndarray:
     kinds = {"L": LETTER, "N": NUMBER}
     table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
     table[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = SPACE
+    for ranges, kind in ((NEW_LETTERS, LETTER), (NEW_NUMBERS, NUMBER)):
+        for first, last in (r.split("-") for r in ranges.split()):
+            table[int(first, 16) : int(last, 16) + 1] = kind
     return table
 
 
