@@ -172,7 +172,7 @@ def _leaf(n_chars: str) -> str:
 SQL = f"""
 with recursive crc as (select list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) crc_table),
 d as (select row_number() over () rid, doc_id, lang, {_leaf('n_chars')} leaf,
-  case when xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda x: ord(x)::bigint)), lambda c, x: xor(c >> 8, crc_table[(xor(c, x) & 255) + 1])), 4294967295) % {TAMPER} = 0
+  case when doc_id is not null and xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda x: ord(x)::bigint)), lambda c, x: xor(c >> 8, crc_table[(xor(c, x) & 255) + 1])), 4294967295) % {TAMPER} = 0
     then {_leaf('(n_chars + 1)')} else {_leaf('n_chars')} end tampered from documents, crc),
 p as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf, rid) - 1 i from d),
 tree(l, lang, i, h, n) as (select 0, lang, i, leaf, (count(*) over (partition by lang))::bigint from p
