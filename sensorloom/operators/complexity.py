@@ -1,61 +1,43 @@
-"""Recurrence, sample entropy and detrended fluctuation of recordings, as joins and sums.
+"""Recurrence, sample entropy and detrended fluctuation of recordings.
 
-Samples that lie near each other in value meet by an equi join on value buckets,
-so a recording's work is spread over its buckets. Along a diagonal of the
-recurrence plot, runs of such pairs hold all that is needed: line lengths, and
-matches of m points (a run of l pairs has l - m + 1 of them).
+Recurrence and entropy count runs along the diagonals of the recurrence plot: line
+lengths, and matches of m points (a run of l pairs has l - m + 1 of them). The
+plot is taken tile by tile (``tiles``).
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.core import BEFORE, ordered, whole
+from ..functions.ranges import matched
+from .tiles import places, run_counts
 
 
-def _same(keys) -> list:
-    return [F.col("a." + k).eqNullSafe(F.col("b." + k)) for k in keys]
-
-
-def positions(df: DataFrame, keys, x: str, order, radius: float) -> DataFrame:
-    """Valid samples as v with their place rn, the group's size n and tolerance tol, ``radius`` SDs."""
-    w = whole(keys)
-    d = df.where(F.col(x).isNotNull()).select(*keys, *order, F.col(x).cast("double").alias("v"))
-    return d.select(*keys, "v", F.row_number().over(ordered(keys, order)).alias("rn"), F.count("*").over(w).alias("n"), (radius * F.stddev_samp("v").over(w)).alias("tol"))
-
-
-def diagonal_runs(points: DataFrame, keys) -> DataFrame:
-    """(keys, lag, len, last): maximal runs of pairs (rn - lag, rn) within the tolerance, by the place of the last one."""
-    p = points.where("tol > 0").withColumn("bucket", F.floor(F.col("v") / F.col("tol")))
-    near = p.withColumn("bucket", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)))
-    on = [*_same(keys), F.expr("a.bucket = b.bucket"), F.expr("a.rn < b.rn"), F.expr("abs(a.v - b.v) <= a.tol")]
-    pairs = near.alias("a").join(p.alias("b"), reduce(lambda a, b: a & b, on)).select(*[F.col("b." + k).alias(k) for k in keys], F.expr("b.rn - a.rn").alias("lag"), F.col("b.rn").alias("at"))
-    run = F.col("at") - F.row_number().over(ordered([*keys, "lag"], ["at"]))
-    return pairs.withColumn("run", run).groupBy(*keys, "lag", "run").agg(F.count("*").alias("len"), F.max("at").alias("last")).drop("run")
+def _points(df: DataFrame, keys, x: str, order, radius: float) -> tuple[DataFrame, DataFrame]:
+    """Valid samples with their place and tolerance, ``radius`` SDs; and (keys, n, tol)."""
+    size = df.where(F.col(x).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), (radius * F.stddev_samp(F.col(x).cast("double"))).alias("tol"))
+    return matched(places(df, keys, x, order), size.where("tol > 0").select(*keys, "tol"), keys), size
 
 
 def recurrence(df: DataFrame, keys, x: str, order, radius: float = 0.2, line: int = 2) -> DataFrame:
     """Recurrence rate and determinism within ``radius`` SDs; NULL under four samples or without spread."""
-    p = positions(df, keys, x, order, radius)
-    size = p.groupBy(*keys).agg(F.count("*").alias("n"), F.first("tol").alias("tol"))
-    runs = diagonal_runs(p, keys).groupBy(*keys).agg(F.sum("len").alias("pairs"), F.sum(F.when(F.col("len") >= line, F.col("len")).otherwise(0)).alias("inside"))
-    d = size.alias("a").join(runs.alias("b"), reduce(lambda a, b: a & b, _same(keys)), "left").select("a.*", "pairs", "inside")
+    p, size = _points(df, keys, x, order, radius)
+    points = F.col("len") * F.col("k")
+    runs = run_counts(p, keys).groupBy(*keys).agg(F.sum(points).alias("pairs"), F.sum(F.when(F.col("len") >= line, points).otherwise(0)).alias("inside"))
     n, ok = F.col("n").cast("double"), (F.col("n") >= 4) & (F.col("tol") > 0)
-    return d.select(*keys, "n", F.when(ok, 2 * F.coalesce("pairs", F.lit(0)) / (n * (n - 1))).alias("rate"), F.when(ok, F.col("inside") / F.col("pairs")).alias("determinism"))
+    rate = F.when(ok, 2 * F.coalesce("pairs", F.lit(0)) / (n * (n - 1)))
+    return matched(size, runs, keys, "left").select(*keys, "n", rate.alias("rate"), F.when(ok, F.try_divide("inside", F.nullif("pairs", F.lit(0)))).alias("determinism"))
 
 
 def sample_entropy(df: DataFrame, keys, x: str, order, m: int = 2, radius: float = 0.2) -> DataFrame:
     """-ln(A / B) with A and B the pairs that agree over m + 1 and over m points; templates start at the first n - m samples. NULL where either is 0."""
-    p = positions(df, keys, x, order, radius)
-    size = p.groupBy(*keys).agg(F.count("*").alias("n"))
+    p, size = _points(df, keys, x, order, radius)
     over = lambda k: F.greatest(F.col("len") - (k - 1), F.lit(0))
-    runs = diagonal_runs(p, keys).alias("b").join(size.alias("a"), reduce(lambda a, b: a & b, _same(keys))).select("a.*", "len", "last")
-    late = ((F.col("last") == F.col("n")) & (F.col("len") >= m)).cast("long")
-    counts = runs.groupBy(*keys).agg(F.sum(over(m) - late).alias("short"), F.sum(over(m + 1)).alias("long"))
-    d = size.alias("a").join(counts.alias("b"), reduce(lambda a, b: a & b, _same(keys)), "left").select("a.*", "short", "long")
-    return d.select(*keys, "n", F.when((F.col("long") > 0) & (F.col("short") > 0), -F.ln(F.col("long") / F.col("short"))).alias("entropy"))
+    late = (F.col("at_end") & (F.col("len") >= m)).cast("long")
+    counts = run_counts(p, keys).groupBy(*keys).agg(F.sum((over(m) - late) * F.col("k")).alias("short"), F.sum(over(m + 1) * F.col("k")).alias("long"))
+    entropy = F.when((F.col("long") > 0) & (F.col("short") > 0), -F.ln(F.col("long") / F.col("short")))
+    return matched(size, counts, keys, "left").select(*keys, "n", entropy.alias("entropy"))
 
 
 def multiscale_entropy(df: DataFrame, keys, x: str, order, scales=(1, 2, 3), m: int = 2, radius: float = 0.2) -> DataFrame:
@@ -65,7 +47,7 @@ def multiscale_entropy(df: DataFrame, keys, x: str, order, scales=(1, 2, 3), m:
     boxes = d.groupBy(*keys, "scale", "box").agg(F.avg("v").alias("v"), F.count("*").alias("k"), F.first("of").alias("of")).where("k = scale")
     e = sample_entropy(boxes.where("of >= 10 * scale"), [*keys, "scale"], "v", ["box"], m, radius)
     every = boxes.select(*keys, "scale").distinct()
-    return every.alias("a").join(e.alias("b"), reduce(lambda a, b: a & b, _same([*keys, "scale"])), "left").select("a.*", "entropy")
+    return matched(every, e.select(*keys, "scale", "entropy"), [*keys, "scale"], "left")
 
 
 def detrended_fluctuation(df: DataFrame, keys, x: str, order, sizes=(4, 6, 8, 12, 16, 24, 32)) -> DataFrame:

@@ -1,0 +1,3 @@
+"""Registered queries: importing the package registers all of them."""
+
+from . import queries, advanced  # noqa: F401
