@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import bounded, read, trimmed
+from .common import as_text, bounded, longs, read, trimmed
 
 LETTER, NUMBER, SPACE, OTHER, BREAK = range(5)
 #: Characters held in arrays at once, and pieces cached per worker.
@@ -251,14 +251,14 @@ def encode(documents: DataFrame, ranks_path: str, keep_ids: bool = False) -> Dat
             at = 0
             for some in slices_of(texts):
                 ids = code.encode_many(some)
-                out = {"doc_id": pdf["doc_id"].iloc[at : at + len(some)].array, "n_tokens": [len(b) // 4 for b in ids],
+                out = {"doc_id": longs(pdf["doc_id"].iloc[at : at + len(some)]), "n_tokens": [len(b) // 4 for b in ids],
                        "ids_sha256": [sha(b) for b in ids], "decoded_sha256": [sha(code.decode(b)) for b in ids]}
                 if keep_ids:
                     out |= {"ids": ids, "offsets": [code.offsets(b).astype("<i8").tobytes() for b in ids]}
                 at += len(some)
                 yield pd.DataFrame(out)
 
-    return bounded(documents).select("doc_id", "text").mapInPandas(trimmed(run), schema + ", ids binary, offsets binary" * keep_ids)
+    return bounded(documents).select(as_text("doc_id"), "text").mapInPandas(trimmed(run), schema + ", ids binary, offsets binary" * keep_ids)
 
 
 def default_ranks() -> str:

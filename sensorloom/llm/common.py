@@ -7,6 +7,7 @@ import ctypes
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -40,6 +41,16 @@ def trimmed(run: Callable) -> Callable:
     return whole
 
 
+def as_text(name: str) -> F.Column:
+    """An integer column for ``mapInPandas``: as text it keeps all its digits beside NULLs, which pandas would make doubles of."""
+    return F.col(name).cast("string").alias(name)
+
+
+def longs(texts) -> pd.api.extensions.ExtensionArray:
+    """The numbers of such a column."""
+    return pd.array([None if v is None else int(v) for v in texts], "Int64")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -36,7 +36,7 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import bounded, materialize, read, trimmed
+from .common import as_text, bounded, longs, materialize, read, trimmed
 
 PAGES, TEMPLATE = 5, 0.9
 
@@ -415,9 +415,9 @@ def main_text(pages: DataFrame) -> DataFrame:
         get = _reader()
         for pdf in batches:
             text = [extract(page, get(w)) for page, w in zip(pdf["html"], pdf["wrapper"])]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
+            yield pd.DataFrame({"page_id": longs(pdf["page_id"]), "url": pdf["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    return rows.join(known, "host", "left").select("page_id", "url", "html", "wrapper").mapInPandas(trimmed(run), "page_id long, url string, text string, n_chars long")
+    return rows.join(known, "host", "left").select(as_text("page_id"), "url", "html", "wrapper").mapInPandas(trimmed(run), "page_id long, url string, text string, n_chars long")
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

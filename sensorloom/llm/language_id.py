@@ -23,10 +23,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .byte_bpe import slices_of
-from .common import bounded, read, trimmed
+from .common import as_text, bounded, longs, read, trimmed
 
 ORDER, BITS, DISCOUNT = 4, 15, 0.75
 SAMPLE, SAMPLE_CHARS = 240, 20_000
@@ -191,7 +192,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
             texts = pdf["text"].where(pdf["text"].notna(), "").tolist()
             at = 0
             for some in slices_of(texts, 1 << 18):
-                ids = pdf["doc_id"].iloc[at : at + len(some)]
+                ids = longs(pdf["doc_id"].iloc[at : at + len(some)])
                 at += len(some)
                 if m.models:
                     h, n = m.entropies(some, table)
@@ -204,10 +205,10 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
                 else:
                     none = over = np.ones(len(some), bool)
                     low, score, langs = np.zeros(len(some)), np.zeros(len(some)), ["und"] * len(some)
-                yield pd.DataFrame({"doc_id": ids.array, "lang_pred": langs, "score": np.where(none, 0.0, score),
+                yield pd.DataFrame({"doc_id": ids, "lang_pred": langs, "score": np.where(none, 0.0, score),
                                     "rejected": none | over, "cross_entropy": np.where(none, 0.0, low)})
 
-    return bounded(documents).select("doc_id", "text").mapInPandas(trimmed(run), "doc_id long, lang_pred string, score double, rejected boolean, cross_entropy double")
+    return bounded(documents).select(as_text("doc_id"), "text").mapInPandas(trimmed(run), "doc_id long, lang_pred string, score double, rejected boolean, cross_entropy double")
 
 
 def keep_accepted(documents: DataFrame, model: Model) -> DataFrame:
@@ -217,17 +218,17 @@ def keep_accepted(documents: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = shared.value
         table = m.table() if m.models else None
-        for pdf in batches:
-            texts = pdf["text"].where(pdf["text"].notna(), "").tolist()
+        for b in batches:
+            texts = [t or "" for t in b["text"].to_pylist()]
             keep = np.zeros(len(texts), bool)
             at = 0
             for some in slices_of(texts, 1 << 18) if m.models else ():
                 h, n = m.entropies(some, table)
                 keep[at : at + len(some)] = (n > 0) & (h.min(1) <= m.bound[h.argmin(1)])
                 at += len(some)
-            yield pdf[keep]
+            yield b.filter(pa.array(keep))
 
-    return bounded(documents).mapInPandas(trimmed(run), schema)
+    return bounded(documents).mapInArrow(trimmed(run), schema)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .byte_bpe import slices_of
-from .common import bounded, fresh, materialize, read, release, trimmed
+from .common import as_text, bounded, fresh, longs, materialize, read, release, trimmed
 from .components import components
 
 WORDS, BINS, BATCH_CHARS = 5, 64, 1 << 18
@@ -151,7 +151,7 @@ def nodes(documents: DataFrame) -> DataFrame:
 
         for pdf, sets in _sets(batches):
             ids = [node_of(s) for s in sets]
-            yield pd.DataFrame({"kind": 0, "doc_id": pdf["doc_id"].astype("Int64").array, "node": ids, "n": [len(s) for s in sets], "bins": [bins_of(s) for s in sets]})
+            yield pd.DataFrame({"kind": 0, "doc_id": longs(pdf["doc_id"]), "node": ids, "n": [len(s) for s in sets], "bins": [bins_of(s) for s in sets]})
             for k, s in zip(ids, sets):
                 if len(s) and k not in seen:
                     seen.add(k)
@@ -163,7 +163,7 @@ def nodes(documents: DataFrame) -> DataFrame:
         if held:
             yield frequent()
 
-    return bounded(documents).select("doc_id", "text").mapInPandas(trimmed(run), "kind int, doc_id long, node long, n long, bins binary")
+    return bounded(documents).select(as_text("doc_id"), "text").mapInPandas(trimmed(run), "kind int, doc_id long, node long, n long, bins binary")
 
 
 def prefixes(documents: DataFrame, hot: np.ndarray) -> DataFrame:

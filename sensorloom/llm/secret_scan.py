@@ -44,9 +44,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import bounded, read, trimmed
+from .common import as_text, bounded, longs, read, trimmed
 
 # Fixed patterns of the base kinds.
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -291,15 +292,15 @@ def secrets(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
+            for text in pdf["text"]:
                 spans = scan(text, cuts)
                 says = [f"{k}:{a}:{b}" for a, b, k in spans]
                 base = [s for s, x in zip(says, spans) if x[2] != "random"]
                 n = [sum(x[2] == k for x in spans) for k in KINDS]
-                rows.append((doc_id, *n[:3], hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(says), n[3]))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"])
+                rows.append((*n[:3], hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(says), n[3]))
+            yield pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"]).assign(doc_id=longs(pdf["doc_id"]))
 
-    return bounded(documents).select("doc_id", "text").mapInPandas(
+    return bounded(documents).select(as_text("doc_id"), "text").mapInPandas(
         trimmed(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
 
 
@@ -308,13 +309,17 @@ def redacted(documents: DataFrame) -> DataFrame:
     names, cuts = documents.columns, corpus_cuts(documents)
 
     def run(batches):
-        for pdf in batches:
-            pdf["text"] = [redact(t, scan(t, cuts)) for t in pdf["text"]]
+        for b in batches:
+            texts = [redact(t, scan(t, cuts)) for t in b["text"].to_pylist()]
+            new = {"text": texts}
             if "n_chars" in names:
-                pdf["n_chars"] = [len(t) if t is not None else n for t, n in zip(pdf["text"], pdf["n_chars"])]
-            yield pdf
+                new["n_chars"] = [len(t) if t is not None else n for t, n in zip(texts, b["n_chars"].to_pylist())]
+            for name, values in new.items():
+                field = b.schema.field(name)
+                b = b.set_column(b.schema.get_field_index(name), field, pa.array(values, field.type))
+            yield b
 
-    return bounded(documents).mapInPandas(trimmed(run), documents.schema)
+    return bounded(documents).mapInArrow(trimmed(run), documents.schema)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
