@@ -13,57 +13,72 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.core import BEFORE, ordered, quantile
+from ..functions.ranges import matched
 
 STEP = ("_a", "_b", "_c", "_d")
+INTEGRAL = ("bigint", "int", "smallint", "tinyint")
 
 
-def _chained(m: np.ndarray, v: float) -> tuple[float, np.ndarray]:
-    """Values after each step from v, and the last one."""
-    out = np.empty(len(m))
-    for k, (a, b, c, d) in enumerate(m.tolist()):
-        v = (a * v + b) / (c * v + d)
-        out[k] = v
-    return v, out
+def _scaled(m: np.ndarray) -> np.ndarray:
+    return m / np.abs(m).max(axis=(-2, -1), keepdims=True)
+
+
+def _product(m: np.ndarray) -> np.ndarray:
+    """Product of the steps in order, by pairs."""
+    while len(m) > 1:
+        odd = m[-1:] if len(m) % 2 else m[:0]
+        m = np.concatenate([_scaled(m[1::2] @ m[: len(m) // 2 * 2 : 2]), odd])
+    return m[0]
+
+
+def _chained(m: np.ndarray, v: float) -> np.ndarray:
+    """Values after each step from v, by products of all steps so far (doubling)."""
+    m, d = _scaled(m), 1
+    while d < len(m):
+        m = np.concatenate([m[:d], _scaled(m[d:] @ m[:-d])])
+        d *= 2
+    return (m[:, 0, 0] * v + m[:, 0, 1]) / (m[:, 1, 0] * v + m[:, 1, 1])
 
 
 def recur(df: DataFrame, keys, order, width: float, step: tuple[Column, Column, Column, Column], start: str, name: str) -> DataFrame:
     """Adds ``name``, the value after each row, and ``name_before``; ``order`` begins with the time, blocks are ``width`` of it.
 
     ``start`` is a column that is constant in each unit; where it is NULL so are
-    all values.
+    all values. Whole numbers pass through Python as text, so they keep their digits.
     """
     parts = [f"_k{k}" for k in range(len(keys))]
     d = df.select("*", *[e.cast("double").alias(n) for n, e in zip(STEP, step)], *[F.col(k).alias(p) for k, p in zip(keys, parts)], F.floor(F.col(order[0]) / width).alias("_block"))
-    kinds = dict(d.dtypes)
+    d = d.withColumn("_row", F.row_number().over(ordered([*parts, "_block"], order)))
+    kinds, whole = dict(d.dtypes), [c for c, t in df.dtypes if t in INTEGRAL]
+    d = d.select(*[F.col(c).cast("string").alias(c) if c in whole and c != start else F.col(c) for c in d.columns])
     key_kinds = ", ".join(f"{p} {kinds[p]}" for p in parts)
+    steps = lambda pdf: pdf[list(STEP)].to_numpy().reshape(-1, 2, 2)
+    keyed = lambda pdf, n: pd.DataFrame({p: [pdf[p].iloc[0]] * n for p in parts})
 
     def product(pdf):
-        pdf = pdf.sort_values(list(order))
-        m = np.eye(2)
-        for a, b, c, e in pdf[list(STEP)].to_numpy().tolist():
-            m = np.array(((a, b), (c, e))) @ m
-            m /= np.abs(m).max()
-        return pd.DataFrame([[*pdf[[*parts, "_block"]].iloc[0], *m.ravel(), pdf[start].iloc[0]]], columns=[*parts, "_block", *STEP, "_v"])
+        m = _product(steps(pdf.sort_values("_row")))
+        return keyed(pdf, 1).assign(_block=pdf["_block"].iloc[0], **dict(zip(STEP, m.ravel())), _v=pdf[start].iloc[0])
 
     def entries(pdf):
         pdf = pdf.sort_values("_block")
         v = pdf["_v"].iloc[0]
-        _, out = _chained(pdf[list(STEP)].to_numpy(), float("nan") if v is None else v)
-        return pdf[[*parts, "_block"]].assign(_entry=np.concatenate([pdf["_v"].iloc[:1].astype(float), out[:-1]]))
+        v = float("nan") if v is None else float(v)
+        return keyed(pdf, len(pdf)).assign(_block=pdf["_block"].to_numpy(), _entry=np.concatenate([[v], _chained(steps(pdf), v)[:-1]]))
 
-    narrow = d.select(*parts, "_block", *order, *STEP, start)
-    blocks = narrow.groupBy(*parts, "_block").applyInPandas(product, f"{key_kinds}, _block long, _a double, _b double, _c double, _d double, _v double")
+    blocks = d.select(*parts, "_block", "_row", *STEP, start).groupBy(*parts, "_block").applyInPandas(product, f"{key_kinds}, _block long, _a double, _b double, _c double, _d double, _v double")
     entry = blocks.groupBy(*parts).applyInPandas(entries, f"{key_kinds}, _block long, _entry double")
 
     def run(key, rows, at):
-        rows = rows.sort_values(list(order))
+        rows = rows.sort_values("_row")
         v = at["_entry"].iloc[0] if len(at) else float("nan")
-        _, out = _chained(rows[list(STEP)].to_numpy(), v)
-        return rows.drop(columns=[*STEP, "_block", *parts]).assign(**{name: out, name + "_before": np.concatenate([[v], out[:-1]])})
+        out = _chained(steps(rows), v)
+        return rows.drop(columns=[*STEP, "_block", "_row", *parts]).assign(**{name: out, name + "_before": np.concatenate([[v], out[:-1]])})
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + f", {name} double, {name}_before double"
+    kept = dict(d.dtypes)
+    schema = ", ".join(f"`{c}` {kept[c]}" for c in df.columns) + f", {name} double, {name}_before double"
     out = d.groupBy(*parts, "_block").cogroup(entry.groupBy(*parts, "_block")).applyInPandas(run, schema)
-    return out.withColumn(name, F.nanvl(name, F.lit(None).cast("double"))).withColumn(name + "_before", F.nanvl(name + "_before", F.lit(None).cast("double")))
+    real = lambda c: F.nanvl(c, F.lit(None).cast("double")).alias(c)
+    return out.select(*[F.col(c).cast(kinds[c]).alias(c) if c in whole else F.col(c) for c in df.columns], real(name), real(name + "_before"))
 
 
 def fuse_two(df: DataFrame, keys, primary: str, secondary: str, order, width: float, process: float = 0.01, primary_var: float = 0.05, secondary_var: float = 0.05) -> DataFrame:
@@ -75,7 +90,7 @@ def fuse_two(df: DataFrame, keys, primary: str, secondary: str, order, width: fl
     p, s = F.col(primary).isNotNull(), F.col(secondary).isNotNull()
     first = F.coalesce(primary, secondary)
     starts = df.where(first.isNotNull()).groupBy(*keys).agg(F.min_by(first, F.struct(*order)).alias("_first"), F.min(F.struct(*order)).alias("_since"))
-    d = df.join(starts, keys, "left").withColumn("_one", F.lit(1.0))
+    d = matched(df, starts, keys, "left").withColumn("_one", F.lit(1.0))
     one, r1, r2, q = F.lit(1.0), F.lit(primary_var), F.lit(secondary_var), F.lit(process)
     # adding q, then v -> r v / (v + r) for each sensor that is there
     a, b, c, e = one, q, F.lit(0.0), one
@@ -97,10 +112,10 @@ def adaptive_ema(df: DataFrame, keys, x: str, order, width: float, alpha: float
     """Exponentially weighted centre at every row; samples outside the IQR fences do not move it. NULL before the first one inside."""
     q = df.groupBy(*keys).agg(quantile(x, 0.25).alias("_q1"), quantile(x, 0.75).alias("_q3"))
     spread = F.col("_q3") - F.col("_q1")
-    d = df.join(q, keys, "left").withColumn("outlier", ~F.col(x).between(F.col("_q1") - fence * spread, F.col("_q3") + fence * spread))
+    d = matched(df, q, keys, "left").withColumn("outlier", ~F.col(x).between(F.col("_q1") - fence * spread, F.col("_q3") + fence * spread))
     inside = F.col(x).isNotNull() & ~F.col("outlier")
     starts = d.where(inside).groupBy(*keys).agg(F.min_by(x, F.struct(*order)).cast("double").alias("_first"), F.min(F.struct(*order)).alias("_since"))
-    d = d.join(starts, keys, "left")
+    d = matched(d, starts, keys, "left")
     one = F.lit(1.0)
     d = recur(d, keys, order, width, (F.when(inside, 1 - alpha).otherwise(1.0), F.when(inside, alpha * F.col(x)).otherwise(0.0), F.lit(0.0), one), "_first", "ema")
     return d.withColumn("ema", F.when(F.struct(*order) >= F.col("_since"), F.col("ema"))).drop("_q1", "_q3", "_first", "_since", "ema_before")

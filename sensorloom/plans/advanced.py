@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators import designs as D, equity as E, pyramids as P, ranks as K, tiles as G
+from ..functions.ranges import kept
+from ..operators import cleaning as C, designs as D, equity as E, pyramids as P, ranks as K, streams as M, tiles as G
+from ..sources import profiles as X
 from .queries import ORDER, query, samples
 
 # --- recurrence by tiles -----------------------------------------------------
@@ -160,3 +164,81 @@ def _(spark, d):
     fit = D.glm_fit(_design(spark, d), ["unit"], "x", ["intercept", "pspm_click", "pspm_error"])
     whole = lambda c: F.when(F.col("rank") == 3, F.col(c)).alias(c)
     return fit.select("unit", "n", "term", whole("estimate"), whole("std_error"), whole("r_squared"))
+
+
+# --- detrending, artifact intervals, streams -------------------------------------
+
+DETREND = """, a as (select unit, id, x rri_ms, t / 3600 u, count(*) over (partition by unit) n from s where x > 0), b as (select *, {trend} trend_ms from a window w as (partition by unit order by u range between 60 preceding and 60 following)),
+ c as (select *, case when n >= 3 then trend_ms end tr from b) select id, rri_ms, tr trend_ms, rri_ms - tr + avg(tr) over (partition by unit) rri_detrended_ms from c"""
+TRENDS = {"median": "quantile_cont(rri_ms, 0.5) over w", "mean": "avg(rri_ms) over w", "linear": "case when count(*) over w >= 3 then coalesce(regr_slope(rri_ms, u) over w * u + regr_intercept(rri_ms, u) over w, avg(rri_ms) over w) else avg(rri_ms) over w end"}
+
+for _m, _e in TRENDS.items():
+    query(f"rri_detrend_{_m}", DETREND.format(trend=_e), "rri_ms trend_ms rri_detrended_ms")(
+        lambda spark, d, m=_m: C.detrend_intervals(samples(spark, d).withColumn("u", F.col("t") / 3600), ["unit"], "x", ["u", "id"], "u", 120.0, m).select("id", "rri_ms", "trend_ms", "rri_detrended_ms"))
+
+SCR = """, a as (select id, state g, t, xm scr_raw, row_number() over w - 1 i, count(*) over (partition by state) n, xm - lag(xm) over w dx, t - lag(t) over w dt from (select * replace (case when xm is not null then round(xm / 2) * 2 end as xm) from s) window w as (partition by state order by t, id)),
+ b as (select *, scr_raw is null or scr_raw < 60 or scr_raw > 150 rg, coalesce(abs(dx) / nullif(dt, 0) > 0.02, false) sl, coalesce(abs(dx) <= 3, false) fl from a),
+ c as (select *, count(*) over (partition by g, fl, k) len from (select *, i - row_number() over (partition by g, fl order by i) k from b)), e as (select *, fl and len >= 3 cl, rg or sl or (fl and len >= 3) bad from c),
+ f as (select *, not bad and count(*) over (partition by g, bad, k2) < 4 isl from (select *, i - row_number() over (partition by g, bad order by i) k2 from e)),
+ h as (select *, coalesce(max((bad or isl)::int) over (partition by g order by i rows between 2 preceding and 2 following) = 1, false) art from f),
+ j as (select *, case when not art then scr_raw end v, last_value(case when not art then i end ignore nulls) over (partition by g order by i) pa, first_value(case when not art then i end ignore nulls) over (partition by g order by i rows between current row and unbounded following) pb from h),
+ l as (select j.*, p.scr_raw va, q.scr_raw vb from j left join j p on p.g = j.g and p.i = j.pa left join j q on q.g = j.g and q.i = j.pb),
+ m as (select *, coalesce(v, va + (vb - va) * (i - pa) / (pb - pa)::double, va, vb) scr_clean from l),
+ o as (select *, case when count(scr_clean) over w = 5 then avg(scr_clean) over w else scr_clean end scr_processed from m window w as (partition by g order by i rows between 2 preceding and 2 following))
+ select id, scr_raw, art artifact, case when rg or sl or cl or isl then concat_ws(';', case when rg then 'range_or_nonfinite' end, case when sl then 'slope' end, case when cl then 'clipping' end, case when isl then 'short_valid_island' end) when art then 'artifact_epoch' else 'accepted' end artifact_reason, scr_clean, scr_processed from o"""
+
+
+@query("scr_artifact_cleaning", SCR, "scr_raw scr_clean scr_processed")
+def _(spark, d):
+    s = samples(spark, d).withColumn("v", F.round(F.col("xm") / 2) * 2)
+    out = C.clean_conductance(s, ["state"], "v", "t", ORDER, 1.0, (60.0, 150.0), 0.02, 3.0, 3.0, 4.0, 2.0, 5.0)
+    return out.select("id", "scr_raw", "artifact", "artifact_reason", "scr_clean", "scr_processed")
+
+
+STREAMS = """, r as (select id, unit, t, x, t - min(t) over (partition by unit) rel from s where state = 'view'), z as (select unit, min(t) z from s where state = 'view' group by unit),
+ b as (select s.unit, s.id, xm v, t + 5 - 2 - z rel from s left join z using (unit) where state = 'click'), c as (select s.unit, s.id, h v, t - z rel from s left join z using (unit) where state = 'error'),
+ nb as (select r.id, arg_min_null(b.v, (abs(b.rel - r.rel), b.rel, b.id)) nv, arg_min(b.rel, (abs(b.rel - r.rel), b.rel, b.id)) - any_value(r.rel) gap from r join b on b.unit = r.unit group by r.id), nc as (select r.id, arg_min_null(c.v, (abs(c.rel - r.rel), c.rel, c.id)) nv, arg_min(c.rel, (abs(c.rel - r.rel), c.rel, c.id)) - any_value(r.rel) gap from r join c on c.unit = r.unit group by r.id)
+ select r.id, r.rel relative_s, {cells} from r left join nb on nb.id = r.id left join nc on nc.id = r.id"""
+
+
+def _streams(spark, d):
+    s = samples(spark, d)
+    return {"view": M.Stream(s.where("state = 'view'"), "t", ["id", "x"], ["t", "id"]), "click": M.Stream(s.where("state = 'click'"), "t", ["xm"], ["t", "id"], 5.0, 2.0), "error": M.Stream(s.where("state = 'error'"), "t", ["h"], ["t", "id"])}
+
+
+@query("streams_nearest_merge", STREAMS.format(cells="nb.nv click__xm, nc.nv error__h, nb.gap click__time_difference_s, nc.gap error__time_difference_s"), "relative_s click__xm click__time_difference_s error__time_difference_s")
+def _(spark, d):
+    out = M.merge_nearest(_streams(spark, d), ["unit"], "view")
+    return out.select("id", "relative_s", "click__xm", "error__h", "click__time_difference_s", "error__time_difference_s")
+
+
+@query("streams_tolerant_merge", STREAMS.format(cells="case when abs(nb.gap) <= 86400 then nb.nv end click__xm, case when abs(nc.gap) <= 86400 then nc.nv end error__h, case when abs(nb.gap) <= 86400 then nb.gap end click__time_difference_s, case when abs(nc.gap) <= 86400 then nc.gap end error__time_difference_s"),
+       "relative_s click__xm click__time_difference_s error__time_difference_s")
+def _(spark, d):
+    out = M.merge_nearest(_streams(spark, d), ["unit"], "view", 86400.0)
+    return out.select("id", "relative_s", "click__xm", "error__h", "click__time_difference_s", "error__time_difference_s")
+
+
+@query("streams_audit", """select state as stream, count(*) n_samples, case when state = 'click' then 5.0 else 0.0 end::double clock_offset_s, case when state = 'click' then 2.0 else 0.0 end::double known_lag_s from s where state in ('view', 'click', 'error') group by state""")
+def _(spark, d):
+    return M.stream_audit(_streams(spark, d))
+
+
+# --- folders of exports ------------------------------------------------------------
+
+
+@query("export_folder_profile", """with e as (select 'events' kind, unnest([{'c': 'event_id', 'v': event_id::varchar, 'role': 'ttl_event'}, {'c': 'USER', 'v': user_id::varchar, 'role': 'ttl_event'}, {'c': 'GSR', 'v': case when value >= 60 then value::varchar end, 'role': 'eda_gsr'}, {'c': 'label', 'v': event_type, 'role': 'other'}]) r from events
+ union all select 'people', unnest([{'c': 'account', 'v': c_custkey::varchar, 'role': 'other'}, {'c': 'HEART_RATE', 'v': c_acctbal::varchar, 'role': 'heart_rate'}, {'c': 'TIME', 'v': '0', 'role': 'time'}]) from customer),
+ f as (select kind, r.c as "column", r.role as "role", r.v v, try_cast(r.v as double) x from e)
+ select kind, "column", "role", case when count(x) = count(v) then 'numeric' else 'character' end "type", count(*) n_rows, count(*) - count(v) n_missing, case when count(x) = count(v) then count(distinct x) else count(distinct v) end n_unique, case when count(x) = count(v) then stddev_samp(x) end numeric_sd,
+ coalesce(count(x) = count(v) and min(x) = 0 and max(x) = 0, false) all_zero, count(distinct v) <= 1 "constant" from f group by all""", "numeric_sd")
+def _(spark, d):
+    # the tables are written as exports of two kinds, under separators of their own, into a new folder beside the checkpoints
+    kept(spark.range(1))
+    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/") + f"/exports-{uuid.uuid4().hex}"
+    e, c = spark.read.parquet(f"{d}/events.parquet"), spark.read.parquet(f"{d}/customer.parquet")
+    e = e.select("event_id", F.col("user_id").alias("USER"), F.when(F.col("value") >= 60, F.col("value")).alias("GSR"), F.col("event_type").alias("label"))
+    e.coalesce(1).write.csv(f"{root}/kind=events", header=True, sep=";", nullValue="NA")
+    c.select(F.col("c_custkey").alias("account"), F.col("c_acctbal").alias("HEART_RATE"), F.lit(0).alias("TIME")).coalesce(1).write.csv(f"{root}/kind=people", header=True)
+    columns = X.profile_folder(spark, root, recursive=True)["columns"]
+    return columns.select(F.regexp_extract("file", "kind=([^/]*)", 1).alias("kind"), "column", "role", "type", "n_rows", "n_missing", "n_unique", "numeric_sd", "all_zero", "constant")

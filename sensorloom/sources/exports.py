@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.core import union_all
+from ..functions.core import median, union_all
 
 MISSING = ("", "NA", "NaN")
 # Column aliases by role, lower-case, without separators.
@@ -41,7 +41,7 @@ ROLES = {
 # Names of the columns of event logs, the preferred ones first.
 EVENT_TIMES = ("event_time", "time_s", "time", "timestamp", "onset", "onset_time", "trial_onset", "stimulus_onset")
 EVENT_LABELS = ("event_label", "label", "event", "condition", "type", "stimulus")
-EVENT_IDS = ("event_id", "id", "trial_id", "trial")
+EVENT_IDS = ("event_id", "trial_id", "trial", "id")
 CLOCKS = ("time", "time_ms", "time_tick", "counter")
 
 
@@ -156,18 +156,20 @@ def _named(df: DataFrame, names) -> str | None:
 def read_event_log(spark: SparkSession, path: str, time: str | None = None, label: str | None = None, event_id: str | None = None) -> DataFrame:
     """An event log with event_id, event_time (seconds) and event_label beside its own columns; rows without a time go.
 
-    Without an id column, rows are named in the order of time and label.
+    Times whose median step in file order is over 5 are milliseconds. Without an
+    id column, rows are named in the order of time and label.
     """
     df = read_export(spark, path)
     time, label, event_id = time or _named(df, EVENT_TIMES), label or _named(df, EVENT_LABELS), event_id or _named(df, EVENT_IDS)
     if time is None:
         raise ValueError("the log has no time column")
-    at = F.expr(f"try_cast(`{time}` as double)")
     text = F.col(f"`{label}`") if label else F.lit(None).cast("string")
-    d = df.withColumn("_time", at).where("_time is not null").withColumn("_label", text)
+    d = df.withColumn("_line", F.monotonically_increasing_id()).withColumn("_time", F.expr(f"try_cast(`{time}` as double)")).where("_time is not null").withColumn("_label", text)
+    step = d.withColumn("_d", F.col("_time") - F.lag("_time").over(Window.orderBy("_line"))).where("_d > 0")
+    unit = 1000.0 if (step.agg(median("_d")).first()[0] or 0) > 5 else 1.0
     name = F.col(f"`{event_id}`") if event_id else F.row_number().over(Window.orderBy("_time", "_label")).cast("string")  # a log is one session's events
     own = [c for c in df.columns if c not in ("event_id", "event_time", "event_label")]
-    return d.select(name.alias("event_id"), F.col("_time").alias("event_time"), F.coalesce("_label", F.concat(F.lit("event_"), name)).alias("event_label"), *[F.col(f"`{c}`") for c in own])
+    return d.select(name.alias("event_id"), (F.col("_time") / unit).alias("event_time"), F.coalesce("_label", F.concat(F.lit("event_"), name)).alias("event_label"), *[F.col(f"`{c}`") for c in own])
 
 
 def read_session(spark: SparkSession, path: str, session: str | None = None) -> dict[str, DataFrame]:
