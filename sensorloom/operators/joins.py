@@ -142,15 +142,23 @@ def recovery(events: DataFrame, samples: DataFrame, keys, event: str, et: str, l
     return a.groupBy(event).agg(F.min(F.when(F.col(x) <= F.col(level) / 2, F.col("rel"))).alias("half_time"))
 
 
-def in_polygon(points: DataFrame, polygons: DataFrame, key: str, x: str, y: str) -> DataFrame:
+def in_polygon(points: DataFrame, polygons: DataFrame, key: str, x: str, y: str, most: int = 10_000) -> DataFrame:
     """(key, aoi) of the polygons that hold each point, by the parity of edges crossed to the right.
 
-    ``polygons`` has aoi and vertices (array of struct x, y); edges are a few rows an area.
+    ``polygons`` has aoi and vertices (array of struct x, y). Up to ``most`` edges
+    are broadcast; beyond that, points meet the edges that cross their band of y, a
+    band being as high as an edge is on average.
     """
     closed = F.concat("vertices", F.slice("vertices", 1, 1))
     edges = polygons.select("aoi", F.posexplode(closed).alias("k", "a"), closed.alias("v")).select("aoi", F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.get("v", F.col("k") + 1).alias("b"))
     edges = edges.where("b is not null").select("aoi", "x1", "y1", F.col("b.x").alias("x2"), F.col("b.y").alias("y2"))
     spans = (F.col("y1") > F.col(y)) != (F.col("y2") > F.col(y))
     right = F.col(x) < F.try_divide((F.col("x2") - F.col("x1")) * (F.col(y) - F.col("y1")), F.col("y2") - F.col("y1")) + F.col("x1")
-    hit = points.join(F.broadcast(edges), spans)
+    if edges.limit(most + 1).count() <= most:
+        hit = points.join(F.broadcast(edges), spans)
+    else:
+        high = edges.agg(F.avg(F.abs(F.col("y2") - F.col("y1")))).first()[0] or 1.0
+        band = lambda v: F.floor(v / high)
+        cut = edges.withColumn("_band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2")))))
+        hit = points.withColumn("_band", band(F.col(y))).join(cut, "_band").where(spans)
     return hit.where(right).groupBy(key, "aoi").agg(F.count("*").alias("n")).where("n % 2 = 1").select(key, "aoi")

@@ -167,3 +167,14 @@ def test_event_log_ids_and_units(spark, tmp_path):
     (tmp_path / "log.csv").write_text("id,trial_id,time,label\n7,T1,1000,a\n8,T2,3000,b\n9,T3,6000,c\n")
     got = [(r.event_id, r.event_time) for r in X.read_event_log(spark, str(tmp_path / "log.csv")).orderBy("event_time").collect()]
     assert got == [("T1", 1.0), ("T2", 3.0), ("T3", 6.0)]
+
+
+def test_many_polygons_meet_points_by_bands(spark):
+    from sensorloom.operators import joins as J
+
+    rng = np.random.default_rng(8)
+    shapes = [(f"p{k}", [(float(a + r * math.cos(v)), float(b + r * math.sin(v))) for v in np.linspace(0, 6, 7)]) for k, (a, b, r) in enumerate(rng.uniform(1, 9, (30, 3)))]
+    polygons = spark.createDataFrame(shapes, "aoi string, vertices array<struct<x: double, y: double>>")
+    points = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(rng.uniform(0, 10, (300, 2)))], "id long, x double, y double")
+    few, many = (sorted(tuple(r) for r in J.in_polygon(points, polygons, "id", "x", "y", most).collect()) for most in (10_000, 10))
+    assert few == many and len(few) > 100
