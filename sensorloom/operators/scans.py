@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.core import BEFORE, ordered, quantile
-from ..functions.ranges import matched
+from ..functions.ranges import matched, running
 
 STEP = ("_a", "_b", "_c", "_d")
 INTEGRAL = ("bigint", "int", "smallint", "tinyint")
@@ -121,6 +121,55 @@ def adaptive_ema(df: DataFrame, keys, x: str, order, width: float, alpha: float
     return d.withColumn("ema", F.when(F.struct(*order) >= F.col("_since"), F.col("ema"))).drop("_q1", "_q3", "_first", "_since", "ema_before")
 
 
+def second_order(df: DataFrame, keys, order, x: str, feedback: tuple[float, float], forward: tuple[float, float, float], name: str, size: int = 1024) -> DataFrame:
+    """Adds ``name``: y = forward . (x, x before, x two before) - feedback . (y before, y two before), in doubles.
+
+    ``x`` must have no NULL; each unit's first value of it is taken to have stood
+    for ever before. Rows get their place by ranges. Blocks of ``size`` rows each
+    give the state they end with when entered at rest; these few states of a
+    unit are chained, and every block runs from its own entry state.
+    """
+    a = np.array([[-feedback[0], -feedback[1]], [1.0, 0.0]])
+    parts = [f"_k{k}" for k in range(len(keys))]
+    w = ordered(keys, order)
+    d = df.withColumn("_first", F.first(x).over(ordered(keys, order, BEFORE, 0))).withColumn("_u", F.col(x) - F.col("_first"))
+    d = d.withColumn("_g", sum(f * F.coalesce(F.lag("_u", k).over(w) if k else F.col("_u"), F.lit(0.0)) for k, f in enumerate(forward)))
+    d = running(d.select(*df.columns, "_first", "_g", *[F.col(k).alias(p) for k, p in zip(keys, parts)]), parts, order, place=F.lit(1).cast("long"))
+    d = d.withColumn("_block", F.floor(F.col("place_before") / size)).withColumn("_at", F.col("place_before") % size)
+    kinds = dict(d.dtypes)
+    key_kinds = ", ".join(f"{p} {kinds[p]}" for p in parts)
+
+    def states(g, m, start):
+        """States after each step s -> m s + (g, 0), by doubling."""
+        s, power, reach = np.column_stack([g, np.zeros(len(g))]) if g.ndim == 1 else g.copy(), m, 1
+        s[0] += m @ start
+        while reach < len(s):
+            s[reach:] += s[:-reach] @ power.T
+            power, reach = power @ power, 2 * reach
+        return s
+
+    def ends(pdf):
+        s = states(pdf.sort_values("_at")["_g"].to_numpy(), a, np.zeros(2))[-1]
+        return pdf[[*parts, "_block"]].iloc[:1].assign(_y1=s[0], _y2=s[1])
+
+    def entries(pdf):
+        pdf = pdf.sort_values("_block")
+        s = states(pdf[["_y1", "_y2"]].to_numpy(), np.linalg.matrix_power(a, size), np.zeros(2))
+        at = np.concatenate([np.zeros((1, 2)), s[:-1]])  # only the last block may be short, and nothing follows it
+        return pdf[[*parts, "_block"]].assign(_y1=at[:, 0], _y2=at[:, 1])
+
+    def run(rows, at):
+        rows = rows.sort_values("_at")
+        s = states(rows["_g"].to_numpy(), a, at[["_y1", "_y2"]].to_numpy()[0])
+        return rows[[*parts, "_block", "_at"]].assign(_y=s[:, 0])
+
+    need = d.select(*parts, "_block", "_at", "_g")
+    last = need.groupBy(*parts, "_block").applyInPandas(ends, f"{key_kinds}, _block long, _y1 double, _y2 double")
+    entry = last.groupBy(*parts).applyInPandas(entries, f"{key_kinds}, _block long, _y1 double, _y2 double")
+    y = need.groupBy(*parts, "_block").cogroup(entry.groupBy(*parts, "_block")).applyInPandas(run, f"{key_kinds}, _block long, _at long, _y double")
+    return matched(d, y, [*parts, "_block", "_at"]).select(*df.columns, (F.col("_first") + F.col("_y")).alias(name))
+
+
 def refractory(df: DataFrame, keys, t: str, distance: float) -> DataFrame:
     """Times kept in order when each must be ``distance`` after the last kept one.
 

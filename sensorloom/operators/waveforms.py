@@ -11,7 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.core import ordered, whole
+from ..functions.core import last_known, next_known, ordered, whole
+from .scans import second_order
+from .tiles import places
 
 
 def grouped(df: DataFrame, key: str, columns, order, fit, schema: str) -> DataFrame:
@@ -102,23 +104,27 @@ def template_similarity(df: DataFrame, key: str, x: str, order, distance: int, h
     return grouped(df, key, [x], order, fit, "beats long, mean_r double, min_r double")
 
 
-def welch(x: np.ndarray, rate: float, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Averaged Hann periodograms of half-overlapping segments."""
-    size = min(size, len(x))
-    if size < 4:
-        return np.zeros(0), np.zeros(0)
-    w = np.hanning(size)
-    seg = [x[a : a + size] for a in range(0, len(x) - size + 1, max(1, size // 2))]
-    p = np.mean([np.abs(np.fft.rfft((s - s.mean()) * w)) ** 2 for s in seg], 0) / (rate * (w**2).sum())
-    return np.fft.rfftfreq(size, 1 / rate), p
-
-
 def power_spectrum(df: DataFrame, key: str, x: str, order, rate: float, size: int = 64) -> DataFrame:
-    def fit(v):
-        f, p = welch(v[np.isfinite(v)], rate, size)
-        return {"f": f, "power": p}
+    """(key, f, power): averaged Hann periodograms of half-overlapping segments of ``size`` samples, or of the whole of a shorter recording.
 
-    return grouped(df, key, [x], order, fit, "f double, power double")
+    Samples get their place by ranges and go to the two segments that hold them;
+    a segment's transform is sums of products, so a recording is spread over its
+    segments. Recordings of under four samples have no spectrum.
+    """
+    p = places(df, [key], x, order).where("n >= 4").withColumn("_size", F.least(F.lit(size), F.col("n")))
+    half = F.greatest(F.lit(1), F.floor(F.col("_size") / 2))
+    last = F.floor((F.col("n") - F.col("_size")) / half)
+    first = F.greatest(F.lit(0), F.ceil((F.col("rn") - F.col("_size") + 1) / half))
+    p = p.withColumn("_from", first.cast("long")).withColumn("_to", F.least(last, F.floor(F.col("rn") / half)).cast("long")).where("_from <= _to")  # samples behind the last whole segment are in none
+    p = p.withColumn("_segment", F.explode(F.sequence("_from", "_to")))
+    p = p.withColumn("_j", F.col("rn") - F.col("_segment") * half).withColumn("_w", 0.5 - 0.5 * F.cos(2 * math.pi * F.col("_j") / (F.col("_size") - 1)))
+    p = p.withColumn("_y", F.col("_w") * (F.col("v") - F.avg("v").over(whole([key, "_segment"]))))
+    angle = lambda f: F.lit(2 * math.pi * f) * F.col("_j") / F.col("_size")
+    parts = [e.alias(f"_{n}{f}") for f in range(size // 2 + 1) for n, e in (("c", F.sum(F.col("_y") * F.cos(angle(f)))), ("s", F.sum(F.col("_y") * F.sin(angle(f)))))]
+    s = p.groupBy(key, "_segment").agg(F.first("_size").alias("_size"), F.sum(F.col("_w") * F.col("_w")).alias("_e"), *parts)
+    power = F.array(*[F.struct(F.lit(f).alias("_f"), ((F.col(f"_c{f}") * F.col(f"_c{f}") + F.col(f"_s{f}") * F.col(f"_s{f}")) / (rate * F.col("_e"))).alias("_p")) for f in range(size // 2 + 1)])
+    g = s.select(key, "_size", F.explode(power).alias("_b")).where(F.col("_b._f") <= F.col("_size") / 2)
+    return g.groupBy(key, (F.col("_b._f") * rate / F.col("_size")).alias("f")).agg(F.avg("_b._p").alias("power"))
 
 
 def band_powers(spectrum: DataFrame, key: str, bands: dict[str, tuple[float, float]]) -> DataFrame:
@@ -221,18 +227,16 @@ def phase_locking(df: DataFrame, key: str, x: str, y: str, order) -> DataFrame:
 
 
 def low_pass(df: DataFrame, key: str, x: str, order, cutoff: float, rate: float) -> DataFrame:
-    """Second-order recursive low-pass of each recording; missing samples hold the last value."""
-
-    def fit(v, i):
-        v = pd.Series(v).ffill().bfill().to_numpy()
-        w = math.tan(math.pi * cutoff / rate)
-        k = 1 / (1 + math.sqrt(2) * w + w * w)
-        b0, a1, a2 = w * w * k, 2 * (w * w - 1) * k, (1 - math.sqrt(2) * w + w * w) * k
-        out, x1, x2, y1, y2 = [], v[0] if len(v) else 0, v[0] if len(v) else 0, v[0] if len(v) else 0, v[0] if len(v) else 0
-        for s in v:
-            y = b0 * (s + 2 * x1 + x2) - a1 * y1 - a2 * y2
-            x1, x2, y1, y2 = s, x1, y, y1
-            out.append(y)
-        return {"id": i.astype(np.int64), "filtered": out}
-
-    return grouped(df, key, [x, order[-1]], order, fit, "id long, filtered double")
+    """(key, id, filtered): second-order recursive low-pass of each recording, at rest on its first value.
+
+    Missing samples hold the last value, those ahead of the first one take it; a
+    recording without any has NULLs. The id is the last column of ``order``.
+    """
+    w = math.tan(math.pi * cutoff / rate)
+    k = 1 / (1 + math.sqrt(2) * w + w * w)
+    b0, a1, a2 = w * w * k, 2 * (w * w - 1) * k, (1 - math.sqrt(2) * w + w * w) * k
+    known = F.coalesce(last_known(x, [key], order), next_known(x, [key], order)).cast("double")
+    d = df.select(key, *order, known.alias("_x"))
+    out = second_order(d.where("_x is not null"), [key], order, "_x", (a1, a2), (b0, 2 * b0, b0), "filtered")
+    none = d.where("_x is null").select(key, F.col(order[-1]).alias("id"), F.lit(None).cast("double").alias("filtered"))
+    return out.select(key, F.col(order[-1]).alias("id"), "filtered").unionByName(none)

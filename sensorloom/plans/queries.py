@@ -798,7 +798,11 @@ def _(spark, d):
     return V.template_similarity(samples(spark, d), "unit", "x", ORDER, 3, 2)
 
 
-@query("power_spectrum_bands")
+@query("power_spectrum_bands", """, p as (select unit, x, row_number() over (partition by unit order by t, id) - 1 rn, count(*) over (partition by unit) n from s where x is not null), z as (select *, least(64, n) w, greatest(1, least(64, n) // 2) h from p where n >= 4),
+ g as (select z.*, k, rn - k * h j, x - avg(x) over (partition by unit, k) y from z, lateral (select unnest(range(0, (n - w) // h + 1)) k) where rn between k * h and k * h + w - 1),
+ d as (select unit, k, w, f, sum(a * y * cos(2 * pi() * f * j / w)) ** 2 + sum(a * y * sin(2 * pi() * f * j / w)) ** 2 q, 4.0 * sum(a * a) e from (select *, 0.5 - 0.5 * cos(2 * pi() * j / (w - 1)) a from g), lateral (select unnest(range(0, w // 2 + 1)) f) group by all),
+ m as (select unit, f * 4.0 / w f, avg(q / e) power from d group by all)
+ select unit, coalesce(sum(power) filter (f < 0.5), 0) low, coalesce(sum(power) filter (f >= 0.5 and f < 1), 0) mid, coalesce(sum(power) filter (f >= 1 and f < 2), 0) high from m group by unit""", "low mid high")
 def _(spark, d):
     return V.band_powers(V.power_spectrum(samples(spark, d), "unit", "x", ORDER, 4.0), "unit", {"low": (0.0, 0.5), "mid": (0.5, 1.0), "high": (1.0, 2.0)})
 
@@ -832,7 +836,14 @@ def _(spark, d):
     return V.phase_locking(samples(spark, d).withColumn("y", F.col("h").cast("double")), "unit", "x", "y", ORDER)
 
 
-@query("low_pass_filter")
+W = "tan(pi() / 8)"
+LOW_PASS = f"""with recursive s as (select event_id id, user_id unit, value x, row_number() over (partition by user_id order by ts, event_id) rn from events), c as (select {W} * {W} / (1 + sqrt(2) * {W} + {W} * {W}) b, 2 * ({W} * {W} - 1) / (1 + sqrt(2) * {W} + {W} * {W}) a1, (1 - sqrt(2) * {W} + {W} * {W}) / (1 + sqrt(2) * {W} + {W} * {W}) a2),
+ y(unit, rn, id, x1, x2, y1, y2) as (select unit, 0::bigint, null::bigint, x, x, x, x from s where rn = 1 union all
+ select s.unit, s.rn, s.id, s.x, y.x1, b * (s.x + 2 * y.x1 + y.x2) - a1 * y.y1 - a2 * y.y2, y.y1 from y join s on s.unit = y.unit and s.rn = y.rn + 1, c)
+ select unit, id, y1 filtered from y where rn > 0"""
+
+
+@query("low_pass_filter", LOW_PASS, "filtered")
 def _(spark, d):
     return V.low_pass(samples(spark, d), "unit", "x", ORDER, 0.5, 4.0)
 

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sensorloom.operators import complexity as Y, waveforms as V
+from sensorloom.operators.scans import second_order
 
 
 def test_taller_peaks_suppress_near_ones():
@@ -22,10 +23,42 @@ def test_scr_peaks_have_onset_and_recovery(spark):
     assert [(p.g, p.onset, p.peak, p.amplitude, p.recovery) for p in r] == [("a", 1.0, 3.0, 4.0, 2.0)]
 
 
-def test_welch_finds_the_tone():
-    t = np.arange(512) / 32
-    f, p = V.welch(np.sin(2 * np.pi * 4 * t), 32, 128)
-    assert f[p.argmax()] == 4.0
+def test_spectrum_equals_averaged_periodograms(spark):
+    rng = np.random.default_rng(5)
+    series = {"tone": np.sin(2 * np.pi * 4 * np.arange(512) / 32), "noise": rng.normal(size=203), "short": rng.normal(size=21), "odd": rng.normal(size=65)}
+    rows = [(g, k, float(v)) for g, x in series.items() for k, v in enumerate(x)] + [("noise", 999, None), ("none", 0, None)]
+    df = spark.createDataFrame(rows, "g string, k long, x double").repartition(3)
+    got = {}
+    for r in V.power_spectrum(df, "g", "x", ["k"], 32.0).collect():
+        got.setdefault(r.g, {})[r.f] = r.power
+    assert set(got) == set(series) and max(got["tone"], key=got["tone"].get) == 4.0
+    for g, x in series.items():
+        size = min(64, len(x))
+        w = np.hanning(size)
+        p = np.mean([np.abs(np.fft.rfft((x[a : a + size] - x[a : a + size].mean()) * w)) ** 2 for a in range(0, len(x) - size + 1, size // 2)], 0) / (32 * (w**2).sum())
+        f = np.fft.rfftfreq(size, 1 / 32)
+        assert np.allclose(sorted(got[g]), f) and np.allclose([got[g][k] for k in sorted(got[g])], p)
+
+
+def test_low_pass_equals_the_recursion_across_blocks(spark):
+    rng = np.random.default_rng(6)
+    x = [None, None, *[None if k % 97 == 5 else float(v) for k, v in enumerate(rng.normal(size=70).cumsum() + 900)]]
+    rows = [("a", k, v) for k, v in enumerate(x)] + [(None, k, v) for k, v in enumerate(x[5:])] + [("gone", 2**60 + 1, None), ("gone", 2**60 + 3, None)]
+    df = spark.createDataFrame(rows, "g string, k long, x double").repartition(3)
+    w = math.tan(math.pi * 0.5 / 4)
+    k0 = 1 / (1 + math.sqrt(2) * w + w * w)
+    b, a1, a2 = w * w * k0, 2 * (w * w - 1) * k0, (1 - math.sqrt(2) * w + w * w) * k0
+    d = df.where("x is not null")
+    for size in (1024, 16, 7):
+        got = {(r.g, r.k): r.y for r in second_order(d, ["g"], ["k"], "x", (a1, a2), (b, 2 * b, b), "y", size).collect()}
+        for g, s in (("a", x), (None, x[5:])):
+            v = [(k, q) for k, q in enumerate(s) if q is not None]
+            x1 = x2 = y1 = y2 = v[0][1]
+            for k, q in v:
+                x1, x2, y1, y2 = q, x1, b * (q + 2 * x1 + x2) - a1 * y1 - a2 * y2, y1
+                assert np.isclose(got[g, k], y1), (size, g, k)
+    out = {(r.g, r.id): r.filtered for r in V.low_pass(df, "g", "x", ["k"], 0.5, 4.0).collect()}
+    assert len(out) == len(rows) and out["gone", 2**60 + 1] is None and out["gone", 2**60 + 3] is None and np.isclose(out["a", 0], x[2])
 
 
 def test_granger_direction(spark):
