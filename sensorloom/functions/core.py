@@ -22,6 +22,13 @@ def quantile(x, p: float) -> Column:
     return F.percentile(x, F.lit(p))
 
 
+def correlation(x, y) -> Column:
+    """Pearson's r of the complete pairs, NULL where either side is constant (``F.corr`` fails there under ANSI rules)."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def robust(df: DataFrame, keys, x: str, centre: str, spread: str, scale: float = 1.4826) -> DataFrame:
     """Adds the group's median of ``x`` and its scaled median absolute deviation, by windows over one partitioning."""
     w = whole(keys)

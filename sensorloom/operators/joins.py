@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.core import last_known, median, next_known, ordered, whole
+from ..functions.core import correlation, last_known, median, next_known, ordered, whole
 
 MOST_AREAS = 10_000
 
@@ -88,14 +88,29 @@ def nearest(left: DataFrame, right: DataFrame, keys, t: str, order: str, x: str,
     return d.select(*keys, F.col("_o").alias(order), "t", F.when(ok, F.col("m")["t"]).alias("match_t"), F.when(ok, F.col("m")["x"]).alias("match_x"))
 
 
+def lag_correlations(df: DataFrame, keys, pairs, order, most: int, least: int = 5) -> DataFrame:
+    """(keys, signal_1, signal_2, best_lag, best_r): the lag of -most..most samples of the largest correlation, the smaller lag on ties.
+
+    The first signal at a row meets the second ``lag`` rows after it. One window
+    puts the shifted samples beside each row and one aggregation correlates all
+    of them, so samples are shuffled once, whatever the number of pairs and lags.
+    Pairs of fewer than ``least`` complete rows at every lag have no row.
+    """
+    w, lags = ordered(keys, order), range(-most, most + 1)
+    later = {(b, k): f"_{n}_{k + most}" for n, b in enumerate(dict.fromkeys(b for _, b in pairs)) for k in lags}
+    d = df.select(*keys, *dict.fromkeys(a for a, _ in pairs), *[F.lead(b, k).over(w).alias(name) for (b, k), name in later.items()])
+    each = [(a, b, k, F.col(a), F.col(later[b, k])) for a, b in pairs for k in lags]
+    sums = [e.alias(f"_{c}{n}") for n, (_, _, _, x, y) in enumerate(each) for c, e in (("n", F.count(F.when(x.isNotNull(), y))), ("r", correlation(x, y)))]
+    rows = F.array(*[F.struct(F.lit(a).alias("signal_1"), F.lit(b).alias("signal_2"), F.lit(k).alias("lag"), F.col(f"_n{n}").alias("n"), F.col(f"_r{n}").alias("r")) for n, (a, b, k, _, _) in enumerate(each)])
+    r = d.groupBy(*keys).agg(*sums).select(*keys, F.explode(rows).alias("_p")).select(*keys, "_p.*").where(F.col("n") >= least)
+    found = F.col("r").isNotNull()
+    best = F.max_by(F.when(found, F.col("lag")), F.when(found, F.struct(F.round(F.abs("r"), 9), -F.abs("lag"), "lag")))
+    return r.groupBy(*keys, "signal_1", "signal_2").agg(best.alias("best_lag"), F.max(F.abs("r")).alias("best_r"))
+
+
 def lag_correlation(df: DataFrame, keys, x: str, y: str, order, most: int, least: int = 5) -> DataFrame:
-    """Correlation of x with y shifted by each lag of -most..most samples; the largest size wins, the smaller lag on ties."""
-    w = ordered(keys, order)
-    d = df.select(*keys, x, y, F.row_number().over(w).alias("_rn"))
-    a = d.select(*keys, "_rn", x).withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("_at", F.col("_rn") + F.col("lag"))
-    b = d.select(*keys, F.col("_rn").alias("_at"), y)
-    r = a.join(b, [*keys, "_at"]).groupBy(*keys, "lag").agg(F.count(F.when(F.col(x).isNotNull(), F.col(y))).alias("n"), F.corr(x, y).alias("r")).where(F.col("n") >= least)
-    return r.groupBy(*keys).agg(F.max_by("lag", F.struct(F.round(F.abs("r"), 9), -F.abs("lag"), "lag")).alias("best_lag"), F.max(F.abs("r")).alias("best_r"))
+    """(keys, best_lag, best_r) of x with y shifted by each lag of -most..most samples."""
+    return lag_correlations(df, keys, [(x, y)], order, most, least).drop("signal_1", "signal_2")
 
 
 def rank_correlation(df: DataFrame, keys, x: str, y: str) -> DataFrame:
@@ -106,7 +121,7 @@ def rank_correlation(df: DataFrame, keys, x: str, y: str) -> DataFrame:
         return F.rank().over(ordered(keys, [c])) + (F.count("*").over(whole([*keys, c])) - 1) / 2
 
     d = d.withColumn("_rx", rank(x)).withColumn("_ry", rank(y))
-    return d.groupBy(*keys).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"))
+    return d.groupBy(*keys).agg(F.count("*").alias("n"), correlation(x, y).alias("pearson"), correlation("_rx", "_ry").alias("spearman"))
 
 
 def sync_drift(pairs: DataFrame, keys, reference: str, target: str, tolerance: float) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.core import islands, median, ordered, quantile, reasons, robust, whole
+from ..functions.core import correlation, islands, median, ordered, quantile, reasons, robust, whole
 
 
 def dropouts(df: DataFrame, keys, x: str, order, missing_run: int, flat_run: int, tolerance: float = 0.0) -> DataFrame:
@@ -189,7 +189,7 @@ def condition_balance(df: DataFrame, unit: str, condition: str) -> DataFrame:
 
 
 def group_correlation(df: DataFrame, keys, x: str, y: str, limit: float) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count(F.when(F.col(x).isNotNull(), F.col(y))).alias("n"), F.corr(x, y).alias("r")).withColumn("flagged", F.coalesce(F.abs("r") > limit, F.lit(False)))
+    return df.groupBy(*keys).agg(F.count(F.when(F.col(x).isNotNull(), F.col(y))).alias("n"), correlation(x, y).alias("r")).withColumn("flagged", F.coalesce(F.abs("r") > limit, F.lit(False)))
 
 
 def step_artifacts(df: DataFrame, keys, x: str, order, k: float) -> DataFrame:
@@ -199,6 +199,27 @@ def step_artifacts(df: DataFrame, keys, x: str, order, k: float) -> DataFrame:
     return d.withColumn("flat", F.coalesce(F.col("step") == 0, F.lit(False))).drop("_c", "_s")
 
 
+def mad_artifacts(df: DataFrame, keys, x: str, order, k: float = 8.0, flat_tolerance: float = 1e-6, flat_run: int = 5, wall: float | None = None) -> DataFrame:
+    """Adds ``mad_artifact`` and ``mad_artifact_type`` of each sample: none, flatline, wall or, for several kinds at once, multiple.
+
+    A needle is a step (from the sample before) further than ``k`` scaled MADs
+    from the group's median step, and such a step counts as both needle and step, hence
+    as multiple. A flat line is ``flat_run`` or more samples in a row that move by no more than
+    ``flat_tolerance``; a wall is a step larger than ``wall``. The first sample and
+    steps from or to a missing one are of no kind, and end a flat line.
+    """
+    d = df.withColumn("_step", F.col(x) - F.lag(x).over(ordered(keys, order)))
+    d = robust(d, keys, "_step", "_c", "_s")
+    still = F.coalesce(F.abs("_step") <= flat_tolerance, F.lit(False))
+    d = islands(d.withColumn("_still", still), F.col("_still"), keys, order, "_run")
+    needle = F.coalesce((F.col("_s") > 0) & (F.abs(F.col("_step") - F.col("_c")) > k * F.col("_s")), F.lit(False))
+    flat = F.col("_still") & (F.count("*").over(whole([*keys, "_run"])) >= flat_run)
+    over = F.lit(False) if wall is None else F.coalesce(F.abs("_step") > wall, F.lit(False))
+    d = d.withColumns({"_needle": needle, "_flat": flat, "_wall": over})
+    kind = F.when(F.col("_needle") | (F.col("_flat") & F.col("_wall")), "multiple").when(F.col("_flat"), "flatline").when(F.col("_wall"), "wall").otherwise("none")
+    return d.withColumn("mad_artifact", kind != "none").withColumn("mad_artifact_type", kind).drop("_step", "_c", "_s", "_still", "_run", "_needle", "_flat", "_wall")
+
+
 def rate_artifacts(df: DataFrame, keys, x: str, order, low: float, high: float, percent: float, pad: int) -> DataFrame:
     """Out of range or changing by more than ``percent``, spread over ``pad`` rows on each side."""
     was = F.lag(x).over(ordered(keys, order))

@@ -875,6 +875,13 @@ def _(spark, d):
     return Q.step_artifacts(samples(spark, d), ["unit"], "x", ORDER, 3.0).select("id", "step", "needle", "flat")
 
 
+@query("mad_artifact_types", """, g as (select *, x - lag(x) over (partition by unit order by t, id) st, row_number() over (partition by unit order by t, id) rn from s), m as (select unit, median(st) c, 1.4826 * mad(st) k from g group by unit), b as (select g.*, c, k, coalesce(abs(st) <= 20, false) still from g join m using (unit)),
+ i as (select *, rn - row_number() over (partition by unit, still order by rn) piece from b), f as (select *, still and count(*) over (partition by unit, still, piece) >= 3 flat, coalesce(k > 0 and abs(st - c) > 1.5 * k, false) needle, coalesce(abs(st) > 250, false) wall from i)
+ select id, flat or needle or wall mad_artifact, case when needle or (flat and wall) then 'multiple' when flat then 'flatline' when wall then 'wall' else 'none' end mad_artifact_type from f""")
+def _(spark, d):
+    return Q.mad_artifacts(samples(spark, d), ["unit"], "x", ORDER, 1.5, 20.0, 3, 250.0).select("id", "mad_artifact", "mad_artifact_type")
+
+
 @query("rate_artifacts_padded", """, g as (select *, row_number() over (partition by unit order by t, id) rn, x not between 5 and 300 or coalesce(100 * abs(x - lag(x) over w) / nullif(lag(x) over w, 0) > 300, false) bad from s window w as (partition by unit order by t, id))
  select id, bad, bool_or(bad) over (partition by unit order by rn rows between 1 preceding and 1 following) padded from g""")
 def _(spark, d):

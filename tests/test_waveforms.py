@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sensorloom.operators import complexity as Y, waveforms as V
+from sensorloom.operators.joins import lag_correlations
+from sensorloom.operators.quality import mad_artifacts
 from sensorloom.operators.scans import second_order
 
 
@@ -125,3 +127,28 @@ def test_lagged_regressions_equal_least_squares(spark):
         best = min(best, ((60 - p) * math.log(s) + 2 * p, p, s))
     r = V.ar_spectrum_order(df, "g", "x", ["k"], 4).first()
     assert r.ar_order == best[1] and abs(r.residual_var - best[2]) < 1e-8
+
+
+def test_lags_of_all_pairs_come_from_one_window(spark):
+    rng = np.random.default_rng(4)
+    x = [float(v) for v in rng.normal(size=60)]
+    rows = [("a", k, x[k], x[k - 3] if k >= 3 else None, 1.0) for k in range(60)] + [(None, k, x[k], x[k + 2], 1.0) for k in range(50)] + [("few", k, 1.0, 2.0, 3.0) for k in range(4)]
+    df = spark.createDataFrame(rows, "g string, k long, x double, y double, flat double").repartition(3)
+    got = {(r.g, r.signal_1, r.signal_2): (r.best_lag, r.best_r) for r in lag_correlations(df, ["g"], [("x", "y"), ("x", "flat"), ("y", "x")], ["k"], 4).collect()}
+    # the first meets the second lag rows later; a constant has no correlation, four rows have no row at all
+    assert set(got) == {(g, a, b) for g in ("a", None) for a, b in (("x", "y"), ("x", "flat"), ("y", "x"))}
+    assert {k: v[0] for k, v in got.items() if k[2] != "flat"} == {("a", "x", "y"): 3, (None, "x", "y"): -2, ("a", "y", "x"): -3, (None, "y", "x"): 2}
+    assert np.isclose(got["a", "x", "y"][1], 1) and got["a", "x", "flat"] == (None, None)
+
+
+def test_artifact_types_of_steps(spark):
+    a = [*np.linspace(1, 1.2, 10), *[1.2] * 8, 5, 1.3, 1.31, 8, 8.1, 8.2]
+    rows = [("a", k, float(v)) for k, v in enumerate(a)] + [("w", k, v) for k, v in enumerate([0.0, 0.0, 10.0, 10.0, None, 10.0])] + [("one", 0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, k long, x double").repartition(3)
+    got = {(r.g, r.k): r.mad_artifact_type for r in mad_artifacts(df, ["g"], "x", ["k"], 4.0, 1e-8, 4, 5.0).collect()}
+    step = np.diff(a)
+    spread = 1.4826 * np.median(np.abs(step - np.median(step)))
+    for k, d in enumerate(step, 1):
+        needle, flat, wall = abs(d - np.median(step)) > 4 * spread, 10 <= k <= 17, abs(d) > 5
+        assert got["a", k] == ("multiple" if needle or (flat and wall) else "flatline" if flat else "wall" if wall else "none"), k
+    assert [got["w", k] for k in range(6)] == ["none", "none", "wall", "none", "none", "none"] and got["one", 0] == "none" == got["a", 0]
