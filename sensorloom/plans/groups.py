@@ -1,11 +1,11 @@
-"""Registered queries of group comparisons over time, and the same in SQL."""
+"""Registered queries of group comparisons over time and of repaired signals, and the same in SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import permutation as N
-from .queries import query, table
+from ..operators import permutation as N, repair as A
+from .queries import ORDER, query, samples, table
 
 GROUPS = ("BUILDING", "MACHINERY")
 
@@ -51,3 +51,36 @@ def _(spark, d):
 def _(spark, d):
     cells = _cells(spark, d)
     return N.cluster_p_values(N.clusters(N.between_t(cells, GROUPS), [], "time", 0.7), N.between_null(cells, GROUPS, 0.7, 200))
+
+
+# --- repaired pupil samples and interval segments ----------------------------
+
+PUPIL = """, v as (select id, unit, t, xm, x - 100 p, case when x > 100 then x - 100 end g from s), c as (select median(g) m, quantile_cont(g, 0.75) - quantile_cont(g, 0.25) q, 1.4826 * mad(g) k from v),
+ w as (select v.*, g is null was_invalid, coalesce(abs(p - m) > 1.6 * coalesce(nullif(k, 0), q / 1.349), false) was_spike, row_number() over (partition by unit order by t, id) rn, count(*) over (partition by unit) n from v, c),
+ u as (select *, case when not was_spike then g end o from w), h as (select a.id, a.unit, a.rn, a.n, a.was_invalid, a.was_spike, a.o, (select max(rn) from u b where b.unit = a.unit and b.rn <= a.rn and b.o is not null) i, (select min(rn) from u b where b.unit = a.unit and b.rn >= a.rn and b.o is not null) j from u a),
+ f as (select h.*, b.o l, e.o r from h left join u b on b.unit = h.unit and b.rn = h.i left join u e on e.unit = h.unit and e.rn = h.j),
+ k as (select id, unit, was_invalid, was_spike, case when o is not null then o when coalesce(j, n + 1) - coalesce(i, 0) - 1 <= 4 then coalesce(l + (r - l) * (rn - i) / (j - i), l, r) end clean, o is null and clean is not null was_imputed from f)"""
+
+
+def _pupil(spark, d):
+    return A.clean_pupil(samples(spark, d).withColumn("p", F.col("x") - 100), ["unit"], "p", ORDER, max_gap=4, spike=1.6)
+
+
+@query("pupil_cleaning", PUPIL + " select id, clean, was_invalid, was_spike, was_imputed from k", "clean")
+def _(spark, d):
+    return _pupil(spark, d).select("id", "clean", "was_invalid", "was_spike", "was_imputed")
+
+
+@query("pupil_cleaning_summary", PUPIL + " select unit, count(*) filter (was_invalid) n_invalid_samples, count(*) filter (was_spike) n_spike_samples, count(*) filter (was_imputed) n_imputed_samples, count(*) - count(clean) n_missing_after from k group by unit")
+def _(spark, d):
+    return A.cleaning_summary(_pupil(spark, d), ["unit"])
+
+
+@query("interval_segments", """, v as (select id, unit, t, xm * 8 r, floor((t - min(t) over (partition by unit)) / 604800)::bigint + 1 segment_id from s), c as (select *, coalesce(r not between 480 and 2000, true) i, coalesce(abs(r - lag(r) over w) / greatest(abs(lag(r) over w), 1) > 0.6, false) ch from v window w as (partition by unit, segment_id order by t, id)),
+ g as (select unit, segment_id, min(t) segment_start_s, max(t) segment_end_s, case when count(t) > 1 then max(t) - min(t) else sum(r) / 1000 end duration_s, count(*) n_beats, count(r) filter (not i and not ch) n_clean_beats, count(*) filter (i or ch) / count(*) artifact_prop, avg(r) filter (not i and not ch) mean_rr_ms,
+ median(r) filter (not i and not ch) median_rr_ms, min(r) min_rr_ms, max(r) max_rr_ms, count(*) filter (i) n_implausible_rr, count(*) filter (ch) n_large_successive_changes from c group by all),
+ y as (select *, concat_ws(';', case when n_clean_beats < 3 then 'too_few_clean_beats' end, case when coalesce(duration_s < 86400, true) then 'duration_too_short' end, case when artifact_prop > 0.5 then 'high_artifact_prop' end, case when n_implausible_rr > 0 then 'implausible_rr' end, case when n_large_successive_changes > 0 then 'large_successive_change' end) z from g)
+ select * exclude (z), z = '' quality_ok, case when z = '' then 'ok' else z end reasons from y""", "segment_start_s segment_end_s duration_s artifact_prop mean_rr_ms median_rr_ms min_rr_ms max_rr_ms")
+def _(spark, d):
+    s = samples(spark, d).withColumn("rr", F.col("xm") * 8)
+    return A.interval_segments(s, ["unit"], "rr", "t", ORDER, 604800.0, 3, 86400.0, 480.0, 2000.0, 0.5, 0.6)
