@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .ranges import matched
+
 BLOCK = "_block"
 HOME = "_home"
 
@@ -35,6 +37,19 @@ def within(value: str, keys, order: str, reach: float) -> Column:
     return F.expr(f"{value} over (partition by {by} order by `{order}` range between {reach!r}D preceding and {reach!r}D following)")
 
 
+def carried(df: DataFrame, keys, at: str, value: Column, width: int, name: str) -> DataFrame:
+    """Adds ``name``, the last ``value`` that is not NULL at or before each row in the order of ``at``.
+
+    Each block looks at its own rows; what came before it is taken from a table of one row a block.
+    """
+    d = df.withColumn("_carry", value).withColumn(BLOCK, F.floor(F.col(at) / width).cast("long"))
+    ends = d.groupBy(*keys, BLOCK).agg(F.max_by("_carry", F.when(F.col("_carry").isNotNull(), F.col(at))).alias("_end"))
+    before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_end", F.last("_end", ignorenulls=True).over(before))
+    d = d.withColumn(name, F.last("_carry", ignorenulls=True).over(near(keys, at, Window.unboundedPreceding, 0)))
+    return matched(d, ends, [*keys, BLOCK]).withColumn(name, F.coalesce(name, "_end")).drop("_carry", "_end", BLOCK)
+
+
 def boundaries(df: DataFrame, keys, at: str, flag: Column, width: int) -> DataFrame:
     """(keys, lo, hi): the runs of rows where ``flag`` holds; ``at`` counts each group's rows from 0.
 

@@ -1,6 +1,6 @@
-"""Per-recording waveform work in grouped pandas functions: peaks, templates, spectra, recurrence, causality.
+"""Spectra, filters, lagged regressions and phase locking of recordings.
 
-One group is one recording of one participant; a group is one task's work.
+Only phase locking still holds one recording in one task.
 """
 
 from __future__ import annotations
@@ -33,77 +33,6 @@ def grouped(df: DataFrame, key: str, columns, order, fit, schema: str) -> DataFr
     return df.select(*need).groupBy(key).applyInPandas(run, f"{key} {kind}, {schema}")
 
 
-def find_peaks(x: np.ndarray, height: float, distance: int) -> np.ndarray:
-    """Local maxima of at least ``height``; taller ones suppress those closer than ``distance`` samples."""
-    if len(x) < 3:
-        return np.zeros(0, int)
-    at = np.flatnonzero((x[1:-1] > x[:-2]) & (x[1:-1] >= x[2:]) & (x[1:-1] >= height)) + 1
-    free, keep = np.ones(len(x), bool), []
-    for k in at[np.argsort(-x[at], kind="stable")]:
-        if free[k]:
-            keep.append(k)
-            free[max(0, k - distance + 1) : k + distance] = False
-    return np.array(sorted(keep), int)
-
-
-def scr_peaks(df: DataFrame, key: str, x: str, t: str, order, height: float, distance: int, amplitude: float) -> DataFrame:
-    """Peaks with onset (walk back to the last trough), amplitude and half-recovery time."""
-
-    def fit(v, s):
-        ok = np.isfinite(v)
-        v, s = v[ok], s[ok]
-        rows = []
-        for p in find_peaks(v, height, distance):
-            o = p
-            while o > 0 and v[o - 1] < v[o]:
-                o -= 1
-            if (a := v[p] - v[o]) >= amplitude:
-                down = np.flatnonzero(v[p:] <= v[p] - a / 2)
-                rows.append((s[o], s[p], a, s[p + down[0]] - s[p] if len(down) else np.nan))
-        cols = list(zip(*rows)) if rows else [[]] * 4
-        return {n: list(c) for n, c in zip(("onset", "peak", "amplitude", "recovery"), cols)}
-
-    return grouped(df, key, [x, t], order, fit, "onset double, peak double, amplitude double, recovery double")
-
-
-def beats(df: DataFrame, key: str, x: str, t: str, order, distance: int) -> DataFrame:
-    """Pulse peaks above a moving average; of several thresholds the one with the steadiest intervals wins."""
-
-    def fit(v, s):
-        ok = np.isfinite(v)
-        v, s = v[ok], s[ok]
-        best = (np.inf, np.zeros(0, int))
-        if len(v) > 8:
-            base = np.convolve(v, np.ones(5) / 5, "same")
-            for up in (0.0, 0.1, 0.2, 0.3):
-                p = find_peaks(np.where(v > base * (1 + up), v, -np.inf), -1e300, distance)
-                p = p[np.isfinite(v[p])]
-                if len(p) > 3 and (sd := float(np.std(np.diff(np.diff(s[p])), ddof=1))) < best[0]:
-                    best = (sd, p)
-        p = best[1]
-        return {"beat_time": list(s[p]), "interval": [np.nan, *np.diff(s[p])] if len(p) else []}
-
-    return grouped(df, key, [x, t], order, fit, "beat_time double, interval double")
-
-
-def template_similarity(df: DataFrame, key: str, x: str, order, distance: int, half: int) -> DataFrame:
-    """Correlation of each beat with the median beat: count, mean and least."""
-
-    def fit(v):
-        v = v[np.isfinite(v)]
-        p = [k for k in find_peaks(v, -1e300, distance) if half <= k < len(v) - half]
-        if len(p) < 2:
-            return {"beats": len(p), "mean_r": np.nan, "min_r": np.nan}
-        m = np.stack([v[k - half : k + half + 1] for k in p])
-        c, ref = m - m.mean(1, keepdims=True), np.median(m, 0)
-        ref = ref - ref.mean()
-        d = np.sqrt((c**2).sum(1) * (ref**2).sum())
-        r = np.divide(c @ ref, d, out=np.zeros(len(p)), where=d > 0)
-        return {"beats": len(p), "mean_r": float(r.mean()), "min_r": float(r.min())}
-
-    return grouped(df, key, [x], order, fit, "beats long, mean_r double, min_r double")
-
-
 def power_spectrum(df: DataFrame, key: str, x: str, order, rate: float, size: int = 64) -> DataFrame:
     """(key, f, power): averaged Hann periodograms of half-overlapping segments of ``size`` samples, or of the whole of a shorter recording.
 

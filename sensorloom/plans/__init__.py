@@ -1,3 +1,3 @@
 """Registered queries: importing the package registers all of them."""
 
-from . import queries, advanced, groups  # noqa: F401
+from . import queries, advanced, groups, pulses  # noqa: F401

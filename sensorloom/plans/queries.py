@@ -780,22 +780,7 @@ def _(spark, d):
     return P.workflow(samples(spark, d), "unit", ["state"], "xm", ORDER, 40.0, 60.0)["overview"]
 
 
-# --- waveforms of each recording (grouped functions; no SQL) --------------------------
-
-
-@query("scr_peaks_by_height")
-def _(spark, d):
-    return V.scr_peaks(samples(spark, d), "unit", "x", "t", ORDER, 50.0, 3, 10.0)
-
-
-@query("pulse_beats")
-def _(spark, d):
-    return V.beats(samples(spark, d), "unit", "x", "t", ORDER, 2)
-
-
-@query("pulse_template_similarity")
-def _(spark, d):
-    return V.template_similarity(samples(spark, d), "unit", "x", ORDER, 3, 2)
+# --- waveforms of each recording --------------------------------------------------
 
 
 @query("power_spectrum_bands", """, p as (select unit, x, row_number() over (partition by unit order by t, id) - 1 rn, count(*) over (partition by unit) n from s where x is not null), z as (select *, least(64, n) w, greatest(1, least(64, n) // 2) h from p where n >= 4),

@@ -5,23 +5,23 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from sensorloom.operators import complexity as Y, waveforms as V
+from sensorloom.operators import beats as B, complexity as Y, waveforms as V
 from sensorloom.operators.joins import lag_correlations
 from sensorloom.operators.quality import mad_artifacts
 from sensorloom.operators.scans import second_order
 
 
-def test_taller_peaks_suppress_near_ones():
-    x = np.array([0, 5, 0, 6, 0, 0, 0, 4, 0], float)
-    assert V.find_peaks(x, 1, 3).tolist() == [3, 7]
-    assert V.find_peaks(x, 1, 1).tolist() == [1, 3, 7]
-    assert V.find_peaks(x[:2], 1, 1).tolist() == []
+def test_taller_peaks_suppress_near_ones(spark):
+    rows = [(k, float(v)) for k, v in enumerate([0, 5, 0, 6, 0, 0, 0, 4, 0])]
+    d = spark.createDataFrame([("a", *r) for r in rows] + [("b", *r) for r in rows[:2]], "g string, k long, x double")
+    p = B._neighbours(B.signal(d, ["g"], "x", "k", ["k"]), ["g"]).where(B.IS_PEAK).where("v >= 1")
+    assert [sorted(r.rn for r in B.thinned(p, ["g"], n).collect()) for n in (3, 1)] == [[3, 7], [1, 3, 7]]  # the two samples of b have no peak
 
 
 def test_scr_peaks_have_onset_and_recovery(spark):
     x = [0.0, 0.0, 1.0, 4.0, 3.0, 1.0, 0.0]
     df = spark.createDataFrame([("a", float(k), v) for k, v in enumerate(x)] + [("b", 0.0, None)], "g string, t double, x double")
-    r = V.scr_peaks(df, "g", "x", "t", ["t"], 1.0, 2, 0.5).collect()
+    r = B.scr_peaks(df, ["g"], "x", "t", ["t"], 1.0, 2, 0.5).collect()
     assert [(p.g, p.onset, p.peak, p.amplitude, p.recovery) for p in r] == [("a", 1.0, 3.0, 4.0, 2.0)]
 
 
@@ -74,7 +74,7 @@ def test_granger_direction(spark):
 
 def test_short_groups_do_not_crash(spark):
     df = spark.createDataFrame([("a", 0, 1.0), ("b", 0, None)], "g string, k long, x double")
-    assert V.template_similarity(df, "g", "x", ["k"], 2, 1).count() == 2
+    assert B.template_similarity(df, ["g"], "x", ["k"], 2, 1).count() == 2
     for out in (Y.recurrence(df, ["g"], "x", ["k"]), V.ar_spectrum_order(df, "g", "x", ["k"], 3), Y.multiscale_entropy(df, ["g"], "x", ["k"]), Y.sample_entropy(df, ["g"], "x", ["k"]), V.granger(df.withColumn("y", F.col("x")), "g", "x", "y", ["k"], 1)):
         assert [r.g for r in out.select("g").distinct().collect()] == ["a"]  # a recording without samples has no row
     assert Y.detrended_fluctuation(df, ["g"], "x", ["k"]).count() == 0
