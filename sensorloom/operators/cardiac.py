@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.blocks import home, in_blocks, near
 from ..functions.core import BEFORE, islands, ordered, whole
+from ..functions.ranges import matched, running
 
 
 def nn_diff(df: DataFrame, keys, x: str, order) -> DataFrame:
@@ -74,30 +74,71 @@ def lomb(df: DataFrame, keys, x: str, t: str, frequencies) -> DataFrame:
     return s.select(*keys, "f", (0.5 * (F.coalesce(F.try_divide(F.col("yc") * F.col("yc"), F.col("cc")), F.lit(0.0)) + F.coalesce(F.try_divide(F.col("ys") * F.col("ys"), F.col("ss")), F.lit(0.0)))).alias("power"))
 
 
-def band_power(t: np.ndarray, x: np.ndarray, bands, rate: float) -> list[float]:
-    """Hann-windowed periodogram of the evenly resampled series, summed over half-open bands."""
-    if len(x) < 4 or t[-1] <= t[0]:
-        return [float("nan")] * len(bands)
-    grid = np.arange(t[0], t[-1], 1 / rate)
-    y = np.interp(grid, t, x)
-    w = np.hanning(len(y))
-    power = np.abs(np.fft.rfft((y - y.mean()) * w)) ** 2 / (rate * max((w**2).sum(), 1e-12))
-    f = np.fft.rfftfreq(len(y), 1 / rate)
-    return [float(power[(f >= lo) & (f < hi)].sum() * (f[1] if len(f) > 1 else 0)) for lo, hi in bands]
-
-
-def frequency_domain(df: DataFrame, key: str, x: str, order, rate: float = 4.0) -> DataFrame:
-    """VLF, LF and HF power and their ratio from NN intervals in ms."""
-    kind = df.schema[key].dataType.simpleString()
-    bands = [(0.003, 0.04), (0.04, 0.15), (0.15, 0.4)]
-
-    def run(pdf):
-        v = pdf.sort_values(order)[x].to_numpy(float)
-        v = v[np.isfinite(v) & (v > 0)]
-        p = band_power(np.cumsum(v) / 1000, v, bands, rate)
-        return pd.DataFrame({key: pdf[key].iloc[:1], "n": [len(v)], "vlf": p[0], "lf": p[1], "hf": p[2], "lf_hf": [p[1] / p[2] if p[2] else float("nan")]})
-
-    return df.select(key, x, *order).groupBy(key).applyInPandas(run, f"{key} {kind}, n long, vlf double, lf double, hf double, lf_hf double")
+BANDS = {"ulf": (0.0, 0.003), "vlf": (0.003, 0.04), "lf": (0.04, 0.15), "hf": (0.15, 0.4)}
+
+
+def resampled(df: DataFrame, keys, x: str, order, rate: float, low: float = 250.0, high: float = 2500.0) -> DataFrame:
+    """(keys, j, y): intervals (ms) within ``low`` to ``high``, drawn as straight lines over their cumulative time and read every 1 / ``rate`` seconds from the first beat on.
+
+    Places and times come from sums by ranges, so a recording is spread; each beat
+    gives the points up to the next one. Recordings of under four intervals have none.
+    """
+    d = df.where(F.col(x).between(low, high)).select(*keys, *order, F.col(x).cast("double").alias("_x"))
+    d = running(d, keys, order, rn=F.lit(1).cast("long"), ms=F.col("_x")).where("rn_total >= 4")
+    first = d.where("rn_before = 0").select(*keys, F.col("_x").alias("_first"))
+    d = matched(d, first, keys).select(*keys, F.col("rn_before").alias("rn"), "_x", F.round((F.col("ms_before") + F.col("_x") - F.col("_first")) / 1000, 9).alias("_a"))
+    ahead = lambda c: F.first(c).over(near(keys, "rn", 1, 1))
+    d = home(in_blocks(d, "rn", 1024, 1).withColumn("_b", ahead("_a")).withColumn("_z", ahead("_x")))
+    up = lambda c: F.ceil(F.col(c) * rate - 1e-9)
+    d = d.withColumn("_lo", up("_a").cast("long")).withColumn("_hi", F.coalesce(up("_b") - 1, F.floor(F.col("_a") * rate + 1e-9)).cast("long")).where("_lo <= _hi")
+    d = d.withColumn("j", F.explode(F.sequence("_lo", "_hi")))
+    share = F.coalesce((F.col("j") / rate - F.col("_a")) / (F.col("_b") - F.col("_a")), F.lit(0.0))
+    return d.select(*keys, "j", (F.col("_x") + F.coalesce(F.col("_z") - F.col("_x"), F.lit(0.0)) * share).alias("y"))
+
+
+def welch(points: DataFrame, keys, rate: float, window: float = 256.0, overlap: float = 0.5, most: float = 0.4) -> DataFrame:
+    """(keys, f, power): mean power of Hann-tapered segments of ``window`` seconds (at least 8 points, or all of a shorter recording) below ``most`` Hz and half the rate.
+
+    Segments begin every (1 - ``overlap``) of their size; a point goes to those that hold
+    it, and each transform is a sum of products, so a recording is spread over its segments. Zero frequency has no power.
+    Recordings of under 8 points have no spectrum.
+    """
+    about = points.groupBy(*keys).agg((F.max("j") + 1).alias("_n"), F.avg("y").alias("_mean")).where("_n >= 8")
+    size = F.least(F.col("_n"), F.lit(max(8, round(window * rate))))
+    d = matched(points, about, keys).withColumn("_size", size).withColumn("_step", F.greatest(F.lit(1), F.bround(F.col("_size") * (1 - overlap), 0).cast("long")))
+    last = F.floor((F.col("_n") - F.col("_size")) / F.col("_step"))
+    d = d.withColumn("_from", F.greatest(F.lit(0), F.ceil((F.col("j") - F.col("_size") + 1) / F.col("_step"))).cast("long")).withColumn("_to", F.least(last, F.floor(F.col("j") / F.col("_step"))).cast("long")).where("_from <= _to")
+    d = d.withColumn("_segment", F.explode(F.sequence("_from", "_to"))).withColumn("_i", F.col("j") - F.col("_segment") * F.col("_step"))
+    d = d.withColumn("_y", (F.col("y") - F.col("_mean")) * (0.5 - 0.5 * F.cos(2 * math.pi * F.col("_i") / (F.col("_size") - 1))))
+    bins = F.least(F.floor(F.col("_size") / 2) - 1, F.ceil(F.lit(most) * F.col("_size") / rate)).cast("long")
+    d = d.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), bins)))
+    angle = 2 * math.pi * F.col("_k") * F.col("_i") / F.col("_size")
+    s = d.groupBy(*keys, "_size", "_segment", "_k").agg(F.sum(F.col("_y") * F.cos(angle)).alias("_c"), F.sum(F.col("_y") * F.sin(angle)).alias("_s"))
+    p = s.groupBy(*keys, (F.col("_k") * rate / F.col("_size")).alias("f")).agg((F.avg(F.col("_c") * F.col("_c") + F.col("_s") * F.col("_s")) / (F.first("_size") * rate)).alias("power"))
+    return p.unionByName(about.select(*keys, F.lit(0.0).alias("f"), F.lit(0.0).alias("power"))).where(F.col("f") < most)
+
+
+def frequency_domain(df: DataFrame, keys, x: str, order, rate: float = 4.0, window: float = 256.0) -> DataFrame:
+    """Band powers of the evenly resampled intervals (ms): absolute (trapezoids between the bins of a band), relative, normalised, their ratio and peak frequencies.
+
+    A band of fewer than two bins has no power (NULL), one without a bin no peak. Every
+    recording has a row; without a spectrum its total is 0 and all else NULL.
+    """
+    p = welch(resampled(df, keys, x, order, rate), keys, rate, window, most=max(hi for _, hi in BANDS.values()))
+    inside = lambda b: (F.col("f") >= BANDS[b][0]) & (F.col("f") < BANDS[b][1])
+    band = F.coalesce(*[F.when(inside(b), b) for b in BANDS])
+    p = p.withColumn("_band", band)
+    w = ordered([*keys, "_band"], ["f"])
+    p = p.withColumn("_area", (F.col("f") - F.lag("f").over(w)) * (F.col("power") + F.lag("power").over(w)) / 2)
+    of = lambda b, e: F.when(F.col("_band") == b, e)
+    areas = [F.sum(of(b, F.col("_area"))).alias(f"{b}_abs") for b in BANDS]
+    peaks = [F.max(of(b, F.struct("power", (-F.col("f")).alias("g"))))["g"].alias(f"{b}_peak") for b in BANDS]
+    s = p.groupBy(*keys).agg(*areas, *peaks).withColumn("total_power", sum((F.coalesce(f"{b}_abs", F.lit(0.0)) for b in BANDS), F.lit(0.0)))
+    part = lambda a, whole_: F.when(whole_ > 0, 100 * F.col(a) / whole_)
+    both = F.col("lf_abs") + F.col("hf_abs")
+    s = s.select(*keys, "total_power", *[f"{b}_abs" for b in BANDS], *[part(f"{b}_abs", F.col("total_power")).alias(f"{b}_rel") for b in BANDS], part("lf_abs", both).alias("lf_norm"), part("hf_abs", both).alias("hf_norm"),
+                 F.when(F.col("hf_abs") > 0, F.col("lf_abs") / F.col("hf_abs")).alias("lf_hf"), *[(-F.col(f"{b}_peak")).alias(f"{b}_peak") for b in BANDS])
+    return matched(df.select(*keys).distinct(), s, keys, "left").withColumn("total_power", F.coalesce("total_power", F.lit(0.0)))
 
 
 def sliding_segments(df: DataFrame, keys, x: str, order, width: float, step: float, least: int) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import beats as B
+from pyspark.sql import functions as F
+
+from ..operators import beats as B, cardiac as C
 from .queries import ORDER, query, samples
 
 SAMPLES = """with recursive p as (select user_id unit, epoch_us(ts) / 1e6 t, value::double v, row_number() over (partition by user_id order by ts, event_id) - 1 rn, count(*) over (partition by user_id) n from events where value is not null),
@@ -89,3 +91,22 @@ def _(spark, d):
  select e.unit, coalesce(n, 0) beats, case when n >= 2 then mean_r end mean_r, case when n >= 2 then min_r end min_r from (select distinct user_id unit from events) e left join a using (unit)""", "mean_r min_r")
 def _(spark, d):
     return B.template_similarity(samples(spark, d), ["unit"], "x", ORDER, 3, 2)
+
+
+_BANDS = list(C.BANDS)
+_COLUMNS = ["total_power", *[f"{b}_abs" for b in _BANDS], *[f"{b}_rel" for b in _BANDS], "lf_norm", "hf_norm", "lf_hf", *[f"{b}_peak" for b in _BANDS]]
+WELCH = f"""with d as (select user_id unit, value + 600 x, row_number() over y rn, sum(value + 600) over y ms, count(*) over (partition by user_id) n from events where value + 600 between 250 and 2500 window y as (partition by user_id order by ts, event_id)),
+ a as (select unit, rn, x, round((ms - first_value(x) over (partition by unit order by rn)) / 1000, 9) a from d where n >= 4), b as (select *, lead(a) over (partition by unit order by rn) b, lead(x) over (partition by unit order by rn) z from a),
+ g as (select unit, j, case when b is null then x else x + (z - x) * (j / 4.0::double - a) / (b - a) end y from b, lateral (select unnest(range(ceil(a * 4 - 1e-9)::bigint, coalesce(ceil(b * 4 - 1e-9), floor(a * 4 + 1e-9) + 1)::bigint)) j)),
+ m as (select unit, max(j) + 1 n, avg(y) y0, least(max(j) + 1, 64) w from g group by unit having max(j) + 1 >= 8), s as (select g.unit, k, w, j - k * step i, y - y0 y from (select *, greatest(1, round_even(w * 0.5, 0))::bigint step from m) m join g using (unit), lateral (select unnest(range(0, (n - w) // step + 1)) k) where j between k * step and k * step + w - 1),
+ f as (select unit, w, k, h, sum(t * cos(2 * pi() * h * i / w)) ** 2 + sum(t * sin(2 * pi() * h * i / w)) ** 2 q from (select *, y * (0.5 - 0.5 * cos(2 * pi() * i / (w - 1))) t from s), lateral (select unnest(range(1, w // 2)) h) group by all),
+ p as (select unit, h * 4.0::double / w f, avg(q) / (w * 4.0::double) v from f group by unit, w, h having h * 4.0 / w < 0.4 union all select unit, 0::double, 0::double from m),
+ r as (select unit, f, v, case when f < 0.003 then 'ulf' when f < 0.04 then 'vlf' when f < 0.15 then 'lf' else 'hf' end band from p), e as (select *, (f - lag(f) over o) * (v + lag(v) over o) / 2 u from r window o as (partition by unit, band order by f)),
+ c as (select unit, coalesce(sum(u), 0) total_power, {", ".join(f"sum(u) filter (band = '{b}') {b}_abs" for b in _BANDS)}, {", ".join(f"arg_max(f, (v, -f)) filter (band = '{b}') {b}_peak" for b in _BANDS)} from e group by unit)
+ select q.unit, coalesce(total_power, 0) total_power, {", ".join(f"{b}_abs" for b in _BANDS)}, {", ".join(f"100 * {b}_abs / nullif(total_power, 0) {b}_rel" for b in _BANDS)}, 100 * lf_abs / nullif(lf_abs + hf_abs, 0) lf_norm, 100 * hf_abs / nullif(lf_abs + hf_abs, 0) hf_norm,
+ lf_abs / nullif(hf_abs, 0) lf_hf, {", ".join(f"{b}_peak" for b in _BANDS)} from (select distinct user_id unit from events) q left join c using (unit)"""
+
+
+@query("hrv_frequency_domain", WELCH, " ".join(_COLUMNS))
+def _(spark, d):
+    return C.frequency_domain(samples(spark, d).withColumn("x", F.col("x") + 600), ["unit"], "x", ORDER, 4.0, 16.0)

@@ -634,11 +634,6 @@ def _(spark, d):
     return e.join(Y.detrended_fluctuation(s, ["unit"], "x", ORDER), "unit", "left")
 
 
-@query("hrv_frequency_domain")
-def _(spark, d):
-    return C.frequency_domain(samples(spark, d).withColumn("x", F.col("x") + 600), "unit", "x", ORDER)
-
-
 # --- statistics and model tables ---------------------------------------------------
 
 

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from sensorloom.operators import beats as B
+from sensorloom.operators import beats as B, cardiac as C
 
 
 @pytest.fixture(autouse=True)
@@ -151,3 +151,31 @@ def test_empty_table(spark):
     d = spark.createDataFrame([], "g string, k long, x double")
     assert B.scr_peaks(d, ["g"], "x", "k", ["k"], None, 3, 0.1).count() == 0 == B.beats(d, ["g"], "x", "k", ["k"], 4.0).count()
     assert B.template_similarity(d, ["g"], "x", ["k"], 3, 1).count() == 0
+
+
+def test_frequency_domain_equals_plain_welch(spark):
+    rng = np.random.default_rng(2)
+    series = {"long": 800 + 60 * np.sin(np.arange(220) / 2) + rng.normal(size=220) * 20, None: rng.uniform(600, 900, 40), "odd": rng.uniform(600, 900, 9), "few": np.array([800.0, 810, 790]), "quick": np.array([260.0, 260, 260, 260])}
+    rows = [(g, k, float(v)) for g, x in series.items() for k, v in enumerate(x)] + [("long", -5, 9000.0), ("long", -6, None), ("none", 0, None)]
+    got = {r.g: r for r in C.frequency_domain(spark.createDataFrame(rows, "g string, k long, x double").repartition(3), ["g"], "x", ["k"], 4.0, 32.0).collect()}
+    assert set(got) == {*series, "none"}
+    for g in ("few", "none", "quick"):  # the last gives four points only
+        assert got[g].total_power == 0 and set(got[g][2:]) == {None}
+    for g in ("long", None, "odd"):
+        x = series[g]
+        t = np.cumsum(x) / 1000
+        y = np.interp(np.arange(t[0], t[-1] + 1e-12, 0.25), t, x)
+        y = y - y.mean()
+        size = min(len(y), 128)
+        step = round(size * 0.5)
+        taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / (size - 1))
+        power = np.mean([np.abs(np.fft.fft(y[a : a + size] * taper)) ** 2 for a in range(0, len(y) - size + 1, step)], 0)[: size // 2] / (size * 4)
+        power[0] = 0
+        f = np.arange(size // 2) * 4 / size
+        bands = {b: (f >= lo) & (f < hi) for b, (lo, hi) in C.BANDS.items()}
+        area = {b: float(np.sum(np.diff(f[k]) * (power[k][1:] + power[k][:-1]) / 2)) if k.sum() > 1 else None for b, k in bands.items()}
+        assert np.isclose(got[g].total_power, sum(a or 0 for a in area.values()))
+        for b, k in bands.items():
+            assert (got[g][f"{b}_abs"] is None) if area[b] is None else np.isclose(got[g][f"{b}_abs"], area[b]), (g, b)
+            assert (got[g][f"{b}_peak"] is None) if not k.any() else np.isclose(got[g][f"{b}_peak"], f[k][np.argmax(power[k])]), (g, b)
+    assert np.isclose(got["long"].lf_norm + got["long"].hf_norm, 100)
