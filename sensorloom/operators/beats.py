@@ -148,7 +148,8 @@ def beats(df: DataFrame, keys, x: str, t: str, order, rate: float, bpm: tuple[fl
     w = near(keys, "rn", -half, half)
     d = home(in_blocks(s, "rn", ROWS, half).withColumn("_avg", F.when(F.count("*").over(w) == 2 * half + 1, F.avg("v").over(w))))
     d = matched(d, about, keys).withColumn("_base", F.coalesce("_avg", "_mean")).withColumn("_sd", F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0))
-    levels = F.filter(F.array(*[F.lit(o) for o in offsets]), lambda o: F.col("v") > F.col("_base") + o * F.col("_sd"))
+    steps = F.array(*[F.lit(o) for o in offsets])  # levels are places in it: a double as key would be normalised at every step and shuffled anew
+    levels = F.filter(F.sequence(F.lit(0), F.lit(len(offsets) - 1)), lambda i: F.col("v") > F.col("_base") + F.get(steps, i) * F.col("_sd"))
     by = [*keys, "level"]
     b = kept(_spaced(_regions(d.select(*keys, "rn", "v", "t", "_base", "_sd"), keys, levels), by, least))
     w = ordered(by, ["rn"])
@@ -157,7 +158,7 @@ def beats(df: DataFrame, keys, x: str, t: str, order, rate: float, bpm: tuple[fl
     fit = matched(fit, about, keys).where((F.col("_n") >= 3) & F.try_divide(F.col("_n"), F.col("_minutes")).between(*bpm))
     spread = F.when(F.col("_spread") > 0, F.col("_spread")).otherwise(float("inf"))
     best = fit.groupBy(*keys).agg(F.min(F.struct(spread.alias("s"), "level"))["level"].alias("_best"))
-    return matched(b, best, keys, "left").where(F.col("level") == F.coalesce("_best", F.lit(0.0))).select(*keys, F.col("t").alias("beat_time"), F.col("v").alias("beat_value"), "interval", F.col("level").alias("offset"))
+    return matched(b, best, keys, "left").where(F.col("level") == F.coalesce("_best", F.lit(offsets.index(0.0)))).select(*keys, F.col("t").alias("beat_time"), F.col("v").alias("beat_value"), "interval", F.get(steps, F.col("level")).alias("offset"))
 
 
 def rejected(beat_table: DataFrame, keys, t: str = "beat_time", share: float = 0.3, least_ms: float = 300.0) -> DataFrame:
