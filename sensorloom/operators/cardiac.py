@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.blocks import home, in_blocks, near
 from ..functions.core import BEFORE, islands, ordered, whole
@@ -16,6 +16,11 @@ def nn_diff(df: DataFrame, keys, x: str, order) -> DataFrame:
     return df.where(F.col(x) > 0).withColumn("d", F.col(x) - F.lag(x).over(ordered(keys, order)))
 
 
+def _seconds(x: str, keys, order) -> Column:
+    """Cumulative time in seconds of intervals in ms, to a millionth of one, so that a beat on a border does not depend on how the sum was made."""
+    return F.round(F.sum(x).over(ordered(keys, order, BEFORE, 0)), 6) / 1000.0
+
+
 def time_domain(df: DataFrame, keys, x: str, order) -> DataFrame:
     """Counts, mean, extremes, SDNN, RMSSD, SDSD, NN50, NN20, their percentages, and mean heart rate."""
     d = nn_diff(df, keys, x, order)
@@ -28,7 +33,7 @@ def time_domain(df: DataFrame, keys, x: str, order) -> DataFrame:
 
 def segment_indices(df: DataFrame, keys, x: str, order, seconds: float) -> DataFrame:
     """SDNN index (mean of segment SDs) and SDANN (SD of segment means) over fixed segments of cumulative time."""
-    d = df.where(F.col(x) > 0).withColumn("_t", F.sum(x).over(ordered(keys, order, BEFORE, 0)) / 1000.0)
+    d = df.where(F.col(x) > 0).withColumn("_t", _seconds(x, keys, order))
     s = d.groupBy(*keys, F.floor(F.col("_t") / seconds).alias("_s")).agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s"))
     return s.groupBy(*keys).agg(F.count("*").alias("segments"), F.avg("s").alias("sdnn_index"), F.stddev_samp("m").alias("sdann"))
 
@@ -143,7 +148,7 @@ def frequency_domain(df: DataFrame, keys, x: str, order, rate: float = 4.0, wind
 
 def sliding_segments(df: DataFrame, keys, x: str, order, width: float, step: float, least: int) -> DataFrame:
     """Overlapping segments [k step, k step + width) of cumulative time; each beat joins the few that hold it."""
-    d = df.where(F.col(x) > 0).withColumn("_t", F.sum(x).over(ordered(keys, order, BEFORE, 0)) / 1000.0)
+    d = df.where(F.col(x) > 0).withColumn("_t", _seconds(x, keys, order))
     first = F.greatest(F.floor((F.col("_t") - width) / step) + 1, F.lit(0))
     d = d.withColumn("segment", F.explode(F.sequence(first, F.floor(F.col("_t") / step))))
     return d.groupBy(*keys, "segment").agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd")).where(F.col("n") >= least)
