@@ -3,82 +3,113 @@
 A recurrence whose step is v -> (a v + b) / (c v + d) is a 2 x 2 matrix, and steps
 compose by matrix product. Each time block multiplies its own matrices, the few
 products of a unit are chained, and every block then runs from its own entry
-value. No task holds more than one block of rows or one unit's block table.
+value. Python holds one Arrow batch at a time, however long blocks and units are.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.core import BEFORE, ordered, quantile
 from ..functions.ranges import matched, running
 
 STEP = ("_a", "_b", "_c", "_d")
-INTEGRAL = ("bigint", "int", "smallint", "tinyint")
 
 
-def _scaled(m: np.ndarray) -> np.ndarray:
-    return m / np.abs(m).max(axis=(-2, -1), keepdims=True)
-
-
-def _product(m: np.ndarray) -> np.ndarray:
-    """Product of the steps in order, by pairs."""
-    while len(m) > 1:
-        odd = m[-1:] if len(m) % 2 else m[:0]
-        m = np.concatenate([_scaled(m[1::2] @ m[: len(m) // 2 * 2 : 2]), odd])
-    return m[0]
-
-
-def _chained(m: np.ndarray, v: float) -> np.ndarray:
-    """Values after each step from v, by products of all steps so far (doubling)."""
-    m, d = _scaled(m), 1
-    while d < len(m):
-        m = np.concatenate([m[:d], _scaled(m[d:] @ m[:-d])])
-        d *= 2
-    return (m[:, 0, 0] * v + m[:, 0, 1]) / (m[:, 1, 0] * v + m[:, 1, 1])
+def _prefixes(m: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Products of each group's steps so far, by doubling; ``at`` is the place in the group, which lies in one piece."""
+    reach = 1
+    while reach <= at.max():
+        k = np.flatnonzero(at >= reach)
+        a, b, c, d = m[:, k]
+        e, f, g, h = m[:, k - reach]
+        p = np.stack([a * e + b * g, a * f + b * h, c * e + d * g, c * f + d * h])
+        m[:, k] = p / np.abs(p).max(axis=0)
+        reach *= 2
+    return m
+
+
+def _opened(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(steps, first, at): the steps of a batch, where the group of each row begins in it, and the row's place behind that."""
+    m = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in STEP]).astype(float)
+    here = np.arange(batch.num_rows)
+    first = np.maximum.accumulate(np.where(batch.column("_row").to_numpy() == 1, here, 0))
+    return m, first, here - first
+
+
+def _products(kept):
+    """One row a group, ``kept`` and the product of its steps; groups may go on from batch to batch."""
+
+    def run(batches):
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m, first, at = _opened(batch)
+            if batch.column("_row")[0].as_py() > 1:
+                a, b, c, d = m[:, 0].copy()
+                e, f, g, h = (last.column(n)[0].as_py() for n in STEP)
+                m[:, 0] = a * e + b * g, a * f + b * h, c * e + d * g, c * f + d * h
+            elif last is not None:
+                yield last
+            m = _prefixes(m, at)
+            ends = np.flatnonzero(np.append(first[1:] != first[:-1], True))
+            out = pa.RecordBatch.from_arrays([*[batch.column(n).take(pa.array(ends)) for n in kept], *[pa.array(v[ends]) for v in m]], names=[*kept, *STEP])
+            if len(ends) > 1:
+                yield out.slice(0, len(ends) - 1)
+            last = out.slice(len(ends) - 1)
+        if last is not None:
+            yield last
+
+    return run
+
+
+def _values(kept, start: str):
+    """``kept`` and the value after and before each row, from the group's ``start``; groups may go on from batch to batch."""
+
+    def run(batches):
+        carry = float("nan")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m, first, at = _opened(batch)
+            v = batch.column(start).to_numpy(zero_copy_only=False).astype(float)[first]
+            if batch.column("_row")[0].as_py() > 1:
+                v[first == 0] = carry
+            a, b, c, d = _prefixes(m, at)
+            after = (a * v + b) / (c * v + d)
+            before = np.where(at == 0, v, np.append(v[:1], after[:-1]))
+            carry = after[-1]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], pa.array(after, from_pandas=True), pa.array(before, from_pandas=True)], names=[*kept, "_after", "_before"])
+
+    return run
+
+
+def _lined_up(d: DataFrame, keys, order) -> DataFrame:
+    """Rows group by group in order, with their place (``_row``) from 1."""
+    return d.withColumn("_row", F.row_number().over(ordered(keys, order))).sortWithinPartitions(*keys, "_row")
 
 
 def recur(df: DataFrame, keys, order, width: float, step: tuple[Column, Column, Column, Column], start: str, name: str) -> DataFrame:
     """Adds ``name``, the value after each row, and ``name_before``; ``order`` begins with the time, blocks are ``width`` of it.
 
     ``start`` is a column that is constant in each unit; where it is NULL so are
-    all values. Whole numbers pass through Python as text, so they keep their digits.
+    all values. Groups stream through Python side by side in Arrow batches, so
+    that many short ones cost no more than a few long ones.
     """
     parts = [f"_k{k}" for k in range(len(keys))]
     d = df.select("*", *[e.cast("double").alias(n) for n, e in zip(STEP, step)], *[F.col(k).alias(p) for k, p in zip(keys, parts)], F.floor(F.col(order[0]) / width).alias("_block"))
-    d = d.withColumn("_row", F.row_number().over(ordered([*parts, "_block"], order)))
-    kinds, whole = dict(d.dtypes), [c for c, t in df.dtypes if t in INTEGRAL]
-    d = d.select(*[F.col(c).cast("string").alias(c) if c in whole and c != start else F.col(c) for c in d.columns])
-    key_kinds = ", ".join(f"{p} {kinds[p]}" for p in parts)
-    steps = lambda pdf: pdf[list(STEP)].to_numpy().reshape(-1, 2, 2)
-    keyed = lambda pdf, n: pd.DataFrame({p: [pdf[p].iloc[0]] * n for p in parts})
-
-    def product(pdf):
-        m = _product(steps(pdf.sort_values("_row")))
-        return keyed(pdf, 1).assign(_block=pdf["_block"].iloc[0], **dict(zip(STEP, m.ravel())), _v=pdf[start].iloc[0])
-
-    def entries(pdf):
-        pdf = pdf.sort_values("_block")
-        v = pdf["_v"].iloc[0]
-        v = float("nan") if v is None else float(v)
-        return keyed(pdf, len(pdf)).assign(_block=pdf["_block"].to_numpy(), _entry=np.concatenate([[v], _chained(steps(pdf), v)[:-1]]))
-
-    blocks = d.select(*parts, "_block", "_row", *STEP, start).groupBy(*parts, "_block").applyInPandas(product, f"{key_kinds}, _block long, _a double, _b double, _c double, _d double, _v double")
-    entry = blocks.groupBy(*parts).applyInPandas(entries, f"{key_kinds}, _block long, _entry double")
-
-    def run(key, rows, at):
-        rows = rows.sort_values("_row")
-        v = at["_entry"].iloc[0] if len(at) else float("nan")
-        out = _chained(steps(rows), v)
-        return rows.drop(columns=[*STEP, "_block", "_row", *parts]).assign(**{name: out, name + "_before": np.concatenate([[v], out[:-1]])})
-
-    kept = dict(d.dtypes)
-    schema = ", ".join(f"`{c}` {kept[c]}" for c in df.columns) + f", {name} double, {name}_before double"
-    out = d.groupBy(*parts, "_block").cogroup(entry.groupBy(*parts, "_block")).applyInPandas(run, schema)
-    real = lambda c: F.nanvl(c, F.lit(None).cast("double")).alias(c)
-    return out.select(*[F.col(c).cast(kinds[c]).alias(c) if c in whole else F.col(c) for c in df.columns], real(name), real(name + "_before"))
+    block = [*parts, "_block"]
+    fields = lambda *names: StructType([*[d.schema[k] for k in block], *[StructField(n, DoubleType()) for n in names]])
+    need = d.select(*dict.fromkeys([*block, *order, *STEP]), F.col(start).cast("double").alias("_v"))
+    blocks = _lined_up(need, block, order).mapInArrow(_products([*block, "_v"]), fields("_v", *STEP))
+    entry = _lined_up(blocks, parts, ["_block"]).mapInArrow(_values(block, "_v"), fields("_after", "_before"))
+    d = matched(d, entry.select(*block, F.col("_before").alias("_entry")), block, "left")
+    out = _lined_up(d, block, order).mapInArrow(_values(df.columns, "_entry"), StructType([*df.schema.fields, *fields("_after", "_before").fields[-2:]]))
+    return out.withColumnsRenamed({"_after": name, "_before": f"{name}_before"})
 
 
 def fuse_two(df: DataFrame, keys, primary: str, secondary: str, order, width: float, process: float = 0.01, primary_var: float = 0.05, secondary_var: float = 0.05) -> DataFrame:
