@@ -1,7 +1,7 @@
 """Recurrence plots, and entropies from them, on a grid of time tiles.
 
 A recording of n points is cut into blocks of ``TILE``; every two blocks meet in
-one row, and its task compares all their points with arrays. Nothing is a row a
+one row, and a task compares all their points with arrays, row after row. Nothing is a row a
 pair: a task counts the runs of recurrent points along diagonals and columns that
 end inside its tile by length, and sends on only the runs that touch a border of
 it. Those are stitched line by line. The work stays quadratic in n, as the plot
@@ -11,8 +11,9 @@ is, but a task holds one tile and the shuffle n^2 / TILE values.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from ..functions.core import BEFORE, ordered, whole
 from ..functions.ranges import matched, running
@@ -28,15 +29,16 @@ def places(df: DataFrame, keys, x, order) -> DataFrame:
 
 
 def _tiles(points: DataFrame, keys, reach: int, tile: int) -> DataFrame:
-    """(keys, lo, hi, n, tol, parts): every two blocks of vectors of a group, each with the values its vectors reach."""
+    """(keys, lo, hi, n, tol, a, b): every two blocks of vectors of a group, each with the values its vectors reach."""
     first = F.greatest(F.lit(0), F.ceil((F.col("rn") - (tile + reach - 1)) / tile)).cast("long")
     last = F.least(F.floor(F.col("rn") / tile), F.floor((F.col("n") - reach - 1) / tile)).cast("long")
     d = points.where(F.col("n") > reach).withColumn("_from", first).withColumn("_to", last).where("_from <= _to")
     d = d.withColumn("_block", F.explode(F.sequence("_from", "_to")))
     b = d.groupBy(*keys, "_block").agg(F.first("n").alias("n"), F.first("tol").alias("tol"), F.array_sort(F.collect_list(F.struct("rn", "v"))).alias("_v"))
     b = b.withColumn("part", F.struct("_block", F.col("_v.v").alias("v"))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - reach - 1) / tile).cast("long"))))
-    return b.groupBy(*keys, F.least("_block", "_other").alias("lo"), F.greatest("_block", "_other").alias("hi")).agg(
+    b = b.groupBy(*keys, F.least("_block", "_other").alias("lo"), F.greatest("_block", "_other").alias("hi")).agg(
         F.first("n").alias("n"), F.first("tol").alias("tol"), F.array_sort(F.collect_list("part")).alias("parts"))
+    return b.select(*keys, "lo", "hi", "n", "tol", F.element_at("parts", 1)["v"].alias("a"), F.element_at("parts", -1)["v"].alias("b"))
 
 
 def _near(a: np.ndarray, b: np.ndarray, m: int, delay: int, tol: float, metric: str) -> np.ndarray:
@@ -58,8 +60,8 @@ def _runs(grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start // size, start % size, stop - start
 
 
-def _lines(near: np.ndarray, lo: int, hi: int, n: int, tile: int, kinds: str) -> list[pd.DataFrame]:
-    """Counts by (kind, len, at_end) of runs inside the tile, and the runs that touch its borders with their line and start."""
+def _lines(near: np.ndarray, lo: int, hi: int, n: int, tile: int, kinds: str) -> list[tuple]:
+    """(kind, len, at_end, k, line, start): counts of runs inside the tile, and the runs that touch its borders with their line and start."""
     h, w = near.shape
     found = []
     if "d" in kinds:
@@ -83,11 +85,20 @@ def _lines(near: np.ndarray, lo: int, hi: int, n: int, tile: int, kinds: str) ->
     for kind, line, start, size, border, end in found:
         inner = ~border
         key, k = np.unique(size[inner] * 2 + end[inner], return_counts=True)
-        out.append(pd.DataFrame({"kind": kind, "len": key // 2, "at_end": key % 2 == 1, "k": k, "line": -1, "start": -1}))
-        out.append(pd.DataFrame({"kind": kind, "len": size[border], "at_end": end[border], "k": 1, "line": line[border], "start": start[border]}))
+        out.append((kind, key // 2, key % 2 == 1, k, np.full(len(key), -1), np.full(len(key), -1)))
+        if border.any():
+            out.append((kind, size[border], end[border], np.ones(border.sum(), int), line[border], start[border]))
     return out
 
 
+FOUND = {"kind": StringType(), "len": LongType(), "at_end": BooleanType(), "k": LongType(), "line": LongType(), "start": LongType()}
+
+
+def _series(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists of a column, and where each list begins in them."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(column.value_lengths().to_numpy()))
+
+
 def run_counts(points: DataFrame, keys, m: int = 1, delay: int = 1, metric: str = "max", kinds: str = "d", tile: int | None = None) -> DataFrame:
     """(keys, kind, len, at_end, k): how many runs of recurrent vectors there are, by length.
 
@@ -97,19 +108,34 @@ def run_counts(points: DataFrame, keys, m: int = 1, delay: int = 1, metric: str
     """
     tile = tile or TILE
     reach = (m - 1) * delay
-    kinds_of = dict(points.dtypes)
-    schema = ", ".join(f"`{k}` {kinds_of[k]}" for k in keys) + ", kind string, len long, at_end boolean, k long, line long, start long"
-
-    def work(pdf):
-        r = pdf.iloc[0]
-        parts = [np.asarray(p["v"], float) for p in r["parts"]]
-        near = _near(parts[0], parts[-1], m, delay, r["tol"], metric)
-        out = pd.concat(_lines(near, int(r["lo"]), int(r["hi"]), int(r["n"]) - reach, tile, kinds))
-        for key in keys:
-            out[key] = [r[key]] * len(out) if len(out) else pd.Series(dtype=pdf[key].dtype)
-        return out[[*keys, "kind", "len", "at_end", "k", "line", "start"]]
-
-    found = _tiles(points.where("tol >= 0"), keys, reach, tile).groupBy(*keys, "lo", "hi").applyInPandas(work, schema)
+    d = _tiles(points.where("tol >= 0"), keys, reach, tile)
+    schema = StructType([*[d.schema[k] for k in keys], *[StructField(n, t) for n, t in FOUND.items()]])
+
+    def gathered(batch, found):
+        """The rows that tiles of ``batch`` gave: (place of the tile, what ``_lines`` found)."""
+        sizes = [len(f[1]) for _, f in found]
+        at = pa.array(np.repeat([r for r, _ in found], sizes))
+        kind = pa.array(np.repeat([f[0] for _, f in found], sizes).astype(object), pa.string())
+        rest = [pa.array(np.concatenate([f[k] for _, f in found])) for k in range(1, len(FOUND))]
+        return pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in keys], kind, *rest], names=[*keys, *FOUND])
+
+    def work(batches):
+        for batch in batches:
+            lo, hi, n, tol = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi", "n", "tol"))
+            (a, a_to), (b, b_to) = _series(batch.column("a")), _series(batch.column("b"))
+            found, size = [], 0
+            for r in range(batch.num_rows):
+                near = _near(a[a_to[r] : a_to[r + 1]], b[b_to[r] : b_to[r + 1]], m, delay, tol[r], metric)
+                lines = _lines(near, int(lo[r]), int(hi[r]), int(n[r]) - reach, tile, kinds)
+                found += [(r, f) for f in lines]
+                size += sum(len(f[1]) for f in lines)
+                if size > 100_000:
+                    yield gathered(batch, found)
+                    found, size = [], 0
+            if found:
+                yield gathered(batch, found)
+
+    found = d.mapInArrow(work, schema)
     inner = found.where("line < 0").select(*keys, "kind", "len", "at_end", "k")
     w = ordered([*keys, "kind", "line"], ["start"])
     open_ = found.where("line >= 0").withColumn("_new", F.coalesce((F.lag(F.col("start") + F.col("len")).over(w) != F.col("start")).cast("int"), F.lit(1)))

@@ -2,7 +2,9 @@
 
 import pytest
 
-from sensorloom.operators import scans
+from pyspark.sql import functions as F
+
+from sensorloom.operators import scans, tiles
 
 
 def plan(df):
@@ -29,3 +31,18 @@ def test_recurrences_take_no_call_a_group(spark, batches):
             m = None if was != u else m
             m, was = m if x is None else x if m is None else 0.8 * m + 0.2 * x, u
             assert (got[u, k] is None) == (m is None) and (m is None or abs(got[u, k] - m) < 1e-9)
+
+
+def test_plots_take_no_call_a_tile(spark, batches):
+    rows = [(u, k, float((k * k + (u or 0)) % 17)) for u in (None, 1, 2**60 + 1) for k in range(40)]
+    df = spark.createDataFrame(rows, "u long, t long, x double")
+    points = tiles.places(df, ["u"], "x", ["t"]).withColumn("tol", F.lit(2.0))
+    out = tiles.run_counts(points, ["u"], kinds="dv", tile=8)
+    assert "InPandas" not in plan(out)
+    got = {}
+    for r in out.collect():
+        got[r.u, r.kind] = got.get((r.u, r.kind), 0) + r.len * r.k
+    for u in (None, 1, 2**60 + 1):
+        x = [v for w, _, v in rows if w == u]
+        pairs = sum(abs(a - b) <= 2 for k, a in enumerate(x) for b in x[:k])
+        assert got[u, "d"] == pairs and got[u, "v"] == 2 * pairs + len(x)
