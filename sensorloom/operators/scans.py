@@ -152,6 +152,38 @@ def adaptive_ema(df: DataFrame, keys, x: str, order, width: float, alpha: float
     return d.withColumn("ema", F.when(F.struct(*order) >= F.col("_since"), F.col("ema"))).drop("_q1", "_q3", "_first", "_since", "ema_before")
 
 
+def _states(kept, add, m: np.ndarray, start=None):
+    """``kept`` and the states after and before each row of s -> m s + ``add``, each group from its ``start`` or at rest; groups may go on from batch to batch."""
+
+    def run(batches):
+        carry = np.zeros(2)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            column = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(float)  # noqa: B023, E731
+            here = np.arange(n)
+            at = here - np.maximum.accumulate(np.where(batch.column("_row").to_numpy() == 1, here, 0))
+            v = np.column_stack([column(c) for c in start]) if start else np.zeros((n, 2))
+            if batch.column("_row")[0].as_py() > 1:
+                v[0] = carry
+            s = np.zeros((n, 2))
+            for k, c in enumerate(add):
+                s[:, k] = column(c)
+            opens = at == 0
+            s[opens] += v[opens] @ m.T
+            power, reach = m, 1
+            while reach <= at.max():
+                k = np.flatnonzero(at >= reach)
+                s[k] += s[k - reach] @ power.T
+                power, reach = power @ power, 2 * reach
+            before = np.where(opens[:, None], v, np.concatenate([v[:1], s[:-1]]))
+            carry = s[-1].copy()
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *map(pa.array, (s[:, 0].copy(), s[:, 1].copy(), before[:, 0].copy(), before[:, 1].copy()))], names=[*kept, *"_0 _1 _2 _3".split()])
+
+    return run
+
+
 def second_order(df: DataFrame, keys, order, x: str, feedback: tuple[float, float], forward: tuple[float, float, float], name: str, size: int = 1024) -> DataFrame:
     """Adds ``name``: y = forward . (x, x before, x two before) - feedback . (y before, y two before), in doubles.
 
@@ -166,39 +198,20 @@ def second_order(df: DataFrame, keys, order, x: str, feedback: tuple[float, floa
     d = df.withColumn("_first", F.first(x).over(ordered(keys, order, BEFORE, 0))).withColumn("_u", F.col(x) - F.col("_first"))
     d = d.withColumn("_g", sum(f * F.coalesce(F.lag("_u", k).over(w) if k else F.col("_u"), F.lit(0.0)) for k, f in enumerate(forward)))
     d = running(d.select(*df.columns, "_first", "_g", *[F.col(k).alias(p) for k, p in zip(keys, parts)]), parts, order, place=F.lit(1).cast("long"))
-    d = d.withColumn("_block", F.floor(F.col("place_before") / size)).withColumn("_at", F.col("place_before") % size)
-    kinds = dict(d.dtypes)
-    key_kinds = ", ".join(f"{p} {kinds[p]}" for p in parts)
-
-    def states(g, m, start):
-        """States after each step s -> m s + (g, 0), by doubling."""
-        s, power, reach = np.column_stack([g, np.zeros(len(g))]) if g.ndim == 1 else g.copy(), m, 1
-        s[0] += m @ start
-        while reach < len(s):
-            s[reach:] += s[:-reach] @ power.T
-            power, reach = power @ power, 2 * reach
-        return s
-
-    def ends(pdf):
-        s = states(pdf.sort_values("_at")["_g"].to_numpy(), a, np.zeros(2))[-1]
-        return pdf[[*parts, "_block"]].iloc[:1].assign(_y1=s[0], _y2=s[1])
-
-    def entries(pdf):
-        pdf = pdf.sort_values("_block")
-        s = states(pdf[["_y1", "_y2"]].to_numpy(), np.linalg.matrix_power(a, size), np.zeros(2))
-        at = np.concatenate([np.zeros((1, 2)), s[:-1]])  # only the last block may be short, and nothing follows it
-        return pdf[[*parts, "_block"]].assign(_y1=at[:, 0], _y2=at[:, 1])
-
-    def run(rows, at):
-        rows = rows.sort_values("_at")
-        s = states(rows["_g"].to_numpy(), a, at[["_y1", "_y2"]].to_numpy()[0])
-        return rows[[*parts, "_block", "_at"]].assign(_y=s[:, 0])
-
-    need = d.select(*parts, "_block", "_at", "_g")
-    last = need.groupBy(*parts, "_block").applyInPandas(ends, f"{key_kinds}, _block long, _y1 double, _y2 double")
-    entry = last.groupBy(*parts).applyInPandas(entries, f"{key_kinds}, _block long, _y1 double, _y2 double")
-    y = need.groupBy(*parts, "_block").cogroup(entry.groupBy(*parts, "_block")).applyInPandas(run, f"{key_kinds}, _block long, _at long, _y double")
-    return matched(d, y, [*parts, "_block", "_at"]).select(*df.columns, (F.col("_first") + F.col("_y")).alias(name))
+    d = d.withColumn("_block", F.floor(F.col("place_before") / size)).withColumn("_row", F.col("place_before") % size + 1)
+    block = [*parts, "_block"]
+    fields = lambda of, *names: StructType([*of, *[StructField(n, DoubleType()) for n in names]])
+    line = lambda rows, by: (rows.repartition(*by) if by else rows.coalesce(1)).sortWithinPartitions(*by, "_row")
+    named = [d.schema[k] for k in block]
+    # only the last block may be short, and nothing follows it
+    ends = line(d.select(*block, "_row", "_g"), block).mapInArrow(_states([*block, "_row"], ["_g"], a), fields([*named, d.schema["_row"]], "_y1", "_y2", "_b1", "_b2")).where(F.col("_row") == size)
+    starts = d.where("_row = 1").select(*block)
+    blocks = matched(starts, ends.select(*block, "_y1", "_y2"), block, "left").withColumn("_row", F.col("_block") + 1).fillna(0.0, ["_y1", "_y2"])
+    entry = line(blocks, parts).mapInArrow(_states(block, ["_y1", "_y2"], np.linalg.matrix_power(a, size)), fields(named, "_a1", "_a2", "_e1", "_e2")).drop("_a1", "_a2")
+    rows = line(matched(d, entry, block), block)
+    kept = [*df.columns, "_first"]
+    y = rows.mapInArrow(_states(kept, ["_g"], a, ["_e1", "_e2"]), fields([d.schema[c] for c in kept], "_y", "_y2", "_b1", "_b2"))
+    return y.select(*df.columns, (F.col("_first") + F.col("_y")).alias(name))
 
 
 def refractory(df: DataFrame, keys, t: str, distance: float) -> DataFrame:

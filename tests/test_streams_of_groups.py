@@ -46,3 +46,19 @@ def test_plots_take_no_call_a_tile(spark, batches):
         x = [v for w, _, v in rows if w == u]
         pairs = sum(abs(a - b) <= 2 for k, a in enumerate(x) for b in x[:k])
         assert got[u, "d"] == pairs and got[u, "v"] == 2 * pairs + len(x)
+
+
+def test_second_order_takes_no_call_a_block(spark, batches):
+    rows = [(u, 2**60 + k, float(k), float((k * 7 + (u or 0)) % 11)) for u in (None, 1, 2**60 + 1) for k in range(22)]
+    df = spark.createDataFrame(rows, "u long, id long, t double, x double")
+    out = scans.second_order(df, ["u"], ["t", "id"], "x", (-0.9, 0.4), (0.2, 0.1, 0.2), "y", size=4)
+    assert "InPandas" not in plan(out)
+    got = {(r.u, r.id): r.y for r in out.collect()}
+    for g in (None, 1, 2**60 + 1):
+        x = [v for u, _, _, v in rows if u == g]
+        x1 = x2 = y1 = y2 = x[0]
+        for k, v in enumerate(x):
+            # the state before the first row is at rest on it
+            y = x[0] + 0.2 * (v - x[0]) + 0.1 * (x1 - x[0]) + 0.2 * (x2 - x[0]) + 0.9 * (y1 - x[0]) - 0.4 * (y2 - x[0])
+            x1, x2, y1, y2 = v, x1, y, y1
+            assert abs(got[g, 2**60 + k] - y) < 1e-9
