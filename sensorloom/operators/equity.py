@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.core import finite
-from ..functions.ranges import matched
+from ..functions.ranges import matched, running
 from .stats import _hashed
 
 # Upper category above each typology angle, in degrees.
@@ -55,12 +55,15 @@ def agreement_statistics() -> dict[str, Column]:
 
 def _rounds(moments: DataFrame, strata, participant: str, sums, rounds: int, seed: int) -> DataFrame:
     """(strata, _round, sums): totals of each bootstrap round; none for strata of one participant."""
-    w = Window.partitionBy(*strata)
-    c = moments.where(F.col(participant).isNotNull()).withColumn("_slot", F.row_number().over(w.orderBy(participant)) - 1).withColumn("_of", F.count("*").over(w))
-    draws = c.where("_of >= 2").select(*strata, "_slot", "_of", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("_round"))
-    draws = draws.withColumn("_slot", (_hashed(seed, F.col("_round"), F.col("_slot"), *map(F.col, strata)) % F.col("_of")).cast("int")).groupBy(*strata, "_round", "_slot").agg(F.count("*").alias("_m"))
-    hit = matched(draws, c.select(*strata, "_slot", *sums), [*strata, "_slot"])
-    return hit.groupBy(*strata, "_round").agg(*[F.sum(F.col("_m") * F.col(s)).alias(s) for s in sums])
+    c = running(moments.where(F.col(participant).isNotNull()), strata, [participant], _slot=F.lit(1).cast("long"))
+    c = c.select(*strata, F.col("_slot_before").alias("_slot"), F.col("_slot_total").alias("_of"), *sums)
+    # dealt over all tasks, by a number that small rows do not lower, before a participant becomes a row a round
+    tasks = int(moments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = c.where("_of >= 2").select(*strata, "_slot", "_of").repartition(tasks, *strata, "_slot").withColumn("_round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    draws = draws.select(*strata, "_round", (_hashed(seed, F.col("_round"), F.col("_slot"), *map(F.col, strata)) % F.col("_of")).alias("_slot"))
+    # explode does not raise the size that Spark expects, so it would send all draws to every executor
+    hit = matched(draws.hint("merge"), c.select(*strata, "_slot", *sums), [*strata, "_slot"])
+    return hit.groupBy(*strata, "_round").agg(*[F.sum(s).alias(s) for s in sums])
 
 
 def intervals(moments: DataFrame, strata, participant: str, sums, statistics: Callable[[], dict[str, Column]], rounds: int, seed: int = 1) -> DataFrame:
