@@ -6,15 +6,21 @@ one block of x, or in one block of y and different ones of x, or in different
 blocks of both. Each kind is a weighted count of inversions over at most some
 sqrt(n) places, taken bit by bit of the place: at every bit, rows of one prefix
 meet in y order, and running sums of those with the bit clear meet those with it
-set. No task orders a whole recording, and nothing is a row a pair.
+set. No task orders a whole recording, and nothing is a row a pair. Groups of a
+few hundred rows would only be multiplied by that; their pairs are compared in place.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.core import BEFORE, ordered
-from ..functions.ranges import matched, running
+from ..functions.ranges import kept, matched, running
+
+#: Groups of at most this many rows are lists in one row.
+SMALL = 512
 
 
 def _blocks(values: DataFrame, keys, v: str, name: str) -> DataFrame:
@@ -41,10 +47,8 @@ def _pairs(df: DataFrame, keys, by, name: str) -> DataFrame:
     return g.groupBy(*keys).agg(F.sum(F.call_function("div", F.col("_t") * (F.col("_t") - 1), F.lit(2))).alias(name))
 
 
-def kendall(df: DataFrame, keys, x: str, y: str) -> DataFrame:
-    """(keys, n, concordant, discordant, tau): tau-b over rows where both are known; NULL under three of them or where one is constant."""
-    keys = list(keys)
-    d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count("*").alias("w"))
+def _by_ranges(df: DataFrame, keys, x: str, y: str) -> DataFrame:
+    d = df.groupBy(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).agg(F.count("*").alias("w"))
     xs, ys = _blocks(d, keys, "_x", "_i"), _blocks(d, keys, "_y", "_j")
     d = matched(matched(d, xs, [*keys, "_x"]), ys.drop("n"), [*keys, "_y"])
     bits = F.length(F.bin(2 * F.ceil(F.sqrt(F.col("n").cast("double"))).cast("long") + 2))
@@ -62,9 +66,54 @@ def kendall(df: DataFrame, keys, x: str, y: str) -> DataFrame:
         out = matched(out, part, keys)
     every = F.call_function("div", F.col("n") * (F.col("n") - 1), F.lit(2))
     out = out.withColumn("concordant", every - F.col("_tx") - F.col("_ty") + F.col("_txy") - F.col("discordant"))
+    return _tau(out, keys)
+
+
+def _by_size(df: DataFrame, keys) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of groups of at most ``SMALL`` rows, and those of larger ones (None if there are none)."""
+    large = kept(df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > SMALL).select(*keys))
+    if large.isEmpty():
+        return df, None
+    return matched(df, large, keys, "left_anti"), matched(df, large, keys, "left_semi")
+
+
+def _counts(xs, ys) -> list[int]:
+    """Concordant and discordant pairs, and those equal in x and in y, of one small group."""
+    x, y = np.asarray(xs, float), np.asarray(ys, float)
+    more, above = x[:, None] > x, y[:, None] > y
+    count, every = np.count_nonzero, len(x) * (len(x) - 1) // 2
+    both = count(more & above)
+    return [both, count(more & above.T), every - count(more), every - count(above)]
+
+
+def _counted(lists: DataFrame, keys) -> DataFrame:
+    """The table of ``kendall`` for small groups, from (keys, _p), the list of their known pairs (x, y)."""
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("concordant", "discordant", "_tx", "_ty")])
+
+    @F.pandas_udf(schema)
+    def pairs(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_counts(a, b) for a, b in zip(x, y)], columns=schema.names, dtype="int64")
+
+    side = lambda name: F.transform("_p", lambda p: p[name].cast("double"))
+    return _tau(lists.where(F.size("_p") > 0).select(*keys, F.size("_p").cast("long").alias("n"), pairs(side("x"), side("y")).alias("_c")).select(*keys, "n", "_c.*"), keys)
+
+
+def _tau(counts: DataFrame, keys) -> DataFrame:
+    every = F.call_function("div", F.col("n") * (F.col("n") - 1), F.lit(2))
     scale = F.sqrt((every - F.col("_tx")).cast("double")) * F.sqrt((every - F.col("_ty")).cast("double"))
     tau = F.when(F.col("n") >= 3, F.try_divide(F.col("concordant") - F.col("discordant"), F.nullif(scale, F.lit(0.0))))
-    return out.select(*keys, "n", "concordant", "discordant", tau.alias("tau"))
+    return counts.select(*keys, "n", "concordant", "discordant", tau.alias("tau"))
+
+
+def kendall(df: DataFrame, keys, x: str, y: str) -> DataFrame:
+    """(keys, n, concordant, discordant, tau): tau-b over rows where both are known; NULL under three of them or where one is constant.
+
+    Groups of at most ``SMALL`` rows are lists whose pairs are compared in the task that holds them; larger ones are counted by ranges.
+    """
+    keys = list(keys)
+    few, many = _by_size(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")), keys)
+    out = _counted(few.repartition(*keys).groupBy(*keys).agg(F.collect_list(F.struct(F.col("_x").alias("x"), F.col("_y").alias("y"))).alias("_p")), keys)
+    return out if many is None else out.unionByName(_by_ranges(many, keys, "_x", "_y"))
 
 
 def rank_correlation(df: DataFrame, keys, x: str, y: str, order, lag_max: int = 0) -> DataFrame:
@@ -73,11 +122,25 @@ def rank_correlation(df: DataFrame, keys, x: str, y: str, order, lag_max: int =
     The best lag has the greatest absolute value, the first of equals. Groups
     without three pairs have NULLs.
     """
-    keys = list(keys)
-    w = ordered(keys, order)
-    lags = F.array(*[F.struct(F.lit(k).alias("lag"), (F.lag(y, k) if k >= 0 else F.lead(y, -k)).over(w).alias("_there")) for k in range(-lag_max, lag_max + 1)])
-    each = df.select(*keys, F.col(x).alias("_here"), lags.alias("_p")).select(*keys, "_here", F.explode("_p").alias("_p")).select(*keys, "_here", "_p.*")
-    t = kendall(each, [*keys, "lag"], "_here", "_there")
+    keys, span = list(keys), range(-lag_max, lag_max + 1)
+    few, many = _by_size(df, keys) if all(isinstance(o, str) for o in order) else (df.limit(0), df)
+    # small groups are put in order as lists, and a lag takes two slices of them
+    names = [f"_o{k}" for k in range(len(order))]
+    rows = F.struct(*[F.col(o).alias(n) for n, o in zip(names, order) if isinstance(o, str)], F.col(x).alias("x"), F.col(y).alias("y"))
+    lists = few.repartition(*keys).groupBy(*keys).agg(F.sort_array(F.collect_list(rows)).alias("_r"))
+
+    def shifted(k: int) -> Column:
+        size = F.greatest(F.size("_r") - abs(k), F.lit(0))
+        here, there = (F.slice("_r", F.lit(max(v, 0) + 1), size) for v in (k, -k))
+        pairs = F.zip_with(here, there, lambda p, q: F.struct(p["x"].alias("x"), q["y"].alias("y")))
+        return F.struct(F.lit(k).alias("lag"), F.filter(pairs, lambda p: p["x"].isNotNull() & p["y"].isNotNull()).alias("_p"))
+
+    t = _counted(lists.select(*keys, F.explode(F.array(*map(shifted, span))).alias("_l")).select(*keys, "_l.*"), [*keys, "lag"])
+    if many is not None:
+        w = ordered(keys, order)
+        lags = F.array(*[F.struct(F.lit(k).alias("lag"), (F.lag(y, k) if k >= 0 else F.lead(y, -k)).over(w).alias("_there")) for k in span])
+        each = many.select(*keys, F.col(x).alias("_here"), lags.alias("_p")).select(*keys, "_here", F.explode("_p").alias("_p")).select(*keys, "_here", "_p.*")
+        t = t.unionByName(kendall(each, [*keys, "lag"], "_here", "_there"))
     strength = F.struct(F.round(F.abs("tau"), 12), -F.col("lag"))
     at0, finite = F.col("lag") == 0, F.col("tau").isNotNull()
     best = t.groupBy(*keys).agg(

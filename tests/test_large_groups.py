@@ -20,3 +20,29 @@ def test_draws_are_not_broadcast(spark):
     assert out.count() == 14
     text = plan(equity.error_slopes(df, "who", "r", "r", "c", 20))
     assert "strategy=merge" in text and "row_number" not in text
+
+
+@pytest.mark.parametrize("small", [0, 20, 512])
+def test_small_groups_are_not_multiplied(spark, monkeypatch, small):
+    monkeypatch.setattr(ranks, "SMALL", small)
+    rnd = random.Random(2)
+    rows = [(g, k, rnd.choice([None, *map(float, range(6))]), rnd.choice([None, 0, 1, 2, 3])) for g, n in ((None, 15), (1, 40), (2**60 + 1, 20), (4, 1)) for k in range(n)]
+    df = spark.createDataFrame(rows, "g long, k long, x double, y int")
+    out = ranks.rank_correlation(df, ["g"], "x", "y", ["k"], 2)
+    if small == 512:
+        assert "_level" not in plan(out) and "_level" not in plan(ranks.kendall(df, ["g"], "x", "y"))
+    got = {r.g: r for r in out.collect()}
+    whole = {r.g: r for r in ranks.kendall(df, ["g"], "x", "y").collect()}
+    for g in (None, 1, 2**60 + 1):
+        x, y = [r[2] for r in rows if r[0] == g], [r[3] for r in rows if r[0] == g]
+        taus = {}
+        for lag in range(-2, 3):
+            p = [(x[i], y[i - lag]) for i in range(len(x)) if 0 <= i - lag < len(x) and x[i] is not None and y[i - lag] is not None]
+            s = [((a > c) - (a < c)) * ((b > d) - (b < d)) for i, (a, b) in enumerate(p) for c, d in p[:i]]
+            tx, ty = (sum(p[i][z] != q[z] for i in range(len(p)) for q in p[:i]) for z in (0, 1))
+            taus[lag] = (sum(s) / (tx * ty) ** 0.5, len(p), sum(v > 0 for v in s), sum(v < 0 for v in s))
+        assert (whole[g].n, whole[g].concordant, whole[g].discordant) == taus[0][1:] and whole[g].tau == pytest.approx(taus[0][0])
+        best = max(taus, key=lambda k: (round(abs(taus[k][0]), 12), -k))
+        assert got[g].correlation == pytest.approx(taus[0][0]) and got[g].n == taus[0][1]
+        assert got[g].best_lag == best and got[g].best_lag_correlation == pytest.approx(taus[best][0])
+    assert got[4].correlation is None and got[4].best_lag is None
