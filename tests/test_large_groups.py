@@ -46,3 +46,13 @@ def test_small_groups_are_not_multiplied(spark, monkeypatch, small):
         assert got[g].correlation == pytest.approx(taus[0][0]) and got[g].n == taus[0][1]
         assert got[g].best_lag == best and got[g].best_lag_correlation == pytest.approx(taus[best][0])
     assert got[4].correlation is None and got[4].best_lag is None
+
+
+
+def test_fits_leave_groups_spread(spark):
+    df = spark.createDataFrame([(None, 1.0, 2.0), (None, 2.0, 4.0), (None, 3.0, 5.0), (1, 5.0, 1.0), (2, None, 1.0)], "g long, x double, y double")
+    out = standardize.linear_residual(df, ["g"], "y", "x")
+    assert "Window" not in plan(out)
+    got = {(r.g, r.x): (r.residual, r.fit_mean) for r in out.collect()}
+    assert got[1, 5.0] == (1.0, 1.0) and got[2, None] == (None, None)
+    assert got[None, 1.0] == pytest.approx((2.0 + 1.5, 11 / 3)) and got[None, 3.0] == pytest.approx((5.0 - 1.5, 11 / 3))
