@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -74,13 +74,17 @@ def cluster_null(df: DataFrame, subject: str, condition: str, time: str, x: str,
 def bootstrap_difference(df: DataFrame, keys, condition: str, x: str, levels: tuple[str, str], rounds: int, row: str, seed: int = 1) -> DataFrame:
     """Mean difference of two conditions with Poisson-bootstrap percentile bounds; weights come from an MD5 of (seed, round, row), so reruns agree.
 
-    ``row`` names each row. Rows meet their rounds in a map-side aggregation; only a sum for each key and round is shuffled.
+    ``row`` names each row. Rows are dealt over all tasks and meet their rounds in a map-side aggregation; only a sum for each key and round is shuffled.
     """
     a, b = levels
-    d = df.where(F.col(condition).isin(a, b) & F.col(x).isNotNull()).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
-    u = _hashed(seed, F.col("round"), F.col(row)) / 4294967296.0
-    weight = reduce(lambda w, p: w + (u >= p).cast("int"), POISSON, F.lit(0))
-    d = d.withColumn("w", F.when(F.col("round") == 0, 1).otherwise(weight))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.where(F.col(condition).isin(a, b) & F.col(x).isNotNull()).select(*dict.fromkeys([*keys, condition, x, row])).repartition(tasks, row).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
+    # eight hexadecimal digits, as a fraction of 2^32, lie in the order of their text
+    d = d.withColumn("_u", F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("round").cast("string"), F.col(row).cast("string"))), 1, 8))
+    weight = F.when(F.col("round") == 0, 1)
+    for k, p in enumerate(POISSON):
+        weight = weight.when(F.col("_u") < f"{math.ceil(p * 2**32):08x}", k)
+    d = d.withColumn("w", weight.otherwise(len(POISSON)))
     mean = lambda c: F.try_divide(F.sum(F.when(F.col(condition) == c, F.col("w") * F.col(x))), F.sum(F.when(F.col(condition) == c, F.col("w"))))
     r = d.groupBy(*keys, "round").agg((mean(b) - mean(a)).alias("diff"))
     boot = F.when(F.col("round") > 0, F.col("diff"))

@@ -56,3 +56,11 @@ def test_fits_leave_groups_spread(spark):
     got = {(r.g, r.x): (r.residual, r.fit_mean) for r in out.collect()}
     assert got[1, 5.0] == (1.0, 1.0) and got[2, None] == (None, None)
     assert got[None, 1.0] == pytest.approx((2.0 + 1.5, 11 / 3)) and got[None, 3.0] == pytest.approx((5.0 - 1.5, 11 / 3))
+
+
+def test_bootstrap_weights_take_one_digest_a_round(spark):
+    df = spark.createDataFrame([(k, "ab"[k % 2], float(k * k % 13)) for k in range(60)], "id long, c string, x double")
+    out = stats.bootstrap_difference(df, [], "c", "x", ("a", "b"), 20, "id")
+    text = plan(out)
+    assert "RepartitionByExpression" in text and "conv(" not in text
+    assert out.first().diff == pytest.approx(np.mean([k * k % 13 for k in range(1, 60, 2)]) - np.mean([k * k % 13 for k in range(0, 60, 2)]))
