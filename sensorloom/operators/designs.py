@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.core import finite, last_known, median, next_known, ordered
@@ -74,66 +74,82 @@ def glm_design(samples: DataFrame, events: DataFrame, keys, t: str, order, onset
     return out.drop("_i", "_dt")
 
 
-def _tail(t: float, df: int) -> float:
+def _tail(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     """Two-sided p of Student's t: the regularised incomplete beta function by its continued fraction."""
-    if not math.isfinite(t):
-        return 0.0 if math.isinf(t) else math.nan
-    x, a, b = df / (df + t * t), df / 2, 0.5
+    known = np.isfinite(t) & (df > 0)
+    t2, n = np.where(known, t, 1.0) ** 2, np.where(known, df, 1).astype(float)
+    x, a, b = n / (n + t2), n / 2, np.full(n.shape, 0.5)
     swap = x > (a + 1) / (a + b + 2)
-    if swap:
-        x, a, b = 1 - x, b, a
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a if 0 < x < 1 else 0.0
-    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    x, a, b = np.where(swap, 1 - x, x), np.where(swap, b, a), np.where(swap, a, b)
+    size, at = np.unique(n, return_inverse=True)
+    scale = np.array([math.lgamma(v / 2 + 0.5) - math.lgamma(v / 2) - math.lgamma(0.5) for v in size])[at].reshape(n.shape)
+    inside = (x > 0) & (x < 1)
+    u = np.where(inside, x, 0.5)
+    front = np.where(inside, np.exp(scale + a * np.log(u) + b * np.log1p(-u)) / a, 0.0)
+    c, d = np.ones(n.shape), 1 / (1 - (a + b) * x / (a + 1))
     f = d
     for m in range(1, 500):
         for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d, c = 1 / (1 + step * d), 1 + step / c
-            f *= c * d
-        if abs(c * d - 1) < 1e-15:
+            f = f * (c * d)
+        if np.all(np.abs(c * d - 1) < 1e-15):
             break
     p = front * f
-    return min(1.0, 1 - p if swap else p)
+    return np.where(known, np.minimum(1.0, np.where(swap, 1 - p, p)), np.where(np.isinf(t) & (df > 0), 0.0, np.nan))
 
 
 def glm_fit(design: DataFrame, keys, y: str, regressors) -> DataFrame:
     """(keys, term, estimate, std_error, statistic, p_value, n, rank, df_residual, rss, r_squared, aic), a row a regressor.
 
-    One aggregation gives each group's sums of products; a matrix of the number of
-    regressors is solved a group. Rows with any missing value are left out. Linearly
+    One aggregation gives each group's sums of products; matrices of the number of
+    regressors are solved for a batch of groups at once. Rows with any missing value are left out. Linearly
     dependent regressors get the shortest solution and no standard errors.
     """
     keys, regressors = list(keys), list(regressors)
     columns = [F.col(c).cast("double") for c in (*regressors, y)]
     d = design.select(*keys, *[finite(c).alias(f"_x{k}") for k, c in enumerate(columns)]).dropna(subset=[f"_x{k}" for k in range(len(columns))])
     p = len(regressors)
-    mean = matched(d, d.groupBy(*keys).agg(F.avg(f"_x{p}").alias("_mean")), keys)
-    dev = F.col(f"_x{p}") - F.col("_mean")
-    sums = [F.sum(F.col(f"_x{a}") * F.col(f"_x{b}")) for a in range(p) for b in range(p)] + [F.sum(F.col(f"_x{a}") * dev) for a in range(p)] + [F.sum(F.col(f"_x{a}")) for a in range(p)]
-    g = mean.groupBy(*keys).agg(F.count("*").alias("n"), F.first("_mean").alias("_mean"), F.sum(dev * dev).alias("_tss"), F.array(*sums).alias("_s"))
+    y_ = F.col(f"_x{p}")
+    pairs = [(a, b) for a in range(p) for b in range(a, p)]
+    n = F.count("*")
+    # sums of products with the deviations of y from its mean are covariances, which one pass gives without loss
+    sums = [F.sum(F.col(f"_x{a}") * F.col(f"_x{b}")) for a, b in pairs] + [n * F.covar_pop(F.col(f"_x{a}"), y_) for a in range(p)] + [F.sum(F.col(f"_x{a}")) for a in range(p)]
+    g = d.groupBy(*keys).agg(n.alias("n"), F.array(F.avg(y_), n * F.var_pop(y_), *sums).alias("_s"))
     kinds = dict(g.dtypes)
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + (", " if keys else "") + (
         "term string, estimate double, std_error double, statistic double, p_value double, n long, rank long, df_residual long, rss double, r_squared double, aic double")
-
-    def solve(pdf):
-        r = pdf.iloc[0]
-        s = np.asarray(r["_s"], float)
-        gram, xd, x1 = s[: p * p].reshape(p, p), s[p * p : p * p + p], s[p * p + p :]
-        n, mean, tss = int(r["n"]), float(r["_mean"]), float(r["_tss"])
-        rank = int(np.linalg.matrix_rank(gram, hermitian=True))
-        inverse = np.linalg.inv(gram) if rank == p else np.linalg.pinv(gram, hermitian=True)
-        part, level = inverse @ xd, inverse @ x1  # of the deviations, and of a constant
-        beta = part + mean * level
-        # residuals of y are those of its deviations plus the mean times those of a constant
-        rest = max(0.0, tss - 2 * part @ xd + part @ gram @ part + 2 * mean * (0 - level @ xd - part @ x1 + part @ gram @ level) + mean**2 * (n - 2 * level @ x1 + level @ gram @ level))
-        free = max(0, n - rank)
-        se = np.sqrt(np.diag(inverse) * rest / free) if free and rank == p else np.full(p, np.nan)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            stat = beta / se
-        out = pd.DataFrame({"term": regressors, "estimate": beta, "std_error": se, "statistic": stat, "p_value": [_tail(v, free) if free else math.nan for v in stat], "n": n, "rank": rank, "df_residual": free, "rss": rest,
-                            "r_squared": 1 - rest / tss if tss > 0 else math.nan, "aic": n * math.log(rest / n) + 2 * p if rest > 0 else math.nan})
-        for key in reversed(keys):
-            out.insert(0, key, [r[key]] * len(out))
-        return out
-
-    fit = g.groupBy(*keys).applyInPandas(solve, schema)
+    names = [*keys, "term", "estimate", "std_error", "statistic", "p_value", "n", "rank", "df_residual", "rss", "r_squared", "aic"]
+
+    def solve(batches):
+        for batch in batches:
+            groups = batch.num_rows
+            if not groups:
+                continue
+            s = np.asarray(batch.column("_s").flatten(), float).reshape(groups, -1)
+            mean, tss, n = s[:, 0], s[:, 1], np.asarray(batch.column("n"))
+            gram = np.empty((groups, p, p))
+            for k, (a, b) in enumerate(pairs):
+                gram[:, a, b] = gram[:, b, a] = s[:, 2 + k]
+            xd, x1 = s[:, 2 + len(pairs) :][:, :p], s[:, 2 + len(pairs) + p :]
+            rank = np.linalg.matrix_rank(gram, hermitian=True)
+            full = rank == p
+            inverse = np.empty_like(gram)
+            inverse[full], inverse[~full] = np.linalg.inv(gram[full]), np.linalg.pinv(gram[~full], hermitian=True)
+            part, level = np.einsum("gab,gb->ga", inverse, xd), np.einsum("gab,gb->ga", inverse, x1)  # of the deviations, and of a constant
+            beta = part + mean[:, None] * level
+            dot = lambda u, v: np.einsum("ga,ga->g", u, v)
+            through = lambda u, v: np.einsum("ga,gab,gb->g", u, gram, v)
+            # residuals of y are those of its deviations plus the mean times those of a constant
+            rest = tss - 2 * dot(part, xd) + through(part, part) + 2 * mean * (0 - dot(level, xd) - dot(part, x1) + through(part, level)) + mean**2 * (n - 2 * dot(level, x1) + through(level, level))
+            rest, free = np.maximum(0.0, rest), np.maximum(0, n - rank)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                se = np.where((full & (free > 0))[:, None], np.sqrt(np.diagonal(inverse, axis1=1, axis2=2) * (rest / free)[:, None]), np.nan)
+                stat = beta / se
+                r2, aic = np.where(tss > 0, 1 - rest / tss, np.nan), np.where(rest > 0, n * np.log(rest / n) + 2 * p, np.nan)
+                tail = _tail(stat, np.repeat(free, p).reshape(groups, p))
+            each = np.repeat(np.arange(groups), p)
+            cells = [regressors * groups, beta.ravel(), se.ravel(), stat.ravel(), tail.ravel(), n[each], rank[each].astype(np.int64), free[each], rest[each], r2[each], aic[each]]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(each)) for k in keys], *[pa.array(c) for c in cells]], names=names)
+
+    fit = g.mapInArrow(solve, schema)
     return fit.select(*[F.nanvl(c, F.lit(None).cast("double")).alias(c) if k == "double" and c not in keys else F.col(c) for c, k in fit.dtypes])

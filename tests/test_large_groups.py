@@ -64,3 +64,19 @@ def test_bootstrap_weights_take_one_digest_a_round(spark):
     text = plan(out)
     assert "RepartitionByExpression" in text and "conv(" not in text
     assert out.first().diff == pytest.approx(np.mean([k * k % 13 for k in range(1, 60, 2)]) - np.mean([k * k % 13 for k in range(0, 60, 2)]))
+
+
+def test_fits_of_many_groups_take_no_call_a_group(spark):
+    rnd = random.Random(1)
+    rows = [(g, 1.0, rnd.random(), rnd.random(), rnd.random()) for g in (None, 1, 2**60 + 1) for _ in range(12)] + [(5, 1.0, 2.0, 4.0, float(k)) for k in range(4)]
+    df = spark.createDataFrame(rows, "g long, one double, a double, b double, y double")
+    out = designs.glm_fit(df, ["g"], "y", ["one", "a", "b"])
+    assert "InPandas" not in plan(out) and "Join" not in plan(out)
+    got = {(r.g, r.term): r for r in out.collect()}
+    assert len(got) == 12 and got[5, "a"]["rank"] == 1 and got[5, "a"].std_error is None
+    for g in (None, 1, 2**60 + 1):
+        m = np.array([r[1:] for r in rows if r[0] == g])
+        beta, rss, _, _ = np.linalg.lstsq(m[:, :3], m[:, 3], rcond=None)
+        for k, term in enumerate(("one", "a", "b")):
+            r = got[g, term]
+            assert r.estimate == pytest.approx(beta[k]) and r.rss == pytest.approx(rss[0]) and 0 <= r.p_value <= 1
