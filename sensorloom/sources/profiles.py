@@ -16,6 +16,8 @@ PATTERNS = (
 )
 SIGNALS = ("gaze", "pupil", "eda_gsr", "heart_rate", "ibi_rr", "ppg_pulse", "engagement_dial")
 SEPARATORS = (",", ";", "\t")
+#: Headers of at most this many files are sent to all executors.
+FEW_FILES = 10_000
 # Files that a layout has at its root, and names of exports.
 ROOT_FILES = ("dataset_description.json", "participants.tsv")
 EXPORT_NAMES = ("all[_-]?gaze", "fixation", "summary", "biometric", "eda", "gsr", "ecg", "ppg", "hr", "ibi")
@@ -51,7 +53,7 @@ def melted(spark: SparkSession, path: str, pattern: str = "*.csv", recursive: bo
     for s in reversed(SEPARATORS[:-1]):
         sep = F.when(count(s) == most, s).otherwise(sep)
     head = head.withColumn("sep", sep).withColumn("width", most + 1)
-    widest = head.agg(F.coalesce(F.max("width"), F.lit(1))).first()[0]  # one number
+    widest, files = head.agg(F.coalesce(F.max("width"), F.lit(1)), F.count("*")).first()  # two numbers
     schema = ", ".join(f"c{k} string" for k in range(widest))
 
     def cells(line: str) -> Column:
@@ -61,7 +63,9 @@ def melted(spark: SparkSession, path: str, pattern: str = "*.csv", recursive: bo
             out = F.when(F.col("sep") == s, F.array(*[row[f"c{k}"] for k in range(widest)])).otherwise(out)
         return F.slice(out, F.lit(1), F.col("width"))
 
-    body = lines.join(head.select("file", "sep", "width", "first"), "file").where("line <> first and trim(value) <> ''")
+    heads = head.select("file", "sep", "width", "first")
+    # a join by file would put all lines of a file into one task
+    body = lines.join(F.broadcast(heads) if files <= FEW_FILES else heads, "file").where("line <> first and trim(value) <> ''")
     value = F.when(~F.col("value").isin(*missing), F.col("value"))
     long = body.select("file", F.posexplode(cells("value")).alias("place", "value")).select("file", "place", value.alias("value"))
     return head.select("file", "sep", F.transform(cells("header"), lambda c, k: F.coalesce(c, F.concat(F.lit("Unnamed: "), k.cast("string")))).alias("names")), long
@@ -76,9 +80,13 @@ def profile_folder(spark: SparkSession, path: str, pattern: str = "*.csv", recur
     """
     head, cells = melted(spark, path, pattern, recursive, missing)
     number = F.expr("try_cast(value as double)")
-    stats = cells.groupBy("file", "place").agg(
-        F.count("*").alias("n_rows"), F.count("value").alias("n"), F.count(number).alias("n_numbers"), F.count_distinct("value").alias("n_texts"), F.count_distinct(number).alias("n_values"),
-        F.stddev_samp(number).alias("sd"), F.min(number).alias("low"), F.max(number).alias("high"))
+    # rows are dealt by value before values are counted, so that no task holds a whole split's distinct values three times over
+    values = cells.repartition("file", "place", "value").groupBy("file", "place", "value").agg(F.count("*").alias("w"))
+    texts = values.groupBy("file", "place").agg(F.sum("w").alias("n_rows"), F.sum(F.when(F.col("value").isNotNull(), F.col("w"))).alias("n"), F.count("value").alias("n_texts"))
+    numbers = values.groupBy("file", "place", number.alias("x")).agg(F.sum("w").alias("w")).where("x is not null")
+    numbers = numbers.groupBy("file", "place").agg(F.sum("w").alias("n_numbers"), F.count("*").alias("n_values"))
+    spread = cells.groupBy("file", "place").agg(F.stddev_samp(number).alias("sd"), F.min(number).alias("low"), F.max(number).alias("high"))
+    stats = texts.join(numbers, ["file", "place"], "left").join(spread, ["file", "place"])
     names = head.select("file", F.posexplode("names").alias("place", "column"))
     c = names.join(stats, ["file", "place"], "left").fillna(0, ["n_rows", "n", "n_numbers", "n_texts", "n_values"])
     numeric = (F.col("n_numbers") == F.col("n")) & (F.col("n_rows") > 0)

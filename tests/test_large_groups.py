@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from sensorloom.operators import designs, equity, ranks, standardize, stats
+from sensorloom.sources import profiles
 
 
 def plan(df):
@@ -80,3 +81,12 @@ def test_fits_of_many_groups_take_no_call_a_group(spark):
         for k, term in enumerate(("one", "a", "b")):
             r = got[g, term]
             assert r.estimate == pytest.approx(beta[k]) and r.rss == pytest.approx(rss[0]) and 0 <= r.p_value <= 1
+
+
+def test_lines_do_not_gather_by_file(spark, tmp_path):
+    for name, lines in {"a.csv": ["GSR;label", "1;x", "1.0;x", "NA;y", "2;"], "b.csv": ["TIME", "0", "0"]}.items():
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    out = profiles.profile_folder(spark, str(tmp_path))["columns"]
+    assert "strategy=broadcast" in plan(out) and "Expand" not in plan(out)
+    got = {r.column: (r.type, r.n_rows, r.n_missing, r.n_unique, r.all_zero, r.constant) for r in out.collect()}
+    assert got == {"GSR": ("numeric", 4, 1, 2, False, False), "label": ("character", 4, 1, 2, False, False), "TIME": ("numeric", 2, 0, 1, True, True)}
